@@ -67,7 +67,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def stored_bytes(df: DataFrame) -> int:
     """Bytes that the planner assumes for a stored table: the size of its files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def small(df: DataFrame, limit: int) -> DataFrame:

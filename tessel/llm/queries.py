@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, sharding
+from . import decontamination, exact_dedup, language_id, mixing, sharding, url_filter
 from .common import table
 
 
@@ -14,6 +14,14 @@ def op3_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict(table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -22,6 +30,10 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_jump_sharding, op8_exact_dedup, op9_source_mixing)}
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_jump_sharding, op5_language_id, op7_decontamination, op8_exact_dedup, op9_source_mixing, op10_url_filter)}
 
-ORACLES: dict[str, str] = {"op8_exact_dedup": exact_dedup.ORACLE, "op9_source_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op7_decontamination": decontamination.ORACLE, "op10_url_filter": url_filter.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op9_source_mixing": mixing.ORACLE}
