@@ -58,7 +58,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     longest = F.expr("array_max(transform(split(window, ' '), w -> named_struct('n', length(w), 'w', w))).w")
     anchors = stored(grams.select(F.lower(longest).alias("anchor")).distinct(), "anchors")
     # lower() maps more letters than A-Z, which can only mark more rows; it leaves the places between words as they are
-    each = docs.select(*KEY, F.monotonically_increasing_id().alias("_row"), F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), SEPARATORS)).alias("_word"))
+    rows = docs.select(*KEY, F.monotonically_increasing_id().alias("_row"), F.split(F.lower(F.coalesce("text", F.lit(""))), SEPARATORS).alias("_words"))
+    each = rows.select(*KEY, "_row", F.explode("_words").alias("_word"))
     marked = each.join(small(anchors, broadcast), F.col("_word") == F.col("anchor"), "left")
     scan = stored(marked.groupBy(*KEY, "_row").agg(F.sum(F.when(F.col("_word") == "", 0).otherwise(1)).alias("n_words"), F.max(F.col("anchor").isNotNull()).alias("marked")).drop("_row"), "scan")
     found = _renamed(stored(scan.filter("marked").select(*KEY).distinct(), "candidates"))
