@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, language_id, mixing, sharding, url_filter, warc
+from . import decontamination, exact_dedup, jaccard_join, language_id, mixing, sharding, url_filter, warc
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op3_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_components(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_warc_index, op3_jump_sharding, op5_language_id, op7_decontamination, op8_exact_dedup, op9_source_mixing, op10_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_warc_index, op3_jump_sharding, op4_jaccard_join, op5_language_id, op7_decontamination, op8_exact_dedup, op9_source_mixing, op10_url_filter)}
 
-ORACLES: dict[str, str] = {"op2_warc_index": warc.ORACLE, "op7_decontamination": decontamination.ORACLE, "op10_url_filter": url_filter.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op9_source_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op4_jaccard_join": jaccard_join.ORACLE, "op2_warc_index": warc.ORACLE, "op7_decontamination": decontamination.ORACLE, "op10_url_filter": url_filter.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op9_source_mixing": mixing.ORACLE}
