@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, hmm_lm, jaccard_join, language_id, mixing, sharding, url_filter, warc
+from . import decontamination, exact_dedup, hmm_lm, html_extraction, jaccard_join, language_id, mixing, sharding, url_filter, warc
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -46,6 +50,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hmm_score, op2_warc_index, op3_jump_sharding, op4_jaccard_join, op5_language_id, op7_decontamination, op8_exact_dedup, op9_source_mixing, op10_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hmm_score, op2_warc_index, op3_jump_sharding, op4_jaccard_join, op5_language_id, op6_html_extraction, op7_decontamination, op8_exact_dedup, op9_source_mixing, op10_url_filter)}
 
 ORACLES: dict[str, str] = {"op4_jaccard_join": jaccard_join.ORACLE, "op2_warc_index": warc.ORACLE, "op7_decontamination": decontamination.ORACLE, "op10_url_filter": url_filter.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op9_source_mixing": mixing.ORACLE}
