@@ -72,7 +72,8 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The rows of docs as the mix takes them, repeats included, with docs' own columns. Copies are found on narrow rows and come back by doc_id, source and size."""
-    found = stored(copies(sizes(docs), seed).filter("copies > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "copies"), "copies")
+    # stored before it is filtered: pushed into the join of copies(), this filter drops all rows in Spark 4.1
+    found = stored(copies(sizes(docs), seed).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "copies"), "copies").filter("copies > 0")
     size = n_words(split_words(docs["text"], SPACES))
     joined = docs.join(found, docs["doc_id"].eqNullSafe(found["_d"]) & docs["source"].eqNullSafe(found["_s"]) & (size == found["_z"]))
     names = docs.columns
