@@ -22,7 +22,8 @@ def source_targets(sources: DataFrame, weights: tuple = WEIGHTS, share: float =
     """sources (source, source_size) with each one's target.
 
     Targets are min(cap * size, level * weight) with the one level at which they add up to share of all sizes: what repeated resharing of
-    the excess ends at. Sources are put in order of cap / weight; the level is found where the sources before are at their caps.
+    the excess ends at. Sources are put in order of cap / weight; the level is found where the sources before are at their caps;
+    of the levels that leave their own source under its cap, the first in that order is the largest.
     """
     everything = Window.partitionBy()
     n = len(weights)
@@ -31,7 +32,7 @@ def source_targets(sources: DataFrame, weights: tuple = WEIGHTS, share: float =
     ranked = ranked.withColumn("_total", F.sum("source_size").over(everything) * F.lit(share)).withColumn("_all_w", F.sum("_w").over(everything))
     before = Window.orderBy(F.col("_cap") / F.col("_w"), "_rank").rowsBetween(Window.unboundedPreceding, -1)
     ranked = ranked.withColumn("_level", (F.col("_total") - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / (F.col("_all_w") - F.coalesce(F.sum("_w").over(before), F.lit(0.0))))
-    ranked = ranked.withColumn("_level", F.min(F.when(F.col("_level") <= F.col("_cap") / F.col("_w"), F.col("_level"))).over(everything))
+    ranked = ranked.withColumn("_level", F.max(F.when(F.col("_level") <= F.col("_cap") / F.col("_w"), F.col("_level"))).over(everything))
     return ranked.select("source", "source_size", F.coalesce(F.least(F.col("_cap"), F.col("_level") * F.col("_w")), F.col("_cap")).alias("target"))
 
 
@@ -72,7 +73,6 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The rows of docs as the mix takes them, repeats included, with docs' own columns. Copies are found on narrow rows and come back by doc_id, source and size."""
-    # stored before it is filtered: pushed into the join of copies(), this filter drops all rows in Spark 4.1
     found = stored(copies(sizes(docs), seed).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "copies"), "copies").filter("copies > 0")
     size = n_words(split_words(docs["text"], SPACES))
     joined = docs.join(found, docs["doc_id"].eqNullSafe(found["_d"]) & docs["source"].eqNullSafe(found["_s"]) & (size == found["_z"]))
@@ -91,7 +91,7 @@ levels AS (
   SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE - coalesce(sum(cap) OVER b, 0.0)) / ((sum(w) OVER ()) - coalesce(sum(w) OVER b, 0.0)) AS own
   FROM ranked WINDOW b AS (ORDER BY cap / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 targets AS (
-  SELECT source, source_size, coalesce(least(cap, (min(own) FILTER (own <= cap / w) OVER ()) * w), cap) AS target,
+  SELECT source, source_size, coalesce(least(cap, (max(own) FILTER (own <= cap / w) OVER ()) * w), cap) AS target,
     CAST('0x' || substr(md5('mix-1:' || coalesce(source, '')), 1, 8) AS BIGINT)::DOUBLE / 4294967296.0::DOUBLE AS u FROM levels),
 units AS (
   SELECT doc_id, source, size, count(*) AS n, lpad(length(bin(size + 8))::VARCHAR, 2, '0') || substr(bin(size + 8), 2, 3) AS band,
