@@ -88,8 +88,8 @@ def simhash(tokens: Column) -> Column:
     words = F.transform(tokens, lambda t: F.sha1(t))
 
     def digit(k: int) -> Column:
-        # hex digit k holds bits 4k to 4k + 3 of the result, most significant first
-        byte, low = divmod(k, 2)
+        # hex digit k, most significant first, is half of byte 3 - k / 2
+        byte, low = 3 - k // 2, k % 2
 
         def vote(bit: int) -> Column:
             place = F.lit(2 * byte + 1 + (0 if bit >= 4 else 1))

@@ -46,3 +46,18 @@ def token_pairs(sets: DataFrame, key: str, tokens: str, least: float, least_toke
     left, right = (rows.select(F.col("k").alias(s), F.col("t").alias(f"t{s}")) for s in "ab")
     scored = pairs.join(left, "a").join(right, "b").select("a", "b", jaccard(F.col("ta"), F.col("tb")).alias("similarity"))
     return scored.filter(F.col("similarity") >= least)
+
+
+def simhash_rows(rows: DataFrame, key: str, tokens: Column) -> DataFrame:
+    """key and simhash of every row, for long texts: tokens are exploded once and the 32 votes are sums, combined before the shuffle.
+
+    The first four bytes of a token's SHA-1, lowest first, vote on the bits of the result; rows without tokens have all bits 0.
+    """
+    each = rows.select(F.col(key), F.explode_outer(tokens).alias("_t"))
+    h = F.sha1("_t")
+    bits = F.conv(F.concat(*[F.substring(h, i, 2) for i in (7, 5, 3, 1)]), 16, 10).cast("long")
+    each = each.select(key, bits.alias("_b"))
+    vote = lambda i: F.sum(F.when(F.shiftright("_b", i).bitwiseAND(1) == 1, 1).when(F.col("_b").isNotNull(), -1).otherwise(0))
+    sums = each.groupBy(key).agg(*[vote(i).alias(f"_v{i}") for i in range(32)])
+    total = sum((F.when(F.col(f"_v{i}") > 0, F.lit(1 << i)).otherwise(0) for i in range(32)), F.lit(0).cast("long"))
+    return sums.select(key, F.lower(F.lpad(F.hex(total), 8, "0")).alias("simhash"))

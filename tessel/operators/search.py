@@ -25,6 +25,10 @@ def query_terms(query: str) -> list[str]:
     return [t for t in dict.fromkeys(re.split(r"[^a-z0-9]+", query.lower())) if len(t) > 1][:MOST_TERMS]
 
 
+def _times(words: str, term: str) -> Column:
+    return F.size(F.filter(words, lambda w: w == term))
+
+
 def bm25(docs: DataFrame, key: str, text: Column, query: str, k: int | None = 20) -> DataFrame:
     """key and score of the documents that hold any of the query's terms, best first.
 
@@ -33,7 +37,7 @@ def bm25(docs: DataFrame, key: str, text: Column, query: str, k: int | None = 20
     """
     terms = query_terms(query)
     words = words_of(text)
-    rows = docs.select(F.col(key).alias("_key"), words.alias("_w")).select("_key", F.size("_w").alias("_len"), *[F.size(F.filter("_w", lambda w, t=t: w == t)).alias(f"_t{i}") for i, t in enumerate(terms)])
+    rows = docs.select(F.col(key).alias("_key"), words.alias("_w")).select("_key", F.size("_w").alias("_len"), *[_times("_w", t).alias(f"_t{i}") for i, t in enumerate(terms)])
     stats = rows.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.sum((F.col(f"_t{i}") > 0).cast("int")).alias(f"_df{i}") for i in range(len(terms))])
     joined = rows.crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
