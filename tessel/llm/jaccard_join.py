@@ -7,9 +7,10 @@ Two texts link when 100 * intersection >= 80 * union of their sets of distinct f
    right; this one keeps passages that many texts share out of prefixes. The table of frequent shingles has at most FREQUENT rows.
 3. A text's prefix is its first n - ceil(0.8 n) + 1 shingles; texts that link share a shingle of their prefixes. Texts with identical prefixes and
    size form a group; only groups are indexed by prefix shingle. Shingles that only one group has are dropped.
-4. Groups expand to their members. Candidate pairs pass the size and positional filters and are verified on the whole sets.
-   Pairs are not listed all at once: members of a shingle's run are first tried against the run's most central member, then against their
-   neighbour by size, and linked ones become one component. What is still in different components is then tried pair by pair, so no link
+4. Groups expand to their members. Runs of up to RUN members give all their pairs; a pair stays if sizes, the places of its first common shingle
+   and the number of its common prefix shingles allow a link. Pairs that stay are verified on the whole sets.
+5. Longer runs (large groups of near copies) don't list their pairs: members are first tried against the run's most central member, then against
+   their neighbour by size, and linked ones become one component. What is still in different components is then tried pair by pair, so no link
    between different components is missed and a large group of near copies costs pairs in proportion to its size.
 """
 
@@ -30,6 +31,8 @@ SHINGLE, PERCENT = 5, 80
 #: Bounds: rows in the table of frequent shingles; shingles counted at a time; least count within those that is reported.
 FREQUENT, BLOCK, REPORTED = 1 << 17, 1 << 20, 3
 BROADCAST = 32 << 20
+#: Members of a run that is listed pair by pair.
+RUN = 64
 #: Word hashes that a worker remembers.
 REMEMBERED = 300_000
 
@@ -139,6 +142,88 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch([batch.column(0), batch.column(1), ok], ["a", "b", "linked"], [pa.int64(), pa.int64(), pa.bool_()])
 
 
+_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("token", pa.int64()), ("n_a", pa.int32()), ("n_b", pa.int32()), ("pos_a", pa.int32()), ("pos_b", pa.int32())])
+_FOUND_DDL = "a long, b long, token long, n_a int, n_b int, pos_a int, pos_b int"
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From token, doc_id, n and pos in order of token: the pairs of short runs with sizes that allow a link (token null), and the rows of long runs (b null)."""
+    held = [np.empty(0, t) for t in (np.int64, np.int64, np.int32, np.int32)]
+    long_token: int | None = None
+
+    def out(a, b, token, n_a, n_b, p_a, p_b) -> pa.RecordBatch:
+        none = lambda x, t: pa.nulls(len(a), t) if x is None else pa.array(x, t)
+        return pa.RecordBatch.from_arrays([none(x, f.type) for x, f in zip((a, b, token, n_a, n_b, p_a, p_b), _FOUND, strict=True)], schema=_FOUND)
+
+    def rows(token, doc, n, pos) -> pa.RecordBatch:
+        return out(doc, None, token, n, None, pos, None)
+
+    def pairs(doc, n, pos, i, j) -> pa.RecordBatch:
+        ok = (doc[i] != doc[j]) & (100 * np.minimum(n[i], n[j]).astype(np.int64) >= PERCENT * np.maximum(n[i], n[j]).astype(np.int64))
+        i, j = i[ok], j[ok]
+        swap = doc[i] > doc[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        return out(doc[i], doc[j], None, n[i], n[j], pos[i], pos[j])
+
+    def closed(token, doc, n, pos) -> Iterator[pa.RecordBatch]:
+        """Of whole runs."""
+        cuts = np.flatnonzero(np.diff(token)) + 1
+        starts, ends = np.concatenate([[0], cuts]).astype(np.int64), np.concatenate([cuts, [len(token)]]).astype(np.int64)
+        size = ends - starts
+        two = starts[size == 2]
+        first, second = [two], [two + 1]
+        for m in np.unique(size[(size > 2) & (size <= RUN)]):
+            i, j = np.triu_indices(m, 1)
+            at = starts[size == m]
+            first.append((at[:, None] + i).ravel())
+            second.append((at[:, None] + j).ravel())
+        i, j = np.concatenate(first), np.concatenate(second)
+        for k in range(0, len(i), 200_000):
+            yield pairs(doc, n, pos, i[k : k + 200_000], j[k : k + 200_000])
+        for x, y in zip(starts[size > RUN], ends[size > RUN], strict=True):
+            yield rows(token[x:y], doc[x:y], n[x:y], pos[x:y])
+
+    for batch in batches:
+        new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        if not len(new[0]):
+            continue
+        if long_token is not None:  # goes on with a run that is already known to be long
+            k = int(np.searchsorted(new[0], long_token, side="right"))
+            yield rows(*(c[:k] for c in new))
+            new = [c[k:] for c in new]
+            if not len(new[0]):
+                continue
+            long_token = None
+        held = [np.concatenate(x) for x in zip(held, new, strict=True)]
+        last = int(np.searchsorted(held[0], held[0][-1], side="left"))
+        if last:
+            yield from closed(*(c[:last] for c in held))
+            held = [c[last:] for c in held]
+        if len(held[0]) > RUN:
+            long_token = int(held[0][-1])
+            yield rows(*held)
+            held = [c[:0] for c in held]
+    if len(held[0]):
+        yield from closed(*held)
+
+
+def _need(a: str, b: str) -> str:
+    """SQL for the least overlap of sets of these sizes that link."""
+    return f"ceil({PERCENT} * ({a} + {b}) / {100 + PERCENT}.0D - 1e-9)"
+
+
+def _rest(n: str) -> str:
+    """SQL for the shingles after the prefix."""
+    return f"(ceil({PERCENT} * {n} / 100.0D - 1e-9) - 1)"
+
+
+def _possible() -> str:
+    """What a pair without common shingles of long runs needs: room for the overlap after its first common shingle, and enough common prefix shingles.
+    A pair with some is found by its long run. Rows of long runs stay."""
+    need = _need("n_a", "n_b")
+    return f"b IS NULL OR (least(n_a - pos_a, n_b - pos_b) >= {need} AND common + greatest({_rest('n_a')}, {_rest('n_b')}) >= {need})"
+
+
 def _frequent_order(seen: DataFrame, bound: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """At most bound shingles, sorted, with their rank: the more often seen, the higher."""
     counts = stored(seen.groupBy("hash").agg(F.sum("seen").alias("n")), "frequent")
@@ -197,29 +282,31 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = stored(members.select(F.col("doc_id").alias("member"), "head", "n", "p1").distinct(), "members")
     others = members.filter("member <> head")
     heads = prefixes.join(small(others.select(F.col("member").alias("_m")), BROADCAST), F.col("doc_id") == F.col("_m"), "left_anti")
-    # the index: runs of groups that share a prefix shingle
+    # the index: runs of texts that share a prefix shingle, or their whole prefix
     index = heads.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token"))
-    run = Window.partitionBy("token")
-    index = index.withColumn("_m", F.count("*").over(run)).filter("_m > 1").select("token", "doc_id", "n", "pos")
-    index = index.unionByName(members.select(F.xxhash64("n", "p1", "head").alias("token"), F.col("head").alias("doc_id"), "n", F.lit(0).alias("pos")).distinct())
-    index = stored(index, "index")
-    grown = index.join(small(others.select("member", "head"), BROADCAST), F.col("doc_id") == F.col("head")).select("token", F.col("member").alias("doc_id"), "n", "pos")
-    index = stored(index.unionByName(grown), "members-index") if not others.isEmpty() else index
-    found = stored(index.select("doc_id").distinct(), "candidates")
-    wanted = docs.join(small(found.select(F.col("doc_id").alias("_c")), BROADCAST), F.col("doc_id") == F.col("_c"), "left_semi")
-    sets = stored(wanted.mapInArrow(_sets, "doc_id long, set binary"), "sets")
-    share = index.groupBy("doc_id").agg((F.count("*") / F.max("n")).alias("share")).withColumnRenamed("doc_id", "_s")
-    index = stored(index.join(share, F.col("doc_id") == F.col("_s")).drop("_s"), "index-shares")
+    if not others.isEmpty():
+        grown = index.join(small(others.select("member", "head"), BROADCAST), F.col("doc_id") == F.col("head")).select(F.col("member").alias("doc_id"), "n", "pos", "token")
+        index = index.unionByName(grown)
+    found = stored(index.select("token", "doc_id", "n", "pos").repartition("token").sortWithinPartitions("token").mapInArrow(_runs, _FOUND_DDL).groupBy("a", "b", "token", "n_a", "n_b").agg(F.count("*").alias("common"), F.min("pos_a").alias("pos_a"), F.min("pos_b").alias("pos_b")).filter(_possible()), "found")
+    runs = found.filter("b IS NULL").select("token", F.col("a").alias("doc_id"), F.col("n_a").alias("n"), F.col("pos_a").alias("pos"))
+    share = stored(runs.groupBy("doc_id").agg(F.count("*").alias("long"), (F.count("*") / F.max("n")).alias("share")).withColumnRenamed("doc_id", "_s"), "long-runs")
+    pairs = stored(found.filter("b IS NOT NULL").select("a", "b"), "pairs")
+    runs = stored(runs.join(share, F.col("doc_id") == F.col("_s")).drop("_s"), "long")
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("_c")).unionByName(runs.select(F.col("doc_id").alias("_c"))).distinct(), "candidates")
+    texts = docs.join(small(wanted, BROADCAST), F.col("doc_id") == F.col("_c"), "left_semi")
+    sets = stored(texts.mapInArrow(_sets, "doc_id long, set binary"), "sets")
     # links
-    roots, tried = None, None
-    for how in ("center", "neighbour", "all"):
-        open_runs = _open_runs(index, roots)
-        pairs = _all_pairs(open_runs) if how == "all" else _proposals(open_runs, how)
-        if tried is not None:
+    verified = _linked(pairs, sets)
+    roots = _merged(None, verified)
+    if not runs.isEmpty():
+        tried = verified
+        for how in ("center", "neighbour", "all"):
+            open_runs = _open_runs(runs, roots)
+            pairs = _all_pairs(open_runs) if how == "all" else _proposals(open_runs, how)
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        verified = _linked(stored(pairs, f"pairs-{how}"), sets)
-        tried = verified if tried is None else tried.unionByName(verified)
-        roots = _merged(roots, verified)
+            verified = _linked(stored(pairs, f"pairs-{how}"), sets)
+            tried = tried.unionByName(verified)
+            roots = _merged(roots, verified)
     # equal sets join the component of the first of them
     to_root = copies.join(roots.select(F.col("node").alias("_n"), F.col("root").alias("_r")), F.col("first") == F.col("_n"), "left").select(F.col("doc_id").alias("node"), F.coalesce("_r", "first").alias("root"))
     final = roots.unionByName(to_root)
@@ -229,7 +316,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _open_runs(index: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """token, doc_id, n, pos, share and root of runs that reach into more than one component; stored."""
+    """token, doc_id, n, pos, long, share and root of runs that reach into more than one component; stored."""
     if roots is None:
         return index.withColumn("root", F.col("doc_id"))
     marked = index.join(roots, F.col("doc_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "doc_id")).drop("node")
@@ -253,11 +340,14 @@ def _proposals(runs: DataFrame, how: str) -> DataFrame:
 
 
 def _all_pairs(runs: DataFrame) -> DataFrame:
-    """Pairs of different components that share a prefix shingle and pass the size and positional filters."""
-    x, y = (runs.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "pos", "root")]) for s in "xy")
-    need = f"ceil({PERCENT} * (n_x + n_y) / {100 + PERCENT}.0D - 1e-9)"
-    joined = x.join(y, "token").filter("doc_id_x < doc_id_y AND root_x <> root_y").filter(f"100 * least(n_x, n_y) >= {PERCENT} * greatest(n_x, n_y)")
-    return joined.filter(f"least(n_x - pos_x, n_y - pos_y) >= {need}").select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b")).distinct()
+    """Pairs of different components that share a shingle of a long run, where common shingles can be enough for a link: those of long runs are counted,
+    of the other prefix shingles as many may be common as the shorter list has."""
+    x, y = (runs.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "long", "root")]) for s in "xy")
+    need, rest, other = _need("n_x", "n_y"), _rest, lambda s: f"(n_{s} - {_rest(f'n_{s}')} - long_{s})"
+    joined = x.join(y, "token").filter("doc_id_x < doc_id_y AND root_x <> root_y").filter(f"100L * least(n_x, n_y) >= {PERCENT}L * greatest(n_x, n_y)")
+    counted = joined.groupBy("doc_id_x", "doc_id_y", "n_x", "n_y", "long_x", "long_y").agg(F.count("*").alias("common"))
+    counted = counted.filter(f"common + least({other('x')}, {other('y')}) + greatest({rest('n_x')}, {rest('n_y')}) >= {need}")
+    return counted.select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b"))
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
