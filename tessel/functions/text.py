@@ -13,10 +13,10 @@ IGNORED_CALLS = ("if", "for", "while", "switch", "return", "print", "debugPrint"
 FRAMEWORK_TYPES = ("String", "Future", "List", "Map")
 NOT_WORD = r"[^a-z0-9\x{4E00}-\x{9FFF}]+"
 CODE_TOKEN = r"[a-z_][a-z0-9_]*|[{}()\[\].,;:+\-*/=<>]"
-CALL = r"(?:^|[^A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_]*)\s*(?:<[^>{}]*>)?\s*\("
-TYPE_CALL = r"(?:^|[^A-Za-z0-9_])([A-Z][A-Za-z0-9_]*)\s*\("
+CALL = r"(?<![A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_]*)\s*(?:<[^>{}]*>)?\s*\("
+TYPE_CALL = r"(?<![A-Za-z0-9_])([A-Z][A-Za-z0-9_]*)\s*\("
 METHOD_CALL = r"\.([A-Za-z_][A-Za-z0-9_]*)\s*\("
-CONTROL = r"(?:^|[^A-Za-z0-9_])(if|for|while|try|catch|switch|return)(?:$|[^A-Za-z0-9_])"
+CONTROL = r"(?<![A-Za-z0-9_])(if|for|while|try|catch|switch|return)(?![A-Za-z0-9_])"
 WIDGET = r"Widget|Card|Column|Row|Text"
 
 
