@@ -34,7 +34,7 @@ BROADCAST = 32 << 20
 #: Members of a run that is listed pair by pair.
 RUN = 64
 #: Word hashes that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 
 class _WordHashes(dict):
@@ -217,11 +217,9 @@ def _rest(n: str) -> str:
     return f"(ceil({PERCENT} * {n} / 100.0D - 1e-9) - 1)"
 
 
-def _possible() -> str:
-    """What a pair without common shingles of long runs needs: room for the overlap after its first common shingle, and enough common prefix shingles.
-    A pair with some is found by its long run. Rows of long runs stay."""
-    need = _need("n_a", "n_b")
-    return f"b IS NULL OR (least(n_a - pos_a, n_b - pos_b) >= {need} AND common + greatest({_rest('n_a')}, {_rest('n_b')}) >= {need})"
+def _room() -> str:
+    """Room for the overlap after a pair's first common shingle of a short run. Rows of long runs stay."""
+    return f"b IS NULL OR least(n_a - pos_a, n_b - pos_b) >= {_need('n_a', 'n_b')}"
 
 
 def _frequent_order(seen: DataFrame, bound: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
@@ -287,11 +285,17 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not others.isEmpty():
         grown = index.join(small(others.select("member", "head"), BROADCAST), F.col("doc_id") == F.col("head")).select(F.col("member").alias("doc_id"), "n", "pos", "token")
         index = index.unionByName(grown)
-    found = stored(index.select("token", "doc_id", "n", "pos").repartition("token").sortWithinPartitions("token").mapInArrow(_runs, _FOUND_DDL).groupBy("a", "b", "token", "n_a", "n_b").agg(F.count("*").alias("common"), F.min("pos_a").alias("pos_a"), F.min("pos_b").alias("pos_b")).filter(_possible()), "found")
+    found = stored(index.select("token", "doc_id", "n", "pos").repartition("token").sortWithinPartitions("token").mapInArrow(_runs, _FOUND_DDL).groupBy("a", "b", "token", "n_a", "n_b").agg(F.count("*").alias("common"), F.min("pos_a").alias("pos_a"), F.min("pos_b").alias("pos_b")).filter(_room()), "found")
     runs = found.filter("b IS NULL").select("token", F.col("a").alias("doc_id"), F.col("n_a").alias("n"), F.col("pos_a").alias("pos"))
-    share = stored(runs.groupBy("doc_id").agg(F.count("*").alias("long"), (F.count("*") / F.max("n")).alias("share")).withColumnRenamed("doc_id", "_s"), "long-runs")
-    pairs = stored(found.filter("b IS NOT NULL").select("a", "b"), "pairs")
-    runs = stored(runs.join(share, F.col("doc_id") == F.col("_s")).drop("_s"), "long")
+    share = stored(runs.groupBy(F.col("doc_id").alias("_s")).agg(F.count("*").alias("long"), (F.count("*") / F.max("n")).alias("share")), "long-runs")
+    pairs = found.filter("b IS NOT NULL")
+    for c in "ab":
+        long = share.select(F.col("_s").alias(f"_{c}"), F.col("long").alias(f"long_{c}"))
+        pairs = pairs.join(small(long, BROADCAST), F.col(c) == F.col(f"_{c}"), "left")
+    # common prefix shingles are those of short runs and at most as many of long ones as either text has
+    most = f"common + least(coalesce(long_a, 0), coalesce(long_b, 0)) + greatest({_rest('n_a')}, {_rest('n_b')})"
+    pairs = stored(pairs.filter(f"{most} >= {_need('n_a', 'n_b')}").select("a", "b"), "pairs")
+    runs = stored(runs.join(share.drop("long"), F.col("doc_id") == F.col("_s")).drop("_s"), "long")
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("_c")).unionByName(runs.select(F.col("doc_id").alias("_c"))).distinct(), "candidates")
     texts = docs.join(small(wanted, BROADCAST), F.col("doc_id") == F.col("_c"), "left_semi")
     sets = stored(texts.mapInArrow(_sets, "doc_id long, set binary"), "sets")
@@ -316,7 +320,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _open_runs(index: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """token, doc_id, n, pos, long, share and root of runs that reach into more than one component; stored."""
+    """token, doc_id, n, pos, share and root of runs that reach into more than one component; stored."""
     if roots is None:
         return index.withColumn("root", F.col("doc_id"))
     marked = index.join(roots, F.col("doc_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "doc_id")).drop("node")
@@ -340,14 +344,13 @@ def _proposals(runs: DataFrame, how: str) -> DataFrame:
 
 
 def _all_pairs(runs: DataFrame) -> DataFrame:
-    """Pairs of different components that share a shingle of a long run, where common shingles can be enough for a link: those of long runs are counted,
-    of the other prefix shingles as many may be common as the shorter list has."""
-    x, y = (runs.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "long", "root")]) for s in "xy")
-    need, rest, other = _need("n_x", "n_y"), _rest, lambda s: f"(n_{s} - {_rest(f'n_{s}')} - long_{s})"
-    joined = x.join(y, "token").filter("doc_id_x < doc_id_y AND root_x <> root_y").filter(f"100L * least(n_x, n_y) >= {PERCENT}L * greatest(n_x, n_y)")
-    counted = joined.groupBy("doc_id_x", "doc_id_y", "n_x", "n_y", "long_x", "long_y").agg(F.count("*").alias("common"))
-    counted = counted.filter(f"common + least({other('x')}, {other('y')}) + greatest({rest('n_x')}, {rest('n_y')}) >= {need}")
-    return counted.select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b"))
+    """Pairs of different components that share a shingle of a long run and have room for the overlap after it. If a pair's first common shingle has a
+    short run, it is among the short runs' pairs; if it has a long one, it has room there."""
+    x, y = (runs.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "pos", "root")]) for s in "xy")
+    fits = f"100L * least(n_x, n_y) >= {PERCENT}L * greatest(n_x, n_y) AND least(n_x - pos_x, n_y - pos_y) >= {_need('n_x', 'n_y')}"
+    # every row that can pair at all has room for itself, which drops most of a run before it is joined
+    x, y = (df.filter(f"n_{s} - pos_{s} >= {_need(f'n_{s}', f'ceil({PERCENT} * n_{s} / 100.0D - 1e-9)')}") for df, s in ((x, "x"), (y, "y")))
+    return x.join(y, "token").filter("doc_id_x < doc_id_y AND root_x <> root_y").filter(fits).select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b")).distinct()
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
