@@ -18,6 +18,11 @@ SECTIONS = {
 }
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df made once: checkpointed in the shared folder, or cached where there is none. What many tables are made from is not extracted again for each."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
 def code_blocks(extracted: DataFrame, symbols: DataFrame) -> DataFrame:
     """Symbols with the text of their lines and its fingerprints."""
     texts = extracted.select(F.col("path").alias("_p"), "text", F.col("language").alias("_l"))
@@ -49,10 +54,10 @@ def edges(symbols: DataFrame, bindings: DataFrame, tests: DataFrame, co_changes:
 
 
 def build(files: DataFrame, git_log: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All tables from files (path, language, size, hash, text). Lazy; write them with VersionedStore.publish()."""
-    extracted = extract.extract_files(files)
+    """All tables from files (path, language, size, hash, text). Extraction runs at once, the rest is lazy; write them with VersionedStore.publish()."""
+    extracted = kept(extract.extract_files(files))
     symbols = extract.symbols(extracted)
-    blocks = code_blocks(extracted, symbols)
+    blocks = kept(code_blocks(extracted, symbols))
     bindings = resolve.import_bindings(extract.imports(extracted), files)
     tests = resolve.test_targets(files)
     routes = extract.routes(extracted)
@@ -89,12 +94,12 @@ def update(old: dict[str, DataFrame], files: DataFrame) -> tuple[dict[str, DataF
     touched = diff.select("path")
     if plan == "metadata_only":  # hashes of code are not advanced, so a later scan still sees them
         return old | {"commands": repo.commands(files), "rules": repo.rules(files), "documents": documents.source_documents(files)}, plan
-    again = touched.unionByName(affected_callers(touched, old)).distinct()
+    again = kept(touched.unionByName(affected_callers(touched, old)).distinct())
     part = files.join(again, "path", "left_semi")
-    extracted = extract.extract_files(part)
+    extracted = kept(extract.extract_files(part))
     new_symbols = extract.symbols(extracted)
     symbols = incremental.apply_partial(old["symbols"], again, new_symbols, "path")
-    blocks = incremental.apply_partial(old["code_blocks"], again, code_blocks(extracted, new_symbols), "path")
+    blocks = incremental.apply_partial(old["code_blocks"], again, kept(code_blocks(extracted, new_symbols)), "path")
     bindings = resolve.import_bindings(incremental.apply_partial(old["bindings"].select("path", F.col("source_text").alias("import_text")), again, extract.imports(extracted), "path"), files)
     routes = old["routes"].join(again.withColumnRenamed("path", "file_path"), "file_path", "left_anti").unionByName(extract.routes(extracted))
     tests = resolve.test_targets(files)
