@@ -36,8 +36,8 @@ SUPPRESSIONS = (
     ("generic_helper", r"(utils?|helpers?|constants|shared|common)", "supportingContext", 0.9, ""),
 )
 PLANES = (
-    ("workflowProfiles", r"^(\.agents/pnav|\.pnav)/workflow-profiles\.json$"),
-    ("evalSuites", r"^(\.agents/pnav|\.pnav)/.*(eval|suite|discovery-suite).*\.json$|^agents-results/"),
+    ("workflowProfiles", r"^(\.agents/tessel|\.tessel)/workflow-profiles\.json$"),
+    ("evalSuites", r"^(\.agents/tessel|\.tessel)/.*(eval|suite|discovery-suite).*\.json$|^agents-results/"),
     ("commandSources", r"(^|/)(Makefile|package\.json|package-lock\.json|pubspec\.ya?ml|pyproject\.toml)$"),
     ("docs", r"(^|/)(AGENTS|CLAUDE|README)\.md$|^docs/|^\.agents/skills/.*\.md$"),
 )

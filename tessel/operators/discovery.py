@@ -35,7 +35,7 @@ def related_files(files: DataFrame, symbols: DataFrame, task: str, domains: list
     if tokens := query_tokens(task):
         hit = F.lower(path).rlike("|".join(map(_quote, tokens)))
         out = out.unionByName(files.filter(hit).select("path", "language", F.lit(0.35).alias("score"), F.lit("path token").alias("reason")))
-    best = best_per_key(out, "path", F.desc("score") if False else -F.col("score"), F.col("reason"))
+    best = best_per_key(out, "path", -F.col("score"), F.col("reason"))
     return top_k(best, k, F.desc("score"), F.col("path"))
 
 

@@ -154,7 +154,7 @@ def rule_relevance(task: str, rules: DataFrame) -> DataFrame:
     for category, words in (("test", ("test", "测试")), ("frontend", ("frontend", "flutter", "ui")), ("backend", ("backend", "api", "schema"))):
         if any(w in low for w in words):
             score += F.when(F.col("category") == category, 0.45).otherwise(0.0)
-    return rules.withColumn("score", F.least(F.lit(1.0), score + F.when(F.lit(False), 0.25).otherwise(0.0)))
+    return rules.withColumn("score", F.least(F.lit(1.0), score))
 
 
 def worktree_boundary(status: DataFrame, allowed: DataFrame, most: int = 10) -> tuple[DataFrame, bool]:

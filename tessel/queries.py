@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.rules import Intent, change_plane, entrypoint_score, first_of, freshness, rule_category, suppression
-from .functions.text import clamp, confidence_bucket, jaccard, plain_normal, score_text
+from .functions.text import clamp, confidence_bucket, plain_normal, score_text
 from .operators import combinators, discovery, duplicates, graph, incremental, planning, search
 from .operators.evaluation import latency_score, ratio
 from .sources.documents import guard_findings
@@ -444,4 +444,4 @@ def inbound_counts(t):
     return rows.select("c_custkey", "orders", F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.desc("orders"), "c_custkey")).alias("place"))
 
 
-__all__ = ["ORACLES", "QUERIES", "Column", "jaccard"]
+__all__ = ["ORACLES", "QUERIES"]

@@ -237,8 +237,6 @@ def manifest_pages(text: str) -> list[dict]:
             pages[-1][".".join([*(k for _, k in path), key])] = [_scalar(v) for v in value.strip()[1:-1].split(",") if v.strip()]
         elif value.strip():
             pages[-1][".".join([*(k for _, k in path), key])] = _scalar(value)
-            if not path:
-                path = [(deep, key)] if False else path
         else:
             path.append((deep, key))
     return pages

@@ -11,7 +11,7 @@ from ..functions.globs import gitignore_patterns, matches_any
 from ..functions.rules import base_name, command_category, extension, first_of, is_indexable, language_of, rule_category
 
 # Folders and names that are not read, and the largest file that is.
-IGNORED_DIRS = (".git", "node_modules", "build", "dist", ".dart_tool", ".venv", "venv", "env", "coverage", ".pnav", ".mypy_cache", ".tmp", ".cache", ".ruff_cache", "__pycache__", ".pytest_cache")
+IGNORED_DIRS = (".git", "node_modules", "build", "dist", ".dart_tool", ".venv", "venv", "env", "coverage", ".tessel", ".mypy_cache", ".tmp", ".cache", ".ruff_cache", "__pycache__", ".pytest_cache")
 MOST_BYTES, MOST_RULES = 1_500_000, 300
 RULE_FILES = ("AGENTS.md", "CLAUDE.md", "README.md", "docs/README.md", "docs/CONVENTIONS.md", "frontend/README.md", "backend/README.md")
 MODAL = r"(?i)(^|[^A-Za-z0-9_])(must|should|never|do not|prefer)($|[^A-Za-z0-9_])|不要|必须|禁止|优先|建议"
