@@ -17,7 +17,7 @@ from .common import SEPARATORS, ascii_lower, small, stored, words
 
 WINDOW = 10
 #: Bytes of stored windows, anchors or candidate ids up to which they are broadcast.
-BROADCAST = 32 << 20
+BROADCAST = 8 << 20
 
 
 def windows_of(words_col: str, length: int | str) -> F.Column:

@@ -30,7 +30,7 @@ from .components import components
 SHINGLE, PERCENT = 5, 80
 #: Bounds: rows in the table of frequent shingles; shingles counted at a time; least count within those that is reported.
 FREQUENT, BLOCK, REPORTED = 1 << 17, 1 << 20, 3
-BROADCAST = 32 << 20
+BROADCAST = 8 << 20
 #: Members of a run that is listed pair by pair.
 RUN = 64
 #: Word hashes that a worker remembers.

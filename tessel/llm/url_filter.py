@@ -16,7 +16,7 @@ from .common import ascii_lower, small, stored
 #: Fixed values of the contract: (host/path, verdict).
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 DAMPING, ROUNDS, THRESHOLD = 0.85, 10, 0.1
-BROADCAST = 32 << 20
+BROADCAST = 8 << 20
 #: A link to an absolute or protocol-relative address; the group is its host.
 LINK = r"""(?i)\bhref\s*=\s*["']?(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s<>]+)"""
 

@@ -29,7 +29,7 @@ from .common import scratch, small, stored
 LARGE, LARGE_RECORDS, RECORDS = 256 << 10, 8, 1000
 #: Payloads of fewer bytes are always stored as responses.
 LEAST_BYTES = 0
-BROADCAST = 32 << 20
+BROADCAST = 8 << 20
 #: Captures of an index range (expected), and keys sampled to find the ranges' bounds.
 RANGE_ROWS, SAMPLE = 50_000, 8192
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
