@@ -1,13 +1,18 @@
 """Main text of web pages, by templates deduced from equivalence classes of tokens.
 
-A page's tokens are its elements (by path of tags with class words) and its text blocks (by path and text). For each host and token an occurrence
-fingerprint is made: the exclusive or, over the host's pages, of a hash of page and number of occurrences. Tokens with equal fingerprints occur
-equally often in every page and form an equivalence class. Fingerprints add up in any order, so a host is never in one task.
+A page's tokens are the elements around its slots (by path of tags with class words) and the slots' text blocks (by path and text). Pages of a host
+with equal slots count once and pages without any don't count, so copies and empty pages change no template; pages with and without article or
+main are kept apart. For each host and token an occurrence fingerprint is made: the exclusive or, over the pages, of a hash of page and number of
+occurrences. Tokens with equal fingerprints occur equally often in every page and form an equivalence class. Fingerprints add up in any order, so
+a host is never in one task.
+
+Classes nest: a token hangs below its nearest ancestor of the same class, and the topmost element of a class below the class of its parent, up to the
+root, which is once in every page. Tokens without such an ancestor are no part of a template. Tokens of one class below one element make a group; a
+group is valid if they come in the same order, over and over, in every page. Text in valid groups is part of the template, not of a page.
+In an article only the root's class counts, as other classes there may be passages that some articles share.
 
-A class is valid if each of its tokens always has the same parent; valid classes nest by those parents under the class of the root, which is once
-in every page, and make the host's template. Text in the root's class is part of the template, not of a page. All else are slots.
 A slot is extracted unless the path to it names something other than the article (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, comments), or, on pages that mark no article, the template shows it as made of links.
+scripts, comments), or it is part of the template, or, on pages that mark no article, it is seen to be made of links.
 """
 
 from __future__ import annotations
@@ -24,9 +29,9 @@ from pyspark.sql import functions as F
 from .common import small, stored
 from .url_filter import host_and_path
 
-#: Pages that a host must have before text is taken for its template.
+#: Different pages that a host and a class must have before text is taken for its template.
 LEAST_PAGES = 8
-#: Share of a host's pages in which an element must be to count, and share of its text in links from which it is a list of links.
+#: Share of a host's pages in which a token must be to count, and share of its text in links from which it is a list of links.
 SUPPORT, LINKS = 0.1, 0.5
 HELD = 200_000
 BROADCAST = 8 << 20
@@ -52,12 +57,12 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Block:
-    """A run of text: its path's hash, its text, characters of it in links, and whether the path names the article or something else."""
+    """A run of text: its path's hash, its text, characters of it in links, whether the path names the article or something else, and its place."""
 
-    __slots__ = ("path", "text", "links", "main", "other")
+    __slots__ = ("path", "text", "links", "main", "other", "at")
 
-    def __init__(self, path: int, text: str, links: int, main: bool, other: bool):
-        self.path, self.text, self.links, self.main, self.other = path, text, links, main, other
+    def __init__(self, path: int, text: str, links: int, main: bool, other: bool, at: int):
+        self.path, self.text, self.links, self.main, self.other, self.at = path, text, links, main, other, at
 
 
 def _hash(*parts) -> int:
@@ -72,22 +77,23 @@ def _named(tag: str, attributes: str) -> tuple[str, frozenset]:
     return " ".join(words), frozenset(words)
 
 
-def parse(html: str | None) -> tuple[list[Block], dict[int, list]]:
-    """The text blocks in order, and for every element path its [occurrences, parent path]."""
+def parse(html: str | None) -> tuple[list[Block], dict[int, tuple[int, list]]]:
+    """The text blocks in order, and for every element path its [parent path, places]. Places count blocks and elements from 1."""
     html = html or ""
     blocks: list[Block] = []
-    paths: dict[int, list] = {}
+    paths: dict[int, tuple[int, list]] = {}
     # open elements: (tag, path, in the article, something else)
     stack: list[tuple] = [("", ROOT, False, False)]
     buffer: list[str] = []
-    links = in_link = 0
+    links = in_link = place = 0
 
     def flush() -> None:
-        nonlocal links
+        nonlocal links, place
         text = " ".join(unescape("".join(buffer)).split())
         if text:
             _, path, main, other = stack[-1]
-            blocks.append(Block(path, text, min(links, len(text)), main, other))
+            place += 1
+            blocks.append(Block(path, text, min(links, len(text)), main, other, place))
         buffer.clear()
         links = 0
 
@@ -132,7 +138,8 @@ def parse(html: str | None) -> tuple[list[Block], dict[int, list]]:
         _, parent, main, other = stack[-1]
         shown, words = _named(tag, m[3])
         path = _hash(parent, tag, shown)
-        paths.setdefault(path, [0, parent])[0] += 1
+        place += 1
+        paths.setdefault(path, (parent, []))[1].append(place)
         if tag in ("article", "main"):
             other = other or bool(words & {"comment", "comments", "reply"})
             main = True
@@ -149,79 +156,123 @@ def text_token(block: Block) -> int:
     return _hash("text", block.path, block.text)
 
 
-_TOKENS = pa.schema([("host", pa.string()), ("token", pa.int64()), ("is_text", pa.bool_()), ("pages", pa.int64()), ("print", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("chars", pa.int64()), ("links", pa.int64())])
-_TOKENS_DDL = "host string, token long, is_text boolean, pages long, print long, low long, high long, chars long, links long"
-
-
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums for each host and token; flushed when many are held."""
-    held: dict[tuple, list] = {}
-
-    def rows() -> pa.RecordBatch:
-        columns = list(zip(*(key + tuple(v) for key, v in held.items()))) or [[]] * len(_TOKENS)
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _TOKENS, strict=True)], schema=_TOKENS)
+def slots(blocks: list[Block]) -> list[Block]:
+    """Blocks whose path names nothing other than the article; those in the article if any is."""
+    own = [b for b in blocks if not b.other]
+    return [b for b in own if b.main] or own
+
+
+_CONTENTS_DDL = "host string, article boolean, content long, items array<struct<token: long, parent: long, is_text: boolean, chars: long, links: long, at: array<int>>>"
+_ITEM = pa.struct([("token", pa.int64()), ("parent", pa.int64()), ("is_text", pa.bool_()), ("chars", pa.int64()), ("links", pa.int64()), ("at", pa.list_(pa.int32()))])
+_CONTENTS = pa.schema([("host", pa.string()), ("article", pa.bool_()), ("content", pa.int64()), ("items", pa.list_(_ITEM))])
+
+
+def page_items(html: str | None) -> tuple[bool, int, list[tuple]] | None:
+    """Whether the page marks an article, a hash of its slots, and its tokens in order of their hash; none without slots."""
+    blocks, paths = parse(html)
+    own = slots(blocks)
+    if not own:
+        return None
+    # token: [parent, is text, chars, links, places]; the root has the sums of all
+    items: dict[int, list] = {ROOT: [ROOT, False, 0, 0, [0]]}
+    texts = [text_token(b) for b in own]
+    for b, token in zip(own, texts, strict=True):
+        path = b.path
+        while path not in items:
+            parent, at = paths[path]
+            items[path] = [parent, False, 0, 0, at]
+            path = parent
+        text = items.setdefault(token, [b.path, True, 0, 0, []])
+        text[4].append(b.at)
+        for x in [text, items[ROOT], *([items[b.path]] if b.path != ROOT else [])]:
+            x[2] += len(b.text)
+            x[3] += b.links
+    return own[0].main, _hash(*texts), sorted((token, *x) for token, x in items.items())
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tokens of each page with slots; copies that one task meets are left out."""
+    seen: dict[tuple, list] = {}
+    names = [f.name for f in _ITEM]
+    for batch in batches:
+        for start in range(0, batch.num_rows, 512):
+            part, rows = batch.slice(start, 512), []
+            for host, html in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                if (page := page_items(html.as_py())) is None:
+                    continue
+                article, content, items = page
+                if seen.get((host, article, content)) == (mark := hash(str(items))):
+                    continue
+                if len(seen) >= HELD:
+                    seen.clear()
+                seen[host, article, content] = mark
+                rows.append({"host": host, "article": article, "content": content, "items": [dict(zip(names, x, strict=True)) for x in items]})
+            yield pa.RecordBatch.from_pylist(rows, schema=_CONTENTS)
+
+
+_MEMBERS_DDL = "host string, article boolean, token long, parent long, is_text boolean, anchor long, chars long, path_chars long, all_chars long"
+_MEMBERS = pa.schema([("host", pa.string()), ("article", pa.bool_()), ("token", pa.int64()), ("parent", pa.int64()), ("is_text", pa.bool_()), ("anchor", pa.int64()), ("chars", pa.int64()), ("path_chars", pa.int64()), ("all_chars", pa.int64())])
+
+
+def nest(tokens: list[dict], article: bool) -> list[tuple]:
+    """(token, parent, is_text, anchor, chars, chars of the parent's path, chars of all) of the tokens that hang below an element of their class, the anchor."""
+    elements = {t["token"]: t for t in tokens if not t["is_text"]}
+    kind = {x: (t["print"], t["pages"]) for x, t in elements.items()}
+    found = []
+    for t in tokens:
+        own = (t["print"], t["pages"])
+        if t["token"] == ROOT or own[1] < LEAST_PAGES or article and own != kind[ROOT]:
+            continue
+        anchor = t["parent"]
+        while kind.get(anchor) != own and anchor in elements and anchor != ROOT:
+            anchor = elements[anchor]["parent"]
+        if kind.get(anchor) == own:
+            found.append((t["token"], t["parent"], t["is_text"], anchor, t["chars"], elements[t["parent"]]["chars"], elements[ROOT]["chars"]))
+    return found
 
-    def add(key: tuple, times: int, page: str, parent: int, chars: int = 0, links: int = 0) -> None:
-        mark = _hash(page, times)
-        v = held.get(key)
-        if v is None:
-            held[key] = [1, mark, parent, parent, chars, links]
-        else:
-            v[:] = v[0] + 1, v[1] ^ mark, min(v[2], parent), max(v[3], parent), v[4] + chars, v[5] + links
 
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for host, page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            blocks, paths = parse(html.as_py())
-            chars: dict[int, list] = {}
-            texts: dict[int, list] = {}
-            for b in blocks:
-                c = chars.setdefault(b.path, [0, 0])
-                c[0] += len(b.text)
-                c[1] += b.links
-                texts.setdefault(text_token(b), [0, b.path])[0] += 1
-            add((host, ROOT, False), 1, page, ROOT)
-            for path, (times, parent) in paths.items():
-                add((host, path, False), times, page, parent, *chars.get(path, (0, 0)))
-            for token, (times, parent) in texts.items():
-                add((host, token, True), times, page, parent)
-            if len(held) > HELD:
-                yield rows()
-    yield rows()
+        for host, article, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found = [(host, article, *x) for x in nest(tokens, article)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), _MEMBERS, strict=True)], schema=_MEMBERS)
 
 
 def deduce(pages: DataFrame) -> DataFrame:
     """A row for each host: host, template_text (text tokens of its template) and link_lists (paths that are lists of links); stored.
 
-    pages: host, page (a string that tells pages apart) and html.
+    pages: host and html.
     """
-    sums = pages.select("host", "page", "html").mapInArrow(_tokens, _TOKENS_DDL).groupBy("host", "token", "is_text")
-    tokens = sums.agg(F.sum("pages").alias("pages"), F.bit_xor("print").alias("print"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
-    tokens = stored(tokens.filter("pages > 1 OR token = 0"), "tokens")
-    hosts = tokens.filter("token = 0").select(F.col("host").alias("_host"), F.col("pages").alias("_pages"), F.col("print").alias("_root"))
-    frequent = tokens.join(hosts, F.col("host") == F.col("_host")).filter(F.col("pages") >= SUPPORT * F.col("_pages"))
-    # equivalence classes; a class with a token of changing parents is not valid
-    classes = frequent.groupBy("host", "print", "pages").agg(
-        F.min(F.col("low") == F.col("high")).alias("valid"),
-        F.max((F.col("print") == F.col("_root")) & (F.col("pages") == F.col("_pages")) & (F.col("_pages") >= LEAST_PAGES)).alias("root"),
-        F.collect_list(F.when(F.col("is_text"), F.col("token"))).alias("texts"),
-        F.collect_list(F.when(~F.col("is_text") & (F.col("chars") > 0) & (F.col("links") >= LINKS * F.col("chars")), F.col("token"))).alias("lists"),
-    )
-    empty = F.array().cast("array<long>")
-    per_host = classes.groupBy("host").agg(F.flatten(F.collect_list(F.when(F.col("valid") & F.col("root"), F.col("texts")).otherwise(empty))).alias("template_text"), F.flatten(F.collect_list("lists")).alias("link_lists"))
-    return stored(per_host.filter("size(template_text) + size(link_lists) > 0"), "templates")
+    each = pages.select("host", "html").mapInArrow(_contents, _CONTENTS_DDL).groupBy("host", "article", "content")
+    each = stored(each.agg(F.min("items").alias("items")), "contents")
+    items = each.select("host", "article", "content", F.explode("items").alias("_i")).select("host", "article", "content", "_i.*")
+    sums = items.groupBy("host", "article", "token", "is_text").agg(F.count("*").alias("pages"), F.bit_xor(F.xxhash64("content", F.size("at"))).alias("print"), F.min("parent").alias("parent"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+    sums = stored(sums.filter("pages > 1"), "tokens")
+    roots = sums.filter("token = 0").select(F.col("host").alias("_host"), F.col("article").alias("_article"), F.col("pages").alias("_pages"))
+    frequent = sums.join(roots, (F.col("host") == F.col("_host")) & (F.col("article") == F.col("_article"))).filter(F.col("pages") >= SUPPORT * F.col("_pages"))
+    # at most 1 / SUPPORT times the tokens of a page for each host
+    listed = frequent.filter(F.col("_pages") >= LEAST_PAGES).groupBy("host", "article").agg(F.collect_list(F.struct("token", "parent", "is_text", "pages", "print", "chars")).alias("tokens"))
+    members = stored(listed.mapInArrow(_members, _MEMBERS_DDL), "members")
+    # the order of a group's tokens in each page
+    group = small(members.select(F.col("host").alias("_host"), F.col("article").alias("_article"), F.col("token").alias("_token"), "anchor"), BROADCAST)
+    places = items.join(group, (F.col("host") == F.col("_host")) & (F.col("article") == F.col("_article")) & (F.col("token") == F.col("_token")))
+    order = places.select("host", "article", "content", "anchor", "token", F.explode("at").alias("at")).groupBy("host", "article", "content", "anchor")
+    order = order.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]).alias("order"))
+    order = order.withColumn("_n", F.size(F.array_distinct("order"))).withColumn("_once", F.slice("order", F.lit(1), F.col("_n")))
+    order = order.withColumn("_even", F.col("order") == F.flatten(F.array_repeat("_once", (F.size("order") / F.col("_n")).cast("int"))))
+    valid = order.groupBy("host", "article", "anchor").agg((F.min("_even") & (F.min(F.xxhash64("_once")) == F.max(F.xxhash64("_once")))).alias("_valid")).filter("_valid")
+    fixed = members.filter("is_text").join(valid, ["host", "article", "anchor"])
+    lists = frequent.filter((F.col("token") != ROOT) & ~F.col("is_text") & ~F.col("article") & (F.col("chars") > 0) & (F.col("links") >= LINKS * F.col("chars")))
+    found = fixed.select("host", F.col("token").alias("text"), F.lit(None).cast("long").alias("list")).unionByName(lists.select("host", F.lit(None).cast("long").alias("text"), F.col("token").alias("list")))
+    return stored(found.groupBy("host").agg(F.collect_list("text").alias("template_text"), F.collect_list("list").alias("link_lists")), "templates")
 
 
 def main_text(html: str | None, template_text=(), link_lists=()) -> str:
     blocks, _ = parse(html)
-    slots = [b for b in blocks if not b.other]
-    if any(b.main for b in slots):
-        slots = [b for b in slots if b.main]
-    else:
-        lists = frozenset(link_lists or ())
-        slots = [b for b in slots if b.path not in lists]
-    fixed = frozenset(template_text or ())
-    return " ".join(b.text for b in slots if not fixed or text_token(b) not in fixed)
+    own = slots(blocks)
+    lists, fixed = frozenset(link_lists or ()), frozenset(template_text or ())
+    return " ".join(b.text for b in own if (b.main or b.path not in lists) and (not fixed or text_token(b) not in fixed))
 
 
 _OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
@@ -243,7 +294,6 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     host, _ = host_and_path(F.col("url"))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), "html")
-    page = F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")))
-    templates = deduce(pages.withColumn("page", page)).withColumnRenamed("host", "_host")
+    templates = deduce(pages).withColumnRenamed("host", "_host")
     joined = pages.join(small(templates, BROADCAST), F.col("host") == F.col("_host"), "left")
     return joined.select("page_id", "url", "html", "template_text", "link_lists").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

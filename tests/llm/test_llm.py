@@ -265,6 +265,24 @@ def test_template(spark):
     assert html_extraction.extract(df.limit(0)).collect() == []
 
 
+def extracted(spark, pages, url="http://one.com/x"):
+    rows = [(i, url, p) for i, p in enumerate(pages)]
+    return [r["text"] for r in sorted(html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect(), key=lambda r: r["page_id"])]
+
+
+def test_template_of_nested_classes(spark):
+    box = lambda text: f"<div class='zzz'><p>{text}</p><div>Agree</div></div>"
+    page = lambda i: f"<html><body>{box('We keep data') * (1 + (i % 5 == 0)) if i != 3 else ''}<div class='post'><p>own {i}</p>{'<p>said often</p>' * (i % 3)}</div></body></html>"
+    want = [f"own {i}{' said often' * (i % 3)}" for i in range(20)]
+    assert extracted(spark, [*map(page, range(20)), None, "", "<html><body>"]) == [*want, "", "", ""]
+    # in another order each time: no template
+    mixed = lambda i: f"<body><div class='zzz'><div>{'</div><div>'.join(('left', 'right')[:: 1 - 2 * (i % 2)])}</div></div><p>own {i}</p></body>"
+    assert extracted(spark, map(mixed, range(20))) == [f"{('left right', 'right left')[i % 2]} own {i}" for i in range(20)]
+    # an empty page leaves an article's template as it is
+    article = lambda i: f"<body><article><p>Read more</p><p>a text of its own {i}</p></article></body>"
+    assert extracted(spark, [*map(article, range(12)), None, "<html><body>"]) == [*[f"a text of its own {i}" for i in range(12)], "", ""]
+
+
 # ---- 7
 
 
