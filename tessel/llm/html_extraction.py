@@ -9,7 +9,9 @@ a host is never in one task.
 Classes nest: a token hangs below its nearest ancestor of the same class, and the topmost element of a class below the class of its parent, up to the
 root, which is once in every page. Tokens without such an ancestor are no part of a template. Tokens of one class below one element make a group; a
 group is valid if they come in the same order, over and over, in every page. Text in valid groups is part of the template, not of a page.
-In an article only the root's class counts, as other classes there may be passages that some articles share.
+In an article only the root's class counts, as other classes there may be passages that some articles share. Shared text must be the lesser part of
+its surroundings, else the pages are versions of one text and keep it: in an article less than half of the host's article text, elsewhere less than
+half of the text at its path, or all of it, as in a notice's own element.
 
 A slot is extracted unless the path to it names something other than the article (menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, comments), or it is part of the template, or, on pages that mark no article, it is seen to be made of links.
@@ -23,7 +25,7 @@ from html import unescape
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small, stored
@@ -263,6 +265,8 @@ def deduce(pages: DataFrame) -> DataFrame:
     order = order.withColumn("_even", F.col("order") == F.flatten(F.array_repeat("_once", (F.size("order") / F.col("_n")).cast("int"))))
     valid = order.groupBy("host", "article", "anchor").agg((F.min("_even") & (F.min(F.xxhash64("_once")) == F.max(F.xxhash64("_once")))).alias("_valid")).filter("_valid")
     fixed = members.filter("is_text").join(valid, ["host", "article", "anchor"])
+    fixed = fixed.withColumn("_here", F.sum("chars").over(Window.partitionBy("host", "article", "parent"))).withColumn("_there", F.sum("chars").over(Window.partitionBy("host", "article")))
+    fixed = fixed.filter(F.when(F.col("article"), F.col("_there") * 2 < F.col("all_chars")).otherwise((F.col("_here") * 2 < F.col("path_chars")) | (F.col("_here") == F.col("path_chars"))))
     lists = frequent.filter((F.col("token") != ROOT) & ~F.col("is_text") & ~F.col("article") & (F.col("chars") > 0) & (F.col("links") >= LINKS * F.col("chars")))
     found = fixed.select("host", F.col("token").alias("text"), F.lit(None).cast("long").alias("list")).unionByName(lists.select("host", F.lit(None).cast("long").alias("text"), F.col("token").alias("list")))
     return stored(found.groupBy("host").agg(F.collect_list("text").alias("template_text"), F.collect_list("list").alias("link_lists")), "templates")

@@ -283,6 +283,16 @@ def test_template_of_nested_classes(spark):
     assert extracted(spark, [*map(article, range(12)), None, "<html><body>"]) == [*[f"a text of its own {i}" for i in range(12)], "", ""]
 
 
+def test_template_of_copies(spark):
+    text = [f"Paragraph {i} of the one article" for i in range(6)]
+    for tag in ("article", "div class='post'"):
+        page = lambda own, foot: f"<body><{tag}>{''.join(f'<p>{t}</p>' for t in own)}</{tag.split()[0]}><footer>{foot}</footer></body>"  # noqa: E731, B023
+        assert extracted(spark, [page(text, "") for _ in range(12)]) == [" ".join(text)] * 12
+        assert extracted(spark, [page(text, i) for i in range(12)]) == [" ".join(text)] * 12
+        versions = [[*text, f"changed on day {i}"] for i in range(12)]
+        assert extracted(spark, [page(v, i) for i, v in enumerate(versions)]) == [" ".join(v) for v in versions]
+
+
 # ---- 7
 
 
