@@ -3,6 +3,7 @@
 Hosts with pages that an allow rule fits are trusted seeds; hosts that a block rule fits as a whole (path /) are blocked seeds. Trust spreads
 along links (personalised PageRank); distrust spreads against them, from a blocked host to the hosts that link to it. Every seed starts with
 1. A host whose distrust is above its trust and at least THRESHOLD is blocked; all others are allowed.
+Scores only grow from round to round; rounds end when all that later ones can add to all hosts together is below TOLERANCE, so no chain is too long.
 Links are host pairs, aggregated before any join; each round is one join and one aggregation, cut by a stored table.
 """
 
@@ -15,7 +16,9 @@ from .common import ascii_lower, small, stored
 
 #: Fixed values of the contract: (host/path, verdict).
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-DAMPING, ROUNDS, THRESHOLD = 0.85, 10, 0.1
+DAMPING, THRESHOLD = 0.85, 0.1
+#: What is left out of all scores together when rounds end, and the least share of their sum that can be told apart.
+TOLERANCE, PRECISION = THRESHOLD / 1000, 1e-12
 BROADCAST = 8 << 20
 #: A link to an absolute or protocol-relative address; the group is its host.
 LINK = r"""(?i)\bhref\s*=\s*["']?(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s<>]+)"""
@@ -45,10 +48,11 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return pairs.groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """host, trust and distrust. edges: src, dst, links, stored; seeds: host, trusted, blocked (booleans).
 
-    Each round gives every host its seed plus damping times what its neighbours pass on, in proportion to links.
+    Each round gives every host its seed plus damping times what its neighbours pass on, in proportion to links. A round adds at most damping times what
+    the one before added, so later ones add at most damping / (1 - damping) times that.
     """
     both = [("trust", "src", "dst"), ("distrust", "dst", "src")]
     steps = None
@@ -61,10 +65,13 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     ranks = start
     if not edges.isEmpty():
         steps = stored(steps, "steps")
-        for _ in range(rounds):
+        added, total = 1.0, start.agg(F.sum("score")).first()[0] or 0.0
+        while total and added * damping / (1 - damping) >= max(tolerance, PRECISION * total):
             moved = steps.join(ranks.withColumnRenamed("kind", "_k"), (F.col("kind") == F.col("_k")) & (F.col("from") == F.col("host")))
             moved = moved.select("kind", F.col("to").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
             ranks = stored(moved.unionByName(start).groupBy("kind", "host").agg(F.sum("score").alias("score")), "ranks")
+            before, total = total, ranks.agg(F.sum("score")).first()[0]
+            added = total - before
     of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0)).alias(kind)
     return ranks.groupBy("host").agg(of("trust"), of("distrust"))
 

@@ -407,6 +407,18 @@ def test_urls(spark):
     assert got[10][3] == "block" and got[11][3] == "block"
 
 
+def test_distrust_of_long_chains(spark):
+    link = lambda host: f'<a href="http://{host}/x">x</a>'
+    rows = [(0, "http://bad.net/", None)] + [(i, f"http://c{i}.com/", link(f"c{i - 1}.com" if i > 1 else "bad.net")) for i in range(1, 17)]
+    judged = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = {r["page_id"]: r["verdict"] for r in judged.collect()}
+    assert {i for i in range(1, 17) if got[i] == "block"} == {i for i in range(1, 17) if 0.85**i >= 0.1}
+    # a cycle: each of two hosts passes all on to the other
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "src string, dst string, links long")
+    ranks = {r["host"]: r["distrust"] for r in url_filter.propagate(edges, spark.createDataFrame([("a", False, True)], "host string, trusted boolean, blocked boolean")).collect()}
+    assert ranks == pytest.approx({"a": 1 / (1 - 0.85**2), "b": 0.85 / (1 - 0.85**2)}, abs=1e-4)
+
+
 # ---- pipeline
 
 
