@@ -6,8 +6,8 @@ Two texts link when 100 * intersection >= 80 * union of their sets of distinct f
 2. Shingles are put in one order for all texts: frequent ones last, by an estimate of their frequency, then by hash. Any fixed order is
    right; this one keeps passages that many texts share out of prefixes. The table of frequent shingles has at most FREQUENT rows.
 3. A text's prefix is its first n - ceil(0.8 n) + 1 shingles; texts that link share a shingle of their prefixes. Texts with identical prefixes and
-   size form a group; only groups are indexed by prefix shingle. Shingles that only one group has are dropped.
-4. Groups expand to their members. Runs of up to RUN members give all their pairs; a pair stays if sizes, the places of its first common shingle
+   size form a group; prefixes are looked up for its head.
+4. Groups expand to their members in the index, before anything is paired: unlike in a grouped join, the filters see pairs of members, not of groups. Runs of up to RUN members give all their pairs; a pair stays if sizes, the places of its first common shingle
    and the number of its common prefix shingles allow a link. Pairs that stay are verified on the whole sets.
 5. Longer runs (large groups of near copies) don't list their pairs: members are first tried against the run's most central member, then against
    their neighbour by size, and linked ones become one component. What is still in different components is then tried pair by pair, so no link
