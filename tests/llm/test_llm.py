@@ -396,7 +396,7 @@ def test_mixing(spark):
 
 def test_mixing_of_repeats(spark):
     rows = [(7, "a b c", None, "a", 0)] * 100 + [(i, "a b c", None, "a", 0) for i in range(100, 300)] + [(8, f"x y {i}", None, "b", 0) for i in range(60)] + [(None, "q r s", None, "b", 0)] * 30
-    rows += [(i, "a b c", None, "c", 0) for i in range(1000, 1400)]
+    rows += [(i, "a b c", None, "c", 0) for i in range(1000, 1400)] + [(9, "a b c", None, "c", 0)] * 200
     df = spark.createDataFrame(rows, DDL)
     got = mixing.mix(df).collect()
     assert len(got) == len(rows)
@@ -406,7 +406,7 @@ def test_mixing_of_repeats(spark):
         repeats[r["doc_id"]] += r["taken"]
     target = {r["source"]: (r["target"], r["source_size"]) for r in got}
     assert all(abs(taken[s] - t) <= 3 for s, (t, _) in target.items())
-    assert all(abs(repeats[i] - 3 * n * target[s][0] / target[s][1]) <= 3 for i, s, n in ((7, "a", 100), (8, "b", 60), (None, "b", 30)))
+    assert all(abs(repeats[i] - 3 * n * target[s][0] / target[s][1]) <= 3 for i, s, n in ((7, "a", 100), (8, "b", 60), (None, "b", 30), (9, "c", 200)))
     texts = [Counter((r["doc_id"], r["text"]) for r in mixing.mixed_documents(d).collect()) for d in (df, df.repartition(3))]
     assert texts[0] == texts[1]
     mixed = Counter()
