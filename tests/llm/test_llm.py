@@ -296,29 +296,44 @@ def test_template_of_copies(spark):
 # ---- 7
 
 
-def test_contamination(spark):
+SIGMA = "a b ΟΔΟΣΑΛΛΗΣ b c d e f g h"
+
+
+@pytest.mark.parametrize("broadcast", [decontamination.BROADCAST, 0])
+def test_contamination(spark, broadcast):
     item = " ".join(f"k{i}" for i in range(14))
-    items = [(1, item), (2, "Solo"), (3, None), (10, "!!"), (4, item), (5, "two words")]
+    items = [(1, item), (2, "Solo"), (3, None), (10, "!!"), (4, item), (5, "two words"), (6, SIGMA), (7, "İstanbul'da ẞ"), (8, "never seen by any text"), (9, "x x x")]
     docs = [*ODD, (20, f"x {item.upper()} y"), (21, "k0 k1 k2 k3 k4 k5 k6 k7 k8"), (22, f"{item} z {item} SOLO"), (23, "two,words two  words"), (24, "k3-k4-k5-k6-k7-k8-k9-k10-k11-k12"), (25, "solos")]
-    got = decontamination.report(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
-    grams = []
+    docs += [(26, f"x {SIGMA.replace('Σ b', 'Σ.b')}"), (26, f"x {SIGMA}"), (27, SIGMA.lower()), (28, "İSTANBUL-DA ẞ, i̇stanbul da ß"), (29, "x x x x"), (30, "a " * 40_000 + item)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.contamination(frame(spark, docs), benchmark, broadcast=broadcast).collect()
+    grams = set()
     for i, t in items:
         w = benchmark_words(t)
         n = min(10, len(w))
-        grams += [(str(i), w[k : k + n]) for k in range(len(w) - n + 1)] if n else []
-    want = Counter()
+        grams |= {(str(i), tuple(w[k : k + n])) for k in range(len(w) - n + 1)} if n else set()
+    want, covered = Counter(), {}
     for i, t in docs:
         w = benchmark_words(t)
         hit, ids = set(), set()
         for item_id, g in grams:
             for k in range(len(w) - len(g) + 1):
-                if w[k : k + len(g)] == g:
+                if w[k] == g[0] and tuple(w[k : k + len(g)]) == g:
                     hit |= set(range(k, k + len(g)))
                     ids.add(item_id)
+        covered[i, t] = hit
         want[i, len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)] += 1
     assert Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got) == want
-    none = spark.createDataFrame(items, "item_id long, text string").limit(0)
-    assert not any(r["contaminated"] for r in decontamination.report(frame(spark, docs[:3]), none).collect())
+    assert {r["doc_id"]: r["n_hit"] for r in got if r["n_words"] == 11}[26] == 10
+    # spans cut out
+    cut = decontamination.without_spans(frame(spark, docs), benchmark, broadcast=broadcast).select("doc_id", "text", "digest").collect()
+    left = lambda i, t: [w for k, w in enumerate(benchmark_words(t)) if k not in covered[i, t]]
+    assert Counter((r["doc_id"], *benchmark_words(r["text"])) for r in cut) == Counter((i, *left(i, t)) for i, t in docs)
+    assert {(r["doc_id"], r["text"]) for r in cut} >= {(i, t) for i, t in docs if not covered[i, t]}
+    assert {r["text"] for r in cut if r["doc_id"] in (22, 23)} == {" z", ""}
+    # nothing to look for, nothing to look in
+    assert not any(r["contaminated"] for r in decontamination.contamination(frame(spark, docs[:3]), benchmark.limit(0), broadcast=broadcast).collect())
+    assert decontamination.contamination(frame(spark, docs).limit(0), benchmark, broadcast=broadcast).collect() == []
 
 
 # ---- 8
