@@ -12,13 +12,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small, stored
 
 #: Counters of a Misra-Gries summary, and so the most winners that are broadcast.
 COUNTERS = 1024
+#: Bytes of stored rows to drop up to which they are broadcast.
+BROADCAST = 8 << 20
+
+
+def digest(text: Column) -> Column:
+    """SHA-256 of a text's UTF-8, in lower-case hex; null counts as empty."""
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
 def misra_gries(values: list, summary: dict, k: int = COUNTERS) -> dict:
@@ -36,28 +43,32 @@ def misra_gries(values: list, summary: dict, k: int = COUNTERS) -> dict:
     return summary
 
 
-def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    summary: dict = {}
-    for batch in batches:
-        misra_gries(batch.column(0).to_pylist(), summary)
-    yield pa.RecordBatch.from_arrays([pa.array(list(summary), pa.string()), pa.array(list(summary.values()), pa.int64())], ["digest", "n"])
+def _summaries(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        summary: dict = {}
+        for batch in batches:
+            misra_gries(batch.column(0).to_pylist(), summary, k)
+        yield pa.RecordBatch.from_arrays([pa.array(list(summary), pa.string()), pa.array(list(summary.values()), pa.int64())], ["digest", "n"])
+
+    return run
 
 
 def heavy_digests(digests: DataFrame, k: int = COUNTERS) -> DataFrame:
     """At most k digests (column digest) that include all of more than n/(k+1) rows."""
-    parts = digests.select("digest").mapInArrow(_summaries, "digest string, n long")
+    parts = digests.select("digest").mapInArrow(_summaries(k), "digest string, n long")
     return parts.groupBy("digest").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "digest").limit(k).select("digest")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = COUNTERS) -> DataFrame:
     """For each row its id, keep_id (largest id among equal texts), group_size, kept and text_sha256.
 
     Null texts equal empty ones. Null ids lose to all others; where a group has only null ids, keep_id is null and its rows are kept.
     Repeated rows (same id and text) count towards group_size and are all kept if their id is. Other columns are ignored. No rows give no rows.
+    Only digests are grouped, so a very long text costs no more than its hash. k: counters of a summary, and so the most digests that count as heavy.
     """
-    digests = stored(docs.select(F.col(id_col).alias("doc_id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("digest")), "digests")
+    digests = stored(docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("digest")), "digests")
     winners = F.broadcast(
-        digests.join(F.broadcast(heavy_digests(digests)), "digest", "left_semi")
+        digests.join(F.broadcast(heavy_digests(digests, k)), "digest", "left_semi")
         .groupBy("digest")
         .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     )
@@ -69,9 +80,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_dedup() drops; all columns stay."""
-    out = exact_dedup(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(out, docs[id_col] == out["_dropped"], "left_anti")
+    """docs without the rows that exact_dedup() drops; all columns stay. Rows are dropped by id and text, so another text of the same id stays."""
+    out = stored(exact_dedup(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_dropped"), F.col("text_sha256").alias("_sha")).distinct(), "dropped")
+    return docs.join(small(out, BROADCAST), docs[id_col].eqNullSafe(out["_dropped"]) & (digest(docs[text_col]) == out["_sha"]), "left_anti")
 
 
 ORACLE = """
