@@ -33,6 +33,8 @@ FREQUENT, BLOCK, REPORTED = 1 << 17, 1 << 20, 3
 BROADCAST = 8 << 20
 #: Members of a run that is listed pair by pair.
 RUN = 64
+#: Rows of a run that one task sorts, and that meet the whole run in one task.
+SORTED, JOINED = 100_000, 2000
 #: Word hashes that a worker remembers.
 REMEMBERED = 100_000
 
@@ -72,20 +74,21 @@ def _batch(columns: list, names: list[str], types: list) -> pa.RecordBatch:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row of doc_id, n and digest for each text; rows of hash and seen for shingles that are frequent within a block of texts."""
+    """A row of doc_id, text key, n and digest for each text; rows of hash and seen for shingles that are frequent within a block of texts."""
     hashes, block, digests, held = _WordHashes(), [], set(), 0
-    names, types = ["doc_id", "n", "digest", "hash", "seen"], [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+    names, types = ["doc_id", "key", "n", "digest", "hash", "seen"], [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
 
     def frequent() -> pa.RecordBatch:
         h, n = np.unique(np.concatenate([*block, np.empty(0, np.uint64)]), return_counts=True)
         h, n = h[n >= REPORTED].view(np.int64), n[n >= REPORTED]
         block.clear()
         digests.clear()
-        return _batch([[None] * len(h), [None] * len(h), [None] * len(h), h, n], names, types)
+        none = [None] * len(h)
+        return _batch([none, none, none, none, h, n], names, types)
 
     for batch in batches:
         ids, sizes, keys = batch.column(0), [], []
-        for text in batch.column(1):
+        for text in batch.column(2):
             s = shingles(text.as_py(), hashes)
             sizes.append(len(s))
             keys.append(xxhash.xxh3_128_digest(s.tobytes()))
@@ -97,7 +100,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield frequent()
                 held = 0
         none = [None] * len(sizes)
-        yield _batch([ids, sizes, keys, none, none], names, types)
+        yield _batch([ids, batch.column(1), sizes, keys, none, none], names, types)
     yield frequent()
 
 
@@ -243,11 +246,11 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(joined.select("a", "b", "set_a", "set_b").mapInArrow(_verify, "a long, b long, linked boolean"), "verified")
 
 
-def _merged(roots: DataFrame | None, verified: DataFrame) -> DataFrame:
+def _merged(roots: DataFrame | None, verified: DataFrame, bridges: DataFrame | None = None) -> DataFrame:
     """node and root after more links."""
     links = verified.filter("linked").select("a", "b")
     if roots is None:
-        return components(links)
+        return components(links.unionByName(bridges) if bridges is not None else links)
     for c in "ab":
         links = links.join(roots.select(F.col("node").alias("_n"), F.col("root").alias("_r")), F.col(c) == F.col("_n"), "left").withColumn(c, F.coalesce("_r", c)).drop("_n", "_r")
     more = components(links)
@@ -258,18 +261,25 @@ def _merged(roots: DataFrame | None, verified: DataFrame) -> DataFrame:
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 
-    Null and wordless texts have no shingles and link with nothing. Rows with the same id are one node; rows with a null id have no component
-    (null). Repeated rows and equal sets link. Other columns are ignored; no rows give no rows.
+    Null and wordless texts have no shingles and link with nothing. Rows with the same id are one node, which has the links of all its texts; rows
+    with a null id have no component (null). Repeated rows and equal sets link. Other columns are ignored; no rows give no rows. A very long text is
+    one array of hashes in one task.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
-    pass_one = stored(docs.mapInArrow(_signatures, "doc_id long, n int, digest binary, hash long, seen long"), "signatures")
-    rows = pass_one.filter("n IS NOT NULL").select("doc_id", "n", "digest")
+    pass_one = stored(docs.mapInArrow(_signatures, "doc_id long, key long, n int, digest binary, hash long, seen long"), "signatures")
+    rows = pass_one.filter("n IS NOT NULL").select("doc_id", "key", "n", "digest")
     nodes = rows.filter("n > 0 AND doc_id IS NOT NULL")
+    # ids of several rows; those of several texts link what is equal to any of them
+    again = stored(nodes.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("m"), (F.min("key") != F.max("key")).alias("several")).filter("m > 1"), "again")
+    repeats = not again.isEmpty()
     # equal sets
     same = stored(nodes.groupBy("n", "digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("m")).filter("m > 1").select(F.col("n").alias("_n"), F.col("digest").alias("_d"), "first"), "same")
-    copies = stored(nodes.join(small(same, BROADCAST), (F.col("n") == F.col("_n")) & (F.col("digest") == F.col("_d"))).filter("doc_id <> first").select("doc_id", "first").distinct(), "copies")
-    single = docs.filter("doc_id IS NOT NULL").join(small(copies.select(F.col("doc_id").alias("_c")), BROADCAST), F.col("doc_id") == F.col("_c"), "left_anti")
+    copies = stored(nodes.join(small(same, BROADCAST), (F.col("n") == F.col("_n")) & (F.col("digest") == F.col("_d"))).filter("doc_id <> first").select("doc_id", "key", "first").distinct(), "copies")
+    bridges = copies.join(small(again.filter("several"), BROADCAST), F.col("doc_id") == F.col("_id"), "left_semi").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    gone = small(copies.select(F.col("doc_id").alias("_c"), F.col("key").alias("_k")), BROADCAST)
+    single = docs.filter("doc_id IS NOT NULL").join(gone, (F.col("doc_id") == F.col("_c")) & (F.col("key") == F.col("_k")), "left_anti")
+    single = (single.dropDuplicates(["doc_id", "key"]) if repeats else single).select("doc_id", "text")
     # prefixes and groups
     order = spark.sparkContext.broadcast(_frequent_order(pass_one.filter("hash IS NOT NULL").select("hash", "seen")))
     prefixes = stored(single.mapInArrow(_prefixes(order), "doc_id long, n int, p1 long, p2 long, prefix array<long>"), "prefixes")
@@ -277,14 +287,15 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     narrow = prefixes.select("doc_id", "n", "p1", "p2")
     groups = stored(groups, "groups")
     members = narrow.join(small(groups, BROADCAST), (F.col("n") == F.col("_n")) & (F.col("p1") == F.col("_p1")) & (F.col("p2") == F.col("_p2")))
-    members = stored(members.select(F.col("doc_id").alias("member"), "head", "n", "p1").distinct(), "members")
-    others = members.filter("member <> head")
-    heads = prefixes.join(small(others.select(F.col("member").alias("_m")), BROADCAST), F.col("doc_id") == F.col("_m"), "left_anti")
+    members = stored(members.select(F.col("doc_id").alias("member"), "head", F.col("n").alias("_n"), F.col("p1").alias("_p1"), F.col("p2").alias("_p2")).distinct(), "members")
+    others = small(members.filter("member <> head"), BROADCAST)
+    same_set = (F.col("n") == F.col("_n")) & (F.col("p1") == F.col("_p1")) & (F.col("p2") == F.col("_p2"))
+    heads = prefixes.join(others, (F.col("doc_id") == F.col("member")) & same_set, "left_anti")
     # the index: runs of texts that share a prefix shingle, or their whole prefix
     index = heads.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token"))
     if not others.isEmpty():
-        grown = index.join(small(others.select("member", "head"), BROADCAST), F.col("doc_id") == F.col("head")).select(F.col("member").alias("doc_id"), "n", "pos", "token")
-        index = index.unionByName(grown)
+        grown = heads.join(others, (F.col("doc_id") == F.col("head")) & same_set)
+        index = index.unionByName(grown.select(F.col("member").alias("doc_id"), "n", F.posexplode("prefix").alias("pos", "token")))
     found = stored(index.select("token", "doc_id", "n", "pos").repartition("token").sortWithinPartitions("token").mapInArrow(_runs, _FOUND_DDL).groupBy("a", "b", "token", "n_a", "n_b").agg(F.count("*").alias("common"), F.min("pos_a").alias("pos_a"), F.min("pos_b").alias("pos_b")).filter(_room()), "found")
     runs = found.filter("b IS NULL").select("token", F.col("a").alias("doc_id"), F.col("n_a").alias("n"), F.col("pos_a").alias("pos"))
     share = stored(runs.groupBy(F.col("doc_id").alias("_s")).agg(F.count("*").alias("long"), (F.count("*") / F.max("n")).alias("share")), "long-runs")
@@ -298,10 +309,11 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     runs = stored(runs.join(share.drop("long"), F.col("doc_id") == F.col("_s")).drop("_s"), "long")
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("_c")).unionByName(runs.select(F.col("doc_id").alias("_c"))).distinct(), "candidates")
     texts = docs.join(small(wanted, BROADCAST), F.col("doc_id") == F.col("_c"), "left_semi")
+    texts = (texts.dropDuplicates(["doc_id", "key"]) if repeats else texts).select("doc_id", "text")
     sets = stored(texts.mapInArrow(_sets, "doc_id long, set binary"), "sets")
     # links
     verified = _linked(pairs, sets)
-    roots = _merged(None, verified)
+    roots = _merged(None, verified, bridges)
     if not runs.isEmpty():
         tried = verified
         for how in ("center", "neighbour", "all"):
@@ -319,25 +331,25 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
 
 
-def _open_runs(index: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """token, doc_id, n, pos, share and root of runs that reach into more than one component; stored."""
-    if roots is None:
-        return index.withColumn("root", F.col("doc_id"))
-    marked = index.join(roots, F.col("doc_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "doc_id")).drop("node")
-    run = Window.partitionBy("token")
-    several = marked.withColumn("_a", F.min("root").over(run)).withColumn("_b", F.max("root").over(run))
-    return stored(several.filter("_a <> _b").drop("_a", "_b"), "open-runs")
+def _open_runs(index: DataFrame, roots: DataFrame) -> DataFrame:
+    """token, doc_id, n, pos, share, root and m (rows of the run) of runs that reach into more than one component; stored."""
+    marked = stored(index.join(roots, F.col("doc_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "doc_id")).drop("node"), "marked-runs")
+    several = marked.groupBy(F.col("token").alias("_t")).agg(F.count("*").alias("m"), F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a <> _b").select("_t", "m")
+    return stored(marked.join(small(stored(several, "open-tokens"), BROADCAST), F.col("token") == F.col("_t")).drop("_t"), "open-runs")
 
 
 def _proposals(runs: DataFrame, how: str) -> DataFrame:
     """At most one pair for each text: the one that most of its runs propose."""
     if how == "center":
-        run = Window.partitionBy("token").orderBy(F.desc("share"), "doc_id")
-        other, size = F.first("doc_id").over(run), F.first("n").over(run)
+        best = runs.groupBy(F.col("token").alias("_t")).agg(F.max(F.struct("share", (-F.col("doc_id")).alias("minus"), "n")).alias("c"))
+        best = small(stored(best.select("_t", (-F.col("c.minus")).alias("other"), F.col("c.n").alias("size")), "centers"), BROADCAST)
+        pairs = runs.join(best, F.col("token") == F.col("_t"))
     else:
-        run = Window.partitionBy("token").orderBy("n", "doc_id")
-        other, size = F.lag("doc_id").over(run), F.lag("n").over(run)
-    pairs = runs.withColumn("other", other).withColumn("m", size).filter("doc_id <> other").filter(f"100 * least(n, m) >= {PERCENT} * greatest(n, m)")
+        # a run of very many rows is dealt into parts, each with neighbours of its own
+        part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("m") / SORTED))
+        run = Window.partitionBy("token", "part").orderBy("n", "doc_id")
+        pairs = runs.withColumn("part", part).withColumn("other", F.lag("doc_id").over(run)).withColumn("size", F.lag("n").over(run))
+    pairs = pairs.filter("doc_id <> other").filter(f"100 * least(n, size) >= {PERCENT} * greatest(n, size)")
     counted = pairs.groupBy("doc_id", "other").agg(F.count("*").alias("votes"))
     best = counted.groupBy("doc_id").agg(F.max(F.struct("votes", (-F.col("other")).alias("minus"))).alias("best")).select("doc_id", (-F.col("best.minus")).alias("other"))
     return best.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
@@ -345,12 +357,16 @@ def _proposals(runs: DataFrame, how: str) -> DataFrame:
 
 def _all_pairs(runs: DataFrame) -> DataFrame:
     """Pairs of different components that share a shingle of a long run and have room for the overlap after it. If a pair's first common shingle has a
-    short run, it is among the short runs' pairs; if it has a long one, it has room there."""
-    x, y = (runs.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "pos", "root")]) for s in "xy")
+    short run, it is among the short runs' pairs; if it has a long one, it has room there. Runs are dealt into parts on one side, each of
+    which meets the whole other side in a task of its own."""
+    x, y = (runs.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "pos", "root", "m")]) for s in "xy")
     fits = f"100L * least(n_x, n_y) >= {PERCENT}L * greatest(n_x, n_y) AND least(n_x - pos_x, n_y - pos_y) >= {_need('n_x', 'n_y')}"
     # every row that can pair at all has room for itself, which drops most of a run before it is joined
     x, y = (df.filter(f"n_{s} - pos_{s} >= {_need(f'n_{s}', f'ceil({PERCENT} * n_{s} / 100.0D - 1e-9)')}") for df, s in ((x, "x"), (y, "y")))
-    return x.join(y, "token").filter("doc_id_x < doc_id_y AND root_x <> root_y").filter(fits).select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b")).distinct()
+    parts = lambda s: F.ceil(F.col(f"m_{s}") / JOINED)
+    x = x.withColumn("part", F.pmod(F.xxhash64("doc_id_x"), parts("x")))
+    y = y.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts("y") - 1)))
+    return x.join(y, ["token", "part"]).filter("doc_id_x < doc_id_y AND root_x <> root_y").filter(fits).select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b")).distinct()
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:

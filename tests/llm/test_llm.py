@@ -182,6 +182,8 @@ def near(docs):
 def test_jaccard_join(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "RUN", 8)
     monkeypatch.setattr(jaccard_join, "REPORTED", 2)
+    monkeypatch.setattr(jaccard_join, "SORTED", 16)
+    monkeypatch.setattr(jaccard_join, "JOINED", 4)
     rnd, vocabulary, n = random.Random(1), [f"w{i}" for i in range(200)], itertools.count(10)
     docs = list(ODD)
     for _ in range(3):
@@ -194,8 +196,12 @@ def test_jaccard_join(spark, monkeypatch):
     passage = rnd.choices(vocabulary, k=40)
     docs += [(next(n), " ".join(rnd.choices(vocabulary, k=rnd.randrange(2, 16)) + passage)) for _ in range(40)]
     docs += [(next(n), " ".join(rnd.choices(vocabulary[:4], k=rnd.randrange(1, 8)))) for _ in range(40)]
+    # ids with several texts: a copy here, a link there, and a text of a group with one prefix
+    one, other, third = (rnd.choices(vocabulary, k=50) for _ in range(3))
+    docs += [(5003, " ".join(one)), (5005, " ".join(one)), (5005, " ".join(other)), (5007, " ".join(other[:-1])), (5005, " ".join(other)), (5009, " ".join(third)), (5007, " ".join(third[1:])), (5010, " ".join(third[:-1]))]
     got = jaccard_join.near_components(frame(spark, docs)).collect()
     want = near(docs)
+    assert {want[i] for i in (5003, 5005, 5007, 5009, 5010)} == {5003}
     assert len(got) == len(docs) and all(r["component_id"] == want[r["doc_id"]] for r in got)
     assert {(r["doc_id"], r["n_shingles"]) for r in got} == {(i, len({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}) if (w := words(t)) else 0) for i, t in docs}
 
@@ -339,7 +345,7 @@ def test_contamination(spark, broadcast):
 # ---- 8
 
 
-def test_exact_dedup(spark, monkeypatch):
+def test_exact_dedup(spark):
     docs = [*ODD, *[(100 + i, "hot") for i in range(200)], *[(400 + i, f"t{i % 20}") for i in range(40)]]
     groups = {}
     for i, t in docs:
@@ -349,11 +355,14 @@ def test_exact_dedup(spark, monkeypatch):
         g = groups[t or ""]
         keep = max((x for x in g if x is not None), default=None)
         want[i, keep, len(g), i == keep, hashlib.sha256((t or "").encode()).hexdigest()] += 1
-    for k in (2, 1024):
-        monkeypatch.setattr(exact_dedup, "COUNTERS", k)
-        got = exact_dedup.exact_dedup(frame(spark, docs)).collect()
+    assert [len(exact_dedup.heavy_digests(frame(spark, docs), k).collect()) for k in (0, 1, 1024)] == [0, 1, 1]  # frame() has one digest
+    for k in (0, 2, 1024):  # none, some and all digests are heavy
+        got = exact_dedup.exact_dedup(frame(spark, docs), k=k).collect()
         assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in got) == want
     assert exact_dedup.exact_dedup(frame(spark, docs).limit(0)).collect() == []
+    left = Counter((r["doc_id"], r["text"]) for r in exact_dedup.drop_copies(frame(spark, [*docs, (5, "hot"), (9, "only")])).collect())
+    hot = [*docs, (5, "hot"), (9, "only")]
+    assert left == Counter((i, t) for i, t in hot if i == max((x for x, y in hot if (y or "") == (t or "") and x is not None), default=None))
 
 
 @pytest.mark.parametrize("seed", range(4))
