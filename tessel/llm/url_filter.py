@@ -1,9 +1,13 @@
 """URL filters: rules first, then trust and distrust that spread over the host link graph.
 
 Hosts with pages that an allow rule fits are trusted seeds; hosts that a block rule fits as a whole (path /) are blocked seeds. Trust spreads
-along links (personalised PageRank); distrust spreads against them, from a blocked host to the hosts that link to it. Every seed starts with
-1. A host whose distrust is above its trust and at least THRESHOLD is blocked; all others are allowed.
-Scores only grow from round to round; rounds end when all that later ones can add to all hosts together is below TOLERANCE, so no chain is too long.
+along links (personalised PageRank); distrust spreads against them, from a blocked host to the hosts that link to it.
+The PageRank of a host is the share of time that a walker spends there who starts at a random seed, follows links with probability DAMPING, and
+else, or where a host has no links, starts anew. Summed over walks this is each host's expected visits per walk from one start at every seed,
+divided by the sum over all hosts; so hosts without links need no step of their own. Rounds add up visits: they only grow, and end when all
+that later rounds can add to all hosts together is below TOLERANCE, so no chain is too long.
+A host whose distrust is above its trust, both in visits, and at least THRESHOLD is blocked; all others are allowed. Visits, not shares, are held
+against the threshold, because shares shrink as seeds are added.
 Links are host pairs, aggregated before any join; each round is one join and one aggregation, cut by a stored table.
 """
 
@@ -49,7 +53,9 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
-    """host, trust and distrust. edges: src, dst, links, stored; seeds: host, trusted, blocked (booleans).
+    """host, trust and distrust (expected visits), trust_rank and distrust_rank (personalised PageRank; each adds up to 1 where there is a seed).
+
+    edges: src, dst, links, stored; seeds: host, trusted, blocked (booleans). No seeds give no rows.
 
     Each round gives every host its seed plus damping times what its neighbours pass on, in proportion to links. A round adds at most damping times what
     the one before added, so later ones add at most damping / (1 - damping) times that.
@@ -73,7 +79,9 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
             before, total = total, ranks.agg(F.sum("score")).first()[0]
             added = total - before
     of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0)).alias(kind)
-    return ranks.groupBy("host").agg(of("trust"), of("distrust"))
+    sums = F.broadcast(ranks.agg(of("trust"), of("distrust")).select(F.col("trust").alias("_t"), F.col("distrust").alias("_d")))  # one row
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0).alias(f"{a}_rank")
+    return ranks.groupBy("host").agg(of("trust"), of("distrust")).crossJoin(sums).select("host", "trust", "distrust", share("trust", "_t"), share("distrust", "_d"))
 
 
 def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
@@ -116,7 +124,7 @@ walk(i, kind, host, score) AS (
   SELECT 0, kind, host, score FROM seeds
   UNION ALL
   SELECT i + 1, kind, host, sum(score) FROM (
-    SELECT w.i, w.kind, s.b AS host, 0.85 * w.score * s.share AS score FROM walk w JOIN steps s ON w.kind = s.kind AND w.host = s.a WHERE w.i < 10
+    SELECT w.i, w.kind, s.b AS host, 0.85 * w.score * s.share AS score FROM walk w JOIN steps s ON w.kind = s.kind AND w.host = s.a WHERE w.i < 150
   ) GROUP BY ALL),
 ranks AS (SELECT host, coalesce(sum(score) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(score) FILTER (kind = 'distrust'), 0) AS distrust FROM walk GROUP BY host),
 bad AS (SELECT host FROM ranks WHERE distrust >= 0.1 AND distrust > trust)

@@ -464,6 +464,45 @@ def test_distrust_of_long_chains(spark):
     assert ranks == pytest.approx({"a": 1 / (1 - 0.85**2), "b": 0.85 / (1 - 0.85**2)}, abs=1e-4)
 
 
+def page_rank(edges, seeds, hosts, damping=0.85):
+    """Power iteration over a dense matrix; what hosts without links have goes back to the seeds."""
+    at = {h: i for i, h in enumerate(hosts)}
+    move, start = np.zeros((len(hosts), len(hosts))), np.zeros(len(hosts))
+    for a, b, n in edges:
+        move[at[a], at[b]] += n
+    out = move.sum(axis=1)
+    move[out > 0] /= out[out > 0, None]
+    for h in seeds:
+        start[at[h]] = 1 / len(seeds)
+    rank = start.copy()
+    for _ in range(400):
+        rank = damping * (rank @ move + rank[out == 0].sum() * start) + (1 - damping) * start
+    return dict(zip(hosts, rank, strict=True))
+
+
+def test_propagation_is_page_rank(spark):
+    rnd, hosts = random.Random(11), [f"h{i}" for i in range(60)]
+    pairs = {(f"h{i}", f"h{(i + 1) % 9}") for i in range(9)}  # a cycle
+    pairs |= {(f"h{i}", "h9") for i in range(10, 40)} | {("h9", f"h{i}") for i in range(40, 50)}  # a hub, and hosts that link to none
+    pairs |= {(rnd.choice(hosts[:55]), rnd.choice(hosts)) for _ in range(80)}
+    edges = sorted((a, b, rnd.randrange(1, 5)) for a, b in pairs if a != b)
+    trusted, blocked = ["h0", "h12", "h13"], ["h9", "h47", "h59"]
+    seeds = [(h, h in trusted, h in blocked) for h in sorted({*trusted, *blocked})]
+    found = url_filter.propagate(spark.createDataFrame(edges, "src string, dst string, links long"), spark.createDataFrame(seeds, "host string, trusted boolean, blocked boolean"), tolerance=1e-5).collect()
+    got = {r["host"]: r for r in found}
+    for name, way, own in (("trust_rank", edges, trusted), ("distrust_rank", [(b, a, n) for a, b, n in edges], blocked)):
+        want = page_rank(way, own, hosts)
+        assert all((got[h][name] if h in got else 0.0) == pytest.approx(x, abs=1e-5) for h, x in want.items())
+    assert url_filter.propagate(spark.createDataFrame(edges, "src string, dst string, links long"), spark.createDataFrame([], "host string, trusted boolean, blocked boolean")).collect() == []
+
+
+def test_urls_of_odd_tables(spark):
+    rows = [(1, "http://bad.net/", None), (1, "http://bad.net/", None), (2, "http://ok.com/", '<a href="//BAD.net/?x">' * 3), (2, "http://ok.com/", '<a href="//BAD.net/?x">' * 3), (3, "http://far.com/" + "p" * 100_000, "x" * 500_000 + "<a href=http://ok.com>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash")).withColumn("links", F.lit(1))
+    assert Counter((r["page_id"], r["verdict"]) for r in url_filter.judge(pages).collect()) == {(1, "block"): 2, (2, "block"): 2, (3, "block"): 1}
+    assert url_filter.judge(pages.limit(0)).collect() == []
+
+
 # ---- pipeline
 
 
