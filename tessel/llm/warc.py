@@ -2,18 +2,17 @@
 
 1. Digests: SHA-1 of every payload; of equal payloads the smallest page_id is stored as a response, the others as revisits of it. Only narrow
    rows are grouped; the table of revisits is stored and, if small, broadcast, so that payloads are not shuffled.
-2. Archives: Spark's text writer puts the records, each ended by CR LF CR LF, into uncompressed .warc files in the shared folder. Payloads over
-   LARGE bytes have files of their own with few records.
+2. Archives: Spark's text writer puts the records, each ended by CR LF CR LF, into uncompressed .warc files in the shared folder. A payload's size
+   decides how many records its file may hold, so files are bounded (CLASSES).
 3. Reading: archives come back as whole files (bounded by step 2) and are cut by Content-Length into captures with file, offset and length.
-4. Index: each task sorts its captures by URL key, timestamp and id into a run and cuts the run at the ranges' bounds. A slice of a run is one
-   row. For each range a loser tree merges the slices of all runs. Bounds come from a bounded sample of keys; the id is part of the key, so
-   one URL with very many captures is cut too.
+4. Index: each task sorts its captures by URL key, timestamp, id, file and offset into runs. Spark deals the runs into ranges of that key, whose number
+   grows with the captures, so no range does. What a range gets of a run is in order; a loser tree merges these parts of all runs. File and
+   offset are part of the key, so one URL with very many captures, or one id, is cut too.
 """
 
 from __future__ import annotations
 
 import base64
-import bisect
 import hashlib
 import math
 import re
@@ -25,13 +24,13 @@ from pyspark.sql import functions as F
 
 from .common import scratch, small, stored
 
-#: Payload bytes that count as large; records in a file of large ones and of others.
-LARGE, LARGE_RECORDS, RECORDS = 256 << 10, 8, 1000
+#: Most payload bytes of a class, and records in a file of it. Larger payloads have a file each.
+CLASSES = ((256 << 10, 1000), (8 << 20, 16))
 #: Payloads of fewer bytes are always stored as responses.
 LEAST_BYTES = 0
 BROADCAST = 8 << 20
-#: Captures of an index range (expected), and keys sampled to find the ranges' bounds.
-RANGE_ROWS, SAMPLE = 50_000, 8192
+#: Captures of an index range (expected).
+RANGE_ROWS = 50_000
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
 CAPTURE = pa.schema([("key", pa.string()), ("ts", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
@@ -45,21 +44,34 @@ def base32(sha1_hex: Column) -> Column:
     return F.concat(*letters)
 
 
-def revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """page_id and refers_to of rows that repeat the payload of a smaller page_id, distinct. Null ids and repeated rows of the smallest id are responses."""
+def payloads(pages: DataFrame) -> DataFrame:
+    """page_id, digest and n (bytes) of every row; stored."""
     payload = F.coalesce("html", F.lit("")).cast("binary")
-    digests = stored(pages.select("page_id", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n")).filter(F.col("n") >= least_bytes), "digests")
+    return stored(pages.select("page_id", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n")), "digests")
+
+
+def revisits(digests: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """page_id, digest and refers_to of payloads() that repeat the payload of a smaller page_id, distinct. Null ids and repeated rows of the smallest id are responses."""
+    digests = digests.filter(F.col("n") >= least_bytes)
     groups = stored(digests.groupBy("digest", "n").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("rows")).filter("rows > 1").select(F.col("digest").alias("_g"), F.col("n").alias("_n"), "refers_to"), "groups")
     joined = digests.join(small(groups, BROADCAST), (F.col("digest") == F.col("_g")) & (F.col("n") == F.col("_n")))
     return joined.filter("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
-def records(pages: DataFrame, when: Column, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """value (a WARC record without its final CR LF CR LF) and n (payload bytes) of every row of page_id, url and html. when: capture time, as text `2024-01-01T00:00:00Z`.
+def size_class(n: Column) -> Column:
+    """The place of n bytes in CLASSES, or the place after them."""
+    out = F.lit(len(CLASSES))
+    for i, (most, _) in reversed(list(enumerate(CLASSES))):
+        out = F.when(n <= most, i).otherwise(out)
+    return out
+
+
+def records(pages: DataFrame, digests: DataFrame, when: Column, least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """value (a WARC record without its final CR LF CR LF) and n (payload bytes) of every row of page_id, url and html. digests: payloads() of them. when: capture time, as text `2024-01-01T00:00:00Z`.
 
     Control characters and spaces of a URL are percent-encoded, so that they can't break the header; a null URL is `urn:null`, a null id `null`.
     """
-    again = stored(revisits(pages, least_bytes), "revisits").select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), "refers_to")
+    again = stored(revisits(digests, least_bytes), "revisits").select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), "refers_to")
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("n"), when.alias("when"))
     rows = rows.join(small(again, BROADCAST), (F.col("page_id") == F.col("_p")) & (F.col("digest") == F.col("_d")), "left")
@@ -81,12 +93,13 @@ def records(pages: DataFrame, when: Column, least_bytes: int = LEAST_BYTES) -> D
     return rows.select(F.concat(head, body).alias("value"), "n")
 
 
-def write_archives(found: DataFrame, path: str) -> list[str]:
-    """The folders that hold the archives of records()."""
+def write_archives(found: DataFrame, classes: list[int], path: str) -> list[str]:
+    """The folders that hold the archives of records(), one for each of these size classes; they must be all there are."""
     folders = []
-    for name, part, most in (("usual", F.col("n") <= LARGE, RECORDS), ("large", F.col("n") > LARGE, LARGE_RECORDS)):
-        found.filter(part).select("value").write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", most).text(f"{path}/{name}")
-        folders.append(f"{path}/{name}")
+    for i in classes:
+        folders.append(f"{path}/class-{i}")
+        most = CLASSES[i][1] if i < len(CLASSES) else 1
+        found.filter(size_class(F.col("n")) == i).select("value").write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", most).text(folders[-1])
     return folders
 
 
@@ -181,73 +194,89 @@ def sort_key(row: tuple) -> tuple:
     return row[0], row[1], -(1 << 63) if row[2] is None else row[2], row[8], row[9]
 
 
-_SLICE = pa.schema([("range", pa.int32()), ("captures", pa.list_(pa.struct(list(CAPTURE))))])
+_KEYED = CAPTURE.append(pa.field("run", pa.int64()))
+_PLACED = CAPTURE.append(pa.field("range", pa.int32())).append(pa.field("place", pa.int64()))
 
 
-def _runs(bounds: list[tuple], held: int):
-    """Sorts each block of so many captures into a run and cuts it at the bounds."""
+def _runs(held: int):
+    """Sorts each block of so many captures, in their task's number and order, into a run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         rows: list[tuple] = []
+        number = TaskContext.get().partitionId() << 32
 
-        def sliced() -> pa.RecordBatch:
+        def run_of_rows() -> Iterator[pa.RecordBatch]:
             rows.sort(key=sort_key)
-            keys = [sort_key(r)[:3] for r in rows]
-            cuts = [0, *(bisect.bisect_left(keys, b) for b in bounds), len(rows)]
-            parts = [(i, [dict(zip(CAPTURE.names, r, strict=True)) for r in rows[a:b]]) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+            for i in range(0, len(rows), 5000):
+                yield _batch([(*r, number) for r in rows[i : i + 5000]], _KEYED)
             rows.clear()
-            return _batch(parts, _SLICE)
 
         for batch in batches:
             rows += zip(*(c.to_pylist() for c in batch.columns), strict=True)
             if len(rows) >= held:
-                yield sliced()
-        yield sliced()
+                yield from run_of_rows()
+                number += 1
+        yield from run_of_rows()
 
     return run
 
 
+def sorted_parts(rows: list[tuple]) -> list[list[tuple]]:
+    """Rows of one run, as they came, in as few parts as are in order. A shuffle keeps a run's order; where it doesn't, there are more parts."""
+    parts: list[list[tuple]] = []
+    last = None
+    for row in rows:
+        if last is None or sort_key(row) < last:
+            parts.append([])
+        parts[-1].append(row)
+        last = sort_key(row)
+    return parts
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = CAPTURE.append(pa.field("range", pa.int32())).append(pa.field("place", pa.int64()))
-    ranges: dict[int, list] = {}
+    """One range: a task's rows, which are at most a few times RANGE_ROWS."""
+    from pyspark import TaskContext
+
+    part, of_run = TaskContext.get().partitionId(), {}
     for batch in batches:
-        for i in range(batch.num_rows):
-            ranges.setdefault(batch.column(0)[i].as_py(), []).append(batch.column(1)[i])
-    for part in sorted(ranges):
-        runs = [(tuple(c.as_py().values()) for c in s) for s in ranges.pop(part)]
-        out: list = []
-        for place, row in enumerate(LoserTree(runs, sort_key)):
-            out.append((*row, part, place))
-            if len(out) == 10_000:
-                yield _batch(out, schema)
-                out = []
-        yield _batch(out, schema)
+        for *row, run in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            of_run.setdefault(run, []).append(tuple(row))
+    out: list = []
+    for place, row in enumerate(LoserTree([iter(p) for run in sorted(of_run) for p in sorted_parts(of_run[run])], sort_key)):
+        out.append((*row, part, place))
+        if len(out) == 10_000:
+            yield _batch(out, _PLACED)
+            out = []
+    yield _batch(out, _PLACED)
 
 
 def merge_index(captures: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """captures (stored) with range and place: ranges are in order of their numbers and captures of a range in order of place, by key, ts and page_id."""
-    spark = captures.sparkSession
-    rows = captures.count()
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / range_rows)) if rows else 1
-    sample = captures.select("key", "ts", "page_id", F.xxhash64("key", "ts", "page_id").alias("_h")).orderBy("_h").limit(SAMPLE).collect()
-    keys = sorted((r["key"], r["ts"], -(1 << 63) if r["page_id"] is None else r["page_id"]) for r in sample)
-    bounds = sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
-    slices = captures.mapInArrow(_runs(bounds, range_rows), f"range int, captures array<struct<{DDL.replace(' ', ':').replace(',:', ',')}>>")
-    return slices.repartition(ranges, "range").mapInArrow(_merge, f"{DDL}, range int, place long")
+    """captures (stored) with range and place: ranges are in order of their numbers and captures of a range in order of place, by key, ts, page_id, file and offset."""
+    ranges = max(int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(captures.count() / range_rows))
+    runs = captures.mapInArrow(_runs(range_rows), f"{DDL}, run long")
+    return runs.repartitionByRange(ranges, "key", "ts", F.col("page_id").asc_nulls_first(), "file", "offset").mapInArrow(_merge, f"{DDL}, range int, place long")
 
 
 def capture_history(pages: DataFrame, when: Column, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """Writes a record for every row of page_id, url and html, reads the archives back, and returns the merged index: a row for each record."""
+    """Writes a record for every row of page_id, url and html, reads the archives back, and returns the merged index: a row for each record.
+
+    A record is held whole by one task, a very long page's too; no rows give no rows.
+    """
     spark = pages.sparkSession
-    folders = write_archives(records(pages, when, least_bytes), scratch(spark, "warc"))
-    return merge_index(stored(read_archives(spark, folders), "captures"))
+    digests = payloads(pages)
+    classes = sorted(r[0] for r in digests.select(size_class(F.col("n"))).distinct().collect())  # at most one more than CLASSES
+    folders = write_archives(records(pages, digests, when, least_bytes), classes, scratch(spark, "warc"))
+    captures = read_archives(spark, folders) if folders else spark.createDataFrame([], DDL)
+    return merge_index(stored(captures, "captures"))
 
 
 def archive_report(pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to of every row, from the archives' merged index.
 
     pages has no capture time: page n counts as captured n seconds after the start of 2024, modulo a year. Null html is an empty payload. Rows
-    with a null page_id, and all rows that repeat both the smallest id and its payload, are responses. Other columns are ignored.
+    with a null page_id, and all rows that repeat both the smallest id and its payload, are responses. Other columns are ignored; no rows give no rows.
     """
     when = F.expr("date_format(timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, pmod(coalesce(page_id, 0), 31536000)), \"yyyy-MM-dd'T'HH:mm:ss'Z'\")")
     return capture_history(pages.select("page_id", "url", "html"), when).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

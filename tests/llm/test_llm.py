@@ -107,9 +107,11 @@ def test_loser_tree(k):
     assert list(warc.LoserTree([iter(r) for r in runs])) == sorted(x for r in runs for x in r)
 
 
-def test_warc_round_trip(spark):
+def test_warc_round_trip(spark, monkeypatch):
     tricky = "é\r\n\r\nWARC/1.1\r\n\r\n"
-    rows = [(1, "http://a.b/ x\n%", None), (2, "HTTP://WWW.a.b", ""), (3, None, tricky), (7, "http://c.a.b/?q", tricky), (None, "x", "abc"), (9, "x", "abc"), (9, "x", "abc"), (10, "x", "abc"), (11, "y", "z" * 300_000)]
+    rows = [(1, "http://a.b/ x\n%", None), (2, "HTTP://WWW.a.b", ""), (3, None, tricky), (7, "http://c.a.b/?q", tricky), (None, "x", "abc"), (9, "x", "abc"), (9, "x", "abc"), (10, "x", "abc"), (11, "y", "z" * 300_000), (12, "y", "z" * 9_000_000)]
+    rows += [(None, "same", str(i % 50)) for i in range(400)]
+    monkeypatch.setattr(warc, "RANGE_ROWS", 30)
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1))
     got = warc.archive_report(pages).collect()
     assert len(got) == len(rows) and warc.archive_report(pages.limit(0)).collect() == []
@@ -124,6 +126,11 @@ def test_warc_round_trip(spark):
     index = sorted(warc.capture_history(pages.select("page_id", "url", "html"), when).collect(), key=lambda r: (r["range"], r["place"]))
     keys = [(r["key"], r["ts"], -1 if r["page_id"] is None else r["page_id"]) for r in index]
     assert keys == sorted(keys) and len(keys) == len(rows)
+    merged = warc.merge_index(warc.stored(spark.createDataFrame([r[:11] for r in index], warc.DDL), "t"), 30).collect()
+    merged = sorted(merged, key=lambda r: (r["range"], r["place"]))
+    assert [warc.sort_key(r) for r in merged] == sorted(warc.sort_key(r) for r in index)
+    assert max(Counter(r["range"] for r in merged).values()) <= 90  # one URL, one time and no id, but many ranges
+    assert warc.sorted_parts([]) == [] and len(warc.sorted_parts([tuple(r) for r in merged] * 2)) == 2
     with pytest.raises(ValueError, match="no WARC record"):
         list(warc.parse_archive(b"junk", "f"))
 
