@@ -2,8 +2,8 @@
 
 A word that the model knows adds its log10 frequency in each language, with a fixed penalty where a language has not seen it. An unseen word is
 cut into n-grams, longest first; the first length of which any n-gram is known gives the mean over its known n-grams. A text's language
-has the highest sum. The model has a bounded number of words and n-grams; it is fitted on at most about DOCS_PER_LANGUAGE labelled documents of
-each language, chosen by a hash of their id, and is broadcast.
+has the highest sum. The model is fitted on at most about DOCS_PER_LANGUAGE labelled documents of each language, chosen by a hash of their id; it
+has all their words and n-grams, and is broadcast.
 """
 
 from __future__ import annotations
@@ -18,16 +18,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small, stored
 
-#: Bounds of the fit: labelled documents of a language (expected number), words of a language, n-grams of a language and length.
-DOCS_PER_LANGUAGE, WORDS, GRAMS = 4000, 20_000, 8_000
+#: Bound of the fit: labelled documents of a language (expected number).
+DOCS_PER_LANGUAGE = 1000
 LONGEST = 4
 #: log10 frequency of what a language has not seen.
 PENALTY = -7.0
 #: Unseen words whose scores a worker remembers.
 REMEMBERED = 100_000
 UND = "und"
+#: Bytes of the stored table of languages up to which it is broadcast.
+BROADCAST = 8 << 20
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -71,40 +73,35 @@ def is_held_out(id_col: str, folds: int = 3, fold: int = 1) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, n_words: int = WORDS, n_grams: int = GRAMS) -> dict:
-    """The model from rows of doc_id, text and lang; rows without text or lang are ignored. {} if nothing is left."""
+def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> dict:
+    """The model from rows of doc_id, text and lang; rows without text or lang are ignored. {} if nothing is left.
+
+    A language's sample is its documents whose id hashes below a bound; repeated rows of an id are chosen together.
+    """
     labelled = labelled.select("doc_id", "lang", "text").filter("text IS NOT NULL AND lang IS NOT NULL")
-    langs = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}  # a row for each language
-    share = F.lit(0.0)
-    for lang, n in langs.items():
-        share = F.when(F.col("lang") == lang, min(1.0, docs_per_language / n)).otherwise(share)
-    chosen = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
+    sizes = stored(labelled.groupBy("lang").agg(F.count("*").alias("docs")), "languages")  # a row for each language
+    langs = {r["lang"]: r["docs"] for r in sizes.collect()}
+    bound = small(sizes.select(F.col("lang").alias("_l"), (F.lit(float(docs_per_language)) / F.col("docs") * (1 << 20)).alias("_bound")), BROADCAST)
+    chosen = labelled.join(bound, F.col("lang") == F.col("_l")).filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("_bound")).select("lang", "text")
     form = "lang string, kind int, gram string, n long"
     vocabulary = stored(chosen.mapInArrow(_count, form).groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n")), "words")
     pieces = vocabulary.select("lang", "gram", "n").mapInArrow(_cut, form).groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
     counts = stored(vocabulary.unionByName(pieces), "grams")
-    # the smallest count that keeps each language and kind within its bound, from a histogram of counts
-    spread: dict = {}
-    for r in counts.groupBy("lang", "kind", "n").agg(F.count("*").alias("m")).collect():
-        spread.setdefault((r["lang"], r["kind"]), []).append((r["n"], r["m"]))
-    total, least = {}, F.lit(1)
-    for (lang, kind), pairs in spread.items():
-        total[lang, kind] = sum(n * m for n, m in pairs)
-        held, cut = 0, max(n for n, _ in pairs) + 1
-        for n, m in sorted(pairs, reverse=True):
-            if (held := held + m) > (n_grams if kind else n_words):
-                break
-            cut = n
-        least = F.when((F.col("lang") == lang) & (F.col("kind") == kind), cut).otherwise(least)
+    total = {(r["lang"], r["kind"]): r["n"] for r in counts.groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect()}
     names = sorted(langs)
     place = {lang: i for i, lang in enumerate(names)}
-    tables = [{} for _ in range(LONGEST + 1)]
-    for r in counts.filter(F.col("n") >= least).toLocalIterator():  # at most (n_words + LONGEST * n_grams) rows for a language
-        row = tables[r["kind"]].setdefault(r["gram"], np.full(len(names), PENALTY, np.float32))
-        row[place[r["lang"]]] = np.log10(r["n"] / total[r["lang"], r["kind"]])
-    model = {"langs": names, "first": max(langs, key=lambda k: (langs[k], k)) if langs else None}
-    model["index"] = [{g: i for i, g in enumerate(t)} for t in tables]
-    model["rows"] = [np.array(list(t.values()), np.float32).reshape(len(t), len(names)) for t in tables]
+    index: list[dict] = [{} for _ in range(LONGEST + 1)]
+    cells: list[tuple[list, list, list]] = [([], [], []) for _ in range(LONGEST + 1)]
+    for r in counts.toLocalIterator():  # the words and n-grams of the sample
+        row, column, value = cells[r["kind"]]
+        row.append(index[r["kind"]].setdefault(r["gram"], len(index[r["kind"]])))
+        column.append(place[r["lang"]])
+        value.append(r["n"] / total[r["lang"], r["kind"]])
+    rows = []
+    for own, (row, column, value) in zip(index, cells, strict=True):
+        rows.append(np.full((len(own), len(names)), PENALTY, np.float32))
+        rows[-1][row, column] = np.log10(value)
+    model = {"langs": names, "first": max(langs, key=lambda k: (langs[k], k)) if langs else None, "index": index, "rows": rows}
     return model if names else {}
 
 
@@ -180,7 +177,8 @@ def language(text: Column, model: dict, spark) -> Column:
 def predict(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row, learned from the rows that are not held out.
 
-    Ids count only for the fold. Repeated rows are learned as often as they are there. Without labelled rows all predictions are `und`.
+    Ids count only for the fold. Repeated rows are learned as often as they are there. Without labelled rows all predictions are `und`; no rows give
+    no rows. Whole texts count; a very long one is held by one task.
     """
     model = fit(docs.filter(~is_held_out("doc_id")))
     found = docs.select("doc_id", is_held_out("doc_id").alias("held_out"), language(F.col("text"), model, docs.sparkSession).alias("_l"))
