@@ -7,14 +7,19 @@ fails on overflow. One walk gives both the shard among n and the shard among n +
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import small, stored
+
 #: Fixed value: the multiplier of the published jump hash.
 MULTIPLIER = 2862933555777941757
 MASK = 0xFFFFFFFF
-#: Blocks into which a shard's rows are dealt for numbering, so that no task numbers a whole shard: the hex digits that an id's MD5 begins with.
-BLOCK_DIGITS = 1
+BROADCAST = 8 << 20
+#: Rows (expected) of a block of a shard. Blocks are numbered by a task each, so that none numbers a whole shard, however large.
+BLOCK_ROWS = 500_000
 
 
 def _advance(hi: str, lo: str) -> tuple[str, str]:
@@ -58,19 +63,18 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     The law is `key`: doc_id and the number of shards decide, and one more shard takes rows only into itself. Equal texts with different ids
     may so land in different shards. slot numbers a shard's rows from 0 without gaps: blocks of rows are numbered on their own and shifted by
     the rows of the blocks before, so a shard is never in one task. Null ids count as id 0, null texts as empty; repeated rows get a slot each.
-    Other columns are ignored; no rows give no rows.
+    Other columns are ignored; no rows give no rows. Only sizes and sums of texts move, so a very long text is read once.
     """
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + F.lit(16)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
 
-    def placed(df: DataFrame) -> DataFrame:
-        return df.withColumn("_jump", jump_hash("doc_id", shards)).withColumn("_block", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, BLOCK_DIGITS))
-
-    cells = placed(docs.select(F.col(id_col).cast("long").alias("doc_id"))).groupBy(F.col("_jump.shard").alias("shard"), "_block").agg(F.count("*").alias("_n"))
+    rows = keyed.withColumn("_jump", jump_hash("doc_id", shards)).select("*", F.col("_jump.shard").alias("shard"), F.col("_jump.grown").alias("grown_shard"))
+    # one hex digit of a hash of id and text at least, and as many as keep blocks small; a null or repeated id is in many blocks if its texts differ
+    digits = max(1, math.ceil(math.log(max(1, docs.count() / shards / BLOCK_ROWS), 16)))
+    rows = stored(rows.drop("_jump").withColumn("_block", F.substring(F.md5(F.concat_ws(",", "doc_id", "text_crc32", "size")), 1, digits)), "placed")
+    cells = rows.groupBy("shard", "_block").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cells.select("shard", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    rows = placed(keyed).select("*", F.col("_jump.shard").alias("shard"), F.col("_jump.grown").alias("grown_shard"))
+    offsets = stored(cells.select("shard", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")), "offsets")
     within = Window.partitionBy("shard", "_block").orderBy("doc_id", "text_crc32", "size")
-    # offsets has at most shards * 16 rows
-    numbered = rows.withColumn("_row", F.row_number().over(within)).join(F.broadcast(offsets), ["shard", "_block"])
+    numbered = rows.withColumn("_row", F.row_number().over(within)).join(small(offsets, BROADCAST), ["shard", "_block"])
     return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_before") + F.col("_row") - 1).cast("long").alias("slot"), "grown_shard")
