@@ -13,8 +13,11 @@ In an article only the root's class counts, as other classes there may be passag
 its surroundings, else the pages are versions of one text and keep it: in an article less than half of the host's article text, elsewhere less than
 half of the text at its path, or all of it, as in a notice's own element.
 
-A slot is extracted unless the path to it names something other than the article (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, comments), or it is part of the template, or, on pages that mark no article, it is seen to be made of links.
+Slots that remain are chosen by the host's pages together. Where they mark no article, the template's tree is followed from the root into the one
+element below which at least DOMINANT of all text lies that differs from page to page and is no link, as long as there is one with elements of
+its own: what is outside of it, but for main headings, is menu, notice, footer or comment, whatever it is called. Slots that are mostly links
+on the host's pages go too. Where pages mark an article, its slots are those inside. What a tag or a class word says to be something
+other than the article (form, aside, comments and the like) goes on every page, which is all that there is to go by on hosts with few pages.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ from .url_filter import host_and_path
 LEAST_PAGES = 8
 #: Share of a host's pages in which a token must be to count, and share of its text in links from which it is a list of links.
 SUPPORT, LINKS = 0.1, 0.5
+#: Share of a host's own text below an element from which that element is the article's.
+DOMINANT = 0.7
 HELD = 200_000
 BROADCAST = 8 << 20
 ROOT = 0
@@ -59,12 +64,12 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Block:
-    """A run of text: its path's hash, its text, characters of it in links, whether the path names the article or something else, and its place."""
+    """A run of text: its path's hash, its text, characters of it in links, whether the path names the article or something else, its place, and whether it is a main heading."""
 
-    __slots__ = ("path", "text", "links", "main", "other", "at")
+    __slots__ = ("path", "text", "links", "main", "other", "at", "heading")
 
-    def __init__(self, path: int, text: str, links: int, main: bool, other: bool, at: int):
-        self.path, self.text, self.links, self.main, self.other, self.at = path, text, links, main, other, at
+    def __init__(self, path: int, text: str, links: int, main: bool, other: bool, at: int, heading: bool):
+        self.path, self.text, self.links, self.main, self.other, self.at, self.heading = path, text, links, main, other, at, heading
 
 
 def _hash(*parts) -> int:
@@ -93,9 +98,9 @@ def parse(html: str | None) -> tuple[list[Block], dict[int, tuple[int, list]]]:
         nonlocal links, place
         text = " ".join(unescape("".join(buffer)).split())
         if text:
-            _, path, main, other = stack[-1]
+            tag, path, main, other = stack[-1]
             place += 1
-            blocks.append(Block(path, text, min(links, len(text)), main, other, place))
+            blocks.append(Block(path, text, min(links, len(text)), main, other, place, tag == "h1"))
         buffer.clear()
         links = 0
 
@@ -212,8 +217,8 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist(rows, schema=_CONTENTS)
 
 
-_MEMBERS_DDL = "host string, article boolean, token long, parent long, is_text boolean, anchor long, chars long, path_chars long, all_chars long"
-_MEMBERS = pa.schema([("host", pa.string()), ("article", pa.bool_()), ("token", pa.int64()), ("parent", pa.int64()), ("is_text", pa.bool_()), ("anchor", pa.int64()), ("chars", pa.int64()), ("path_chars", pa.int64()), ("all_chars", pa.int64())])
+_MEMBERS_DDL = "host string, article boolean, token long, parent long, is_text boolean, anchor long, chars long, path_chars long, all_chars long, main long"
+_MEMBERS = pa.schema([("host", pa.string()), ("article", pa.bool_()), ("token", pa.int64()), ("parent", pa.int64()), ("is_text", pa.bool_()), ("anchor", pa.int64()), ("chars", pa.int64()), ("path_chars", pa.int64()), ("all_chars", pa.int64()), ("main", pa.int64())])
 
 
 def nest(tokens: list[dict], article: bool) -> list[tuple]:
@@ -233,16 +238,42 @@ def nest(tokens: list[dict], article: bool) -> list[tuple]:
     return found
 
 
+def main_element(tokens: list[dict]) -> int | None:
+    """The path below which at least DOMINANT of the text lies that is neither linked nor on half of the pages; none if that is the root."""
+    elements = {t["token"]: t for t in tokens if not t["is_text"]}
+    weight = {x: max(0, t["chars"] - t["links"]) for x, t in elements.items() if x != ROOT}
+    for t in tokens:
+        if t["is_text"] and 2 * t["pages"] >= elements[ROOT]["pages"] and t["parent"] in weight:
+            weight[t["parent"]] -= max(0, t["chars"] - t["links"])
+    below: dict[int, int] = {}
+    for x, w in weight.items():
+        while x != ROOT and x in elements:
+            below[x] = below.get(x, 0) + max(0, w)
+            x = elements[x]["parent"]
+    total = sum(max(0, w) for w in weight.values())
+    containers: dict[int, list] = {}
+    parents = {t["parent"] for x, t in elements.items() if x != ROOT}
+    for x in parents & below.keys():
+        containers.setdefault(elements[x]["parent"], []).append(x)
+    at = ROOT
+    while (inside := max(containers.get(at, []), key=lambda x: (below[x], x), default=None)) is not None and below[inside] >= DOMINANT * total > 0:
+        at = inside
+    return None if at == ROOT else at
+
+
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tokens of the template's classes; on hosts that mark no article also a row with the main element."""
     for batch in batches:
         for host, article, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            found = [(host, article, *x) for x in nest(tokens, article)]
+            found = [(host, article, *x, None) for x in nest(tokens, article)]
+            if not article and (main := main_element(tokens)) is not None:
+                found.append((host, article, None, None, False, None, None, None, None, main))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), _MEMBERS, strict=True)], schema=_MEMBERS)
 
 
 def deduce(pages: DataFrame) -> DataFrame:
-    """A row for each host: host, template_text (text tokens of its template) and link_lists (paths that are lists of links); stored.
+    """A row for each host: host, template_text (text tokens of its template), link_lists (paths that are lists of links) and main_path (the main element of pages that mark no article); stored.
 
     pages: host and html.
     """
@@ -254,8 +285,9 @@ def deduce(pages: DataFrame) -> DataFrame:
     roots = sums.filter("token = 0").select(F.col("host").alias("_host"), F.col("article").alias("_article"), F.col("pages").alias("_pages"))
     frequent = sums.join(roots, (F.col("host") == F.col("_host")) & (F.col("article") == F.col("_article"))).filter(F.col("pages") >= SUPPORT * F.col("_pages"))
     # at most 1 / SUPPORT times the tokens of a page for each host
-    listed = frequent.filter(F.col("_pages") >= LEAST_PAGES).groupBy("host", "article").agg(F.collect_list(F.struct("token", "parent", "is_text", "pages", "print", "chars")).alias("tokens"))
-    members = stored(listed.mapInArrow(_members, _MEMBERS_DDL), "members")
+    listed = frequent.filter(F.col("_pages") >= LEAST_PAGES).groupBy("host", "article").agg(F.collect_list(F.struct("token", "parent", "is_text", "pages", "print", "chars", "links")).alias("tokens"))
+    found = stored(listed.mapInArrow(_members, _MEMBERS_DDL), "members")
+    members, mains = found.filter("main IS NULL").drop("main"), found.filter("main IS NOT NULL").select("host", "main")
     # the order of a group's tokens in each page
     group = small(members.select(F.col("host").alias("_host"), F.col("article").alias("_article"), F.col("token").alias("_token"), "anchor"), BROADCAST)
     places = items.join(group, (F.col("host") == F.col("_host")) & (F.col("article") == F.col("_article")) & (F.col("token") == F.col("_token")))
@@ -268,15 +300,29 @@ def deduce(pages: DataFrame) -> DataFrame:
     fixed = fixed.withColumn("_here", F.sum("chars").over(Window.partitionBy("host", "article", "parent"))).withColumn("_there", F.sum("chars").over(Window.partitionBy("host", "article")))
     fixed = fixed.filter(F.when(F.col("article"), F.col("_there") * 2 < F.col("all_chars")).otherwise((F.col("_here") * 2 < F.col("path_chars")) | (F.col("_here") == F.col("path_chars"))))
     lists = frequent.filter((F.col("token") != ROOT) & ~F.col("is_text") & ~F.col("article") & (F.col("chars") > 0) & (F.col("links") >= LINKS * F.col("chars")))
-    found = fixed.select("host", F.col("token").alias("text"), F.lit(None).cast("long").alias("list")).unionByName(lists.select("host", F.lit(None).cast("long").alias("text"), F.col("token").alias("list")))
-    return stored(found.groupBy("host").agg(F.collect_list("text").alias("template_text"), F.collect_list("list").alias("link_lists")), "templates")
+    none = F.lit(None).cast("long")
+    found = fixed.select("host", F.col("token").alias("text"), none.alias("list"), none.alias("main"))
+    found = found.unionByName(lists.select("host", none.alias("text"), F.col("token").alias("list"), none.alias("main"))).unionByName(mains.select("host", none.alias("text"), none.alias("list"), "main"))
+    return stored(found.groupBy("host").agg(F.collect_list("text").alias("template_text"), F.collect_list("list").alias("link_lists"), F.max("main").alias("main_path")), "templates")
 
 
-def main_text(html: str | None, template_text=(), link_lists=()) -> str:
-    blocks, _ = parse(html)
+def main_text(html: str | None, template_text=(), link_lists=(), main_path: int | None = None) -> str:
+    blocks, paths = parse(html)
     own = slots(blocks)
     lists, fixed = frozenset(link_lists or ()), frozenset(template_text or ())
-    return " ".join(b.text for b in own if (b.main or b.path not in lists) and (not fixed or text_token(b) not in fixed))
+    inside: dict[int, bool] = {ROOT: False}
+
+    def is_inside(path: int) -> bool:
+        way = []
+        while path not in inside and path != main_path:
+            way.append(path)
+            path = paths[path][0]
+        found = path == main_path or inside[path]
+        inside.update(dict.fromkeys(way, found))
+        return found
+
+    chosen = main_path in paths
+    return " ".join(b.text for b in own if (b.main or b.path not in lists and (not chosen or b.heading or is_inside(b.path))) and (not fixed or text_token(b) not in fixed))
 
 
 _OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
@@ -286,18 +332,18 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, 512):
             part = batch.slice(start, 512)
-            texts = [main_text(html.as_py(), fixed, lists) for html, fixed, lists in zip(part.column(2), part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)]
+            texts = [main_text(html.as_py(), *template) for html, *template in zip(part.column(2), *(part.column(i).to_pylist() for i in (3, 4, 5)), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=_OUT)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row.
 
-    Null html and html without article text give an empty text. Pages whose url has no host (null included) share one template. Repeated rows
-    give a row each. Other columns are ignored; no rows give no rows.
+    Null html and html without article text give an empty text. Pages whose url has no host (null included) have no template. Repeated rows
+    give a row each. Other columns are ignored; no rows give no rows. A very long page is parsed whole by one task.
     """
     host, _ = host_and_path(F.col("url"))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), "html")
-    templates = deduce(pages).withColumnRenamed("host", "_host")
+    templates = deduce(pages.filter("host <> ''")).withColumnRenamed("host", "_host")
     joined = pages.join(small(templates, BROADCAST), F.col("host") == F.col("_host"), "left")
-    return joined.select("page_id", "url", "html", "template_text", "link_lists").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "template_text", "link_lists", "main_path").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
