@@ -35,7 +35,7 @@ PLACED = 5000
 #: Added to each count.
 SMOOTH = 0.1
 #: Distinct words counted before a task passes them on; sequences and tokens of a batch of the recursion.
-HELD, ROWS, TOKENS = 200_000, 512, 400_000
+HELD, ROWS, TOKENS = 200_000, 1024, 400_000
 END = 0
 
 
@@ -72,6 +72,8 @@ class Classes:
 
     def __init__(self, frequent: list[bytes]):
         self.n = 1 + TAILS + len(frequent)
+        if self.n > 1 << 16:
+            raise ValueError("class numbers have 16 bits: take fewer frequent words")
         self.of = {w: 1 + TAILS + i for i, w in enumerate(frequent)}
 
     def sequence(self, words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
@@ -134,49 +136,79 @@ def _blocks(seqs: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, np.
         yield part, x, np.array([len(seqs[i]) for i in part])
 
 
-def forward(model: dict, x: np.ndarray, lengths: np.ndarray, keep: bool = False):
-    """Natural log likelihood of each column; with keep also the scaled forward values, the scales and the rows running at each step.
+def _ahead(model: dict, x: np.ndarray, running: np.ndarray, first: int, last: int, alpha: np.ndarray | None, total: np.ndarray | None):
+    """The scaled forward recursion (states first, rows last) from step first up to last, from the values of the step before. Adds logs of
+    the scales to total. Returns the emissions, values and scales of these steps.
 
     A step may hold a class that no state emits only if the model was not smoothed; smoothed models give every class some probability.
     """
-    start, move, emit = model["start"], model["move"], model["emit"]
-    running = np.searchsorted(-lengths, -np.arange(len(x)), side="left")  # rows with length > t
-    total, alphas, scales = np.zeros(x.shape[1]), [], []
-    alpha = None
-    for t in range(len(x)):
+    emitted = np.ascontiguousarray(model["emit"][x[first:last]].transpose(0, 2, 1))
+    move, alphas, scales = np.ascontiguousarray(model["move"].T), [], []
+    for t in range(first, last):
         r = running[t]
-        now = emit[x[t, :r]]
-        alpha = (start * now) if t == 0 else (alpha[:r] @ move) * now
-        c = alpha.sum(axis=1)
-        alpha /= c[:, None]
-        total[:r] += np.log(c)
-        if keep:
-            alphas.append(alpha)
-            scales.append(c)
-    return (total, alphas, scales, running) if keep else total
+        now = emitted[t - first, :, :r]
+        alpha = model["start"][:, None] * now if alpha is None else (move @ alpha[:, :r]) * now
+        c = alpha.sum(axis=0)
+        alpha /= c
+        alphas.append(alpha)
+        scales.append(c)
+    if total is not None:
+        for t, c in zip(range(first, last), scales, strict=True):
+            total[: running[t]] += np.log(c)
+    return emitted, alphas, scales
+
+
+def _cuts(x: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of steps that hold about TOKENS tokens, so that a very long text is never held with all its values."""
+    step = max(1, TOKENS // x.shape[1])
+    return [(t, min(len(x), t + step)) for t in range(0, len(x), step)]
+
+
+def _running(x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Rows that are longer than each step."""
+    return np.searchsorted(-lengths, -np.arange(len(x)), side="left")
+
+
+def forward(model: dict, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Natural log likelihood of each column."""
+    running, total, alpha = _running(x, lengths), np.zeros(x.shape[1]), None
+    for first, last in _cuts(x):
+        alpha = _ahead(model, x, running, first, last, alpha, total)[1][-1]
+    return total
 
 
 def expected(model: dict, seqs: list[np.ndarray], sums: dict) -> None:
-    """Adds the expected counts of starts, moves and emissions over these sequences to sums."""
-    move, emit, k = model["move"], model["emit"], len(model["start"])
+    """Adds the expected counts of starts, moves and emissions over these sequences to sums.
+
+    Texts of more than one run of steps are gone through twice: first the values at the ends of runs are kept, then, from the last run on,
+    each run's values are made again for its backward pass.
+    """
+    move, k = model["move"], len(model["start"])
     for _, x, lengths in _blocks(seqs):
-        total, alphas, scales, running = forward(model, x, lengths, keep=True)
+        running, total, cuts = _running(x, lengths), np.zeros(x.shape[1]), _cuts(x)
+        ends = [None]
+        for first, last in cuts[:-1]:
+            ends.append(_ahead(model, x, running, first, last, ends[-1], total)[1][-1])
+        beta, moves = np.ones((k, x.shape[1])), np.zeros((k, k))
+        for (first, last), before in zip(reversed(cuts), reversed(ends), strict=True):
+            emitted, alphas, scales = _ahead(model, x, running, first, last, before, total if last == len(x) else None)
+            gammas = []
+            for t in range(last - 1, first - 1, -1):
+                r, i = running[t], t - first
+                gammas.append(alphas[i] * beta[:, :r])
+                if t:
+                    back = emitted[i, :, :r] * beta[:, :r]
+                    back /= scales[i]
+                    moves += (alphas[i - 1] if i else before)[:, :r] @ back.T
+                    beta[:, :r] = move @ back
+            if not first:
+                sums["start"] += gammas[-1].sum(axis=1)
+            at = np.concatenate([x[t, : running[t]] for t in range(last - 1, first - 1, -1)])
+            weight = np.concatenate(gammas, axis=1)
+            for s in range(k):
+                sums["emit"][:, s] += np.bincount(at, weight[s], len(model["emit"]))
         sums["loglik"] += total.sum()
-        beta = np.ones((x.shape[1], k))
-        gammas, moves = [], np.zeros((k, k))
-        for t in range(len(x) - 1, -1, -1):
-            r = running[t]
-            gammas.append(alphas[t] * beta[:r])
-            if t:
-                back = emit[x[t, :r]] * beta[:r] / scales[t][:, None]
-                moves += alphas[t - 1][:r].T @ back
-                beta[:r] = back @ move.T
-        sums["start"] += gammas[-1].sum(axis=0)
         sums["move"] += moves * move
-        at = np.concatenate([x[t, : running[t]] for t in range(len(x) - 1, -1, -1)])
-        weight = np.concatenate(gammas)
-        for s in range(k):
-            sums["emit"][:, s] += np.bincount(at, weight[:, s], len(emit))
 
 
 def _zero(n: int, k: int) -> dict:
@@ -318,7 +350,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state
 
     Null texts are empty: they have the end only. Ids count only for the fold (a null id as the empty text); repeated rows are scored and learned
     each. The end counts as known if any text was learned. Without training rows every token has the base probability of an unseen one and
-    the model is uniform. Other columns are ignored; no rows give no rows.
+    the model is uniform. Other columns are ignored; no rows give no rows. A very long text is one sequence in one task, whose values are held a run
+    of steps at a time.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", is_held_out("doc_id", 10, 0))

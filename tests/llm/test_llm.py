@@ -97,6 +97,49 @@ def test_baum_welch_never_loses():
     assert all(a <= b + 1e-9 for a, b in zip(seen, seen[1:], strict=False))
 
 
+def test_baum_welch_in_runs_of_steps(monkeypatch):
+    m, rnd = small_model(), random.Random(4)
+    seqs = [np.array([*rnd.choices((1, 2), k=rnd.randrange(30)), 0], np.uint16) for _ in range(9)]
+    found = []
+    for tokens, rows in ((400_000, 512), (7, 512), (7, 2), (1, 1)):
+        monkeypatch.setattr(hmm_lm, "TOKENS", tokens)
+        monkeypatch.setattr(hmm_lm, "ROWS", rows)
+        hmm_lm.expected(m, seqs, sums := hmm_lm._zero(3, 2))
+        score = np.zeros(len(seqs))
+        for places, x, lengths in hmm_lm._blocks(seqs):
+            score[places] = hmm_lm.forward(m, x, lengths)
+        found.append(np.concatenate([[sums["loglik"]], sums["start"], sums["move"].ravel(), sums["emit"].ravel(), score]))
+    assert all(f == pytest.approx(found[0]) for f in found[1:])
+
+
+def test_training_and_score_against_one_process(spark):
+    rnd, frequent, states, rounds = random.Random(6), 4, 2, 3
+    docs = [(i, " ".join(rnd.choices("the of in le la de und die a1 b2 c3 zz".split(), weights=range(12, 0, -1), k=rnd.randrange(7)))) for i in range(80)]
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in docs}
+    c = Counter(w for i, t in docs if not held[i] for w in words(t))
+    spread = Counter(c.values())
+    cut = min((n for n in spread if sum(m for k, m in spread.items() if k >= n) <= frequent), default=10**9)
+    top = sorted((w for w in c if c[w] >= cut), key=lambda w: (-c[w], w))
+    rare = {w: 1 + hmm_lm.tail_class(w) for w in {w for _, t in docs for w in words(t)} - set(top)}
+    of = {w: 1 + hmm_lm.TAILS + i for i, w in enumerate(top)} | rare
+    seq = {i: np.array([*(of[w] for w in words(t)), 0], np.uint16) for i, t in docs}
+    learned = [seq[i] for i, _ in docs if not held[i]]
+    n = 1 + hmm_lm.TAILS + len(top)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(learned))), pa.array([s.tobytes() for s in learned])], ["row", "classes"])
+    parts = next(hmm_lm._company(n, hmm_lm.ANCHORS)(iter([batch])))
+    model = hmm_lm.first_model(np.concatenate([np.array(p) for p in parts.column(1).to_pylist()]).reshape(n, -1), states, n)
+    for _ in range(rounds):
+        hmm_lm.expected(model, learned, sums := hmm_lm._zero(n, states))
+        model = hmm_lm.next_model(sums)
+    room = {k: (sum(c[w] for w in rare if rare[w] == k), sum(c[w] > 0 for w in rare if rare[w] == k)) for k in set(rare.values())}
+    got = {r["doc_id"]: r["score"] for r in hmm_lm.score(frame(spark, docs).repartition(3), states=states, frequent=frequent, rounds=rounds).collect()}
+    for i, t in docs:
+        share = sum(math.log10((c[w] + 0.1) / (room[rare[w]][0] + 0.1 * (room[rare[w]][1] + 1))) for w in words(t) if w in rare)
+        assert got[i] == pytest.approx(by_paths(model, seq[i]) / math.log(10) + share, rel=1e-4)
+
+
 # ---- 2
 
 
@@ -249,6 +292,46 @@ def test_language(spark):
     assert {r["lang_pred"] for r in language_id.predict(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def backoff(learned, text):
+    """Language and share of the likelihood, straight from the rule."""
+    import re
+
+    cut = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    pieces = lambda w, n: [w[i : i + n] for i in range(len(w) - n + 1)]
+    langs = sorted({lang for lang, _ in learned})
+    n_of = {(lang, k): Counter() for lang in langs for k in range(5)}
+    for lang, t in learned:
+        for w in cut(t):
+            n_of[lang, 0][w] += 1
+            for k in range(1, 5):
+                n_of[lang, k].update(pieces(w if k == 1 else f" {w} ", k))
+    log = lambda lang, k, g: math.log10(n_of[lang, k][g] / sum(n_of[lang, k].values())) if n_of[lang, k][g] else -7.0
+    known = lambda k, g: any(n_of[lang, k][g] for lang in langs)
+    total = dict.fromkeys(langs, 0.0)
+    for w in cut(text):
+        use = [(0, w)] if known(0, w) else next((u for k in (4, 3, 2, 1) if (u := [(k, g) for g in pieces(w if k == 1 else f" {w} ", k) if known(k, g)])), [])
+        for lang in langs:
+            total[lang] += sum(log(lang, k, g) for k, g in use) / max(1, len(use))
+    best = max(langs, key=lambda lang: total[lang])
+    return best, 1 / sum(10 ** (x - total[best]) for x in total.values())
+
+
+def test_language_against_brute_force(spark):
+    rnd = random.Random(5)
+    parts = {"en": ["th", "ing", "er", "and", "st"], "de": ["sch", "ung", "er", "und", "st"], "fr": ["eau", "que", "er", "et", "st"]}
+    text = lambda lang, n: " ".join("".join(rnd.choices(parts[lang] if rnd.random() < 0.8 else parts["en"], k=rnd.randrange(1, 4))) for _ in range(n))
+    rows = [(i, text(lang := rnd.choice(list(parts)), rnd.randrange(1, 9)), lang, "s", 1) for i in range(120)]
+    rows += [(7, "Schung QUE Xy", "de", "s", 1)] * 3 + [(200, text("fr", 20_000), "fr", "s", 1), (201, "", "fr", "s", 1), (202, None, "fr", "s", 1), (203, "zzz", "fr", None, 1), (203, "qqq ing", None, None, 1)]
+    df = frame(spark, []).limit(0).select(*DDL.replace(",", "").split()[::2]).unionByName(spark.createDataFrame(rows, DDL)).withColumn("lang_pred", F.lit("clash")).withColumn("n", F.lit(0))
+    learned = [(r[2], r[1]) for r in rows if r[1] is not None and r[2] is not None and zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    want = Counter((i, backoff(learned, t)[0] if t and any(map(str.isalpha, t)) else "und") for i, t, *_ in rows)
+    got = language_id.predict(df).collect()
+    assert Counter((r["doc_id"], r["lang_pred"]) for r in got) == want
+    share = {(i, backoff(learned, t)[1]) for i, t, *_ in rows if t}
+    assert all(any(j == r["doc_id"] and x == pytest.approx(r["score"], abs=1e-3) for j, x in share) for r in got if r["lang_pred"] != "und")
+    assert language_id.predict(df.limit(0)).collect() == []
+
+
 def test_backoff_is_longest_first():
     scorer = language_id.Scorer({"langs": ["a", "b"], "first": "a", "index": [{"abc": 0}, {"x": 0}, {" q": 0}, {}, {"wxyz": 0}], "rows": [np.array([[-1, -7]]), np.array([[-7, -1]]), np.array([[-1, -7]]), np.zeros((0, 2)), np.array([[-1, -7]])]})
     assert scorer("abc")[0] == "a" and scorer("wxyzx")[0] == "a" and scorer("xx")[0] == "b" and scorer("q")[0] == "a"
@@ -306,6 +389,102 @@ def test_template_of_copies(spark):
         assert extracted(spark, [page(v, i) for i, v in enumerate(versions)]) == [" ".join(v) for v in versions]
 
 
+def test_template_of_unnamed_parts(spark):
+    """Pages that mark no article and whose class words are of another language."""
+    rnd = random.Random(9)
+    words = lambda n: " ".join(rnd.choices("der die das und von mit nicht ein zu im".split(), k=n))
+    own = [[words(rnd.randrange(20, 60)) for _ in range(rnd.randrange(1, 5))] for _ in range(24)]
+
+    def page(i, title="h1"):
+        links = "".join(f"<li><a href=/{i}>{words(2)}</a></li>" for _ in range(4))
+        said = "".join(f"<div class=stimme><p>{words(3)}</p></div>" for _ in range(i % 3))
+        return f"<body><div class=kopf><ul>{links}</ul></div><div class=hinweis><p>Wir nutzen Kekse</p></div><{title}>Titel {i}</{title}><div class=inhalt><div class=stück>{''.join(f'<p>{t}</p>' for t in own[i])}</div></div><div class=meinungen>{said}</div><div class=fuß>Impressum {words(2)}</div></body>"
+
+    assert extracted(spark, [page(i) for i in range(24)], "http://eins.de/x") == [" ".join([f"Titel {i}", *own[i]]) for i in range(24)]
+    # a page without that part keeps its text
+    rows = extracted(spark, [*[page(i) for i in range(24)], "<body><p>ganz anders</p></body>"], "http://eins.de/x")
+    assert rows[24] == "ganz anders"
+    # twice each, and pages without a host beside them: as before, and a page without a host has no template
+    pages = [(i, "http://eins.de/x", page(i % 24)) for i in range(48)] + [(100 + i, None, page(i)) for i in range(24)]
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == got[i + 24] for i in range(24)) and "Kekse" in got[100] and not any("Kekse" in got[i] or "Impressum" in got[i] for i in range(48))
+
+
+def deduced(pages):
+    """Text of a host's template, from occurrence vectors over its different pages, as (path, text)."""
+    found = set()
+    for article in (True, False):
+        each = {}
+        for html in pages:
+            blocks, paths = html_extraction.parse(html)
+            own = html_extraction.slots(blocks)
+            if own and own[0].main == article:
+                each.setdefault(tuple((b.path, b.text) for b in own), (own, paths))
+        places, chars, parent = {}, Counter(), {}
+        for page, (own, paths) in each.items():
+            places["", page] = [0]
+            for b in own:
+                token = (b.path, b.text)
+                parent[token] = b.path
+                places.setdefault((token, page), []).append(b.at)
+                chars.update({token: len(b.text), b.path: len(b.text), "": len(b.text)})
+                path = b.path
+                while path != html_extraction.ROOT:
+                    parent[path] = paths[path][0]
+                    places[path, page] = paths[path][1]
+                    path = parent[path]
+        tokens = {t for t, _ in places}
+        vector = {t: tuple(len(places.get((t, p), ())) for p in each) for t in tokens}
+        seen = {t: sum(map(bool, v)) for t, v in vector.items()}
+        common = {t for t in tokens if max(html_extraction.LEAST_PAGES, html_extraction.SUPPORT * len(each)) <= seen[t]}
+        up = lambda t: "" if t == "" or parent[t] == html_extraction.ROOT else parent[t]  # noqa: B023, E731
+        anchor = {}
+        for t in common - {""}:
+            a = up(t)
+            while a != "" and vector[a] != vector[t]:
+                a = up(a)
+            if vector[a] == vector[t] and (not article or vector[t] == vector[""]):
+                anchor[t] = a
+        for a in set(anchor.values()):
+            group = [t for t in anchor if anchor[t] == a]
+            orders = []
+            for p in each:
+                if order := [t for _, t in sorted((x, str(t)) for t in group for x in places.get((t, p), ()))]:
+                    k = len(set(order))
+                    orders.append(tuple(order[:k]) if order == order[:k] * (len(order) // k) else None)
+            if None not in orders and len(set(orders)) == 1:
+                found |= {(article, t) for t in group if isinstance(t, tuple)}
+        mine = {t for kind, t in found if kind == article}
+        for t in mine:
+            here, whole = sum(chars[x] for x in mine if x[0] == t[0]), sum(chars[x] for x in mine)
+            if not (2 * whole < chars[""] if article else 2 * here < chars[t[0]] or here == chars[t[0]]):
+                found.discard((article, t))
+    return {html_extraction._hash("text", *t) for _, t in found}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_deduction_against_brute_force(spark, seed):
+    rnd, hosts = random.Random(seed), {}
+    for host in ("a.com", "b.com", "c.com"):
+        tags = [rnd.choice(("div", "section", "ul")) for _ in range(4)]
+        fixed = [f"fixed {k}" for k in range(6)]
+
+        def page(i, tags=tags, fixed=fixed):
+            part = lambda k: f"<{tags[k]}><p>{fixed[k]}</p><p>own {rnd.randrange(400)} words of page {i}</p>{f'<p>{fixed[5]}</p>' * (i % 3)}</{tags[k]}>"
+            parts = [part(k) * (1 + (i % 4 == 0) * (k == 2)) for k in range(4) if k != 3 or i % 2]
+            if seed == 2 and i % 2:
+                parts[:2] = parts[1::-1]
+            body = "".join(parts)
+            return f"<body>{f'<article>{body}</article>' if rnd.random() < seed / 2 else body}</body>"
+
+        pages = [page(i) for i in range(rnd.randrange(24, 40))]
+        hosts[host] = pages + pages[:5] + [None, ""]
+    df = spark.createDataFrame([(h, p) for h, pages in hosts.items() for p in pages], "host string, html string")
+    got = {r["host"]: set(r["template_text"]) for r in html_extraction.deduce(df).collect()}
+    want = {h: deduced(pages) for h, pages in hosts.items()}
+    assert any(want.values()) and all(got.get(h, set()) == x for h, x in want.items())
+
+
 # ---- 7
 
 
