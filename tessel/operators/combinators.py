@@ -61,13 +61,20 @@ def rank_position_score(df: DataFrame, *order: Column, name: str = "score") -> D
     return df.withColumn(name, 1.0 - (F.row_number().over(Window.orderBy(*order)) - 1) / F.count("*").over(everything))
 
 
-def budgeted_tiers(df: DataFrame, core: Column, usable: Column, first: int, rest: int, *order: Column, name: str = "tier") -> DataFrame:
-    """Tiers of ranked rows: core ones up to first, usable ones up to rest, then others up to rest; what is beyond all has a null tier."""
-    ranked = df.withColumn("_core", core).withColumn("_usable", usable)
+def budgeted_tiers(df: DataFrame, key: str, core: Column, usable: Column, first: int, rest: int, *order: Column, name: str = "tier") -> DataFrame:
+    """Tiers of ranked rows: core ones up to first, usable ones up to rest, then others up to rest; what is beyond all has a null tier.
+
+    key and order are unique. Rows with a tier are among the first of their kind, which three top-k scans find; only those few are ranked by windows
+    and joined back.
+    """
+    every = df.withColumn("_core", core).withColumn("_usable", usable)
+    some = lambda rows, k: rows.orderBy(*order).limit(k)
+    ranked = some(every.filter("_core"), first).unionByName(some(every.filter("_usable"), first + rest)).unionByName(some(every, first + 2 * rest)).dropDuplicates([key])
     w = Window.partitionBy("_core").orderBy(*order)
     ranked = ranked.withColumn("_must", F.col("_core") & (F.row_number().over(w) <= first))
     ranked = ranked.withColumn("_should", ~F.col("_must") & F.col("_usable") & (F.row_number().over(Window.partitionBy("_must", "_usable").orderBy(*order)) <= rest))
     left = ~F.col("_must") & ~F.col("_should")
     ranked = ranked.withColumn("_ignored", left & (F.row_number().over(Window.partitionBy("_must", "_should").orderBy(*order)) <= rest))
     tier = F.when(F.col("_must"), "mustRead").when(F.col("_should"), "shouldInspect").when(F.col("_ignored"), "ignoreForNow")
-    return ranked.withColumn(name, tier).drop("_core", "_usable", "_must", "_should", "_ignored")
+    found = F.broadcast(ranked.select(F.col(key).alias("_key"), tier.alias(name)))  # at most 2 * first + 3 * rest rows
+    return df.join(found, df[key] == F.col("_key"), "left").drop("_key")

@@ -132,9 +132,19 @@ def why_related(targets: DataFrame, task: str, symbols: DataFrame, routes: DataF
     return targets.join(every, "target", "left").select("target", F.round(F.least(F.lit(1.0), F.coalesce("s", F.lit(0.0)) / 2), 2).alias("score"), "evidence")
 
 
-def module_map(modules: DataFrame, files: DataFrame, edges: DataFrame, tests: DataFrame, k: int = 30) -> DataFrame:
-    """Modules (name, root) with their core files, what they depend on, what depends on them, and their tests."""
-    inside = files.join(modules.select("name", "root"), F.col("path").startswith(F.concat("root", F.lit("/")))).select("root", "path")
+def folders(path: Column) -> Column:
+    """All folders above a path."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+
+
+def module_map(modules: DataFrame, files: DataFrame, edges: DataFrame, tests: DataFrame, k: int = 30, entries: DataFrame | None = None, risks: DataFrame | None = None, scope: str | None = None) -> DataFrame:
+    """Modules (name, root) with their core files, what they depend on, what depends on them, their tests and, where given, entry points (entries: path,
+    symbol) and files with duplicates (risks: path). scope is a part of a root or name. Files meet modules by their folders, an equi-join."""
+    if scope:
+        modules = modules.filter(F.lower("root").contains(scope.lower()) | F.lower("name").contains(scope.lower()))
+    roots = modules.select("root").distinct()
+    inside = files.select("path", F.explode(folders(F.col("path"))).alias("root")).filter(F.col("path") != F.col("root")).join(roots, "root", "left_semi").select("root", "path")
     top = lambda df, col, n: df.groupBy("root").agg(F.slice(F.array_sort(F.collect_set(col)), 1, n).alias(col))
     core = top(inside.withColumnRenamed("path", "core_files"), "core_files", 12)
     links = edges.filter("kind = 'imports'").select("from_key", "to_key")
@@ -144,8 +154,12 @@ def module_map(modules: DataFrame, files: DataFrame, edges: DataFrame, tests: Da
     deps = top(out.withColumnRenamed("to_key", "depends_on"), "depends_on", 20)
     users = top(back.withColumnRenamed("from_key", "used_by"), "used_by", 20)
     own = top(tests.join(here, F.col("target_path") == F.col("path")).withColumnRenamed("test_path", "tests"), "tests", 12)
-    joined = modules.select("name", "root", "type")
-    for part in (core, deps, users, own):
+    joined, parts = modules.select("name", "root", "type"), [core, deps, users, own]
+    if entries is not None:
+        parts.append(top(entries.join(here, "path").select("root", F.col("symbol").alias("entrypoints")), "entrypoints", 12))
+    if risks is not None:
+        parts.append(top(risks.select("path").distinct().join(here, "path").select("root", F.col("path").alias("duplicate_risks")), "duplicate_risks", 12))
+    for part in parts:
         joined = joined.join(part, "root", "left")
     return joined.orderBy("name", "root").limit(k)
 
@@ -158,7 +172,7 @@ def read_order(task: str, hits: DataFrame, k: int = 15) -> DataFrame:
     scored = hits.withColumn("score", clamp(F.col("score") * 0.55 + module_proximity(intent, path) * 0.4 - noise_penalty(intent, path) - penalty, 0.99))
     noise = noise_penalty(intent, path) >= 0.35
     core = (F.col("score") >= 0.72) & ~noise & ~test & ((module_proximity(intent, path) >= 0.55) | F.lower(path).rlike("route"))
-    return budgeted_tiers(scored, core, ~noise, 5, k, F.desc("score"), path).filter("tier IS NOT NULL")
+    return budgeted_tiers(scored, "path", core, ~noise, 5, k, F.desc("score"), path).filter("tier IS NOT NULL")
 
 
 STRONG = "route_match|route_builds_page|page_composes_widget|widget_composes_widget|direct_target|reuse_verdict"
@@ -180,8 +194,8 @@ def must_read(task: str, candidates: DataFrame, budget: int = 5) -> DataFrame:
     noisy = ~forced & ((is_noisy_path(intent, F.col("path")) & ~direct) | test_noise)
     rows = merged.select("*", tier.alias("dependency_tier"), enough.alias("_enough"), test_noise.alias("_test"), noisy.alias("_noisy"))
     fits = ~F.col("_noisy") & (F.col("dependency_tier") == "core_implementation") & ((F.col("score") >= 0.72) | strong | forced) & F.col("_enough")
-    rows = rows.withColumn("_fits", fits).withColumn("_n", F.row_number().over(Window.partitionBy("_fits").orderBy(F.desc("score"), "path")))
-    rows = rows.withColumn("selected", F.col("_fits") & (F.col("_n") <= budget))
+    chosen = F.broadcast(rows.filter(fits).orderBy(F.desc("score"), "path").limit(budget).select(F.col("path").alias("_chosen")))  # budget rows
+    rows = rows.join(chosen, F.col("path") == F.col("_chosen"), "left").withColumn("selected", F.col("_chosen").isNotNull())
     why = suppression(intent, F.col("path"), F.col("dependency_tier"), F.col("_test"), F.col("_noisy"), F.col("_enough"))
     return rows.withColumn("_w", F.when(~F.col("selected"), why)).select("path", "score", "evidence", "dependency_tier", "selected", F.col("_w.reason").alias("reason"), F.col("_w.goes_to").alias("goes_to"))
 

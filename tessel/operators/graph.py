@@ -28,7 +28,7 @@ def traverse(edges: DataFrame, seeds: DataFrame, direction: str = "downstream",
 
     A node counts where it is first reached; of several ways of that length the best score wins, then confidence, then the smallest parent. Along an
     edge score is multiplied by its kind's weight and min(2, weight), confidence by its confidence. Each step is one join and one aggregation,
-    checkpointed in the shared folder; depth is small and known, so the number of jobs is too.
+    checkpointed in the shared folder (cached where there is none); depth is small and known, so the number of jobs is too.
     """
     steps = oriented(edges, direction).withColumn("_w", kind_weight(F.col("kind")) * F.least(F.lit(2.0), F.col("weight")))
     seen = seeds.select("node", F.lit(0).alias("distance"), F.lit(1.0).alias("score"), F.lit(1.0).alias("confidence"), F.array("node").alias("chain")).dropDuplicates(["node"])
@@ -41,7 +41,7 @@ def traverse(edges: DataFrame, seeds: DataFrame, direction: str = "downstream",
         rest = F.struct("distance", "score", "confidence", "chain")
         best = new.groupBy("node").agg(F.min_by(rest, F.struct(-F.col("score"), -F.col("confidence"), F.col("_parent"))).alias("r"))
         front = best.select("node", "r.distance", "r.score", "r.confidence", "r.chain")
-        front = front.checkpoint() if cuts else front
+        front = front.checkpoint() if cuts else front.persist()
         seen = seen.unionByName(front)
     out = seen.filter("distance > 0")
     return out.orderBy(F.desc("score"), "distance", "node").limit(limit) if limit else out

@@ -59,8 +59,8 @@ def stem(path: Column) -> Column:
 def test_targets(files: DataFrame) -> DataFrame:
     """test_path, target_path, command and confidence: the source file of the same stem (0.9), else the first whose path holds it (0.55).
 
-    Exact stems are an equi-join. Only tests without one are matched by substring, against sources reduced to their path; both sides are parts of one file
-    catalog, and the test side is what the first join left over.
+    Exact stems are an equi-join. Only tests without one are matched by substring: a test meets the sources whose path has the rarest of its name's runs
+    of three characters (fewer for shorter names), which is an equi-join too.
     """
     tests = files.filter(is_test_path(F.col("path"))).select(F.col("path").alias("test_path"))
     name = F.regexp_replace(F.regexp_replace(F.regexp_replace(base_name(F.col("test_path")), r"(_test|\.test|\.spec)\.[^.]+$", ""), r"\.[^.]+$", ""), "^test_", "")
@@ -68,7 +68,14 @@ def test_targets(files: DataFrame) -> DataFrame:
     sources = files.filter(~is_test_path(F.col("path"))).select("path", stem(F.col("path")).alias("_stem"))
     exact = tests.join(sources, F.col("_name") == F.col("_stem")).groupBy("test_path").agg(F.min("path").alias("target_path")).withColumn("confidence", F.lit(0.9))
     rest = tests.join(exact.select("test_path"), "test_path", "left_anti").filter(F.length("_name") > 0)
-    loose = rest.join(sources, F.lower("path").contains(F.lower("_name"))).groupBy("test_path").agg(F.min("path").alias("target_path")).withColumn("confidence", F.lit(0.55))
+    runs = lambda text, n: F.when(F.length(text) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+    low = F.lower("path")
+    grams = sources.select("path", F.explode(F.concat(runs(low, 1), runs(low, 2), runs(low, 3))).alias("_gram"))
+    name = F.lower("_name")
+    own = F.when(F.length(name) < 3, F.array(name)).otherwise(runs(name, 3))
+    asked = rest.select("test_path", name.alias("_low"), F.explode(own).alias("_gram")).join(grams.groupBy("_gram").agg(F.count("*").alias("_n")), "_gram", "left")
+    rarest = asked.groupBy("test_path", "_low").agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"))
+    loose = rarest.join(grams, "_gram").filter(F.lower("path").contains(F.col("_low"))).groupBy("test_path").agg(F.min("path").alias("target_path")).withColumn("confidence", F.lit(0.55))
     out = exact.unionByName(loose)
     return out.select("test_path", "target_path", test_command(F.col("test_path")).alias("command"), "confidence")
 

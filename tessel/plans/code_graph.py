@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.rules import Intent, module_of
+from ..functions.rules import Intent, language_of, module_of
 from ..functions.text import call_tokens, extract_lines, fingerprint, structural_shape
-from ..operators import discovery, duplicates, extract, graph, incremental, resolve, search
+from ..operators import discovery, duplicates, extract, graph, impact, incremental, planning, resolve, search
 from ..operators.combinators import top_k
 from ..sources import documents, repo
 
@@ -137,8 +140,11 @@ def query_mode(task: str) -> str:
     return "full"
 
 
-def discover(tables: dict[str, DataFrame], task: str, k: int = 15, mode: str | None = None) -> dict[str, DataFrame]:
-    """Lazy answers of each part that the mode asks for, their fused candidates, what must be read, and the order to read in."""
+def discover(tables: dict[str, DataFrame], task: str, k: int = 15, mode: str | None = None, changed: list[str] = ()) -> dict[str, DataFrame]:
+    """Lazy answers of each part that the mode asks for, their fused candidates, what must be read, and the order to read in.
+
+    Files that a task names as changed count as evidence, and tests that cover them come first.
+    """
     parts, out = MODES[mode or query_mode(task)], {}
     rows = []
     ev = lambda df, name, score="score": df.select("path", F.col(score).alias("score"), F.array(F.lit(name)).alias("evidence"))
@@ -154,8 +160,17 @@ def discover(tables: dict[str, DataFrame], task: str, k: int = 15, mode: str | N
     if "reuse" in parts:
         out["reuse"], out["duplicate_risks"] = discovery.reuse(tables["code_blocks"], task)
         rows.append(ev(out["reuse"].filter("verdict <> 'create_new_allowed'"), "reuse_verdict", "similarity"))
+        out["reuse_clusters"] = discovery.explain_reuse(out["reuse"], cluster_members(tables))
     if "tests" in parts and "related" in out:
-        out["tests"], out["test_commands"] = discovery.related_tests(tables["tests"], tables["commands"], out["related"], [], task)
+        out["tests"], out["test_commands"] = discovery.related_tests(tables["tests"], tables["commands"], out["related"], list(changed), task)
+    if "callees" in parts:
+        starts = find_symbol(tables, task, 5).select(F.col("symbol_key").alias("node"))
+        reached = impact.trace(tables["symbol_edges"], starts, "callees", 1, 40)
+        at = tables["symbols"].select(F.col("symbol_key").alias("node"), "path", "qualified_name")
+        out["callees"] = reached.join(at, "node").select("node", "path", "qualified_name", "via")
+        rows.append(out["callees"].select("path", F.lit(0.5).alias("score"), F.array(F.lit("callee")).alias("evidence")))
+    if changed:
+        rows.append(tables["files"].filter(F.col("path").isin(*changed)).select("path", F.lit(0.9).alias("score"), F.array(F.lit("changed_file"), F.lit("direct_target")).alias("evidence")))
     fused = rows[0]
     for r in rows[1:]:
         fused = fused.unionByName(r)
@@ -164,6 +179,95 @@ def discover(tables: dict[str, DataFrame], task: str, k: int = 15, mode: str | N
     return out
 
 
+def cluster_members(tables: dict[str, DataFrame], scope: str | None = None, k: int | None = None) -> DataFrame:
+    """cluster_hash, representative, symbol_key, path and qualified_name of the members of duplicate clusters whose path or name holds scope; clusters of
+    fewer than two such members are left out, then the k largest are taken."""
+    at = tables["symbols"].select("symbol_key", "path", "qualified_name")
+    rows = tables["members"].select("cluster_hash", "representative", "symbol_key").join(at, "symbol_key")
+    if scope:
+        rows = rows.filter(F.col("path").contains(scope) | F.col("qualified_name").contains(scope))
+    sizes = rows.groupBy("cluster_hash").agg(F.count("*").alias("n")).filter("n >= 2")
+    sizes = top_k(sizes, k, F.desc("n"), F.col("cluster_hash")) if k else sizes
+    return rows.join(sizes.select("cluster_hash"), "cluster_hash", "left_semi")
+
+
+def report_impact(tables: dict[str, DataFrame], path: str, task: str) -> tuple[DataFrame, DataFrame]:
+    """The parts of what a change of one file may touch, and their report by role and risk."""
+    related = discovery.related_files(tables["files"], tables["symbols"], task)
+    entries = discovery.entrypoints(tables["routes"], tables["symbols"], tables["commands"], task)
+    parts = kept(impact.impact_parts(path, tables, related, entries, discovery.reuse(tables["code_blocks"], task)[0]))
+    return parts, impact.impact_report(parts)
+
+
+def snapshot(tables: dict[str, DataFrame]) -> DataFrame:
+    """section and row (JSON of its natural keys) of every compared section: a graph as one table that can be written, read and compared."""
+    out = None
+    for section, columns in SECTIONS.items():
+        one = tables[section].select(F.lit(section).alias("section"), F.to_json(F.struct(*[F.col(c) for c in columns]), {"ignoreNullFields": "false"}).alias("row")).distinct()
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def export_snapshot(tables: dict[str, DataFrame], path: str) -> None:
+    """The snapshot as JSON lines, a folder for each section."""
+    snapshot(tables).write.mode("overwrite").partitionBy("section").text(path)
+
+
+def query_answers(tables: dict[str, DataFrame], cases: list[dict]) -> DataFrame:
+    """case and key of the answers to questions: {id, kind, of}, with a kind of discover, impact, callers, callees or trace."""
+    spark = tables["files"].sparkSession
+    calls = tables["symbol_edges"].withColumnsRenamed({"from_symbol": "from_key", "to_symbol": "to_key"})
+    one = lambda name: tables["symbols"].filter(F.col("name") == name).select(F.col("symbol_key").alias("node"))
+    ask = {
+        "discover": lambda q: discover(tables, q, 12)["must_read"].filter("selected").select(F.concat(F.lit("must read "), "path").alias("key")),
+        "impact": lambda q: impact.change_impact(spark.createDataFrame([(q,)], "path string"), tables["bindings"], tables["symbol_edges"], tables["tests"]).select(F.concat_ws(" ", "kind", "path").alias("key")),
+        "callers": lambda q: graph.neighbours(calls, one(q), "callers").select(F.col("neighbour").alias("key")),
+        "callees": lambda q: graph.neighbours(calls, one(q), "callees").select(F.col("neighbour").alias("key")),
+        "trace": lambda q: impact.trace(tables["symbol_edges"], one(q), "callees", 3).select(F.concat_ws(" ", F.col("hop").cast("string"), "node").alias("key")),
+    }
+    out = None
+    for c in cases:
+        rows = ask[c["kind"]](c["of"]).select(F.lit(c["id"]).alias("case"), "key").distinct()
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def query_differences(left: dict[str, DataFrame], right: dict[str, DataFrame], cases: list[dict]) -> DataFrame:
+    """Answers that only one of two graphs gives: section `queries`, side, case and key."""
+    return graph.equivalence(query_answers(left, cases), query_answers(right, cases), ["case", "key"], "queries")
+
+
+def mutate(files: DataFrame, mutations: list[dict]) -> DataFrame:
+    """files after mutations: {kind: add, change, delete or rename; path; text or to}. Hash, size and language follow."""
+    out = files
+    for m in mutations:
+        path, is_it = m["path"], F.col("path") == m["path"]
+        if m["kind"] == "delete":
+            out = out.filter(~is_it)
+        elif m["kind"] == "rename":
+            out = out.withColumn("path", F.when(is_it, m["to"]).otherwise(F.col("path")))
+        elif m["kind"] == "change":
+            out = out.withColumn("text", F.when(is_it, m["text"]).otherwise(F.col("text")))
+        else:
+            new = files.sparkSession.createDataFrame([(path, "", 0, "", m["text"])], "path string, language string, size long, hash string, text string")
+            out = out.unionByName(new.select(*[F.col(c).cast(files.schema[c].dataType) for c in files.columns]))
+    return out.withColumn("language", language_of(F.col("path"))).withColumn("size", F.octet_length("text").cast("long")).withColumn("hash", F.sha1("text"))
+
+
+def check_mutations(files: DataFrame, suites: list[dict], cases: list[dict] = ()) -> DataFrame:
+    """mutation, plan, side, section and key of differences between a partial update and a full build after each suite ({id, mutations}); no rows if they agree."""
+    before, out = build(files), None
+    for s in suites:
+        after = kept(mutate(files, s["mutations"]))
+        (part, plan), full = update(before, after), build(after)
+        rows = differences(full, part).select("section", "side", "key")
+        if cases:
+            rows = rows.unionByName(query_differences(full, part, list(cases)).select("section", "side", F.concat_ws(" ", "case", "key").alias("key")))
+        rows = rows.select(F.lit(s["id"]).alias("mutation"), F.lit(plan).alias("plan"), "section", "side", "key")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 class Project:
     """A source tree and its graph: scan, update and questions, with results as small lists of dicts in one envelope."""
 
@@ -184,19 +288,44 @@ class Project:
         return self.response({"plan": plan})
 
     def response(self, data, warnings: list[str] = ()) -> dict:
-        return {"repo": self.root, "index_status": "ready" if self.store.tables() else "missing", "data": data, "warnings": list(warnings)}
-
-    def ask(self, name: str, *args, **kw) -> dict:
-        """discover, find_symbol, related, callers, callees, impact, modules, duplicates or repo_map."""
-        t = self.store.tables()
-        one = lambda key: self.spark.createDataFrame([(key,)], "node string")
+        at = datetime.now(UTC).isoformat(timespec="seconds")
+        return {"repo": self.root, "generated_at": at, "index_status": "ready" if self.store.tables() else "missing", "data": data, "warnings": list(warnings)}
+
+    def tools(self) -> dict[str, Callable[..., DataFrame]]:
+        """What can be asked, by name; each gives a lazy table in its own order."""
+        t, spark = self.store.tables(), self.spark
+        one = lambda key: spark.createDataFrame([(key,)], "node string")
+        named = lambda name: resolve.resolve_symbol(t["symbols"], name).select(F.col("symbol_key").alias("node"))
         calls = t["symbol_edges"].withColumnsRenamed({"from_symbol": "from_key", "to_symbol": "to_key"})
-        df = {
-            "find_symbol": lambda q: find_symbol(t, q), "related": lambda q: discovery.related_files(t["files"], t["symbols"], q), "callers": lambda s: graph.neighbours(calls, one(s), "callers"), "callees": lambda s: graph.neighbours(calls, one(s), "callees"),
-            "impact": lambda p, depth=2: discovery.impact(t["edges"], p, depth), "modules": lambda: discovery.module_map(t["modules"], t["files"], t["edges"], t["tests"]), "duplicates": lambda: t["clusters"], "repo_map": lambda: discovery.repo_map(t["files"], t)[0],
-            "entrypoints": lambda q: discovery.entrypoints(t["routes"], t["symbols"], t["commands"], q), "must_read": lambda q: discover(t, q)["must_read"],
-        }[name](*args, **kw)
-        return self.response([r.asDict(recursive=True) for r in df.limit(200).collect()])
+        strongest = lambda df: df.orderBy("node", F.desc("confidence"), "neighbour")
+        paths = lambda *names: spark.createDataFrame([(p,) for p in names], "path string")
+        return {
+            "status": lambda: discovery.repo_map(t["files"], t)[1], "repo_map": lambda: discovery.repo_map(t["files"], t)[0], "architecture": lambda scope=None: discovery.module_map(t["modules"], t["files"], t["edges"], t["tests"], entries=t["routes"].select(F.col("file_path").alias("path"), F.col("name").alias("symbol")), risks=cluster_members(t).select("path"), scope=scope),
+            "modules": lambda: discovery.module_map(t["modules"], t["files"], t["edges"], t["tests"]), "find_symbol": lambda q: find_symbol(t, q), "resolve_symbol": lambda name: resolve.resolve_symbol(t["symbols"], name), "related": lambda q: discovery.related_files(t["files"], t["symbols"], q),
+            "callers": lambda s: strongest(graph.neighbours(calls, one(s), "callers")), "callees": lambda s: strongest(graph.neighbours(calls, one(s), "callees")), "trace": lambda name, direction="callees", depth=2, limit=100: impact.trace(t["symbol_edges"], named(name), direction, depth, limit),
+            "impact": lambda p, depth=2: discovery.impact(t["edges"], p, depth), "impact_parts": lambda p, task="": report_impact(t, p, task)[0].orderBy("part", F.desc("score"), "path"), "impact_report": lambda p, task="": report_impact(t, p, task)[1].orderBy("role"),
+            "detect_changes": lambda *names: impact.change_impact(paths(*names), t["bindings"], t["symbol_edges"], t["tests"]).orderBy(F.desc("confidence"), "path"), "affected_callers": lambda *names: affected_callers(paths(*names), t),
+            "duplicates": lambda scope=None, k=200: cluster_members(t, scope, k).orderBy("cluster_hash", "symbol_key"), "similar": lambda key: duplicates.similar_to(t["code_blocks"], "symbol_key", "tokens", "normalized_hash", t["code_blocks"].filter(F.col("symbol_key") == key)).orderBy(F.desc("similarity"), "symbol_key"),
+            "reuse": lambda q: discovery.reuse(t["code_blocks"], q)[0], "explain_reuse": lambda q: discovery.explain_reuse(discovery.reuse(t["code_blocks"], q)[0], cluster_members(t)).orderBy("cluster_hash"), "entrypoints": lambda q: discovery.entrypoints(t["routes"], t["symbols"], t["commands"], q),
+            "trace_route": lambda q: discovery.trace_route(t["routes"], q), "trace_feature": lambda q: discovery.trace_feature(discovery.entrypoints(t["routes"], t["symbols"], t["commands"], q), t["bindings"], t["tests"]).orderBy(F.desc("score"), "path"),
+            "why": lambda q, *names: discovery.why_related(spark.createDataFrame([(p,) for p in names], "target string"), q, t["symbols"], t["routes"], t["edges"]).orderBy("target"), "tests": lambda q, *names: discovery.related_tests(t["tests"], t["commands"], discovery.related_files(t["files"], t["symbols"], q), list(names), q)[0],
+            "commands": lambda q: discovery.related_tests(t["tests"], t["commands"], discovery.related_files(t["files"], t["symbols"], q), [], q)[1], "must_read": lambda q: discover(t, q)["must_read"].orderBy(F.desc("selected"), F.desc("score"), "path"), "read_order": lambda q: discover(t, q)["read_order"].orderBy(F.desc("score"), "path"),
+            "rules": lambda q: planning.rule_relevance(q, t["rules"]).orderBy(F.desc("score"), "title", "body"), "documents": lambda: t["documents"].select("path", "title", "parse_mode", "confidence").orderBy("path"), "snapshot": lambda: snapshot(t).orderBy("section", "row"),
+        }
+
+    def ask(self, name: str, *args, most: int = 200, **kw) -> dict:
+        """The answer of one of tools() in an envelope: at most so many rows, with a warning if there are more."""
+        rows = self.tools()[name](*args, **kw).limit(most + 1).collect()
+        return self.response([r.asDict(recursive=True) for r in rows[:most]], [f"only the first {most} rows are shown"] if len(rows) > most else [])
+
+    def context(self, task, files: DataFrame | None = None) -> dict:
+        """The context of a task (plans.context.Task), rendered, in an envelope; the session is remembered in the log `sessions`."""
+        from . import context as contexts
+
+        made = contexts.prepare(self.store.tables(), task, files)
+        reads = [r["path"] for r in made["core"].select("path").orderBy("path").collect()]
+        self.store.append("sessions", planning.session_row(self.spark, made["task_id"], task.text, reads))
+        return self.response(contexts.render(made), made["warnings"])
 
 
 __all__ = ["Intent", "Project", "build", "differences", "discover", "find_symbol", "update"]

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.rules import Intent, change_plane, entrypoint_score, first_of, freshness, rule_category, suppression
+from .functions.rules import Intent, change_plane, entrypoint_score, first_of, freshness, suppression
 from .functions.text import clamp, confidence_bucket, plain_normal, score_text
 from .operators import combinators, discovery, duplicates, graph, incremental, planning, search
 from .operators.evaluation import latency_score, ratio
@@ -107,12 +107,6 @@ def similar_to_target(t):
     return duplicates.similar_to(rows, "doc_id", "w", "h", rows.orderBy("doc_id").limit(1), 0.05)
 
 
-@query("SELECT page_id, len(x) AS size, sha1('page:' || array_to_string(x, '>')) AS shape_hash FROM (SELECT page_id, regexp_extract_all(coalesce(html, ''), '<([a-z][a-z0-9]*)', 1) AS x FROM pages)")
-def structural_shape(t):
-    x = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit("<([a-z][a-z0-9]*)"), F.lit(1))
-    return t.pages.select("page_id", F.size(x).cast("long").alias("size"), F.sha1(F.concat(F.lit("page:"), F.array_join(x, ">"))).alias("shape_hash"))
-
-
 @query(r"SELECT page_id, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(coalesce(html, ''), '(?:^|[^A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_]*)\s*(?:<[^>{}]*>)?\s*\(', 1)), lambda x: NOT list_contains(['if', 'for', 'while', 'switch', 'return', 'print', 'debugPrint', 'super', 'setState', 'build'], x))), ',') AS calls FROM pages")
 def call_tokens(t):
     from .functions.text import call_tokens as calls
@@ -120,45 +114,11 @@ def call_tokens(t):
     return t.pages.select("page_id", F.array_join(F.array_sort(calls("html")), ",").alias("calls"))
 
 
-@query(r"""WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '\r?\n')) AS line FROM documents), r AS (SELECT doc_id, CASE WHEN regexp_matches(lower(line), 'test|测试') THEN 'test' WHEN regexp_matches(lower(line), 'frontend|flutter|ui') THEN 'frontend' WHEN regexp_matches(lower(line), 'backend|api|schema') THEN 'backend' WHEN regexp_matches(lower(line), 'do not|never|禁止|不要') THEN 'constraint' ELSE 'general' END AS category
-FROM l WHERE regexp_matches(line, '(?i)(^|[^A-Za-z0-9_])(must|should|never|do not|prefer|the)($|[^A-Za-z0-9_])')) SELECT category, count(*) AS n, count(DISTINCT doc_id) AS docs FROM r GROUP BY category""")
-def line_rules(t):
-    lines = t.documents.select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), r"\r?\n")).alias("line")).filter(F.col("line").rlike("(?i)(^|[^A-Za-z0-9_])(must|should|never|do not|prefer|the)($|[^A-Za-z0-9_])"))
-    return lines.groupBy(rule_category(F.col("line")).alias("category")).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
-
-
-HOST = "regexp_extract(url, '://([^/?#]*)', 1)"
-
-
-@query(f"""WITH p AS (SELECT page_id, {HOST} AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path, html FROM pages),
-l AS (SELECT DISTINCT page_id, host, unnest(regexp_extract_all(coalesce(html, ''), 'href="([^"]*)"', 1)) AS link FROM p),
-c AS (SELECT l.*, i, CASE i WHEN 0 THEN link WHEN 1 THEN link || '/' ELSE link || '.html' END AS candidate FROM l, range(3) r(i))
-SELECT l.page_id, l.link, min_by(p.page_id, c.i * 1000000000 + p.page_id) AS target_id, CASE WHEN min(p.page_id) IS NULL THEN 0.25 ELSE 0.85 END::DOUBLE AS confidence
-FROM l JOIN c USING (page_id, host, link) LEFT JOIN p ON p.host = c.host AND p.path = c.candidate GROUP BY ALL""")
-def link_bindings(t):
-    pages = t.pages.select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"), F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1).alias("path"), "html")
-    links = pages.select("page_id", "host", F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit('href="([^"]*)"'), F.lit(1)))).alias("link"))
-    tried = links.select("*", F.posexplode(F.array(F.col("link"), F.concat("link", F.lit("/")), F.concat("link", F.lit(".html")))).alias("i", "candidate"))
-    hits = tried.join(pages.select(F.col("page_id").alias("t"), F.col("host").alias("h"), "path"), (F.col("host") == F.col("h")) & (F.col("candidate") == F.col("path")))
-    best = hits.groupBy("page_id", "link").agg(F.min(F.struct("i", "t"))["t"].alias("target_id"))
-    return links.select("page_id", "link").join(best, ["page_id", "link"], "left").select("page_id", "link", "target_id", F.when(F.col("target_id").isNull(), 0.25).otherwise(0.85).alias("confidence"))
-
-
 @query(f"SELECT page_id, url, {sql_score('blog casino html', 'url')} AS score FROM pages WHERE {sql_score('blog casino html', 'url')} > 0 ORDER BY score DESC, page_id LIMIT 50")
 def route_trace(t):
     return combinators.top_k(t.pages.select("page_id", "url", score_text("blog casino html", "url").alias("score")).filter("score > 0"), 50, F.desc("score"), F.col("page_id"))
 
 
-@query("""WITH e AS (SELECT a.n_name AS name, min(b.r_name) AS target FROM nation a JOIN region b ON a.n_name = b.r_name GROUP BY 1),
-c AS (SELECT a.n_name AS name, min(b.r_name) AS target FROM nation a JOIN region b ON contains(lower(b.r_name), substr(lower(a.n_name), 1, 1)) WHERE a.n_name NOT IN (SELECT name FROM e) GROUP BY 1)
-SELECT name, target, 0.9::DOUBLE AS confidence FROM e UNION ALL SELECT name, target, 0.55::DOUBLE FROM c""")
-def test_target_match(t):
-    a, b = t.nation.select(F.col("n_name").alias("name")), t.region.select(F.col("r_name").alias("target"))
-    exact = a.join(b, F.col("name") == F.col("target")).groupBy("name").agg(F.min("target").alias("target")).withColumn("confidence", F.lit(0.9))
-    rest = a.join(exact.select("name"), "name", "left_anti").join(F.broadcast(b), F.lower("target").contains(F.substring(F.lower("name"), 1, 1)))
-    return exact.unionByName(rest.groupBy("name").agg(F.min("target").alias("target")).withColumn("confidence", F.lit(0.55)))
-
-
 @query("""WITH calls AS (SELECT DISTINCT 'o' || l_orderkey AS from_key, l_suppkey::VARCHAR AS file, l_partkey::VARCHAR AS name FROM lineitem),
 sym AS (SELECT DISTINCT 's' || l_suppkey || ':' || l_partkey AS key, l_suppkey::VARCHAR AS file, l_partkey::VARCHAR AS name FROM lineitem WHERE l_linenumber = 1),
 loc AS (SELECT name, file, min(key) AS k FROM sym GROUP BY ALL), whole AS (SELECT name, min({'file': file, 'key': key}).key AS k, count(*) AS n FROM sym GROUP BY 1)
@@ -269,11 +229,6 @@ def change_planes(t):
     return _paths(t).groupBy(change_plane(F.col("path")).alias("plane")).agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT 'mixed' AS kind, count(*) AS changes FROM {SQL_PATHS}")
-def change_kind(t):
-    return incremental.kind_of_change(incremental.planes(_paths(t), "path"))
-
-
 def sql_bm25(table: str, key: str, text: str, terms: list[str], k: int) -> str:
     tf = [f"len(list_filter(w, lambda x: x = '{t}'))" for t in terms]
     cols = ", ".join(f"{x} AS t{i}" for i, x in enumerate(tf))
@@ -360,7 +315,7 @@ def tier_read_order(t):
     intent, path = Intent.of(TASK), F.col("path")
     noise = noise_penalty(intent, path)
     rows = _paths(t).select("page_id", "path", clamp(F.lit(0.9) * 0.55 + module_proximity(intent, path) * 0.4 - noise, 0.99).alias("score"), (noise >= 0.35).alias("_noise"))
-    out = combinators.budgeted_tiers(rows, (F.col("score") >= 0.72) & ~F.col("_noise"), ~F.col("_noise"), 5, 15, F.desc("score"), path, F.col("page_id"))
+    out = combinators.budgeted_tiers(rows, "page_id", (F.col("score") >= 0.72) & ~F.col("_noise"), ~F.col("_noise"), 5, 15, F.desc("score"), path, F.col("page_id"))
     return out.filter("tier IS NOT NULL").drop("_noise")
 
 
@@ -377,20 +332,6 @@ def module_rollup(t):
     return _paths(t).select(module_of(F.col("path")).alias("m")).filter("m IS NOT NULL").groupBy(F.col("m.root").alias("module")).agg(F.count("*").alias("files"))
 
 
-@query("SELECT DISTINCT s_nationkey AS from_module, c_nationkey AS to_module FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> c_nationkey")
-def module_deps(t):
-    buyers = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
-    sellers = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "s_nationkey").distinct()
-    return sellers.join(buyers, F.col("l_orderkey") == F.col("o_orderkey")).filter("s_nationkey <> c_nationkey").select(F.col("s_nationkey").alias("from_module"), F.col("c_nationkey").alias("to_module")).distinct()
-
-
-@query(f"""WITH e AS (SELECT doc_id, {sql_score('src1 quality', 'source')} AS s FROM documents UNION ALL SELECT doc_id, 0.8::DOUBLE FROM labels WHERE quality = 1 UNION ALL SELECT doc_id, 0.5::DOUBLE FROM labels WHERE toxic = 1)
-SELECT doc_id, least(1.0, sum(s) / 2)::DOUBLE AS score, sum((s > 0)::INT)::BIGINT AS evidence FROM e GROUP BY 1""")
-def why_related(t):
-    rows = t.documents.select("doc_id", score_text("src1 quality", "source").alias("s")).unionByName(t.labels.filter("quality = 1").select("doc_id", F.lit(0.8).alias("s"))).unionByName(t.labels.filter("toxic = 1").select("doc_id", F.lit(0.5).alias("s")))
-    return rows.groupBy("doc_id").agg(F.least(F.lit(1.0), F.sum("s") / 2).alias("score"), F.sum((F.col("s") > 0).cast("int")).alias("evidence"))
-
-
 @query("""WITH g AS (SELECT source, count(*) AS n, sum(quality) AS good, sum(toxic) AS bad, avg(n_chars) AS len FROM documents JOIN labels USING (doc_id) GROUP BY 1),
 m AS (SELECT source, greatest(0.0, 1.0 - bad / n)::DOUBLE AS precision, (good / n)::DOUBLE AS coverage, CASE WHEN len <= 2500 THEN 1.0 WHEN len <= 5000 THEN 0.8 ELSE 0.6 END::DOUBLE AS latency FROM g)
 SELECT source, precision, coverage, latency, 0.22::DOUBLE * precision + 0.18::DOUBLE * coverage + 0.06::DOUBLE * latency AS score FROM m""")
@@ -437,11 +378,4 @@ def confidence_buckets(t):
     return t.lineitem.groupBy(confidence_bucket(F.col("l_discount") * 10).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT c_custkey, coalesce(n, 0) AS orders, row_number() OVER (PARTITION BY c_nationkey ORDER BY coalesce(n, 0) DESC, c_custkey)::INT AS place FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey")
-def inbound_counts(t):
-    n = t.orders.groupBy("o_custkey").agg(F.count("*").alias("n"))
-    rows = t.customer.join(n, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "c_nationkey", F.coalesce("n", F.lit(0)).alias("orders"))
-    return rows.select("c_custkey", "orders", F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.desc("orders"), "c_custkey")).alias("place"))
-
-
 __all__ = ["ORACLES", "QUERIES"]
