@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,9 +55,33 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: For each open clearing(), the paths made since.
+_MADE: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/tessel/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tessel/{name}-{uuid.uuid4().hex}"
+    if _MADE:
+        _MADE[-1].append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def clearing(spark: SparkSession) -> Iterator[None]:
+    """Deletes the scratch paths that were made inside, once the block has ended well. For work whose result is written to a path made before."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        made = _MADE.pop()
+    for path in made:
+        remove(spark, path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

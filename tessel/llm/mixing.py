@@ -9,6 +9,8 @@ made in two levels, cells (band, block) first and rows in their cell after, so t
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from .common import SPACES, n_words, split_words, stored
 #: Fixed values of the contract: weights by rank of the source, repeated; the share of all sizes; the cap in sizes of a source.
 WEIGHTS, SHARE, CAP = (5.0, 2.0, 1.0), 1.5, 2.0
 SEED = "mix-1"
+#: Rows (expected) of a block of a source's size band, and bands over which a source's rows are taken to spread.
+BLOCK_ROWS, BANDS = 500_000, 16
 
 
 def source_targets(sources: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -47,7 +51,9 @@ def steps(sized: DataFrame, seed: str = SEED, weights: tuple = WEIGHTS, share: f
     targets = stored(source_targets(sources, weights, share, cap).withColumn("_offset", offset), "targets")
     bits = F.bin(F.col("size") + 8)
     band = F.concat(F.lpad(F.length(bits).cast("string"), 2, "0"), F.substring(bits, 2, 3)).alias("_band")
-    block = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 1).alias("_block")
+    # one hex digit of the id's hash at least, and as many as keep blocks small
+    digits = max(1, math.ceil(math.log(max(1, sized.count() / BANDS / BLOCK_ROWS), 16)))
+    block = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, digits).alias("_block")
     units = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")).select("*", band, block)
     counted = units.groupBy("source", "_band", "_block").agg(F.sum("rows").alias("_n"))
     before = Window.partitionBy("source").orderBy("_band", "_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -72,7 +78,10 @@ def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 
 def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken (words that the mix takes, repeats counted) of every row. Other columns are ignored; no rows give no rows."""
+    """doc_id, source, size, source_size, target and taken (words that the mix takes, repeats counted) of every row.
+
+    Other columns are ignored; no rows give no rows. Only sizes of texts move, so a very long text is read once.
+    """
     each = steps(sizes(docs), seed).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     return each.select("doc_id", "source", "size", "source_size", "target", (copies(F.col("first") + F.col("_i")) * F.col("size")).cast("long").alias("taken"))
 

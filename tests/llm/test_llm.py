@@ -708,6 +708,36 @@ def test_pipeline(spark, tmp_path):
     root = near([(i, t) for i, t, *_ in kept])
     kept = [r for r in kept if root[r[0]] == r[0] and r[0] != 104]
     assert {r["doc_id"] for r in got} <= {r[0] for r in kept} and {102, 103} & {r["doc_id"] for r in got} == set()
-    mixed = mixing.mix(spark.createDataFrame(kept, DDL)).collect()
-    assert Counter(r["doc_id"] for r in got) == Counter({r["doc_id"]: r["taken"] // r["size"] for r in mixed if r["taken"]})
+    assert Counter(r["doc_id"] for r in got) == mixed_by_hand(kept)
     assert all(r["shard"] == jump(r["doc_id"], 40) for r in got)
+
+
+def mixed_by_hand(rows):
+    """How often the mix takes each id: steps of a source in order of size band, block, size and id, from one offset."""
+    size, sources = Counter(), {}
+    for i, t, _, s, _ in rows:
+        size[s] += len(words(t))
+        sources.setdefault(s, []).append((len(words(t)), i))
+    order = sorted(s for s in size if s is not None) + [None] * (None in size)
+    target = filled(size, {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}, 1.5 * sum(size.values()))
+    md5 = lambda x: hashlib.md5(str(x).encode()).hexdigest()
+    taken = Counter()
+    for s, docs in sources.items():
+        rate, offset = target[s] / size[s] if size[s] else 0.0, int(md5(f"mix-1:{s or ''}")[:8], 16) / 2**32
+        band = lambda n: f"{len(f'{n + 8:b}'):02d}{f'{n + 8:b}'[1:4]}"
+        for place, (_, i) in enumerate(sorted(docs, key=lambda d: (band(d[0]), md5(d[1])[0], *d)), 1):
+            taken[i] += min(2, math.floor(place * rate + offset) - math.floor((place - 1) * rate + offset))
+    return +taken
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    rnd = random.Random(3)
+    text = lambda: " ".join(rnd.choices([f"w{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"], k=30))
+    rows = [(i, text(), "en", None if i % 3 else "s", 1) for i in range(24)] + [(30, text() * 300, "en", None, 1), (31, "", "en", "s", 0), (32, None, None, None, None)]
+    frame = spark.createDataFrame(rows, DDL).withColumn("_row", F.lit("clash")).withColumn("digest", F.lit(0))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter(r["doc_id"] for r in got) == mixed_by_hand([r for r in rows if r[1]]) and {(r["_row"], r["digest"]) for r in got} == {("clash", 0)}
+    frame.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
