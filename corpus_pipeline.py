@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessel.llm import decontamination, jaccard_join, language_id, mixing, sharding
-from tessel.llm.common import stored, table
+from tessel.llm.common import clearing, remove, scratch, table
 
 SHARDS = 40
 
@@ -42,9 +42,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stored(docs, f"stage-{i}")
-    return docs
+    """The last stage's rows. Each stage's rows are written before the next; what a stage needed on the way, and the rows before, are deleted then."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        path = scratch(spark, f"stage-{i}")
+        with clearing(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
