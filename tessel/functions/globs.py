@@ -24,6 +24,20 @@ def matches_any(path: Column, patterns: list[str], optional_prefix: bool = True)
     return path.rlike("|".join(glob_regex(p, optional_prefix) for p in patterns))
 
 
+def contains_text(text: Column, part: str) -> Column:
+    """Whether text holds part, A-Z like a-z and all else as it is: a LIKE '%part%' whose part has no wild cards."""
+    low = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return low(text).contains(low(F.lit(part)))
+
+
+def like_text(text: Column, pattern: str) -> Column:
+    """LIKE with % and _ and a backslash before either for itself, A-Z like a-z."""
+    out, rest = "", iter(pattern)
+    for ch in rest:
+        out += {"%": "(?s:.*)", "_": "(?s:.)"}.get(ch) or re.escape(next(rest, "\\") if ch == "\\" else ch)
+    return text.rlike(f"(?i)^{out}$")
+
+
 def gitignore_patterns(text: str) -> list[str]:
     """Glob patterns of a .gitignore: comments and negations are left out, `dir/` means all below, a bare name is matched anywhere."""
     lines = (line.strip() for line in text.splitlines())

@@ -34,17 +34,23 @@ def token_pairs(sets: DataFrame, key: str, tokens: str, least: float, least_toke
     """a, b and similarity of all pairs of rows whose token sets have a Jaccard of at least `least`.
 
     Prefix join: tokens are ordered by frequency, rarest first, and two sets can only reach `least` if they share a token among their first
-    n - ceil(least * n) + 1. Pairs are found there and verified on the whole sets.
+    n - ceil(least * n) + 1. Pairs are found there, kept if sizes and the places of their common prefix tokens leave room for the overlap, and
+    verified on the whole sets, whose overlap is counted once. Sets are split and ordered once and kept in the shared folder.
     """
     rows = sets.select(F.col(key).alias("k"), F.array_distinct(tokens).alias("t")).filter(F.size("t") >= least_tokens)
+    rows = rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.persist()
     flat = rows.select("k", F.size("t").alias("n"), F.explode("t").alias("token"))
     counts = flat.groupBy("token").agg(F.count("*").alias("df"))
     placed = flat.join(counts, "token").groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
-    prefix = placed.select("k", "n", F.explode(F.slice(F.col("o.token"), 1, (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int"))).alias("token"))
-    x, y = (prefix.select("token", F.col("k").alias(s), F.col("n").alias(f"n{s}")) for s in "ab")
-    pairs = x.join(y, "token").filter("a < b").filter(F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9).select("a", "b").distinct()
+    prefix = placed.select("k", "n", F.posexplode(F.slice(F.col("o.token"), 1, (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int"))).alias("pos", "token"))
+    x, y = (prefix.select("token", F.col("k").alias(s), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}")) for s in "ab")
+    need = F.ceil(least / (1 + least) * (F.col("na") + F.col("nb")) - 1e-9)
+    room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need  # from the first common token on
+    near = x.join(y, "token").filter("a < b").filter(F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9)
+    first = near.groupBy("a", "b", "na", "nb").agg(F.min(F.struct("pa", "pb")).alias("f")).select("a", "b", "na", "nb", "f.*").filter(room)
     left, right = (rows.select(F.col("k").alias(s), F.col("t").alias(f"t{s}")) for s in "ab")
-    scored = pairs.join(left, "a").join(right, "b").select("a", "b", jaccard(F.col("ta"), F.col("tb")).alias("similarity"))
+    both = F.size(F.array_intersect("ta", "tb"))
+    scored = first.join(left, "a").join(right, "b").select("a", "b", (both / (F.col("na") + F.col("nb") - both)).alias("similarity"))
     return scored.filter(F.col("similarity") >= least)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from datetime import UTC, datetime
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import Intent, language_of, module_of
 from ..functions.text import call_tokens, extract_lines, fingerprint, structural_shape
-from ..operators import discovery, duplicates, extract, graph, impact, incremental, planning, resolve, search
+from ..operators import discovery, duplicates, evaluation, extract, graph, impact, incremental, planning, resolve, search
 from ..operators.combinators import top_k
 from ..sources import documents, repo
 
@@ -268,6 +269,28 @@ def check_mutations(files: DataFrame, suites: list[dict], cases: list[dict] = ()
     return out
 
 
+def stale_edges(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> DataFrame:
+    """Edges of the old graph whose target symbol the new one no longer has."""
+    return incremental.rewire(old["symbol_edges"], new["symbols"])[1]
+
+
+def evaluate(tables: dict[str, DataFrame], cases: list[dict], most: int = 50) -> DataFrame:
+    """evaluation.score_cases() of a suite: {id, task, expected, forbidden, limit, tests, reasons}. A suite is short; each case is one discovery, timed."""
+    rows = []
+    for c in cases:
+        began = time.perf_counter()
+        out = discover(tables, c["task"], mode=c.get("mode"))
+        found = [r["path"] for r in out["must_read"].filter("selected").orderBy(F.desc("score"), "path").limit(most).collect()]
+        reasons = [r["reason"] for r in out["must_read"].filter("reason IS NOT NULL").select("reason").distinct().collect()]
+        tests = [r["path"] for r in out["tests"].limit(most).collect()] if "tests" in out else []
+        reuse = [r["path"] for r in out["reuse"].limit(most).collect()] if "reuse" in out else []
+        took = int(1000 * (time.perf_counter() - began))
+        rows.append((str(c["id"]), found, c.get("expected", []), c.get("forbidden", []), c.get("limit"), found, c.get("chain", []), reuse, c.get("reuse", []), tests, c.get("tests", []), reasons, c.get("reasons", []), took))
+    lists = "found expected forbidden | chain wanted_chain reuse wanted_reuse tests wanted_tests reasons wanted_reasons".replace("|", "limit").split()
+    form = ", ".join(["id string", *[f"{n} {'int' if n == 'limit' else 'array<string>'}" for n in lists], "latency_ms int"])
+    return evaluation.score_cases(tables["files"].sparkSession.createDataFrame(rows, form))
+
+
 class Project:
     """A source tree and its graph: scan, update and questions, with results as small lists of dicts in one envelope."""
 
@@ -281,6 +304,7 @@ class Project:
             tables, plan = update(old, files)
             if plan != "none":
                 self.store.publish(tables)
+                return self.response({"plan": plan, "stale_edges": stale_edges(old, self.store.tables()).count()})
         else:
             plan = "full"
             local = self.root.replace("file://", "")

@@ -31,6 +31,17 @@ def scan_files(spark: SparkSession, root: str, include: list[str] | None = None,
     return files.select("path", language_of(F.col("path")).alias("language"), F.col("length").alias("size"), F.sha1("content").alias("hash"), F.decode("content", "UTF-8").alias("text"))
 
 
+def read_text(spark: SparkSession, root: str, path: str, most: int = MOST_BYTES) -> str | None:
+    """The text of one file of a tree; None if it is missing, no file or larger than most."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        found = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{path}").filter(F.col("length") <= most).select(F.decode("content", "UTF-8")).head()
+    except AnalysisException:
+        return None
+    return found and found[0]
+
+
 def lines(files: DataFrame) -> DataFrame:
     """path, line_no (from 1) and line."""
     each = files.select("path", F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "line"))

@@ -3,9 +3,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tessel import graph_queries, rule_queries  # noqa: F401  their queries run in test_queries
+from tessel.functions import globs
 from tessel.operators import combinators, impact, planning, provenance, resolve, widgets
-from tessel.plans import code_graph, context
+from tessel.plans import backend, code_graph, context
 from tessel.sources import repo
 
 CODE = {
@@ -208,3 +208,54 @@ def test_route_block(spark):
     rows = spark.createDataFrame([(text, "a", "/a"), (text, "b", "/b"), (text, None, "/b"), (text, "zz", "/zz"), ("GoRoute('q'" + "y" * 5000, "q", None)], "text string, name string, path string")
     got = [r[0] for r in rows.select(widgets.route_block(F.col("text"), F.col("name"), F.col("path"))).collect()]
     assert got[0] == "GoRoute(name: 'a', path: '/a') " and got[1] == got[2] == "GoRoute(name: 'b', path: '/b') end" and got[3] == text and len(got[4]) < 2000
+
+
+class Outside:
+    name = "outside"
+
+    def __init__(self, error=None, ready=True):
+        self.error, self.ready = error, ready
+
+    def status(self):
+        return {"available": True, "indexed": self.ready, "reason": "still indexing"}
+
+    def search(self, query, limit=20):
+        if self.error:
+            raise self.error
+        return f"found {query}"
+
+
+def test_router(tables):
+    own = backend.Builtin(tables)
+    ask = lambda *outside, choice="auto": backend.Router(own, list(outside), choice).ask("search", "load")
+    assert ask(Outside()).data == "found load" and ask(Outside(), choice="builtin").backend == "builtin"
+    late, broken = ask(Outside(ready=False)), ask(Outside(backend.BackendError("no answer")))
+    assert (late.backend, late.fallback) == ("builtin", "outside: still indexing") and broken.fallback == "outside: no answer" and broken.data.first()["name"] == "load"
+    for bad in (lambda: ask(Outside(backend.BackendError("damaged", unsafe=True))), lambda: ask(Outside(backend.BackendError("x")), choice="outside"), lambda: ask(choice="none")):
+        with pytest.raises(backend.BackendError):
+            bad()
+    assert own.status() == {"available": True, "indexed": True} and own.architecture("app").first()["core_files"][0] == "src/app/main.py"
+    assert [r["path"] for r in own.detect_changes(["src/app/util.py"]).orderBy("path").collect()] == ["src/app/main.py", "tests/test_util.py"]
+
+
+def test_suite_runner(tables):
+    cases = [{"id": 1, "task": "speed up load in util", "expected": [], "forbidden": ["AGENTS.md"]}, {"id": 2, "task": "nothing of this", "expected": ["src/app/util.py"]}]
+    got = {r["id"]: r for r in code_graph.evaluate(tables, cases).collect()}
+    assert got["1"]["noise_suppression"] == 1.0 and got["2"]["must_read_coverage"] == 0.0 and got["1"]["production_score"] > got["2"]["production_score"]
+
+
+def test_stale_edges(files, tables):
+    after = code_graph.build(code_graph.mutate(files, [{"kind": "change", "path": "src/app/util.py", "text": "def deep(n):\n    return n\n"}]))
+    assert {r["from_symbol"].split("::")[1] for r in code_graph.stale_edges(tables, after).collect()} == {"main", "load", "test_load"}
+
+
+def test_like(spark):
+    rows = spark.createDataFrame([("a%B",), ("AxxB",), ("ab",), ("É_é",)], "t string")
+    hits = lambda c: [r[0] for r in rows.filter(c).collect()]
+    assert hits(globs.like_text(F.col("t"), "a%b")) == ["a%B", "AxxB", "ab"] and hits(globs.like_text(F.col("t"), "a\\%b")) == ["a%B"] and hits(globs.like_text(F.col("t"), "a__b")) == ["AxxB"]
+    assert hits(globs.contains_text(F.col("t"), "%b")) == ["a%B"] and hits(globs.contains_text(F.col("t"), "é")) == ["É_é"]
+
+
+def test_read_text(spark, tmp_path):
+    (tmp_path / "a.py").write_text("x = 'é'\n")
+    assert repo.read_text(spark, f"file://{tmp_path}", "a.py") == "x = 'é'\n" and repo.read_text(spark, f"file://{tmp_path}", "a.py", 3) is None and repo.read_text(spark, f"file://{tmp_path}", "b.py") is None
