@@ -271,4 +271,36 @@ def extracted_symbols(t):
     return extract.symbols(extract.extract_files(source_files(t))).select("path", "name", "kind")
 
 
+CASES = [{"id": "callers", "kind": "callers", "of": "helper_4"}, {"id": "callees", "kind": "callees", "of": "get_5"}, {"id": "trace", "kind": "trace", "of": "get_6"}]
+
+
+@query(f"""{RECURSIVE}, r(node, hop) AS (SELECT symbol_key, 0 FROM keyed WHERE name = 'get_6' UNION SELECT l.to_symbol, hop + 1 FROM r JOIN links l ON r.node = l.from_symbol WHERE hop < 3)
+SELECT 'callers' AS "case", from_symbol AS key FROM links JOIN keyed ON symbol_key = to_symbol WHERE name = 'helper_4' UNION ALL SELECT 'callees', to_symbol FROM links JOIN keyed ON symbol_key = from_symbol WHERE name = 'get_5'
+UNION ALL SELECT 'trace', min(hop) || ' ' || node FROM r GROUP BY node HAVING min(hop) > 0""")
+def query_answers(t):
+    return code_graph.query_answers(tree(t), CASES)
+
+
+@query(f"""{WITH} SELECT 'tests' AS section, '{{"test_path":"' || test_path || '","target_path":"' || target_path || '"}}' AS row FROM covers UNION ALL
+SELECT 'bindings', '{{"path":"' || path || '","source_text":"' || source_text || '","resolved_path":' || CASE WHEN resolved_path IS NULL THEN 'null' ELSE '"' || resolved_path || '"' END || '}}' FROM bind""")
+def graph_snapshot(t):
+    return code_graph.snapshot(tree(t)).filter("section IN ('tests', 'bindings')")
+
+
+@query(f"{WITH} SELECT from_symbol, to_symbol FROM links WHERE to_path IN (SELECT p FROM s WHERE s <= 3)")
+def stale_after_deletion(t):
+    """Edges into symbols of four files that a later graph no longer has."""
+    made = tree(t)
+    gone = F.regexp_extract("path", r"^src/.*/file([0-9]+)\.py$", 1)
+    return code_graph.stale_edges(made, {"symbols": made["symbols"].filter(~gone.isin("0", "1", "2", "3"))}).select("from_symbol", "to_symbol")
+
+
+@query(f"{WITH} SELECT test_path AS path, confidence AS score FROM covers WHERE target_path IN (SELECT p FROM s WHERE s IN (3, 6, 9))")
+def changed_tests(t):
+    made = tree(t)
+    changed = [r["path"] for r in source_files(t).filter(F.col("path").rlike(r"^src/.*/file[369]\.py$")).select("path").collect()]
+    related = made["files"].limit(0).select("path", F.lit(0.0).alias("score"))
+    return discovery.related_tests(made["tests"], made["commands"], related, changed, "none")[0].select("path", "score")
+
+
 __all__ = ["TASK", "source_files", "tree"]

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import globs, rules, text
-from .operators import combinators, discovery, evaluation, impact, incremental, planning
+from .operators import combinators, discovery, duplicates, evaluation, impact, incremental, planning, provenance, widgets
 from .queries import PATHS, SQL_PATHS, _paths, query, sql_score
+from .sources import documents
 
 
 def sql_cases(cases, otherwise: str) -> str:
@@ -281,3 +282,145 @@ SELECT page_id, kind, sha1(kind || ':' || compact) AS shape_hash FROM k""")
 def structural_shapes(t):
     shape = text.structural_shape(F.lit("html"), F.coalesce("html", F.lit("")))
     return t.pages.select("page_id", shape.alias("s")).select("page_id", "s.kind", F.col("s.hash").alias("shape_hash"))
+
+
+def _plans(t):
+    """Planning documents, one for each supplier, as files."""
+    s = F.col("s_suppkey").cast("string")
+    line = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    body = F.concat_ws(
+        "\n", F.lit("---"), F.lit("owner_domain: area"), line("sync_targets: [src/a", s, ".py, near.py]"), F.lit("depends_on:"), line("  - docs/base", s, ".md"), F.lit("validation:"), line("  - pytest tests/test_a", s, ".py"), F.lit("---"),
+        line("# Plan ", s), F.lit(""), line("Words of ", F.col("s_name"), "."), F.lit(""), F.lit("## Must update"), line("Change backend/b", s, ".py here"), line("- Run `make lint", s, "` soon"), F.lit("```bash"), F.lit("$ npm run build"), F.lit("```"), F.lit("## Notes"), F.lit("- see it"),
+    )
+    path = line("docs/plan", s, ".md")
+    return t.supplier.select(path.alias("path"), F.lit("markdown").alias("language"), F.length(body).cast("long").alias("size"), body.alias("text"))
+
+
+PLAN = "'docs/plan' || s_suppkey || '.md'"
+
+
+@query(f"SELECT {PLAN} AS path, 'Plan ' || s_suppkey AS title, 'area' AS owner_domain, 'mixed' AS parse_mode, 0.85::DOUBLE AS confidence, 'Words of ' || s_name || '.' AS summary FROM supplier")
+def planning_documents(t):
+    return documents.source_documents(_plans(t)).select("path", "title", "owner_domain", "parse_mode", "confidence", "summary")
+
+
+@query(f"""SELECT {PLAN} AS path, kind, target, confidence, tier FROM supplier, LATERAL (VALUES ('sync_target', 'src/a' || s_suppkey || '.py', 0.95::DOUBLE, 'frontmatter_sync'), ('sync_target', 'docs/near.py', 0.95::DOUBLE, 'frontmatter_sync'),
+('depends_on', 'docs/base' || s_suppkey || '.md', 0.75::DOUBLE, 'frontmatter_depends'), ('validation_target', 'tests/test_a' || s_suppkey || '.py', 0.85::DOUBLE, 'frontmatter_validation'), ('sync_target', 'backend/b' || s_suppkey || '.py', 0.62::DOUBLE, 'heading_action_item')) v(kind, target, confidence, tier)""")
+def document_targets(t):
+    found = documents.source_documents(_plans(t)).select(F.explode("targets").alias("t"))
+    return found.select("t.path", "t.kind", F.col("t.target_path").alias("target"), "t.confidence", F.col("t.evidence_tier").alias("tier"))
+
+
+@query(f"""SELECT {PLAN} AS path, ordinal::INT AS ordinal, phase, command, category, title, confidence FROM supplier, LATERAL (VALUES (1, 'Must update', 'make lint' || s_suppkey, 'guard', NULL, 0.7::DOUBLE), (2, 'Must update', 'npm run build', 'step', NULL, 0.7::DOUBLE),
+(3, 'Notes', NULL, 'step', 'see it', 0.7::DOUBLE), (4, 'frontmatter validation', 'pytest tests/test_a' || s_suppkey || '.py', 'test', NULL, 0.95::DOUBLE)) v(ordinal, phase, command, category, title, confidence)""")
+def document_steps(t):
+    found = documents.source_documents(_plans(t)).select(F.explode("steps").alias("s")).select("s.*")
+    return found.select("path", "ordinal", "phase", "command", "category", "title", "confidence")
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'MainPage' ELSE 'MainPage,Tile' || p_size END AS widgets FROM part")
+def constructed_widgets(t):
+    tile = F.concat(F.lit("Tile"), F.col("p_size").cast("string"))
+    body = F.when(F.col("p_partkey") % 3 == 0, "return Column(x: HomeController(), y: DSBox(), z: call(1));").when(F.col("p_partkey") % 3 == 1, "MainPage( Text('a'), MainPage() )").otherwise(F.concat(F.lit("const MainPage(child: "), tile, F.lit(" (1))")))
+    return t.part.select("p_partkey", F.array_join(widgets.constructed_widgets(body), ",").alias("widgets"))
+
+
+@query("SELECT c_custkey, (c_custkey % 5)::INT AS required, CASE WHEN c_custkey % 5 > 2 THEN 'medium' ELSE 'low' END AS risk FROM customer")
+def constructor_fits(t):
+    params = F.array_join(F.concat(F.array(F.lit("super.key")), F.array_repeat(F.lit("required this.x"), (F.col("c_custkey") % 5).cast("int"))), ", ")
+    return t.customer.select("c_custkey", discovery.constructor_fit(params).alias("f")).select("c_custkey", "f.required", "f.risk")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'a/' || c_custkey || '.py,b/' || c_nationkey || ',c' || c_custkey || '.ts' END AS paths FROM customer")
+def harvested_paths(t):
+    k, n = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
+    text = F.concat(F.lit('{"file": "a/'), k, F.lit('.py", "name": "no/t", "x": {"cols": ["n", "path"], "rows": [["q/r", "b/'), n, F.lit('"], ["s", "plain"]]}, "changed_files": ["c'), k, F.lit('.ts", ""]}'))
+    rows = t.customer.select("c_custkey", F.when(F.col("c_custkey") % 4 == 0, F.concat(text, F.lit("]"))).otherwise(text).alias("answer"))
+    return provenance.harvest_paths(rows, "c_custkey", "answer").select("c_custkey", F.array_join("paths", ",").alias("paths"))
+
+
+@query("SELECT 'f' || s_suppkey AS path, CASE WHEN s_nationkey = 1 THEN 'deleted' WHEN s_nationkey = 2 THEN 'new' ELSE 'changed' END AS status FROM supplier WHERE s_nationkey IN (1, 2, 3)")
+def worktree_changes(t):
+    name = F.concat(F.lit("f"), F.col("s_suppkey").cast("string"))
+    entries = lambda rows, mark: rows.select(name.alias("path"), F.lit("M").alias("state"), F.lit("644").alias("mode"), F.lit(1).alias("size"), mark.alias("modified"), F.sha2(F.col("s_name"), 256).alias("sha256"))
+    before = provenance.worktree_fingerprint(entries(t.supplier.filter("s_nationkey <> 2"), F.lit(0)))
+    after = provenance.worktree_fingerprint(entries(t.supplier.filter("s_nationkey <> 1"), F.when(F.col("s_nationkey") == 3, 1).otherwise(0)))
+    return provenance.worktree_changes(before, after)
+
+
+@query("""SELECT CASE WHEN count(*) FILTER (c_mktsegment = 'AUTOMOBILE') > 0 THEN 'stale' ELSE 'metadata_only' END AS freshness, count(*) FILTER (c_custkey % 10 = 0)::BIGINT AS gaps, count(*) FILTER (c_mktsegment = 'AUTOMOBILE')::BIGINT AS outdated FROM customer""")
+def coverage_summary(t):
+    paths = t.customer.select(F.col("c_name").alias("path"), F.when(F.col("c_custkey") % 10 == 0, "skipped").otherwise("no_recorded_issue").alias("status"), F.when(F.col("c_mktsegment") != "AUTOMOBILE", "metadata_match").alias("freshness"))
+    return provenance.coverage_summary(paths).select("freshness", "gaps", "outdated")
+
+
+@query("SELECT event_type, CASE WHEN event_type = 'click' THEN 'stale_until_full_scan' WHEN event_type = 'view' THEN 'weak' WHEN event_type = 'error' THEN 'metadata_only' ELSE 'fresh' END AS state, event_type NOT IN ('click', 'view', 'error') AS strong, count(*) AS n FROM events GROUP BY ALL")
+def evidence_states(t):
+    kind = rules.first_of([(F.col("event_type") == "click", "git_co_change"), (F.col("event_type") == "view", "Weak_match"), (F.col("event_type") == "error", "metadata_only_row")], "route_match")
+    state = provenance.evidence_freshness(kind)
+    return t.events.groupBy("event_type", state.alias("state"), provenance.is_strong(state).alias("strong")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT p AS path, sha256(x) AS sha256 FROM (SELECT 'd' || doc_id AS p, coalesce(text, '') AS x FROM documents) ORDER BY p LIMIT 256")
+def file_hashes(t):
+    files = t.documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    return provenance.file_hashes(files, files.select("path"))[0]
+
+
+@query("""WITH m AS (SELECT DISTINCT source AS family, lang AS role FROM documents), r AS (SELECT lang AS route, min(source) AS f FROM documents WHERE doc_id % 2 = 0 GROUP BY 1), c AS (SELECT source AS class, min(lang) AS f FROM documents WHERE doc_id % 3 = 0 GROUP BY 1)
+SELECT family, role, CASE WHEN r.f IS NOT NULL AND c.f IS NOT NULL AND c.f = 'de' THEN 'verified' WHEN r.f IS NOT NULL AND c.f IS NOT NULL THEN 'implemented' WHEN r.f IS NOT NULL OR c.f IS NOT NULL THEN 'partial' ELSE 'missing' END AS status
+FROM m LEFT JOIN r ON r.route = m.role LEFT JOIN c ON c.class = m.family""")
+def acceptance_states(t):
+    d = t.documents
+    manifest = d.select(F.col("source").alias("family"), F.col("lang").alias("role"), F.col("lang").alias("route"), F.lit("m").alias("mode"), F.col("source").alias("class"), F.array().cast("array<string>").alias("states")).distinct()
+    routes = d.filter("doc_id % 2 = 0").select(F.col("lang").alias("path"), F.col("source").alias("file_path"))
+    classes = d.filter("doc_id % 3 = 0").select(F.col("source").alias("name"), F.col("lang").alias("path"), F.lit("class").alias("kind"))
+    tests = d.select(F.lit("t").alias("test_path"), F.lit("de").alias("target_path")).distinct()
+    return widgets.acceptance(manifest, routes, d.select(F.lit("none").alias("route"), F.lit("x").alias("file_path")).distinct(), classes, tests).select("family", "role", "status")
+
+
+@query("""WITH n AS (SELECT n_regionkey, arg_min(n_nationkey, {'a': -(n_nationkey % 7), 'b': 'n' || n_nationkey}) AS best, max(n_nationkey % 7) AS w FROM nation GROUP BY 1),
+s AS (SELECT s_nationkey, arg_min(s_suppkey, {'a': -(s_suppkey % 5), 'b': 's' || s_suppkey}) AS best, max(s_suppkey % 5) AS w FROM supplier GROUP BY 1)
+SELECT 'r' || r_regionkey AS route, concat_ws(',', 'Page' || r_regionkey, 'n' || n.best, 's' || s.best) AS steps, CASE WHEN s.best IS NULL THEN 3 ELSE 4 END::INT AS depth, 'verified_chain' AS status
+FROM region JOIN n ON n_regionkey = r_regionkey LEFT JOIN s ON s_nationkey = n.best""")
+def widget_chains(t):
+    """Regions build pages, which compose nations, which compose suppliers; of several the strongest."""
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    pages = t.region.select(name("r", "r_regionkey").alias("route"), F.lit("f").alias("file_path"), name("Page", "r_regionkey").alias("page"), F.lit("p").alias("page_path"))
+    edge = lambda df, a, b, c: df.select(a.alias("from_symbol"), b.alias("to_symbol"), F.lit("p").alias("to_path"), c.cast("double").alias("confidence"))
+    composes = edge(t.nation, name("Page", "n_regionkey"), name("n", "n_nationkey"), F.col("n_nationkey") % 7).unionByName(edge(t.supplier, name("n", "s_nationkey"), name("s", "s_suppkey"), F.col("s_suppkey") % 5))
+    tests = t.region.select(F.lit("t").alias("test_path"), F.lit("q").alias("target_path")).distinct()
+    return widgets.route_chains(pages, composes, tests, "").select("route", F.array_join("steps", ",").alias("steps"), "depth", "status")
+
+
+@query("""WITH c AS (SELECT o_custkey AS id, list(DISTINCT o_orderpriority) AS f FROM orders GROUP BY 1),
+m AS (SELECT id, len(f) AS n, list_contains(f, '5-LOW')::INT AS bad, len(list_intersect(f, ['1-URGENT', '2-HIGH'])) AS good FROM c)
+SELECT id, CASE WHEN n > 4 THEN 0.0 ELSE 1.0 - bad / n END::DOUBLE AS must_read_precision, (good / 2)::DOUBLE AS must_read_coverage, (1 - bad)::DOUBLE AS noise_suppression, CASE WHEN id % 2 = 0 THEN 1.0 ELSE 0.8 END::DOUBLE AS latency FROM m""")
+def scored_cases(t):
+    empty, lit = F.array().cast("array<string>"), lambda *xs: F.array(*map(F.lit, xs))
+    cases = t.orders.groupBy(F.col("o_custkey").alias("id")).agg(F.collect_set("o_orderpriority").alias("found"))
+    cases = cases.withColumns({"expected": lit("1-URGENT", "2-HIGH"), "forbidden": lit("5-LOW"), "limit": F.lit(4), "latency_ms": F.when(F.col("id") % 2 == 0, 2500).otherwise(2501)})
+    cases = cases.withColumns({c: empty for w in ("chain", "reuse", "tests", "reasons") for c in (w, f"wanted_{w}")})
+    return evaluation.score_cases(cases).select("id", "must_read_precision", "must_read_coverage", "noise_suppression", "latency")
+
+
+@query("""WITH h AS (SELECT doc_id, source, sha1(coalesce(text, '')) AS x FROM documents), c AS (SELECT x, min(doc_id) AS representative FROM h GROUP BY 1 HAVING count(*) >= 2) SELECT DISTINCT c.x AS cluster_hash, representative FROM c JOIN h USING (x) WHERE source = 'src1'""")
+def explained_clusters(t):
+    rows = t.documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), "doc_id", "source", F.sha1(F.coalesce("text", F.lit(""))).alias("x"))
+    members = duplicates.members(rows, "doc_id", F.col("x"), duplicates.clusters(rows, "doc_id", F.col("x"))).join(rows.select("doc_id", "path", F.lit(None).cast("string").alias("qualified_name")), "doc_id")
+    return discovery.explain_reuse(rows.filter("source = 'src1'").select("path", F.lit("none").alias("qualified_name")), members)
+
+
+PROFILES = [{"name": "low", "confidence": 0.9, "mustRead": ["f1", "f2", "gone"], "supporting": ["f3"]}, {"name": "high", "confidence": 0.97, "mustRead": ["f4"], "suppressPaths": ["f2", "f4"]}]
+
+
+@query("SELECT profile, path, role, confidence FROM (VALUES ('low', 'f1', 'must_read', 0.9::DOUBLE), ('low', 'f3', 'supporting', 0.9::DOUBLE), ('high', 'f4', 'must_read', 0.97::DOUBLE)) v(profile, path, role, confidence) WHERE path IN (SELECT 'f' || s_suppkey FROM supplier)")
+def profile_seeds(t):
+    files = t.supplier.select(F.concat(F.lit("f"), F.col("s_suppkey").cast("string")).alias("path"))
+    return discovery.profile_seeds(t.spark, PROFILES, files)
+
+
+@query("SELECT array_to_string(list_sort(list(DISTINCT 'f' || s_suppkey) FILTER (s_nationkey < 5)), ',') AS must_edit, array_to_string(list_sort(list(DISTINCT 'f' || s_suppkey) FILTER (s_nationkey >= 5)), ',') AS may_inspect FROM supplier")
+def edit_boundary(t):
+    tiers = t.supplier.select(F.concat(F.lit("f"), F.col("s_suppkey").cast("string")).alias("path"), F.when(F.col("s_nationkey") < 5, "must_edit").otherwise("may_inspect").alias("tier"))
+    return planning.edit_boundary(tiers).select(*[F.array_join(c, ",").alias(c) for c in ("must_edit", "may_inspect")])
