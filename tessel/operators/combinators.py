@@ -10,6 +10,11 @@ def _keys(keys: str | list[str]) -> list[str]:
     return [keys] if isinstance(keys, str) else keys
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df made once: checkpointed in the shared folder, or cached where there is none. For what several tables are made from."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
 def best_per_key(df: DataFrame, keys: str | list[str], *order: Column) -> DataFrame:
     """The row of each key that comes first in this order. The order should end in a unique column.
 

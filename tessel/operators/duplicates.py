@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard
+from .combinators import kept
 
 
 def clusters(blocks: DataFrame, key: str, hash_col: Column, eligible: Column | None = None, least: int = 2) -> DataFrame:
@@ -38,7 +39,7 @@ def token_pairs(sets: DataFrame, key: str, tokens: str, least: float, least_toke
     verified on the whole sets, whose overlap is counted once. Sets are split and ordered once and kept in the shared folder.
     """
     rows = sets.select(F.col(key).alias("k"), F.array_distinct(tokens).alias("t")).filter(F.size("t") >= least_tokens)
-    rows = rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.persist()
+    rows = kept(rows)
     flat = rows.select("k", F.size("t").alias("n"), F.explode("t").alias("token"))
     counts = flat.groupBy("token").agg(F.count("*").alias("df"))
     placed = flat.join(counts, "token").groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .combinators import kept
+
 #: How much of a score passes along an edge of each kind; 0.5 for others.
 KIND_WEIGHTS = {"covered_by": 1.0, "imports": 0.86, "contains": 0.72, "co_changes": 0.62}
 MOST_FILES_PER_COMMIT, MOST_COMMITS, MOST_PAIRS = 30, 200, 1000
@@ -32,7 +34,7 @@ def traverse(edges: DataFrame, seeds: DataFrame, direction: str = "downstream",
     """
     steps = oriented(edges, direction).withColumn("_w", kind_weight(F.col("kind")) * F.least(F.lit(2.0), F.col("weight")))
     seen = seeds.select("node", F.lit(0).alias("distance"), F.lit(1.0).alias("score"), F.lit(1.0).alias("confidence"), F.array("node").alias("chain")).dropDuplicates(["node"])
-    front, cuts = seen, bool(edges.sparkSession.sparkContext.getCheckpointDir())
+    front = seen
     for d in range(1, depth + 1):
         reached = front.join(steps, front["node"] == steps["u"]).select(
             F.col("v").alias("node"), F.lit(d).alias("distance"), (F.col("score") * F.col("_w")).alias("score"), (front["confidence"] * steps["confidence"]).alias("confidence"), F.concat("chain", F.array("v")).alias("chain"), F.col("u").alias("_parent"),
@@ -41,7 +43,7 @@ def traverse(edges: DataFrame, seeds: DataFrame, direction: str = "downstream",
         rest = F.struct("distance", "score", "confidence", "chain")
         best = new.groupBy("node").agg(F.min_by(rest, F.struct(-F.col("score"), -F.col("confidence"), F.col("_parent"))).alias("r"))
         front = best.select("node", "r.distance", "r.score", "r.confidence", "r.chain")
-        front = front.checkpoint() if cuts else front.persist()
+        front = kept(front)
         seen = seen.unionByName(front)
     out = seen.filter("distance > 0")
     return out.orderBy(F.desc("score"), "distance", "node").limit(limit) if limit else out

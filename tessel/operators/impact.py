@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import TEST_DIR, first_of
-from .combinators import best_per_key, top_k, top_k_per_group
+from .combinators import best_per_key, kept, top_k, top_k_per_group
 from .graph import neighbours
 
 #: Changed files from which an impact is of high and of medium risk, and how many hits of each kind a report shows.
@@ -43,13 +43,12 @@ def trace(symbol_edges: DataFrame, seeds: DataFrame, direction: str = "callees",
     """
     here, there = ("from_symbol", "to_symbol") if direction == "callees" else ("to_symbol", "from_symbol")
     steps = symbol_edges.select(F.col(here).alias("_u"), F.col(there).alias("_v")).distinct()
-    cuts = bool(symbol_edges.sparkSession.sparkContext.getCheckpointDir())
     seen = seeds.select("node", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("via")).dropDuplicates(["node"])
     front = seen
     for hop in range(1, depth + 1):
         reached = front.join(steps, F.col("node") == F.col("_u")).groupBy(F.col("_v").alias("_n")).agg(F.min("_u").alias("_via"))
         front = reached.join(seen.select(F.col("node").alias("_n")), "_n", "left_anti").select(F.col("_n").alias("node"), F.lit(hop).alias("hop"), F.col("_via").alias("via"))
-        front = front.checkpoint() if cuts else front.persist()
+        front = kept(front)
         seen = seen.unionByName(front)
     out = seen.filter("hop > 0")
     return top_k(out, limit, F.col("hop"), F.col("node")) if limit else out

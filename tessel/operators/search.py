@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import query_tokens, score_text
+from .combinators import kept, rank_position_score
 
 K1, B = 1.2, 0.75
 #: What an inverse document frequency of 0 or less counts as.
@@ -32,12 +33,13 @@ def _times(words: str, term: str) -> Column:
 def bm25(docs: DataFrame, key: str, text: Column, query: str, k: int | None = 20) -> DataFrame:
     """key and score of the documents that hold any of the query's terms, best first.
 
-    One scan: for each document its length and the counts of the few query terms; document frequencies and the mean length come from an
-    aggregation of those rows. No postings of other words are made.
+    One scan: for each document its length and the counts of the few query terms, kept; document frequencies and the mean length come from an
+    aggregation of those narrow rows. No postings of other words are made.
     """
     terms = query_terms(query)
     words = words_of(text)
     rows = docs.select(F.col(key).alias("_key"), words.alias("_w")).select("_key", F.size("_w").alias("_len"), *[_times("_w", t).alias(f"_t{i}") for i, t in enumerate(terms)])
+    rows = kept(rows)
     stats = rows.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.sum((F.col(f"_t{i}") > 0).cast("int")).alias(f"_df{i}") for i in range(len(terms))])
     joined = rows.crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
@@ -61,8 +63,6 @@ def lexical(docs: DataFrame, key: str, query: str, parts: list[tuple[Column, flo
 def search(docs: DataFrame, key: str, text: Column, query: str, fallback: list[tuple[Column, float]], k: int = 20) -> DataFrame:
     """key, place score (1 - place / n) and method: BM25, or lexical scores where no document holds a term."""
     hits = bm25(docs, key, text, query, k) if query_terms(query) else docs.select(key).limit(0).withColumn("score", F.lit(0.0))
-    from .combinators import rank_position_score
-
     if not query_terms(query) or hits.isEmpty():
         return lexical(docs, key, query, fallback, 0.0, k).withColumn("method", F.lit("lexical"))
     return rank_position_score(hits, F.desc("score"), F.col(key)).withColumn("method", F.lit("bm25"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.rules import Intent, language_of, module_of
 from ..functions.text import call_tokens, extract_lines, fingerprint, structural_shape
 from ..operators import discovery, duplicates, evaluation, extract, graph, impact, incremental, planning, resolve, search
-from ..operators.combinators import top_k
+from ..operators.combinators import kept, top_k
 from ..sources import documents, repo
 
 #: Keys by which sections of two graphs are compared.
@@ -22,11 +22,6 @@ SECTIONS = {
 }
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df made once: checkpointed in the shared folder, or cached where there is none. What many tables are made from is not extracted again for each."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
-
-
 def code_blocks(extracted: DataFrame, symbols: DataFrame) -> DataFrame:
     """Symbols with the text of their lines and its fingerprints."""
     texts = extracted.select(F.col("path").alias("_p"), "text", F.col("language").alias("_l"))
