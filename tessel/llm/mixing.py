@@ -94,10 +94,11 @@ def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
     found = stored(steps(sizes(docs), seed).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "rows", "first", "rate", "offset"), "steps")
     size = n_words(split_words(docs["text"], SPACES))
     names = docs.columns
-    once = found.filter("rows = 1").withColumn("copies", copies(F.col("first") + 1)).filter("copies > 0")
+    # the steps grow with the rows, so they are merged, not broadcast, at any size
+    once = found.filter("rows = 1").withColumn("copies", copies(F.col("first") + 1)).filter("copies > 0").hint("merge")
     joined = docs.join(once, docs["doc_id"].eqNullSafe(once["_d"]) & docs["source"].eqNullSafe(once["_s"]) & (size == once["_z"]))
     out = joined.select(*[docs[c] for c in names], F.explode(F.sequence(F.lit(1), once["copies"])).alias("_copy")).select(*names)
-    more = found.filter("rows > 1")
+    more = found.filter("rows > 1").hint("merge")
     if more.isEmpty():
         return out
     joined = docs.join(more, docs["doc_id"].eqNullSafe(more["_d"]) & docs["source"].eqNullSafe(more["_s"]) & (size == more["_z"]))
