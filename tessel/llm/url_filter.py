@@ -53,7 +53,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
-    """host, trust and distrust (expected visits), trust_rank and distrust_rank (personalised PageRank; each adds up to 1 where there is a seed).
+    """host, trust and distrust (expected visits).
 
     edges: src, dst, links, stored; seeds: host, trusted, blocked (booleans). No seeds give no rows.
 
@@ -79,9 +79,14 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
             before, total = total, ranks.agg(F.sum("score")).first()[0]
             added = total - before
     of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0)).alias(kind)
-    sums = F.broadcast(ranks.agg(of("trust"), of("distrust")).select(F.col("trust").alias("_t"), F.col("distrust").alias("_d")))  # one row
-    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0).alias(f"{a}_rank")
-    return ranks.groupBy("host").agg(of("trust"), of("distrust")).crossJoin(sums).select("host", "trust", "distrust", share("trust", "_t"), share("distrust", "_d"))
+    return ranks.groupBy("host").agg(of("trust"), of("distrust"))
+
+
+def page_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """host, trust_rank and distrust_rank: personalised PageRank, the share of all visits; each adds up to 1 where there is a seed."""
+    visits = stored(propagate(edges, seeds, damping, tolerance), "visits")
+    total = visits.agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")).first()  # two numbers
+    return visits.select("host", *[(F.col(c) / (total[c] or 1.0)).alias(f"{c}_rank") for c in ("trust", "distrust")])
 
 
 def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:

@@ -674,12 +674,12 @@ def test_propagation_is_page_rank(spark):
     edges = sorted((a, b, rnd.randrange(1, 5)) for a, b in pairs if a != b)
     trusted, blocked = ["h0", "h12", "h13"], ["h9", "h47", "h59"]
     seeds = [(h, h in trusted, h in blocked) for h in sorted({*trusted, *blocked})]
-    found = url_filter.propagate(spark.createDataFrame(edges, "src string, dst string, links long"), spark.createDataFrame(seeds, "host string, trusted boolean, blocked boolean"), tolerance=1e-5).collect()
+    found = url_filter.page_rank(spark.createDataFrame(edges, "src string, dst string, links long"), spark.createDataFrame(seeds, "host string, trusted boolean, blocked boolean"), tolerance=1e-5).collect()
     got = {r["host"]: r for r in found}
     for name, way, own in (("trust_rank", edges, trusted), ("distrust_rank", [(b, a, n) for a, b, n in edges], blocked)):
         want = page_rank(way, own, hosts)
         assert all((got[h][name] if h in got else 0.0) == pytest.approx(x, abs=1e-5) for h, x in want.items())
-    assert url_filter.propagate(spark.createDataFrame(edges, "src string, dst string, links long"), spark.createDataFrame([], "host string, trusted boolean, blocked boolean")).collect() == []
+    assert url_filter.page_rank(spark.createDataFrame(edges, "src string, dst string, links long"), spark.createDataFrame([], "host string, trusted boolean, blocked boolean")).collect() == []
 
 
 def test_urls_of_odd_tables(spark):
