@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, hmm_lm, html_extraction, jaccard_join, language_id, mixing, sharding, url_filter, warc
+from . import decontamination, exact_dedup, hmm_lm, html_extraction, importance, jaccard_join, language_id, mixing, sharding, suffix_dedup, url_filter, vector_codes, warc
 from .common import table
 
 
@@ -50,6 +50,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hmm_score, op2_warc_index, op3_jump_sharding, op4_jaccard_join, op5_language_id, op6_html_extraction, op7_decontamination, op8_exact_dedup, op9_source_mixing, op10_url_filter)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
 
-ORACLES: dict[str, str] = {"op4_jaccard_join": jaccard_join.ORACLE, "op2_warc_index": warc.ORACLE, "op7_decontamination": decontamination.ORACLE, "op10_url_filter": url_filter.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op9_source_mixing": mixing.ORACLE}
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hmm_score, op2_warc_index, op3_jump_sharding, op4_jaccard_join, op5_language_id, op6_html_extraction, op7_decontamination, op8_exact_dedup, op9_source_mixing, op10_url_filter, op11_vector_codes, op12_importance_resampling, op13_suffix_dedup)}
+
+ORACLES: dict[str, str] = {"op4_jaccard_join": jaccard_join.ORACLE, "op2_warc_index": warc.ORACLE, "op7_decontamination": decontamination.ORACLE, "op10_url_filter": url_filter.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op9_source_mixing": mixing.ORACLE, "op11_vector_codes": vector_codes.ORACLE, "op12_importance_resampling": importance.ORACLE, "op13_suffix_dedup": suffix_dedup.ORACLE}
