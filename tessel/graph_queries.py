@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from .functions.rules import is_test_path, language_of, module_of, test_command
 from .functions.text import call_tokens
 from .operators import discovery, extract, graph, impact, resolve
-from .plans import code_graph
+from .operators.combinators import scratch
+from .plans import code_graph, delta
 from .queries import TASK, query, sql_bm25, sql_score
 from .sources import repo
 
@@ -21,10 +22,10 @@ def _text(*parts) -> F.Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-def source_files(t, changed: bool = False) -> DataFrame:
-    """path, language, size, hash and text of the tree; with changed, files of suppliers 0 to 5 have one more function each."""
+def source_files(t, changed: int = 0, owners: DataFrame | None = None) -> DataFrame:
+    """path, language, size, hash and text of the tree; files of the first so many suppliers have one more function each. owners (s_suppkey, s_nationkey) stand for suppliers."""
     s, n, k = F.col("s"), F.col("n"), F.col("k")
-    base = t.supplier.select(F.col("s_suppkey").alias("s"), F.col("s_nationkey").alias("n"), (F.col("s_suppkey") % 10).alias("k"))
+    base = (t.supplier if owners is None else owners).select(F.col("s_suppkey").alias("s"), F.col("s_nationkey").alias("n"), (F.col("s_suppkey") % 10).alias("k"))
     nxt = base.select((s - 1).alias("s"), F.concat(F.lit("from src.mod"), n.cast("string"), F.lit(".file"), s.cast("string"), F.lit(" import run")).alias("imported"))
     rows = base.join(nxt, "s", "left")
     code = F.concat_ws(
@@ -32,7 +33,7 @@ def source_files(t, changed: bool = False) -> DataFrame:
         _text("def helper_", s, "(x: int) -> int:"), _text("    return run_", k, "(x) if x else helper_", s, "(x)"), _text('@router.get("/api/', s, '")'), _text("async def get_", s, "(id):"), _text("    return helper_", s, "(id)"),
     )
     if changed:
-        code = F.when(s <= 5, F.concat(code, _text("\ndef added_", s, "():\n    helper_", s, "(0)"))).otherwise(code)
+        code = F.when(s < changed, F.concat(code, _text("\ndef added_", s, "():\n    helper_", s, "(0)"))).otherwise(code)
     out = rows.select(_text("src/mod", n, "/file", s, ".py").alias("path"), code.alias("text"))
     out = out.unionByName(base.filter("s % 3 = 0").select(_text("tests/test_file", s, ".py").alias("path"), _text("def test_it():\n    helper_", s, "(1)\n    run_", k, "(2)").alias("text")))
     out = out.unionByName(base.select("n").distinct().select(_text("tests/test_mod", n, ".py").alias("path"), F.lit("def test_module():\n    pass").alias("text")))
@@ -187,13 +188,62 @@ def affected_callers(t):
 @query(f"""{WITH} SELECT from_symbol, to_symbol, confidence FROM links UNION ALL
 SELECT p || '::added_' || s.s || '::function::12', symbol_key, 0.95::DOUBLE FROM s JOIN keyed ON keyed.name = 'helper_' || s.s WHERE s.s <= 5""")
 def partial_update(t):
-    """Edges after five files changed, by the partial plan; they must be those of a full build of the changed tree."""
-    tables, plan = code_graph.update(tree(t), source_files(t, True))
+    """Edges after six files changed, by the partial plan; they must be those of a full build of the changed tree."""
+    tables, plan = code_graph.update(tree(t), source_files(t, 6))
     if plan != "partial":
-        raise ValueError(f"five changed files take the plan {plan}")
+        raise ValueError(f"six changed files take the plan {plan}")
     return tables["symbol_edges"].select("from_symbol", "to_symbol", "confidence")
 
 
+def _without_two(t) -> DataFrame:
+    """The tree without file 3, with file 4 in another place and file 7 with its helper under another name and one line further down."""
+    files, path, text = source_files(t), F.col("path"), F.col("text")
+    moved = F.when(path.rlike(r"^src/.*/file4\.py$"), F.replace(path, F.lit("/file4.py"), F.lit("/moved4.py"))).otherwise(path)
+    edited = F.when(path.rlike(r"^src/.*/file7\.py$"), F.concat(F.lit("\n"), F.replace(text, F.lit("helper_7("), F.lit("aid_7(")))).otherwise(text)
+    out = files.filter(~path.rlike(r"^src/.*/file3\.py$")).select(moved.alias("path"), "language", edited.alias("text"))
+    return out.select("path", "language", F.length("text").cast("long").alias("size"), F.sha1("text").alias("hash"), "text")
+
+
+def _advanced(t) -> dict[str, DataFrame]:
+    """The stored graph after it was published and advanced to _without_two()."""
+    store = delta.GraphStore(t.spark, scratch(t.spark, "graph"))
+    store.publish(tree(t))
+    found, plan = delta.changes(store.tables(), _without_two(t))
+    if plan != "partial":
+        raise ValueError(f"four changed files take the plan {plan}")
+    store.advance(found)
+    return store.tables()
+
+
+@query(f"""{WITH}, t AS (SELECT replace(p, '/file4.py', '/moved4.py') AS p, s, k FROM s WHERE s <> 3), x AS (SELECT a.p AS path, b.s AS next, b.p AS to_path FROM t a LEFT JOIN s b ON b.s = a.s + 1)
+SELECT path, CASE WHEN next IS NULL OR next IN (3, 4) THEN NULL ELSE to_path END AS resolved_path FROM x""")
+def advanced_imports(t):
+    """Imports in the stored graph after a file went, one moved and one changed; only touched buckets were written."""
+    return _advanced(t)["bindings"].select("path", "resolved_path")
+
+
+@query(f"""{WITH}, now AS (SELECT CASE WHEN s = 4 THEN replace(path, '/file4.py', '/moved4.py') ELSE path END AS path, CASE WHEN s = 7 AND starts_with(path, 'src/') THEN replace(name, 'helper_7', 'aid_7') ELSE name END AS name, kind, s,
+  CASE WHEN s = 7 AND starts_with(path, 'src/') THEN replace(qualified_name, 'helper_7', 'aid_7') ELSE qualified_name END AS qualified_name, start_line + CASE WHEN s = 7 AND starts_with(path, 'src/') THEN 1 ELSE 0 END AS start_line FROM sym WHERE s IS DISTINCT FROM 3 OR starts_with(path, 'tests/')),
+nk AS (SELECT *, path || '::' || qualified_name || '::' || kind || '::' || start_line AS key FROM now),
+calls AS (SELECT key, path, 'helper_' || (s + 1) AS name FROM nk WHERE kind = 'method' UNION ALL SELECT key, path, 'run_' || (s % 10) FROM nk WHERE name IN ('helper_' || s, 'aid_7') AND kind = 'function' AND starts_with(path, 'src/')
+  UNION ALL SELECT key, path, CASE WHEN s = 7 THEN 'aid_7' ELSE 'helper_' || s END FROM nk WHERE name = 'get_' || s UNION ALL SELECT key, path, 'helper_' || s FROM nk WHERE name = 'test_it' UNION ALL SELECT key, path, 'run_' || (s % 10) FROM nk WHERE name = 'test_it'),
+own AS (SELECT name, path, min(key) AS key FROM nk GROUP BY ALL), every AS (SELECT name, min({{'p': path, 'k': key}}) AS f, count(*) AS n FROM nk GROUP BY name)
+SELECT c.key AS from_symbol, coalesce(o.key, e.f.k) AS to_symbol, CASE WHEN o.key IS NOT NULL THEN 0.95 WHEN e.n = 1 THEN 0.75 ELSE 0.45 END::DOUBLE AS confidence
+FROM calls c LEFT JOIN own o ON o.name = c.name AND o.path = c.path LEFT JOIN every e ON e.name = c.name WHERE coalesce(o.key, e.f.k) <> c.key""")
+def advanced_edges(t):
+    """Calls in the stored graph after a file went, one moved and one changed: callers elsewhere that resolve differently follow."""
+    return _advanced(t)["symbol_edges"].select("from_symbol", "to_symbol", "confidence")
+
+
+@query(f"""{WITH}, hits AS ({sql_bm25('(SELECT symbol_key, name || chr(32) || kind AS text FROM keyed)', 'symbol_key', 'text', ['helper', '12', 'method'], 20).replace('WITH b AS', 'SELECT * FROM (WITH b AS')}))
+SELECT h.symbol_key, path, name, 1.0::DOUBLE - (row_number() OVER (ORDER BY score DESC, h.symbol_key) - 1) / (count(*) OVER ())::DOUBLE AS score FROM hits h JOIN keyed USING (symbol_key)""")
+def find_symbol_indexed(t):
+    """find_symbol by the stored inverted index: only the buckets of the question's terms are read."""
+    store = delta.GraphStore(t.spark, scratch(t.spark, "graph"))
+    store.publish(tree(t))
+    return code_graph.find_symbol(store.tables(), "helper 12 method").select("symbol_key", "path", "name", "score")
+
+
 @query(f"""{WITH}, m AS (SELECT path, 'src/' || regexp_extract(path, 'src/([^/]*)', 1) AS root, resolved_path AS to_path, 'src/' || regexp_extract(resolved_path, 'src/([^/]*)', 1) AS to_root FROM bind WHERE resolved_path IS NOT NULL),
 ranked AS (SELECT root, 'depends_on' AS what, to_path AS x FROM m WHERE root <> to_root UNION SELECT to_root, 'used_by', path FROM m WHERE root <> to_root UNION SELECT 'src/mod' || n, 'core_files', p FROM s
   UNION SELECT 'src/' || regexp_extract(target_path, 'src/([^/]*)', 1), 'tests', test_path FROM covers),

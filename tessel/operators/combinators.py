@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import tempfile
+import uuid
+from functools import cache
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -10,9 +14,35 @@ def _keys(keys: str | list[str]) -> list[str]:
     return [keys] if isinstance(keys, str) else keys
 
 
+@cache
+def _own_folder() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='tessel-')}"
+
+
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where that is unset and Spark runs in one process; else None."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return base or (_own_folder() if spark.sparkContext.master.startswith("local") else None)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one."""
+    base = shared_folder(spark)
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{base.rstrip('/')}/tessel/{name}-{uuid.uuid4().hex}"
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """df made once: checkpointed in the shared folder, or cached where there is none. For what several tables are made from."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+    """df made once: written to the shared folder and read again, or cached where there is none. For what several tables are made from.
+
+    Lineage is cut, an executor may be lost, the size is known to the planner, and what is built on it is planned without what it was made from.
+    """
+    if not shared_folder(df.sparkSession):
+        return df.persist()
+    path = scratch(df.sparkSession, "kept")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def best_per_key(df: DataFrame, keys: str | list[str], *order: Column) -> DataFrame:

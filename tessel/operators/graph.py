@@ -85,18 +85,31 @@ def equivalence(left: DataFrame, right: DataFrame, keys: list[str], section: str
     return out[0].unionByName(out[1])
 
 
-def name_resolution(calls: DataFrame, symbols: DataFrame) -> DataFrame:
-    """from_key, name, to_key, confidence and how each called name resolves.
+def resolved_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+    """from_key, from_path, name, to_key, to_path, confidence and how each called name resolves.
 
     calls: from_key, file, name; symbols: key, file, name. A symbol of the same file wins (0.95), else the only one of that name (0.75), else the first
     of several (0.45). Symbols are reduced to one for each (name, file) and one for each name before any join, so common names don't multiply rows.
     """
     local = symbols.groupBy("name", "file").agg(F.min("key").alias("local_key"))
-    whole = symbols.groupBy("name").agg(F.min(F.struct("file", "key"))["key"].alias("any_key"), F.count("*").alias("n"))
+    whole = symbols.groupBy("name").agg(F.min(F.struct("file", "key")).alias("any"), F.count("*").alias("n"))
     distinct = calls.select("from_key", "file", "name").distinct()
     found = distinct.join(local, ["name", "file"], "left").join(whole, "name", "left")
     own = F.col("local_key").isNotNull()
-    to = F.coalesce("local_key", "any_key")
+    to, path = F.coalesce("local_key", "any.key"), F.when(own, F.col("file")).otherwise(F.col("any.file"))
     confidence = F.when(own, 0.95).when(F.col("n") == 1, 0.75).otherwise(0.45)
     how = F.when(own, "same_file").when(F.col("n") == 1, "unique_name").otherwise("ambiguous_name")
-    return found.select("from_key", "name", to.alias("to_key"), confidence.alias("confidence"), how.alias("how")).filter("to_key IS NOT NULL AND to_key <> from_key")
+    return found.select("from_key", F.col("file").alias("from_path"), "name", to.alias("to_key"), path.alias("to_path"), confidence.alias("confidence"), how.alias("how")).filter("to_key IS NOT NULL AND to_key <> from_key")
+
+
+def name_resolution(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+    """resolved_calls() without paths."""
+    return resolved_calls(calls, symbols).drop("from_path", "to_path")
+
+
+def moved_names(before: DataFrame, after: DataFrame) -> DataFrame:
+    """name of all names whose calls from other files resolve differently: another first symbol, or no longer one symbol only. Both: key, file, name."""
+    rows = before.select("name", F.struct("file", "key").alias("_b"), F.lit(None).alias("_a")).unionByName(after.select("name", F.lit(None).alias("_b"), F.struct("file", "key").alias("_a")))
+    both = rows.groupBy("name").agg(*[f(c).alias(f"{n}{c}") for c in ("_b", "_a") for n, f in (("min", F.min), ("n", F.count))])
+    same = F.col("min_b").eqNullSafe(F.col("min_a")) & ((F.col("n_b") == 1) == (F.col("n_a") == 1))
+    return both.filter(~same).select("name")

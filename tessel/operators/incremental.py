@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.rules import change_kind, change_plane
 from .graph import equivalence
@@ -82,6 +86,28 @@ def verify(full: Callable[[], dict[str, DataFrame]], partial: Callable[[], dict[
     return out
 
 
+def without(df: DataFrame, gone: DataFrame) -> DataFrame:
+    """df without the rows whose values in gone's columns are in gone."""
+    return df.join(gone, gone.columns, "left_anti")
+
+
+@dataclass
+class Delta:
+    """What changes in tables. gone: for a table, values of some of its columns (the bucket's key among them) whose rows go. rows: what comes, with keys that
+    gone has. whole: tables that are replaced."""
+
+    gone: dict[str, DataFrame] = field(default_factory=dict)
+    rows: dict[str, DataFrame] = field(default_factory=dict)
+    whole: dict[str, DataFrame] = field(default_factory=dict)
+
+    def put(self, name: str, gone: DataFrame, rows: DataFrame) -> None:
+        self.gone[name], self.rows[name] = gone, rows
+
+    def apply(self, old: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """old after the change, unwritten."""
+        return old | {name: without(old[name].select(rows.columns), self.gone[name]).unionByName(rows) for name, rows in self.rows.items()} | self.whole
+
+
 class VersionedStore:
     """Tables of a graph, published together: every version has a folder, and one small file names the current one.
 
@@ -91,14 +117,16 @@ class VersionedStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _at(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def _names(self, path: str) -> list[str]:
+        fs, at = self._at(path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
     def _pointers(self) -> list[int]:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/published")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        done = lambda p: fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
-        return sorted(int(s.getPath().getName()) for s in fs.listStatus(path) if done(s.getPath()))
+        return sorted(int(n) for n in self._names(f"{self.root}/published") if "_SUCCESS" in self._names(f"{self.root}/published/{n}"))
 
     def publish(self, tables: dict[str, DataFrame]) -> str:
         version = uuid.uuid4().hex
@@ -120,3 +148,113 @@ class VersionedStore:
 
     def log(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/logs/{name}")
+
+
+class BucketStore(VersionedStore):
+    """A VersionedStore whose large tables are kept in buckets of a key's hash. A version is a list of folders, one for each bucket of each table, so an
+    update writes the buckets that it touches and names the folders of the last version for all others.
+
+    KEYS: the key column of each table that has buckets; others are written whole. SHOWN: tables read with their bucket as a column, which filters can prune;
+    the number of buckets is in that column's metadata.
+    """
+
+    KEYS: dict[str, str] = {}
+    SHOWN: tuple[str, ...] = ("postings",)
+    #: Tables written at the same time: each is a few short jobs.
+    AT_ONCE = 8
+    _LIST = "name string, bucket int, folder string, form string, buckets int"
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 32):
+        super().__init__(spark, root)
+        self.buckets = buckets
+
+    def publish(self, tables: dict[str, DataFrame]) -> str:
+        version = f"v{uuid.uuid4().hex}"
+        with ThreadPoolExecutor(self.AT_ONCE) as pool:
+            found = list(pool.map(lambda t: self._write(version, t[0], t[1], self.buckets), tables.items()))
+        return self._point(version, [r for rows in found for r in rows])
+
+    def advance(self, delta: Delta) -> str:
+        """The next version: rows that go (delta.gone) and come (delta.rows) in touched buckets, whole tables (delta.whole), and everything else as it is."""
+        version, now = f"v{uuid.uuid4().hex}", self._folders()
+
+        asked: dict[int, object] = {}  # tables that lose the same keys share the list of their buckets
+
+        def touched(name: str, n: int, pool: ThreadPoolExecutor):
+            df = delta.gone[name].select(bucket_of(F.col(self.KEYS[name]), n).alias("b")).distinct()
+            if (same := df.semanticHash()) not in asked:
+                asked[same] = pool.submit(lambda: {r[0] for r in df.collect()})  # buckets at most
+            return asked[same]
+
+        def one(name: str, own: list, hit) -> list[tuple]:
+            n, hit = own[0]["buckets"], hit.result()
+            rows = without(self._read(name, [r for r in own if r["bucket"] in hit], own[0]["form"]), delta.gone[name]).unionByName(delta.rows[name])
+            return [tuple(r) for r in own if r["bucket"] not in hit and r["folder"]] + self._write(version, name, rows, n)
+
+        with ThreadPoolExecutor(self.AT_ONCE) as first, ThreadPoolExecutor(self.AT_ONCE) as pool:
+            of = {name: [r for r in now if r["name"] == name] for name in delta.rows}
+            hits = {name: touched(name, own[0]["buckets"], first) for name, own in of.items()}
+            jobs = [pool.submit(one, name, own, hits[name]) for name, own in of.items()] + [pool.submit(self._write, version, name, df, 0) for name, df in delta.whole.items()]
+            found = [job.result() for job in jobs]
+        rest = [tuple(r) for r in now if r["name"] not in delta.rows and r["name"] not in delta.whole]
+        return self._point(version, rest + [r for rows in found for r in rows])
+
+    def tables(self) -> dict[str, DataFrame]:
+        by: dict[str, list] = {}
+        for r in self._folders():
+            by.setdefault(r["name"], []).append(r)
+        with ThreadPoolExecutor(self.AT_ONCE) as pool:  # each lists its folders
+            return dict(pool.map(lambda t: (t[0], self._read(t[0], t[1], t[1][0]["form"], t[0] in self.SHOWN)), by.items()))
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Deletes folders that none of the last `keep` versions names, and older pointers; returns how many folders went. Not while something is written."""
+        pointers = self._pointers()
+        used = {r["folder"] for at in pointers[-keep:] for r in self._folders(at)}
+        gone = 0
+        for table in self._names(f"{self.root}/data"):
+            for version in self._names(f"{self.root}/data/{table}"):
+                top = f"data/{table}/{version}"
+                for folder in [f"{top}/{n}" for n in self._names(f"{self.root}/{top}") if n.startswith("bucket=")] or [top]:
+                    if folder not in used:
+                        fs, at = self._at(f"{self.root}/{folder}")
+                        gone += bool(fs.delete(at, True))
+        for at in pointers[:-keep]:
+            fs, path = self._at(f"{self.root}/published/{at}")
+            fs.delete(path, True)
+        return gone
+
+    def _folders(self, at: int | None = None) -> list:
+        found = self._pointers()
+        if not found:
+            return []
+        return self.spark.read.schema(self._LIST).json(f"{self.root}/published/{at or found[-1]}").collect()  # buckets x tables rows
+
+    def _point(self, version: str, folders: list[tuple]) -> str:
+        at = (self._pointers() or [0])[-1] + 1
+        self.spark.createDataFrame(folders, self._LIST).coalesce(1).write.json(f"{self.root}/published/{at}")
+        return version
+
+    def _write(self, version: str, name: str, df: DataFrame, buckets: int) -> list[tuple]:
+        top, form = f"data/{name}/version={version}", df.schema.json()
+        if name not in self.KEYS:
+            df.write.parquet(f"{self.root}/{top}")
+            return [(name, None, top, form, 0)]
+        key = self.KEYS[name]
+        dealt = df.withColumn("bucket", bucket_of(F.col(key), buckets)).repartition("bucket").sortWithinPartitions("bucket", key)
+        dealt.write.partitionBy("bucket").parquet(f"{self.root}/{top}")
+        made = [n for n in self._names(f"{self.root}/{top}") if n.startswith("bucket=")]
+        return [(name, int(n.removeprefix("bucket=")), f"{top}/{n}", form, buckets) for n in made] or [(name, None, None, form, buckets)]
+
+    def _read(self, name: str, folders: list, form: str, shown: bool = False) -> DataFrame:
+        schema = StructType.fromJson(json.loads(form))
+        paths = [f"{self.root}/{r['folder']}" for r in folders if r["folder"]]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        df = self.spark.read.schema(schema).option("basePath", f"{self.root}/data/{name}").parquet(*paths)
+        buckets = [F.col("bucket").alias("bucket", metadata={"buckets": folders[0]["buckets"]})] if shown else []
+        return df.select(*[F.col(f"`{c}`") for c in schema.names], *buckets)
+
+
+def bucket_of(key: Column, buckets: int) -> Column:
+    """The bucket of a key, 0 to buckets - 1."""
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")

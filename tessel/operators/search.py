@@ -1,12 +1,15 @@
-"""BM25 and lexical search."""
+"""BM25 and lexical search, by a scan of the texts or by a stored inverted index."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import query_tokens, score_text
 from .combinators import kept, rank_position_score
+from .incremental import bucket_of
 
 K1, B = 1.2, 0.75
 #: What an inverse document frequency of 0 or less counts as.
@@ -41,17 +44,58 @@ def bm25(docs: DataFrame, key: str, text: Column, query: str, k: int | None = 20
     rows = docs.select(F.col(key).alias("_key"), words.alias("_w")).select("_key", F.size("_w").alias("_len"), *[_times("_w", t).alias(f"_t{i}") for i, t in enumerate(terms)])
     rows = kept(rows)
     stats = rows.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.sum((F.col(f"_t{i}") > 0).cast("int")).alias(f"_df{i}") for i in range(len(terms))])
-    joined = rows.crossJoin(F.broadcast(stats))  # one row
+    return _ranked(rows, stats, len(terms), key, k)
+
+
+def _ranked(rows: DataFrame, stats: DataFrame, terms: int, key: str, k: int | None) -> DataFrame:
+    """key and score from rows (_key, _len and _t of each term) and the one row of stats (_n, _avg and _df of each term)."""
+    joined = rows.crossJoin(F.broadcast(stats))
     score = F.lit(0.0)
-    for i in range(len(terms)):
+    for i in range(terms):
         df, tf = F.col(f"_df{i}"), F.col(f"_t{i}").cast("double")
         idf = F.greatest(F.log((F.col("_n") - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
         score = score + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))).otherwise(0.0)
-    hit = sum((F.col(f"_t{i}") for i in range(len(terms))), F.lit(0)) > 0
+    hit = sum((F.col(f"_t{i}") for i in range(terms)), F.lit(0)) > 0
     out = joined.filter(hit).select(F.col("_key").alias(key), score.alias("score"))
     return out.orderBy(F.desc("score"), key).limit(k) if k else out
 
 
+def postings(docs: DataFrame, key: str, text: Column, group: str) -> DataFrame:
+    """term, key, group, times (in the text) and words (of the text) of every term of every text. group says what an update replaces together."""
+    each = docs.select(F.col(key), F.col(group), words_of(text).alias("_w")).select(key, group, F.size("_w").alias("words"), F.explode("_w").alias("term"))
+    return each.groupBy("term", *dict.fromkeys((key, group)), "words").agg(F.count("*").alias("times"))
+
+
+def lengths(docs: DataFrame, text: Column, group: str) -> DataFrame:
+    """group, docs and words: what statistics over all texts are summed from."""
+    return docs.select(F.col(group), F.size(words_of(text)).alias("_n")).groupBy(group).agg(F.count("*").alias("docs"), F.sum("_n").alias("words"))
+
+
+@dataclass
+class Index:
+    """A stored inverted index: postings() in buckets of their term, as a BucketStore reads them, and lengths()."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    key: str
+
+    def bm25(self, query: str, k: int | None = 20) -> DataFrame:
+        """bm25()'s rows from the postings of the query's terms; only their buckets are read."""
+        terms = query_terms(query)
+        n = self.postings.schema["bucket"].metadata["buckets"]
+        hits = self.postings.filter(F.col("bucket").isin(*[bucket_of(F.lit(t), n) for t in terms]) & F.col("term").isin(*terms))
+        one = [F.col("term") == t for t in terms]
+        rows = hits.groupBy(F.col(self.key).alias("_key")).agg(F.max("words").alias("_len"), *[F.sum(F.when(c, F.col("times")).otherwise(0)).alias(f"_t{i}") for i, c in enumerate(one)])
+        found = hits.agg(*[F.coalesce(F.sum(c.cast("int")), F.lit(0)).alias(f"_df{i}") for i, c in enumerate(one)])
+        whole = self.lengths.agg(F.sum("docs").alias("_n"), (F.sum("words") / F.sum("docs")).alias("_avg"))
+        return _ranked(rows, found.crossJoin(F.broadcast(whole)), len(terms), self.key, k)  # both one row
+
+
+def is_index(df: DataFrame | None) -> bool:
+    """True for postings that a BucketStore has read."""
+    return df is not None and "bucket" in df.columns and "buckets" in df.schema["bucket"].metadata
+
+
 def lexical(docs: DataFrame, key: str, query: str, parts: list[tuple[Column, float]], least: float = 0.0, k: int | None = 20) -> DataFrame:
     """key and score: the best weighted score_text() of a row's parts."""
     scores = [score_text(query, part) * weight for part, weight in parts]
@@ -60,12 +104,13 @@ def lexical(docs: DataFrame, key: str, query: str, parts: list[tuple[Column, flo
     return out.orderBy(F.desc("score"), key).limit(k) if k else out
 
 
-def search(docs: DataFrame, key: str, text: Column, query: str, fallback: list[tuple[Column, float]], k: int = 20) -> DataFrame:
-    """key, place score (1 - place / n) and method: BM25, or lexical scores where no document holds a term."""
-    hits = bm25(docs, key, text, query, k) if query_terms(query) else docs.select(key).limit(0).withColumn("score", F.lit(0.0))
-    if not query_terms(query) or hits.isEmpty():
-        return lexical(docs, key, query, fallback, 0.0, k).withColumn("method", F.lit("lexical"))
-    return rank_position_score(hits, F.desc("score"), F.col(key)).withColumn("method", F.lit("bm25"))
+def search(docs: DataFrame, key: str, text: Column | None, query: str, fallback: list[tuple[Column, float]], k: int = 20, index: Index | None = None) -> DataFrame:
+    """key, place score (1 - place / n) and method: BM25, by an index if there is one, or lexical scores where no document holds a term."""
+    if query_terms(query):
+        hits = kept(index.bm25(query, k) if index else bm25(docs, key, text, query, k))  # k rows
+        if not hits.isEmpty():
+            return rank_position_score(hits, F.desc("score"), F.col(key)).withColumn("method", F.lit("bm25"))
+    return lexical(docs, key, query, fallback, 0.0, k).withColumn("method", F.lit("lexical"))
 
 
 __all__ = ["bm25", "lexical", "query_terms", "query_tokens", "search", "words_of"]

@@ -28,9 +28,9 @@ def route_block(text: Column, name: Column, path: Column) -> Column:
     characters; the whole text without a mention."""
     place = lambda needle: F.when(F.coalesce(needle, F.lit("")) != "", F.position(needle, text)).otherwise(0)
     at = F.when(place(name) > 0, place(name)).otherwise(place(path))
-    before = F.substring_index(F.substring(text, F.lit(1), at + F.lit(len(ROUTE))), ROUTE, -1)
-    start = at + F.lit(len(ROUTE)) - F.length(before)
-    start = F.when(start > F.lit(len(ROUTE)), start - F.lit(len(ROUTE))).otherwise(1)
+    head = F.substring(text, F.lit(1), at + F.lit(len(ROUTE) - 1))  # up to a `GoRoute(` that begins at the mention itself
+    after_last = F.length(head) - F.length(F.substring_index(head, ROUTE, -1)) + 1  # 1 if head has none
+    start = F.when(after_last > 1, after_last - F.lit(len(ROUTE))).otherwise(1)
     after = F.position(F.lit(ROUTE), text, at + 1)
     end = F.when(after > 0, after).otherwise(F.least(F.length(text) + 1, at + F.lit(BLOCK)))
     return F.when(at == 0, text).otherwise(F.substring(text, start, end - start))

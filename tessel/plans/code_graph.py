@@ -22,26 +22,33 @@ SECTIONS = {
 }
 
 
+def bodies(extracted: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Symbols with the text of their lines (body) and their file's language (_l)."""
+    texts = extracted.select(F.col("path").alias("_p"), "text", F.col("language").alias("_l"))
+    return symbols.join(texts, F.col("path") == F.col("_p")).withColumn("body", extract_lines(F.col("text"), F.col("start_line"), F.col("end_line")))
+
+
 def code_blocks(extracted: DataFrame, symbols: DataFrame) -> DataFrame:
     """Symbols with the text of their lines and its fingerprints."""
-    texts = extracted.select(F.col("path").alias("_p"), "text", F.col("language").alias("_l"))
-    body = extract_lines(F.col("text"), F.col("start_line"), F.col("end_line"))
-    rows = symbols.join(texts, F.col("path") == F.col("_p")).withColumn("body", body)
-    rows = rows.withColumn("f", fingerprint("body")).withColumn("shape", structural_shape(F.col("_l"), F.col("body")))
+    rows = bodies(extracted, symbols).withColumn("f", fingerprint("body")).withColumn("shape", structural_shape(F.col("_l"), F.col("body")))
     return rows.select("symbol_key", "path", "name", "qualified_name", "kind", "start_line", "end_line", "body", "f.body_hash", "f.normalized_hash", F.col("f.simhash").alias("fingerprint"), "f.tokens", F.col("shape.hash").alias("shape_hash"), F.col("shape.kind").alias("shape_kind"))
 
 
-def symbol_edges(blocks: DataFrame, symbols: DataFrame) -> DataFrame:
+def calls_of(blocks: DataFrame) -> DataFrame:
+    """from_key, path and name of every name that a symbol's body calls."""
+    return blocks.filter("kind <> 'class'").select(F.col("symbol_key").alias("from_key"), "path", F.explode(call_tokens("body")).alias("name"))
+
+
+def known_names(symbols: DataFrame) -> DataFrame:
+    """key, file and name of the symbols that calls may mean."""
+    return symbols.filter("kind <> 'provider'").select(F.col("symbol_key").alias("key"), F.col("path").alias("file"), "name")
+
+
+def symbol_edges(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     """Calls between symbols, by name."""
-    calls = blocks.filter("kind <> 'class'").select(F.col("symbol_key").alias("from_key"), F.col("path").alias("file"), F.explode(call_tokens("body")).alias("name"))
-    known = symbols.filter("kind <> 'provider'").select(F.col("symbol_key").alias("key"), F.col("path").alias("file"), "name")
-    found = graph.name_resolution(calls, known)
-    ends = symbols.select(F.col("symbol_key").alias("_k"), F.col("path").alias("_p"))
+    found = graph.resolved_calls(calls.withColumnRenamed("path", "file"), known_names(symbols))
     kind = F.when(F.col("name").rlike("^[A-Z]"), "constructs").otherwise("calls")
-    rows = found.join(ends, F.col("from_key") == F.col("_k")).select("from_key", "to_key", "name", "confidence", "how", F.col("_p").alias("from_path"))
-    rows = rows.join(ends, F.col("to_key") == F.col("_k")).withColumn("kind", kind)
-    best = rows.groupBy("from_key", "to_key").agg(F.max_by(F.struct("from_path", F.col("_p").alias("to_path"), "kind", "confidence", "how"), F.struct("confidence", "name")).alias("r"))
-    return best.select(F.col("from_key").alias("from_symbol"), F.col("to_key").alias("to_symbol"), "r.from_path", "r.to_path", "r.kind", "r.confidence", F.array("r.how").alias("evidence"))
+    return found.select(F.col("from_key").alias("from_symbol"), F.col("to_key").alias("to_symbol"), "from_path", "to_path", kind.alias("kind"), "confidence", F.array("how").alias("evidence"))
 
 
 def edges(symbols: DataFrame, bindings: DataFrame, tests: DataFrame, co_changes: DataFrame | None = None) -> DataFrame:
@@ -61,17 +68,42 @@ def build(files: DataFrame, git_log: DataFrame | None = None) -> dict[str, DataF
     tests = resolve.test_targets(files)
     routes = extract.routes(extracted)
     pairs = top_k(graph.co_changes(git_log, "commit_no", "path"), graph.MOST_PAIRS, F.desc("weight"), F.col("a"), F.col("b")) if git_log is not None else None
-    eligible = F.size("tokens") > 8
-    clusters = duplicates.clusters(blocks, "symbol_key", F.col("normalized_hash"), eligible)
-    modules = files.select(module_of(F.col("path")).alias("m")).filter("m IS NOT NULL").groupBy("m.name", "m.root", "m.type").agg(F.count("*").alias("files"))
+    calls = calls_of(blocks)
+    found = clusters(blocks)
     out = {
-        "files": files.select("path", "language", "size", "hash"), "symbols": symbols, "code_blocks": blocks, "symbol_edges": symbol_edges(blocks, symbols), "bindings": bindings, "tests": tests, "routes": routes,
-        "edges": edges(symbols, bindings, tests, pairs), "clusters": clusters, "members": duplicates.members(blocks, "symbol_key", F.col("normalized_hash"), clusters), "modules": modules,
-        "commands": repo.commands(files), "rules": repo.rules(files), "documents": documents.source_documents(files),
+        "files": files.select("path", "language", "size", "hash"), "symbols": symbols, "code_blocks": blocks, "calls": calls, "symbol_edges": symbol_edges(calls, symbols), "bindings": bindings, "tests": tests, "routes": routes,
+        "edges": edges(symbols, bindings, tests, pairs), "clusters": found, "members": members(blocks, found), "modules": modules(files),
+        "commands": repo.commands(files), "rules": repo.rules(files), "documents": documents.source_documents(files), "postings": postings(symbols), "lengths": lengths(symbols),
     }
     return out | ({"co_changes": pairs} if pairs is not None else {})
 
 
+def clusters(blocks: DataFrame) -> DataFrame:
+    return duplicates.clusters(blocks, "symbol_key", F.col("normalized_hash"), F.size("tokens") > 8)
+
+
+def members(blocks: DataFrame, found: DataFrame) -> DataFrame:
+    return duplicates.members(blocks, "symbol_key", F.col("normalized_hash"), found)
+
+
+def modules(files: DataFrame) -> DataFrame:
+    return files.select(module_of(F.col("path")).alias("m")).filter("m IS NOT NULL").groupBy("m.name", "m.root", "m.type").agg(F.count("*").alias("files"))
+
+
+#: The text of a symbol that searches read.
+SYMBOL_TEXT = ("name", "kind")
+
+
+def postings(symbols: DataFrame) -> DataFrame:
+    """term, symbol_key, path, times and words of every word of a symbol's text."""
+    return search.postings(symbols, "symbol_key", F.concat_ws(" ", *SYMBOL_TEXT), "path")
+
+
+def lengths(symbols: DataFrame) -> DataFrame:
+    """path, docs and words of a file's symbols."""
+    return search.lengths(symbols, F.concat_ws(" ", *SYMBOL_TEXT), "path")
+
+
 def affected_callers(changed: DataFrame, graph_tables: dict[str, DataFrame], most: int = 100) -> DataFrame:
     """Paths that import or call into changed paths, at most so many, in order."""
     by_import = graph_tables["bindings"].join(changed.select(F.col("path").alias("resolved_path")), "resolved_path", "left_semi").select("path")
@@ -80,36 +112,13 @@ def affected_callers(changed: DataFrame, graph_tables: dict[str, DataFrame], mos
 
 
 def update(old: dict[str, DataFrame], files: DataFrame) -> tuple[dict[str, DataFrame], str]:
-    """The tables after files changed, and the plan that was used. Rows of changed files and of files that point at them are extracted anew; the rest is kept.
+    """The tables after files changed, and the plan that was used; delta.changes() says what differs."""
+    from . import delta
 
-    Names resolve over all symbols, so edges are joined again from kept and new rows; extraction, the costly part, is only done for what changed.
-    """
-    diff = incremental.planes(incremental.hash_diff(old["files"], files.select("path", "hash"), "path", "hash"), "path")
-    plan = incremental.choose_plan(diff, old["files"].isEmpty())
-    if plan == "none":
-        return old, plan
+    found, plan = delta.changes(old, files)
     if plan == "full":
         return build(files), plan
-    touched = diff.select("path")
-    if plan == "metadata_only":  # hashes of code are not advanced, so a later scan still sees them
-        return old | {"commands": repo.commands(files), "rules": repo.rules(files), "documents": documents.source_documents(files)}, plan
-    again = kept(touched.unionByName(affected_callers(touched, old)).distinct())
-    part = files.join(again, "path", "left_semi")
-    extracted = kept(extract.extract_files(part))
-    new_symbols = extract.symbols(extracted)
-    symbols = incremental.apply_partial(old["symbols"], again, new_symbols, "path")
-    blocks = incremental.apply_partial(old["code_blocks"], again, kept(code_blocks(extracted, new_symbols)), "path")
-    bindings = resolve.import_bindings(incremental.apply_partial(old["bindings"].select("path", F.col("source_text").alias("import_text")), again, extract.imports(extracted), "path"), files)
-    routes = old["routes"].join(again.withColumnRenamed("path", "file_path"), "file_path", "left_anti").unionByName(extract.routes(extracted))
-    tests = resolve.test_targets(files)
-    clusters = duplicates.clusters(blocks, "symbol_key", F.col("normalized_hash"), F.size("tokens") > 8)
-    fresh = {
-        "files": files.select("path", "language", "size", "hash"), "symbols": symbols, "code_blocks": blocks, "symbol_edges": symbol_edges(blocks, symbols), "bindings": bindings, "tests": tests, "routes": routes,
-        "edges": edges(symbols, bindings, tests, old.get("co_changes")), "clusters": clusters, "members": duplicates.members(blocks, "symbol_key", F.col("normalized_hash"), clusters),
-        "modules": files.select(module_of(F.col("path")).alias("m")).filter("m IS NOT NULL").groupBy("m.name", "m.root", "m.type").agg(F.count("*").alias("files")),
-        "commands": repo.commands(files), "rules": repo.rules(files), "documents": documents.source_documents(files),
-    }
-    return old | fresh, plan
+    return (delta.with_edges(found.apply(old)) if found else old), plan
 
 
 def differences(left: dict[str, DataFrame], right: dict[str, DataFrame]) -> DataFrame:
@@ -118,8 +127,14 @@ def differences(left: dict[str, DataFrame], right: dict[str, DataFrame]) -> Data
 
 def find_symbol(tables: dict[str, DataFrame], query: str, k: int = 20) -> DataFrame:
     symbols = tables["symbols"]
-    hits = search.search(symbols, "symbol_key", F.concat_ws(" ", "name", "kind"), query, [(F.col("name"), 1.0), (F.col("path"), 0.8)], k)
-    return hits.join(symbols, "symbol_key").select("symbol_key", "path", "name", "kind", "start_line", "score", "method")
+    fallback = [(F.col("name"), 1.0), (F.col("path"), 0.8)]
+    if search.is_index(tables.get("postings")):
+        index = search.Index(tables["postings"], tables["lengths"], "symbol_key")
+        hits = search.search(symbols, "symbol_key", None, query, fallback, k, index)
+    else:
+        hits = search.search(symbols, "symbol_key", F.concat_ws(" ", *SYMBOL_TEXT), query, fallback, k)
+    found = symbols.join(F.broadcast(hits), "symbol_key")  # k rows
+    return found.select("symbol_key", "path", "name", "kind", "start_line", "score", "method").orderBy(F.desc("score"), "symbol_key")
 
 
 #: Parts of a discovery that each mode asks for.
@@ -290,20 +305,22 @@ class Project:
     """A source tree and its graph: scan, update and questions, with results as small lists of dicts in one envelope."""
 
     def __init__(self, spark: SparkSession, root: str, store: str):
-        self.spark, self.root, self.store = spark, root, incremental.VersionedStore(spark, store)
+        from .delta import GraphStore
+
+        self.spark, self.root, self.store = spark, root, GraphStore(spark, store)
 
     def scan(self, incremental_scan: bool = False) -> dict:
+        from . import delta
+
         files = repo.scan_files(self.spark, self.root)
         old = self.store.tables()
-        if incremental_scan and old:
-            tables, plan = update(old, files)
-            if plan != "none":
-                self.store.publish(tables)
-                return self.response({"plan": plan, "stale_edges": stale_edges(old, self.store.tables()).count()})
-        else:
-            plan = "full"
-            local = self.root.replace("file://", "")
-            self.store.publish(build(files, repo.git_log(self.spark, local)))
+        found, plan = delta.changes(old, files) if incremental_scan and old else (None, "full")
+        if plan == "none":
+            return self.response({"plan": plan})
+        if plan != "full":
+            self.store.advance(found)
+            return self.response({"plan": plan, "stale_edges": stale_edges(old, self.store.tables()).count()})
+        self.store.publish(build(files, repo.git_log(self.spark, self.root.replace("file://", ""))))
         return self.response({"plan": plan})
 
     def response(self, data, warnings: list[str] = ()) -> dict:

@@ -158,7 +158,7 @@ def stored_memory(memory: DataFrame, query: str, k: int = 5) -> DataFrame:
     """The k remembered rows (schemas.MEMORY) that a query finds, with score and method."""
     keyed = memory.withColumn("memory_key", F.sha1(F.concat_ws("\0", "topic", "summary")))
     hits = search.search(keyed, "memory_key", F.concat_ws(" ", "topic", "summary"), query, [(F.col("topic"), 1.0), (F.col("summary"), 0.8)], k)
-    return hits.join(keyed.dropDuplicates(["memory_key"]), "memory_key").drop("memory_key")
+    return hits.join(keyed.dropDuplicates(["memory_key"]), "memory_key").orderBy(F.desc("score"), "memory_key").drop("memory_key")
 
 
 def render(context: dict) -> str:

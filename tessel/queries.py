@@ -243,6 +243,37 @@ def bm25_search(t):
     return search.bm25(t.documents, "doc_id", F.col("text"), "disgusting attention pathetic", 50)
 
 
+def _index(t) -> incremental.BucketStore:
+    """A stored inverted index of all documents."""
+    store = incremental.BucketStore(t.spark, combinators.scratch(t.spark, "index"))
+    store.KEYS = {"postings": "term", "lengths": "doc_id"}
+    text = F.col("text")
+    store.publish({"postings": search.postings(t.documents, "doc_id", text, "doc_id"), "lengths": search.lengths(t.documents, text, "doc_id")})
+    return store
+
+
+def _asked(store: incremental.BucketStore) -> DataFrame:
+    found = store.tables()
+    return search.Index(found["postings"], found["lengths"], "doc_id").bm25("disgusting attention pathetic", 50)
+
+
+@query(sql_bm25("documents", "doc_id", "text", ["disgusting", "attention", "pathetic"], 50))
+def indexed_search(t):
+    """bm25_search by the index; only the buckets of the question's terms are read."""
+    return _asked(_index(t))
+
+
+@query(sql_bm25("(SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN concat(text, ' pathetic Attention span') ELSE text END AS text FROM documents WHERE doc_id % 10 <> 4)", "doc_id", "text", ["disgusting", "attention", "pathetic"], 50))
+def index_update(t):
+    """The index after a tenth of the documents went and a tenth changed, by a delta of postings; it must answer as one made anew."""
+    store, text = _index(t), F.col("text")
+    was = t.documents.filter("doc_id % 10 IN (3, 4)")
+    now = was.filter("doc_id % 10 = 3").withColumn("text", F.concat_ws("", "text", F.lit(" pathetic Attention span")))
+    old, new = (search.postings(d, "doc_id", text, "doc_id") for d in (was, now))
+    store.advance(incremental.Delta(gone={"postings": old.select("term", "doc_id").unionByName(new.select("term", "doc_id")).distinct(), "lengths": was.select("doc_id")}, rows={"postings": new, "lengths": search.lengths(now, text, "doc_id")}))
+    return _asked(store)
+
+
 @query(sql_bm25("(SELECT conv_id * 1000 + turn AS turn_id, text FROM conversations)", "turn_id", "text", ["that", "with", "ble"], 50))
 def memory_search(t):
     turns = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "text")
