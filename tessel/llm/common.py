@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -55,15 +56,21 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-#: For each open clearing(), the paths made since.
-_MADE: list[list[str]] = []
+class _Made(threading.local):
+    """For each open clearing() of a thread, the paths made since; other threads' are not touched."""
+
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_MADE = _Made()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     path = f"{shared_dir(spark)}/tessel/{name}-{uuid.uuid4().hex}"
-    if _MADE:
-        _MADE[-1].append(path)
+    if _MADE.open:
+        _MADE.open[-1].append(path)
     return path
 
 
@@ -75,11 +82,11 @@ def remove(spark: SparkSession, path: str) -> None:
 @contextmanager
 def clearing(spark: SparkSession) -> Iterator[None]:
     """Deletes the scratch paths that were made inside, once the block has ended well. For work whose result is written to a path made before."""
-    _MADE.append([])
+    _MADE.open.append([])
     try:
         yield
     finally:
-        made = _MADE.pop()
+        made = _MADE.open.pop()
     for path in made:
         remove(spark, path)
 

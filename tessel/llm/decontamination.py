@@ -48,6 +48,11 @@ def _key(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_length", F.octet_length(F.coalesce("text", F.lit(""))))
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """Each row as one struct (_row), so that none of its columns can clash, with KEY and text."""
+    return _key(docs.select(F.struct("*").alias("_row")).select("_row", "_row.doc_id", "_row.text"))
+
+
 def _with(rows: DataFrame, found: DataFrame, how: str) -> DataFrame:
     """rows joined with found, a table of KEY and others, by KEY; null ids are equal."""
     other = found.withColumnsRenamed({"doc_id": "_d", "_hash": "_h", "_length": "_l"})
@@ -138,20 +143,21 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without contaminated rows; docs' own columns."""
     dirty = stored(hit_spans(docs, benchmark).select(*KEY).distinct(), "dirty")
-    return _with(_key(docs), small(dirty, BROADCAST), "left_anti").select(*docs.columns)
+    return _with(_packed(docs), small(dirty, BROADCAST), "left_anti").select("_row.*")
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast: int = BROADCAST) -> DataFrame:
     """docs, every row, with the words of contaminated spans and what separates each from the word before cut out of text; docs' own columns."""
     spans = hit_spans(docs, benchmark, window, broadcast).groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_s"))
-    rows = _with(_key(docs), small(stored(spans, "spans"), broadcast), "left")
+    rows = _with(_packed(docs), small(stored(spans, "spans"), broadcast), "left")
     rows = rows.withColumn("_p", F.when(F.col("_s").isNotNull(), F.regexp_extract_all("text", F.lit(PIECE), F.lit(0))))
     # what is between spans: from each span's end (or the start of the text) to the next one's start (or the end)
     ends = "concat(array(0), transform(_s, s -> s.end))"
     starts = "concat(transform(_s, s -> s.start), array(size(_p)))"
     kept = F.expr(f"flatten(transform(arrays_zip({ends}, {starts}), x -> slice(_p, x['0'] + 1, x['1'] - x['0'])))")
     cut = F.concat(F.array_join(kept, ""), F.regexp_extract("text", BREAKS[:-1] + r"*\z", 0))
-    return rows.withColumn("text", F.when(F.col("_s").isNotNull(), cut).otherwise(F.col("text"))).select(*docs.columns)
+    text = F.when(F.col("_s").isNotNull(), cut).otherwise(F.col("text"))
+    return rows.select(*[text.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 ORACLE = r"""

@@ -56,10 +56,18 @@ NOT_TEXT = frozenset("head nav footer aside form fieldset dialog search select o
 NOT_ARTICLE = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside complementary footer contentinfo ad ads adv advert adverts advertisement advertising banner sponsor sponsored sponsors promo promotion cookie cookies consent gdpr notice notices alert alerts notification popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond widget widgets toolbar pagination pager topbar masthead form".split()
 )
+NOT_FORM = NOT_ARTICLE - {"form"}
 HEADER = frozenset(["header", "masthead"])
+#: Words that turn a class into a statement about the page, as in no-sidebar, and words that say nothing beside others.
+STATES = frozenset("no not non without with has have is show hide hidden toggle".split())
+PLAIN = frozenset(
+    "site page main article post posts entry story content body text top bottom left right center box bar list item items section sections container wrapper wrap block area inner outer panel link links icon icons button buttons group row col column grid primary secondary global local user users reader readers inline sticky floating fixed small large".split()
+)
+
+FORM, OTHER = 1, 2
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^<>]*(?:>|\Z)|<[!?][^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -76,12 +84,26 @@ def _hash(*parts) -> int:
     return xxhash.xxh3_64_intdigest("\0".join(map(str, parts)).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _named(tag: str, attributes: str) -> tuple[str, frozenset]:
-    """The class words of a tag, as text and as a set."""
+def _named(tag: str, attributes: str) -> tuple[str, frozenset, frozenset]:
+    """Of a tag: its class, id and role words as text; those that name a part of a page; and those of them that do so inside an article.
+
+    A name that begins with a state names nothing. Inside an article all words of a name must be of a part or plain: search-box, not search-algorithms.
+    """
     if not attributes or "=" not in attributes:
-        return "", frozenset()
-    words = [w.lower() for m in _ATTRIBUTE.finditer(attributes) for w in _WORD.findall(m[2] or m[3] or m[4] or "")]
-    return " ".join(words), frozenset(words)
+        return "", frozenset(), frozenset()
+    words: list[str] = []
+    parts: set[str] = set()
+    strict: set[str] = set()
+    for m in _ATTRIBUTE.finditer(attributes):
+        if m[1].lower() in ("class", "id", "role"):
+            for name in (m[2] or m[3] or m[4] or "").split():
+                own = [w.lower() for w in _WORD.findall(name)]
+                words += own
+                if own and own[0] not in STATES:
+                    parts.update(own)
+                    if all(w in NOT_ARTICLE or w in PLAIN or len(w) == 1 for w in own):
+                        strict.update(own)
+    return " ".join(words), frozenset(parts), frozenset(strict)
 
 
 def parse(html: str | None) -> tuple[list[Block], dict[int, tuple[int, list]]]:
@@ -89,8 +111,8 @@ def parse(html: str | None) -> tuple[list[Block], dict[int, tuple[int, list]]]:
     html = html or ""
     blocks: list[Block] = []
     paths: dict[int, tuple[int, list]] = {}
-    # open elements: (tag, path, in the article, something else)
-    stack: list[tuple] = [("", ROOT, False, False)]
+    # open elements: (tag, path, in the article, something else: 0, FORM or OTHER)
+    stack: list[tuple] = [("", ROOT, False, 0)]
     buffer: list[str] = []
     links = in_link = place = 0
 
@@ -100,7 +122,7 @@ def parse(html: str | None) -> tuple[list[Block], dict[int, tuple[int, list]]]:
         if text:
             tag, path, main, other = stack[-1]
             place += 1
-            blocks.append(Block(path, text, min(links, len(text)), main, other, place, tag == "h1"))
+            blocks.append(Block(path, text, min(links, len(text)), main, bool(other), place, tag == "h1"))
         buffer.clear()
         links = 0
 
@@ -143,15 +165,19 @@ def parse(html: str | None) -> tuple[list[Block], dict[int, tuple[int, list]]]:
         if tag in CLOSES_P and stack[-1][0] == "p" or tag in ("li", "dt", "dd", "option", "tr") and stack[-1][0] == tag:
             stack.pop()
         _, parent, main, other = stack[-1]
-        shown, words = _named(tag, m[3])
+        shown, words, inside = _named(tag, m[3])
         path = _hash(parent, tag, shown)
         place += 1
         paths.setdefault(path, (parent, []))[1].append(place)
         if tag in ("article", "main"):
-            other = other or bool(words & {"comment", "comments", "reply"})
+            # a form around a whole article is the page's, not a form to fill in
+            other = OTHER if other == OTHER or words & {"comment", "comments", "reply"} else 0
             main = True
         elif tag not in ("html", "body"):
-            other = other or tag in NOT_TEXT or bool(words & NOT_ARTICLE) or not main and (tag == "header" or bool(words & HEADER))
+            if tag != "form" and tag in NOT_TEXT or (inside if main else words) & (NOT_FORM if tag == "form" else NOT_ARTICLE) or not main and (tag == "header" or words & HEADER):
+                other = OTHER
+            elif tag == "form":
+                other = other or FORM
         if tag not in VOID:
             stack.append((tag, path, main, other))
     text(html[at:])

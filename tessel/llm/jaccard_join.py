@@ -372,7 +372,8 @@ def _all_pairs(runs: DataFrame) -> DataFrame:
 def without_near_copies(docs: DataFrame) -> DataFrame:
     """docs with one row of each component, its smallest id; rows without shingles and with a null id stay. Repeated rows of that id all stay."""
     found = near_components(docs).filter("component_id <> doc_id").select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(small(stored(found, "near-copies"), BROADCAST), docs["doc_id"] == F.col("_drop"), "left_anti")
+    gone = stored(found, "near-copies")
+    return docs.join(small(gone, BROADCAST), docs["doc_id"] == gone["_drop"], "left_anti")
 
 
 ORACLE = r"""

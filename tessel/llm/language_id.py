@@ -76,13 +76,13 @@ def is_held_out(id_col: str, folds: int = 3, fold: int = 1) -> Column:
 def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> dict:
     """The model from rows of doc_id, text and lang; rows without text or lang are ignored. {} if nothing is left.
 
-    A language's sample is its documents whose id hashes below a bound; repeated rows of an id are chosen together.
+    A language's sample is its documents whose id and text hash below a bound, and those with its smallest hash at least; equal rows are chosen together.
     """
-    labelled = labelled.select("doc_id", "lang", "text").filter("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = stored(labelled.groupBy("lang").agg(F.count("*").alias("docs")), "languages")  # a row for each language
+    labelled = labelled.filter("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)).alias("_hash"))
+    sizes = stored(labelled.groupBy("lang").agg(F.count("*").alias("docs"), F.min("_hash").alias("least")), "languages")  # a row for each language
     langs = {r["lang"]: r["docs"] for r in sizes.collect()}
-    bound = small(sizes.select(F.col("lang").alias("_l"), (F.lit(float(docs_per_language)) / F.col("docs") * (1 << 20)).alias("_bound")), BROADCAST)
-    chosen = labelled.join(bound, F.col("lang") == F.col("_l")).filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("_bound")).select("lang", "text")
+    bound = small(sizes.select(F.col("lang").alias("_l"), F.greatest(F.lit(float(docs_per_language)) / F.col("docs") * (1 << 20), F.col("least") + 1.0).alias("_bound")), BROADCAST)
+    chosen = labelled.join(bound, F.col("lang") == F.col("_l")).filter(F.col("_hash") < F.col("_bound")).select("lang", "text")
     form = "lang string, kind int, gram string, n long"
     vocabulary = stored(chosen.mapInArrow(_count, form).groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n")), "words")
     pieces = vocabulary.select("lang", "gram", "n").mapInArrow(_cut, form).groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
@@ -188,6 +188,6 @@ def predict(docs: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """docs without rows whose language can't be told: no text, no letters, or a score under least. docs' own columns."""
     model = fit(docs.filter(~is_held_out("doc_id")))
-    names = docs.columns
-    found = docs.withColumn("_l", language(docs["text"], model, docs.sparkSession))
-    return found.filter((F.col("_l.lang") != UND) & (F.col("_l.score") >= least)).select(*names)
+    rows = docs.select(F.struct("*").alias("_row"))  # no column can clash
+    found = rows.withColumn("_l", language(F.col("_row.text"), model, docs.sparkSession))
+    return found.filter((F.col("_l.lang") != UND) & (F.col("_l.score") >= least)).select("_row.*")
