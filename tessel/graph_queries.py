@@ -244,6 +244,19 @@ def find_symbol_indexed(t):
     return code_graph.find_symbol(store.tables(), "helper 12 method").select("symbol_key", "path", "name", "score")
 
 
+@query(f"""{WITH}, changed AS (SELECT p, n FROM s WHERE s IN (3, 8)), names AS (SELECT DISTINCT name FROM keyed WHERE path IN (SELECT p FROM changed) AND length(name) >= 3 ORDER BY name LIMIT 4),
+calls AS (SELECT path, 'helper_' || (s + 1) AS name FROM keyed WHERE kind = 'method' UNION SELECT path, 'run_' || (s % 10) FROM keyed WHERE name = 'helper_' || s OR name = 'test_it' UNION SELECT path, 'helper_' || s FROM keyed WHERE name IN ('helper_' || s, 'get_' || s, 'test_it')
+  UNION SELECT path, name FROM keyed WHERE kind IN ('method', 'function') AND s IS NOT NULL AND name <> 'test_it' UNION SELECT path, name FROM keyed WHERE name IN ('test_it', 'test_module')),
+token AS (SELECT name, path FROM calls WHERE name IN (FROM names) AND path NOT IN (SELECT p FROM changed) QUALIFY row_number() OVER (PARTITION BY name ORDER BY path) <= 2),
+near AS (SELECT s.p, s.n FROM s WHERE n IN (SELECT n FROM changed) AND p NOT IN (SELECT p FROM changed) QUALIFY row_number() OVER (PARTITION BY n ORDER BY p) <= 3),
+every AS (SELECT path, 'import' AS reason FROM bind WHERE resolved_path IN (SELECT p FROM changed) UNION SELECT from_path, 'call' FROM links WHERE to_path IN (SELECT p FROM changed) UNION SELECT path, 'token' FROM token UNION SELECT p, 'module' FROM near)
+SELECT path, string_agg(reason, ',' ORDER BY reason) AS reasons FROM every WHERE path NOT IN (SELECT p FROM changed) GROUP BY path ORDER BY path LIMIT 6""")
+def expanded_callers(t):
+    """Who two changed files may touch, with caps low enough to bind: 4 names, 2 files a name, 3 a module, 6 in all."""
+    changed = source_files(t).filter(F.col("path").rlike(r"^src/.*/file[38]\.py$")).select("path")
+    return code_graph.expanded_callers(changed, tree(t), 4, 2, 3, 6)[0].withColumn("reasons", F.array_join("reasons", ","))
+
+
 @query(f"""{WITH}, m AS (SELECT path, 'src/' || regexp_extract(path, 'src/([^/]*)', 1) AS root, resolved_path AS to_path, 'src/' || regexp_extract(resolved_path, 'src/([^/]*)', 1) AS to_root FROM bind WHERE resolved_path IS NOT NULL),
 ranked AS (SELECT root, 'depends_on' AS what, to_path AS x FROM m WHERE root <> to_root UNION SELECT to_root, 'used_by', path FROM m WHERE root <> to_root UNION SELECT 'src/mod' || n, 'core_files', p FROM s
   UNION SELECT 'src/' || regexp_extract(target_path, 'src/([^/]*)', 1), 'tests', test_path FROM covers),

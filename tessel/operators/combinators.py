@@ -70,9 +70,25 @@ def last_per_key(df: DataFrame, keys: str | list[str], ordinal: str) -> DataFram
     return df.groupBy(*named).agg(F.max_by(rest, ordinal).alias("_row")).select(*[F.col(c) if c in named else F.col(f"_row.{c}") for c in df.columns])
 
 
+#: Evidence kept of a key.
+MOST_EVIDENCE = 64
+
+
+def smallest(df: DataFrame, groups: str | list[str], value: str, n: int, name: str | None = None) -> DataFrame:
+    """groups and a sorted list of the n smallest distinct values of each; nulls don't count and groups without values are left out.
+
+    Distinct first, then a group limit that Spark applies before the shuffle too, then a list: no task holds more than n values of a group.
+    """
+    few = top_k_per_group(df.select(*_keys(groups), value).filter(F.col(value).isNotNull()).distinct(), groups, n, F.col(value))
+    return few.groupBy(*_keys(groups)).agg(F.array_sort(F.collect_list(value)).alias(name or value))
+
+
 def merge_per_key(df: DataFrame, key: str, score: str = "score", evidence: str = "evidence", tier_rank: str = "tier_rank") -> DataFrame:
-    """key, its best score, all its distinct evidence in order, and its lowest tier rank."""
-    return df.groupBy(key).agg(F.max(score).alias(score), F.array_sort(F.array_distinct(F.flatten(F.collect_list(evidence)))).alias(evidence), F.min(tier_rank).alias(tier_rank))
+    """key, its best score, the first MOST_EVIDENCE of its distinct evidence in order, and its lowest tier rank."""
+    best = df.groupBy(key).agg(F.max(score).alias(score), F.min(tier_rank).alias(tier_rank))
+    lists = smallest(df.select(F.col(key).alias("_k"), F.explode(evidence).alias("_e")), "_k", "_e", MOST_EVIDENCE, evidence)
+    none = F.array().cast(df.schema[evidence].dataType)
+    return best.join(lists, F.col(key).eqNullSafe(F.col("_k")), "left").select(key, score, F.coalesce(evidence, none).alias(evidence), tier_rank)
 
 
 def merge_text(df: DataFrame, key: str, text: str, ordinal: str, glue: str = " Also: ") -> DataFrame:

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.globs import matches_any
 from ..functions.rules import TEST_DIR, Intent, dependency_tier, entrypoint_score, first_of, is_noisy_path, module_proximity, noise_penalty, reuse_verdict, suppression
 from ..functions.text import clamp, jaccard, query_tokens, score_text, tokenize_code
-from .combinators import best_per_key, budgeted_tiers, top_k
-from .graph import neighbours, traverse
+from .combinators import best_per_key, budgeted_tiers, smallest, top_k
+from .graph import traverse
 
 
 def related_files(files: DataFrame, symbols: DataFrame, task: str, domains: list[dict] = (), boosts: list[dict] = (), k: int = 20) -> DataFrame:
@@ -104,15 +104,6 @@ def constructor_fit(params: Column) -> Column:
     return F.struct(needed.alias("required"), F.when(needed > 2, "medium").otherwise("low").alias("risk"))
 
 
-def reuse_decision(candidates: DataFrame, symbol_edges: DataFrame) -> DataFrame:
-    """The best candidate with what to do and up to ten callers."""
-    best = candidates.orderBy(F.desc("similarity"), "path", "symbol_key").limit(1)
-    callers = neighbours(symbol_edges.withColumnsRenamed({"from_symbol": "from_key", "to_symbol": "to_key"}), best.select(F.col("symbol_key").alias("node")), "callers", 10)
-    lists = callers.groupBy("node").agg(F.array_sort(F.collect_set("neighbour")).alias("callers"))
-    action = first_of([(F.col("verdict") == v, v) for v in ("reuse_as_is", "extend_existing", "extract_shared")], "create_new")
-    return best.join(lists, best["symbol_key"] == lists["node"], "left").select(*best.columns, action.alias("action"), F.coalesce("callers", F.array().cast("array<string>")).alias("callers"))
-
-
 def explain_reuse(candidates: DataFrame, members: DataFrame) -> DataFrame:
     """Clusters that a candidate is in, by path or qualified name."""
     by_path = members.join(candidates.select("path").distinct(), "path", "left_semi")
@@ -145,7 +136,7 @@ def module_map(modules: DataFrame, files: DataFrame, edges: DataFrame, tests: Da
         modules = modules.filter(F.lower("root").contains(scope.lower()) | F.lower("name").contains(scope.lower()))
     roots = modules.select("root").distinct()
     inside = files.select("path", F.explode(folders(F.col("path"))).alias("root")).filter(F.col("path") != F.col("root")).join(roots, "root", "left_semi").select("root", "path")
-    top = lambda df, col, n: df.groupBy("root").agg(F.slice(F.array_sort(F.collect_set(col)), 1, n).alias(col))
+    top = lambda df, col, n: smallest(df, "root", col, n)
     core = top(inside.withColumnRenamed("path", "core_files"), "core_files", 12)
     links = edges.filter("kind = 'imports'").select("from_key", "to_key")
     here = inside.select(F.col("root"), F.col("path"))
@@ -200,11 +191,6 @@ def must_read(task: str, candidates: DataFrame, budget: int = 5) -> DataFrame:
     return rows.withColumn("_w", F.when(~F.col("selected"), why)).select("path", "score", "evidence", "dependency_tier", "selected", F.col("_w.reason").alias("reason"), F.col("_w.goes_to").alias("goes_to"))
 
 
-def handoff(chain_confidence: float, workflow: bool = False) -> float:
-    """Confidence of an authoritative handoff."""
-    return min(0.98, 0.55 * chain_confidence + 0.25 + (0.1 if workflow or chain_confidence > 0 else 0.0))
-
-
 def impact(edges: DataFrame, path: str, depth: int = 2) -> DataFrame:
     """Files that a change of path may reach: path, distance, score and chain."""
     spark = edges.sparkSession
@@ -212,16 +198,6 @@ def impact(edges: DataFrame, path: str, depth: int = 2) -> DataFrame:
     return traverse(edges, seeds, "upstream", depth, depth * 30).select(F.col("node").alias("path"), "distance", "score", "confidence", "chain")
 
 
-def impact_risk(counts: Column) -> Column:
-    return F.when(counts >= 8, "high").when(counts >= 3, "medium").otherwise("low")
-
-
-def impact_roles(hits: DataFrame) -> DataFrame:
-    """Affected paths by role, and a risk by their number."""
-    role = first_of([(F.lower("path").rlike("view_?model|provider|controller"), "view_model"), (F.lower("path").rlike("widget|card|page|screen"), "widget"), (F.lower("path").rlike("role|permission|auth"), "role")], "other")
-    return hits.groupBy(role.alias("role")).agg(F.array_sort(F.collect_set("path")).alias("paths"), F.countDistinct("path").alias("n")).withColumn("risk", impact_risk(F.col("n")))
-
-
 def trace_feature(entries: DataFrame, bindings: DataFrame, tests: DataFrame, k: int = 3) -> DataFrame:
     """For each entry point its file, up to k imports and a test, verified if it has an import or a test."""
     ranked = bindings.filter("resolved_path IS NOT NULL").withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("confidence"), "resolved_path"))).filter(F.col("_n") <= k)
@@ -232,27 +208,13 @@ def trace_feature(entries: DataFrame, bindings: DataFrame, tests: DataFrame, k:
     return out.withColumn("chain_type", F.when(verified, "verified_chain").otherwise("candidate_chain"))
 
 
-def route_chain(entry: str, composes: DataFrame, hops: int = 3) -> DataFrame:
-    """hop, parent and widget: from an entry symbol, the strongest composed widget that isn't in the chain yet, up to hops times.
-
-    composes: from_symbol, to_symbol, confidence. Each hop reads one best row; a chain of three needs three of them.
-    """
-    spark, at, chain = composes.sparkSession, entry, []
-    seen = [entry]
-    for hop in range(1, hops + 1):
-        best = composes.filter((F.col("from_symbol") == at) & ~F.col("to_symbol").isin(*seen)).orderBy(F.desc("confidence"), "to_symbol").limit(1).first()
-        if best is None:
-            break
-        chain.append((hop, at, best["to_symbol"], best["confidence"]))
-        at = best["to_symbol"]
-        seen.append(at)
-    return spark.createDataFrame(chain, "hop int, parent string, widget string, confidence double")
-
-
-def acceptance_matrix(pages: DataFrame) -> DataFrame:
-    """family with its number of variants and sorted roles, routes, modes and states. pages: family, role, route, mode, states (array)."""
-    sets = lambda c: F.array_sort(F.collect_set(c)).alias(f"{c}s")
-    return pages.groupBy("family").agg(F.count("*").alias("variants"), sets("role"), sets("route"), sets("mode"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("states")))).alias("states"))
+def acceptance_matrix(pages: DataFrame, most: int = 1000) -> DataFrame:
+    """family with its number of variants and its first `most` roles, routes, modes and states in order. pages: family, role, route, mode, states (array)."""
+    out = pages.groupBy("family").agg(F.count("*").alias("variants"))
+    each = {"roles": pages.select("family", F.col("role").alias("roles")), "routes": pages.select("family", F.col("route").alias("routes")), "modes": pages.select("family", F.col("mode").alias("modes")), "states": pages.select("family", F.explode("states").alias("states"))}
+    for name, values in each.items():
+        out = out.join(smallest(values, "family", name, most), "family", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    return out
 
 
 def workflow_profiles(profiles: list[dict], task: str) -> list[dict]:

@@ -31,30 +31,75 @@ def similar_to(blocks: DataFrame, key: str, tokens: str, hash_col: str, target:
     return scored.select(key, score.alias("similarity")).filter(F.col("similarity") >= least)
 
 
-def token_pairs(sets: DataFrame, key: str, tokens: str, least: float, least_tokens: int = 1) -> DataFrame:
-    """a, b and similarity of all pairs of rows whose token sets have a Jaccard of at least `least`.
+#: Rows of a token's run that meet in one task; longer runs are dealt into parts.
+RUN = 4096
+
+
+def token_classes(sets: DataFrame, key: str, tokens: str, least_tokens: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Rows as classes of equal token sets: members (k, class_id) and classes (class_id: the smallest key, n: its rows, t: the sorted set). Both are made once.
+
+    Copies are counted inside the tasks before they meet, so a class with a third of all rows is no hot group.
+    """
+    rows = sets.select(F.col(key).alias("k"), F.array_sort(F.array_distinct(tokens)).alias("t")).filter(F.size("t") >= least_tokens)
+    rows = kept(rows.withColumn("h", F.sha2(F.to_json(F.struct("t")), 256)))
+    classes = kept(rows.groupBy("h").agg(F.min("k").alias("class_id"), F.count("*").alias("n"), F.any_value("t").alias("t")))
+    return kept(rows.select("k", "h").join(classes.select("h", "class_id"), "h").drop("h")), classes.drop("h")
+
+
+def class_pairs(classes: DataFrame, least: float, run: int = RUN) -> DataFrame:
+    """a, b (class ids, a < b) and similarity of all pairs of classes whose sets have a Jaccard of at least `least`, below 1 since no two are equal.
 
     Prefix join: tokens are ordered by frequency, rarest first, and two sets can only reach `least` if they share a token among their first
     n - ceil(least * n) + 1. Pairs are found there, kept if sizes and the places of their common prefix tokens leave room for the overlap, and
-    verified on the whole sets, whose overlap is counted once. Sets are split and ordered once and kept in the shared folder.
+    verified on the whole sets. A run of sets with one prefix token is dealt by one side into parts of at most `run`, each of which meets the other side in
+    a task of its own.
     """
-    rows = sets.select(F.col(key).alias("k"), F.array_distinct(tokens).alias("t")).filter(F.size("t") >= least_tokens)
-    rows = kept(rows)
-    flat = rows.select("k", F.size("t").alias("n"), F.explode("t").alias("token"))
+    sized = classes.select(F.col("class_id").alias("k"), F.size("t").alias("s"), "t")
+    flat = sized.select("k", "s", F.explode("t").alias("token"))
     counts = flat.groupBy("token").agg(F.count("*").alias("df"))
-    placed = flat.join(counts, "token").groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
-    prefix = placed.select("k", "n", F.posexplode(F.slice(F.col("o.token"), 1, (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int"))).alias("pos", "token"))
-    x, y = (prefix.select("token", F.col("k").alias(s), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}")) for s in "ab")
-    need = F.ceil(least / (1 + least) * (F.col("na") + F.col("nb")) - 1e-9)
-    room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need  # from the first common token on
-    near = x.join(y, "token").filter("a < b").filter(F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9)
-    first = near.groupBy("a", "b", "na", "nb").agg(F.min(F.struct("pa", "pb")).alias("f")).select("a", "b", "na", "nb", "f.*").filter(room)
-    left, right = (rows.select(F.col("k").alias(s), F.col("t").alias(f"t{s}")) for s in "ab")
+    placed = flat.join(counts, "token").groupBy("k", "s").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
+    prefix = kept(placed.select("k", "s", F.posexplode(F.slice(F.col("o.token"), 1, (F.col("s") - F.ceil(F.col("s") * least - 1e-9) + 1).cast("int"))).alias("pos", "token")))
+    runs = prefix.groupBy("token").agg(F.ceil(F.count("*") / F.lit(run)).cast("int").alias("parts")).filter("parts > 1")
+    prefix = prefix.join(runs, "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    side = lambda n: [F.col("k").alias(n), F.col("s").alias(f"s{n}"), F.col("pos").alias(f"p{n}")]
+    x = prefix.select("token", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int").alias("part"), *side("a"))
+    y = prefix.select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *side("b"))
+    need = F.ceil(least / (1 + least) * (F.col("sa") + F.col("sb")) - 1e-9)
+    room = F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")) >= need  # from the first common token on
+    near = x.join(y, ["token", "part"]).filter("a < b").filter(F.least("sa", "sb") >= F.greatest("sa", "sb") * least - 1e-9)
+    first = near.groupBy("a", "b", "sa", "sb").agg(F.min(F.struct("pa", "pb")).alias("f")).select("a", "b", "sa", "sb", "f.*").filter(room)
+    left, right = (sized.select(F.col("k").alias(n), F.col("t").alias(f"t{n}")) for n in "ab")
     both = F.size(F.array_intersect("ta", "tb"))
-    scored = first.join(left, "a").join(right, "b").select("a", "b", (both / (F.col("na") + F.col("nb") - both)).alias("similarity"))
+    scored = first.join(left, "a").join(right, "b").select("a", "b", (both / (F.col("sa") + F.col("sb") - both)).alias("similarity"))
     return scored.filter(F.col("similarity") >= least)
 
 
+def token_links(sets: DataFrame, key: str, tokens: str, least: float, least_tokens: int = 1) -> DataFrame:
+    """key, class_id (smallest key of an equal set), class_size and links (other rows whose Jaccard is at least `least`) of every row; no pair of copies is
+    ever listed. Rows of fewer tokens are a class of their own and have no links."""
+    members, classes = token_classes(sets, key, tokens, least_tokens)
+    pairs = kept(class_pairs(classes, least))
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(classes.select(F.col("class_id").alias("b"), "n"), "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("others"))
+    counted = classes.select("class_id", "n").join(others, "class_id", "left").select("class_id", F.col("n").alias("class_size"), (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    found = members.join(counted, "class_id").select(F.col("k").alias(key), "class_id", "class_size", "links")
+    few = sets.filter(F.coalesce(F.size(F.array_distinct(tokens)), F.lit(0)) < least_tokens).select(key, F.col(key).alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("links"))
+    return found.unionByName(few)
+
+
+def token_pairs(sets: DataFrame, key: str, tokens: str, least: float, least_tokens: int = 1) -> DataFrame:
+    """a, b and similarity of all pairs of rows whose token sets have a Jaccard of at least `least`: class_pairs() and the pairs of copies, written out.
+
+    n copies have n * (n - 1) / 2 pairs; token_links() counts them instead.
+    """
+    members, classes = token_classes(sets, key, tokens, least_tokens)
+    x, y = (members.select(F.col("k").alias(n), F.col("class_id").alias(f"c{n}")) for n in "ab")
+    equal = x.join(y, F.col("ca") == F.col("cb")).filter("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
+    pairs = class_pairs(classes, least).withColumnsRenamed({"a": "ca", "b": "cb"})
+    across = pairs.join(x, "ca").join(y, "cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+    return equal.unionByName(across)
+
+
 def simhash_rows(rows: DataFrame, key: str, tokens: Column) -> DataFrame:
     """key and simhash of every row, for long texts: tokens are exploded once and the 32 votes are sums, combined before the shuffle.
 

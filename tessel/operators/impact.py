@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import TEST_DIR, first_of
-from .combinators import best_per_key, kept, top_k, top_k_per_group
+from .combinators import best_per_key, kept, smallest, top_k, top_k_per_group
 from .graph import neighbours
 
 #: Changed files from which an impact is of high and of medium risk, and how many hits of each kind a report shows.
@@ -76,11 +76,12 @@ def impact_parts(path: str, tables: dict[str, DataFrame], related: DataFrame, en
     return top_k_per_group(best, "part", SHOWN, F.desc("score"), F.col("path"))
 
 
-def impact_report(parts: DataFrame) -> DataFrame:
-    """role, files, paths and risk of impact_parts(): tests apart, other files by what their name says; the last row, `all`, has every file."""
+def impact_report(parts: DataFrame, most: int = 1000) -> DataFrame:
+    """role, files, the first `most` paths and risk of impact_parts(): tests apart, other files by what their name says; the row `all` is of every file."""
     name = F.lower("path")
     role = first_of([(F.col("part").isin("tests") | F.col("path").rlike(TEST_DIR), "test"), *[(name.rlike(p), r) for r, p in ROLES]], "other")
     files = parts.select("path", role.alias("role")).distinct()
-    some = lambda df: df.agg(F.countDistinct("path").alias("files"), F.array_sort(F.collect_set("path")).alias("paths"))
-    by_role = some(files.groupBy("role"))
-    return by_role.unionByName(some(files.groupBy(F.lit("all").alias("role"))).filter("files > 0")).withColumn("risk", risk_of(F.col("files")))
+    whole = files.select("path", F.lit("all").alias("role")).distinct()
+    every = files.unionByName(whole)
+    counts = every.groupBy("role").agg(F.count("*").alias("files"))
+    return counts.join(smallest(every, "role", "path", most, "paths"), "role").select("role", "files", "paths").withColumn("risk", risk_of(F.col("files")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -144,10 +145,53 @@ class VersionedStore:
         return {t: self.spark.read.parquet(f"{self.root}/versions/{row['version']}/{t}") for t in row["tables"]}
 
     def append(self, name: str, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(f"{self.root}/logs/{name}")
+        """Adds rows to a log; one folder for each call, seen only when it is whole."""
+        at = time.time_ns()
+        rows.withColumn("_logged", F.lit(at)).write.parquet(f"{self.root}/logs/{name}/a-{at}-{uuid.uuid4().hex}")
 
     def log(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/logs/{name}")
+        """All rows of a log, in no order."""
+        return self._log(name).drop("_logged")
+
+    def latest(self, name: str, key: str) -> DataFrame:
+        """The row of each key that was appended last. Partial results combine before the shuffle."""
+        rows = self._log(name)
+        rest = F.struct(*[c for c in rows.columns if c != key])
+        last = rows.groupBy(key).agg(F.max_by(rest, F.struct("_logged", F.xxhash64(rest))).alias("_row"))
+        return last.select(*[F.col(c) if c == key else F.col(f"_row.{c}") for c in rows.columns if c != "_logged"])
+
+    def compact(self, name: str, key: str | None = None) -> int:
+        """Writes a log's rows, or the last of each key, into one folder and deletes those it stands for; returns how many. Appends may go on meanwhile.
+
+        The list of what the new folder replaces is written after it; until that list is whole, readers see the old folders and not the new one.
+        """
+        old, mark = self._parts(name), uuid.uuid4().hex
+        if len(old) < 2:
+            return 0
+        rows = self._log(name, old)
+        if key:
+            rest = F.struct(*[c for c in rows.columns if c != key])
+            rows = rows.groupBy(key).agg(F.max_by(rest, F.struct("_logged", F.xxhash64(rest))).alias("_row")).select(*[F.col(c) if c == key else F.col(f"_row.{c}") for c in rows.columns])
+        rows.coalesce(1).write.parquet(f"{self.root}/logs/{name}/b-{mark}")
+        self.spark.createDataFrame([(o,) for o in old], "folder string").coalesce(1).write.json(f"{self.root}/logs/{name}/r-{mark}")
+        for folder in old:
+            fs, at = self._at(f"{self.root}/logs/{name}/{folder}")
+            fs.delete(at, True)
+        return len(old)
+
+    def _parts(self, name: str) -> list[str]:
+        """The folders of a log that count."""
+        top = f"{self.root}/logs/{name}"
+        whole = {n for n in self._names(top) if "_SUCCESS" in self._names(f"{top}/{n}")}
+        lists = [f"{top}/{n}" for n in whole if n.startswith("r-")]
+        gone = {r["folder"] for r in self.spark.read.schema("folder string").json(lists).collect()} if lists else set()
+        return sorted(n for n in whole - gone if n.startswith("a-") or n.startswith("b-") and f"r-{n[2:]}" in whole)
+
+    def _log(self, name: str, parts: list[str] | None = None) -> DataFrame:
+        found = parts if parts is not None else self._parts(name)
+        if not found:
+            raise ValueError(f"nothing was logged under {name}")
+        return self.spark.read.option("mergeSchema", True).parquet(*[f"{self.root}/logs/{name}/{n}" for n in found])
 
 
 class BucketStore(VersionedStore):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from functools import reduce
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.globs import glob_regex, matches_any
 from ..functions.rules import first_of
 from ..functions.text import normalize_command, score_text
-from .combinators import best_per_key, merge_text
+from .combinators import best_per_key, merge_text, smallest
 
 # Tiers in order of strength, and how much of a context each profile shows.
 TIERS = ("must_edit", "may_edit", "must_run", "may_inspect", "reference_only")
@@ -68,9 +69,10 @@ def file_tiers(findings: DataFrame, changed: DataFrame, recipes: DataFrame, targ
     return merged
 
 
-def edit_boundary(tiers: DataFrame) -> DataFrame:
-    """One row with a sorted list of paths for each tier."""
-    return tiers.groupBy().agg(*[F.array_sort(F.collect_set(F.when(F.col("tier") == t, F.col("path")))).alias(t) for t in TIERS])
+def edit_boundary(tiers: DataFrame, most: int = 1000) -> DataFrame:
+    """One row with the first `most` paths of each tier in order; tiers itself has all."""
+    lists = smallest(tiers.select("tier", "path"), "tier", "path", most)  # a row for each tier
+    return lists.groupBy().agg(*[F.coalesce(F.max(F.when(F.col("tier") == t, F.col("path"))), F.array().cast("array<string>")).alias(t) for t in TIERS])
 
 
 def fuse_reads(*sources: tuple[DataFrame, str, float | None]) -> DataFrame:
@@ -177,32 +179,26 @@ def audit_score(errors: Column, warnings: Column) -> Column:
     return F.greatest(F.lit(0.0), 1.0 - AUDIT_ERROR * errors - AUDIT_WARNING * warnings)
 
 
-def mode_of(task: str, guard_output: str | None = None, mode: str = "auto") -> str:
-    if mode != "auto":
-        return mode
-    return "repair" if guard_output or re.search(r"fix|repair|guard|failing|修复", task.lower()) else "discovery"
+def recipe_by_alias(recipes: list[dict], name: str) -> dict | None:
+    wanted = rule_id(name)
+    return next((r for r in recipes if wanted in {rule_id(r["name"]), *map(rule_id, r.get("aliases", []))}), None)
 
 
-def receipt(rows: list[dict], most_chars: int = 2500) -> str:
-    """Lines of path and reason that fit into so many characters."""
-    out, used = [], 0
-    for r in rows:
-        line = f"- {r['path']}: {r.get('reason') or r.get('source') or ''}".rstrip(": ")
-        if used + len(line) + 1 > most_chars:
-            out.append("- ...")
-            break
-        out.append(line)
-        used += len(line) + 1
-    return "\n".join(out)
+def session_row(spark: SparkSession, task_id: str, task: str, files: list[str], document: str | None = None, domain: str | None = None, head: str | None = None, status: list[str] = (), boundary: dict | None = None) -> DataFrame:
+    """A task's session, to be appended to the log: what was asked, what to read, where the worktree stood, and what may be edited (JSON)."""
+    row = (task_id, task, list(files), document, domain, head, list(status), json.dumps(boundary or {}, sort_keys=True))
+    return spark.createDataFrame([row], "task_id string, task string, files array<string>, document string, domain string, head string, status array<string>, boundary string")
 
 
-def recipe_by_alias(recipes: list[dict], name: str) -> dict | None:
-    wanted = rule_id(name)
-    return next((r for r in recipes if wanted in {rule_id(r["name"]), *map(rule_id, r.get("aliases", []))}), None)
+def result_row(spark: SparkSession, task_id: str, title: str, changed: list[str], rules: list[str], validation: list[str], result: str | None, summary: str) -> DataFrame:
+    """What became of a task, to be appended to the log."""
+    return spark.createDataFrame([(task_id, title, sorted(set(changed)), sorted(set(rules)), list(dict.fromkeys(validation)), result, summary)], "task_id string, title string, changed array<string>, rules array<string>, validation array<string>, result string, summary string")
 
 
-def session_row(spark: SparkSession, task_id: str, task: str, files: list[str]) -> DataFrame:
-    return spark.createDataFrame([(task_id, task, files)], "task_id string, task string, files array<string>")
+def result_summary(title: str, changed: list[str], rules: list[str], validation: list[str], result: str | None) -> str:
+    """The lines of a result that has no summary of its own."""
+    parts = [title, rules and f"Guard rules: {', '.join(rules)}", changed and f"Changed files: {', '.join(changed)}", validation and f"Validation: {'; '.join(validation)}", result and f"Result: {result}"]
+    return "\n".join(p for p in parts if p)
 
 
 def remember(spark: SparkSession, topic: str, summary: str, files: list[str] = (), commands: list[str] = (), tags: list[str] = (), kind: str = "task", confidence: float = 0.8) -> DataFrame:

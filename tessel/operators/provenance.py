@@ -53,7 +53,7 @@ def file_hashes(files: DataFrame, paths: DataFrame, most: int = MOST_HASHED) ->
 
 def worktree_fingerprint(entries: DataFrame) -> DataFrame:
     """path and fingerprint of worktree entries (path, state, mode, size, modified, sha256; nulls for what is missing)."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("state", "mode", "size", "modified", "sha256")]
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("state", "mode", "size", "modified", "sha256", "source") if c in entries.columns]
     return entries.groupBy("path").agg(F.sha2(F.array_join(F.array_sort(F.collect_set(F.concat_ws("\0", *parts))), "\1"), 256).alias("fingerprint"))
 
 
@@ -65,8 +65,14 @@ def worktree_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def overall_fingerprint(fingerprints: DataFrame) -> DataFrame:
-    """One row: a hash of all fingerprints in order of path. Paths of a worktree's changes are few."""
-    return fingerprints.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "fingerprint"))), lambda r: F.concat_ws("\0", r["path"], r["fingerprint"])), "\1"), 256).alias("fingerprint"))
+    """One row: the root of a hash tree over paths. Paths are dealt by the first four hex digits of a hash, those buckets by the first two, and these (256 at
+    most) make the root, so no task holds more than its bucket's paths. No rows give the hash of nothing."""
+    digest = lambda rows: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda r: F.concat_ws("\0", r["path"], r["fingerprint"])), "\1"), 256).alias("fingerprint")
+    level = fingerprints.select("path", "fingerprint", F.sha1("path").alias("_h"))
+    for digits in (4, 2):
+        own = F.substring("_h", 1, digits)
+        level = level.groupBy(own.alias("_b")).agg(digest(F.struct("path", "fingerprint"))).select(F.col("_b").alias("path"), "fingerprint", F.col("_b").alias("_h"))
+    return level.agg(digest(F.struct("path", "fingerprint")))
 
 
 def coverage_freshness(status: Column, freshness: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
 from datetime import UTC, datetime
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.rules import Intent, language_of, module_of
 from ..functions.text import call_tokens, extract_lines, fingerprint, structural_shape
 from ..operators import discovery, duplicates, evaluation, extract, graph, impact, incremental, planning, resolve, search
-from ..operators.combinators import kept, top_k
-from ..sources import documents, repo
+from ..operators.combinators import kept, top_k, top_k_per_group
+from ..sources import changes, documents, repo
 
 #: Keys by which sections of two graphs are compared.
 SECTIONS = {
@@ -111,6 +112,34 @@ def affected_callers(changed: DataFrame, graph_tables: dict[str, DataFrame], mos
     return by_import.unionByName(by_call).distinct().join(changed.select("path"), "path", "left_anti").orderBy("path").limit(most)
 
 
+#: Changed files up to which names are looked up, names looked up, callers of a name, neighbours of a module, and files in all.
+TOKEN_FILES, TOKEN_NAMES, A_TOKEN, A_MODULE, IN_ALL = 3, 25, 50, 30, 100
+
+
+def expanded_callers(changed: DataFrame, tables: dict[str, DataFrame], names: int = TOKEN_NAMES, a_token: int = A_TOKEN, a_module: int = A_MODULE, most: int = IN_ALL) -> tuple[DataFrame, DataFrame]:
+    """Who a change of files (path) may touch: path and reasons of at most `most` files in order, and one row of how many candidates there are and are left out.
+
+    Importers and callers all count. Of at most TOKEN_FILES changed files the first `names` names of three characters or more that they define are looked up in
+    the table of calls, which is inverted by name, at most a_token files each; and each changed file's module gives at most a_module neighbours. The caps are group
+    limits in order of path, so they are the same on every run, and a name that everyone calls reaches no task whole.
+    """
+    paths = changed.select("path").distinct()
+    row = lambda df, path, why: df.select(F.col(path).alias("path"), F.lit(why).alias("reason"))
+    to = lambda c: paths.withColumnRenamed("path", c)
+    out = row(tables["bindings"].join(to("resolved_path"), "resolved_path", "left_semi"), "path", "import").unionByName(row(tables["symbol_edges"].join(to("to_path"), "to_path", "left_semi"), "from_path", "call"))
+    if len(paths.take(TOKEN_FILES + 1)) <= TOKEN_FILES:
+        defined = top_k(tables["symbols"].join(paths, "path", "left_semi").filter("length(name) >= 3").select("name").distinct(), names, F.col("name"))
+        users = tables["calls"].join(F.broadcast(defined), "name", "left_semi").select("name", "path").distinct().join(paths, "path", "left_anti")  # `names` rows
+        out = out.unionByName(row(top_k_per_group(users, "name", a_token, F.col("path")), "path", "token"))
+    root = lambda c: module_of(F.col(c))["root"]
+    own = paths.select(root("path").alias("root")).filter("root IS NOT NULL").distinct()
+    near = tables["files"].select("path", root("path").alias("root")).join(own, "root", "left_semi").join(paths, "path", "left_anti")
+    out = out.unionByName(row(top_k_per_group(near, "root", a_module, F.col("path")), "path", "module")).join(paths, "path", "left_anti")
+    merged = kept(out.distinct().groupBy("path").agg(F.array_sort(F.collect_list("reason")).alias("reasons")))  # four reasons at most
+    counts = merged.agg(F.count("*").alias("candidates"), F.greatest(F.count("*") - most, F.lit(0)).alias("left_out"))
+    return top_k(merged, most, F.col("path")), counts
+
+
 def update(old: dict[str, DataFrame], files: DataFrame) -> tuple[dict[str, DataFrame], str]:
     """The tables after files changed, and the plan that was used; delta.changes() says what differs."""
     from . import delta
@@ -360,8 +389,31 @@ class Project:
 
         made = contexts.prepare(self.store.tables(), task, files)
         reads = [r["path"] for r in made["core"].select("path").orderBy("path").collect()]
-        self.store.append("sessions", planning.session_row(self.spark, made["task_id"], task.text, reads))
+        local = self.root.replace("file://", "")
+        status = [p for p, *_ in changes.parse_status(changes.run_git(local, "status", "--porcelain=v1", "-z") or "")]
+        boundary = made["boundary"].first().asDict()
+        row = planning.session_row(self.spark, made["task_id"], task.text, reads, task.source_doc, made["domain"] and made["domain"]["name"], repo.git_head(local), status, boundary)
+        self.store.append("sessions", row)
         return self.response(contexts.render(made), made["warnings"])
 
+    def load_session(self, task_id: str) -> dict | None:
+        """The session of a task as it was remembered last, with its boundary; None if there is none."""
+        try:
+            row = self.store.latest("sessions", "task_id").filter(F.col("task_id") == task_id).first()
+        except ValueError:  # no session at all
+            return None
+        return row and row.asDict() | {"boundary": json.loads(row["boundary"])}
+
+    def record_result(self, title: str, task_id: str = "", result: str | None = None, summary: str | None = None, validations: list[str] = (), guard_output: str = "", guard_command: str = "", guard_rules: list[dict] = (), base: str = "main") -> dict:
+        """Remembers what became of a task: changed files, rules that a guard's output names, commands that were run, and a summary, in the logs `results` and `memory`."""
+        findings = documents.parse_guard_output(self.spark, guard_output, guard_command)
+        rules = [r["rule_id"] for r in planning.rule_scores(findings, list(guard_rules), guard_command, guard_output).select("rule_id").distinct().orderBy("rule_id").collect()] if guard_rules else []
+        changed = [r["path"] for r in changes.git_changes(self.spark, self.root.replace("file://", ""), base).paths.filter("state <> 'committed'").select("path").distinct().orderBy("path").collect()]
+        validation = list(dict.fromkeys([*validations, *([guard_command] if guard_command else [])]))
+        text = summary or planning.result_summary(title, changed, rules, validation, result)
+        self.store.append("results", planning.result_row(self.spark, task_id or title, title, changed, rules, validation, result, text))
+        self.store.append("memory", planning.remember(self.spark, title, text, changed, validation, rules, "task_result"))
+        return self.response({"stored": True, "changed": changed, "rules": rules, "validation": validation, "summary": text})
+
 
 __all__ = ["Intent", "Project", "build", "differences", "discover", "find_symbol", "update"]

@@ -99,6 +99,15 @@ def token_jaccard_pairs(t):
     return duplicates.token_pairs(t.documents.select("doc_id", search.words_of(F.col("text")).alias("w")), "doc_id", "w", 0.8, 5)
 
 
+@query(f"""WITH r AS (SELECT doc_id, list_sort(list_distinct({WORDS.format('text')})) AS w FROM documents), c AS (SELECT *, min(doc_id) OVER (PARTITION BY w) AS class_id, count(*) OVER (PARTITION BY w) AS class_size FROM r WHERE len(w) >= 5),
+s AS (SELECT doc_id, unnest(w) AS w FROM c), n AS (SELECT doc_id, len(w) AS n FROM c),
+p AS (SELECT a, count(*) AS links FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.w = y.w AND x.doc_id <> y.doc_id GROUP BY ALL) JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE i / (p.n + q.n - i) >= 0.8 GROUP BY a)
+SELECT doc_id, class_id, class_size, coalesce(links, 0) AS links FROM c LEFT JOIN p ON a = doc_id UNION ALL SELECT doc_id, doc_id, 1, 0 FROM r WHERE len(w) < 5""")
+def token_links(t):
+    """Classes of equal word sets and how many other documents are alike, without a pair of copies."""
+    return duplicates.token_links(t.documents.select("doc_id", search.words_of(F.col("text")).alias("w")), "doc_id", "w", 0.8, 5)
+
+
 @query(f"""WITH s AS (SELECT doc_id, list_distinct({WORDS.format('text')}) AS w, sha1({NORMAL.format('text')}) AS h FROM documents), t AS (SELECT * FROM s ORDER BY doc_id LIMIT 1),
 r AS (SELECT s.doc_id, CASE WHEN s.h = t.h THEN 1.0 WHEN len(s.w) = 0 OR len(t.w) = 0 THEN 0.0 ELSE len(list_intersect(s.w, t.w)) / len(list_distinct(list_concat(s.w, t.w))) END::DOUBLE AS similarity FROM s, t WHERE s.doc_id <> t.doc_id)
 SELECT * FROM r WHERE similarity >= 0.05""")
