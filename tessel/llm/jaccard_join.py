@@ -6,10 +6,11 @@ Two texts link when 100 * intersection >= 80 * union of their sets of distinct f
 2. Shingles are put in one order for all texts: frequent ones last, by an estimate of their frequency, then by hash. Any fixed order is
    right; this one keeps passages that many texts share out of prefixes. The table of frequent shingles has at most FREQUENT rows.
 3. A text's prefix is its first n - ceil(0.8 n) + 1 shingles; texts that link share a shingle of their prefixes. Texts with identical prefixes and
-   size form a group; prefixes are looked up for its head.
-4. Groups expand to their members in the index, before anything is paired: unlike in a grouped join, the filters see pairs of members, not of groups. Runs of up to RUN members give all their pairs; a pair stays if sizes, the places of its first common shingle
-   and the number of its common prefix shingles allow a link. Pairs that stay are verified on the whole sets.
-5. Longer runs (large groups of near copies) don't list their pairs: members are first tried against the run's most central member, then against
+   size form a group, and the index has a row for each prefix shingle of a group's head, with the number of its members.
+4. Runs (the groups of one shingle) of up to RUN members give all pairs of groups, and each group of several members with itself; a pair of groups stays if
+   sizes, the places of its first common shingle and the number of its common prefix shingles allow a link, which are the same for all members.
+   Pairs of groups that stay expand to pairs of members, which are verified on the whole sets.
+5. Longer runs (large groups of near copies) don't list their pairs: they expand to members, which are first tried against the run's most central member, then against
    their neighbour by size, and linked ones become one component. What is still in different components is then tried pair by pair, so no link
    between different components is missed and a large group of near copies costs pairs in proportion to its size.
 """
@@ -149,65 +150,71 @@ _FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("token", pa.int64()),
 _FOUND_DDL = "a long, b long, token long, n_a int, n_b int, pos_a int, pos_b int"
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From token, doc_id, n and pos in order of token: the pairs of short runs with sizes that allow a link (token null), and the rows of long runs (b null)."""
-    held = [np.empty(0, t) for t in (np.int64, np.int64, np.int32, np.int32)]
-    long_token: int | None = None
-
-    def out(a, b, token, n_a, n_b, p_a, p_b) -> pa.RecordBatch:
-        none = lambda x, t: pa.nulls(len(a), t) if x is None else pa.array(x, t)
-        return pa.RecordBatch.from_arrays([none(x, f.type) for x, f in zip((a, b, token, n_a, n_b, p_a, p_b), _FOUND, strict=True)], schema=_FOUND)
-
-    def rows(token, doc, n, pos) -> pa.RecordBatch:
-        return out(doc, None, token, n, None, pos, None)
-
-    def pairs(doc, n, pos, i, j) -> pa.RecordBatch:
-        ok = (doc[i] != doc[j]) & (100 * np.minimum(n[i], n[j]).astype(np.int64) >= PERCENT * np.maximum(n[i], n[j]).astype(np.int64))
-        i, j = i[ok], j[ok]
-        swap = doc[i] > doc[j]
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        return out(doc[i], doc[j], None, n[i], n[j], pos[i], pos[j])
-
-    def closed(token, doc, n, pos) -> Iterator[pa.RecordBatch]:
-        """Of whole runs."""
-        cuts = np.flatnonzero(np.diff(token)) + 1
-        starts, ends = np.concatenate([[0], cuts]).astype(np.int64), np.concatenate([cuts, [len(token)]]).astype(np.int64)
-        size = ends - starts
-        two = starts[size == 2]
-        first, second = [two], [two + 1]
-        for m in np.unique(size[(size > 2) & (size <= RUN)]):
-            i, j = np.triu_indices(m, 1)
-            at = starts[size == m]
-            first.append((at[:, None] + i).ravel())
-            second.append((at[:, None] + j).ravel())
-        i, j = np.concatenate(first), np.concatenate(second)
-        for k in range(0, len(i), 200_000):
-            yield pairs(doc, n, pos, i[k : k + 200_000], j[k : k + 200_000])
-        for x, y in zip(starts[size > RUN], ends[size > RUN], strict=True):
-            yield rows(token[x:y], doc[x:y], n[x:y], pos[x:y])
+def _runs(most: int):
+    """From token, head, n, pos and m (members) of groups in order of token: the pairs of groups of short runs (at most `most` members) with sizes that allow a link (token null; a
+    group of several members with itself too), and the rows of long runs (b null)."""
 
-    for batch in batches:
-        new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-        if not len(new[0]):
-            continue
-        if long_token is not None:  # goes on with a run that is already known to be long
-            k = int(np.searchsorted(new[0], long_token, side="right"))
-            yield rows(*(c[:k] for c in new))
-            new = [c[k:] for c in new]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, t) for t in (np.int64, np.int64, np.int32, np.int32, np.int64)]
+        long_token: int | None = None
+
+        def out(a, b, token, n_a, n_b, p_a, p_b) -> pa.RecordBatch:
+            none = lambda x, t: pa.nulls(len(a), t) if x is None else pa.array(x, t)
+            return pa.RecordBatch.from_arrays([none(x, f.type) for x, f in zip((a, b, token, n_a, n_b, p_a, p_b), _FOUND, strict=True)], schema=_FOUND)
+
+        def rows(token, doc, n, pos) -> pa.RecordBatch:
+            return out(doc, None, token, n, None, pos, None)
+
+        def pairs(doc, n, pos, m, i, j) -> pa.RecordBatch:
+            ok = ((doc[i] != doc[j]) | (m[i] > 1) | (m[j] > 1)) & (100 * np.minimum(n[i], n[j]).astype(np.int64) >= PERCENT * np.maximum(n[i], n[j]).astype(np.int64))
+            i, j = i[ok], j[ok]
+            swap = doc[i] > doc[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            return out(doc[i], doc[j], None, n[i], n[j], pos[i], pos[j])
+
+        def closed(token, doc, n, pos, m) -> Iterator[pa.RecordBatch]:
+            """Of whole runs."""
+            cuts = np.flatnonzero(np.diff(token)) + 1
+            starts, ends = np.concatenate([[0], cuts]).astype(np.int64), np.concatenate([cuts, [len(token)]]).astype(np.int64)
+            size, members = ends - starts, np.add.reduceat(m, starts)
+            short = members <= most
+            own = np.flatnonzero((m > 1) & np.repeat(short, size))  # groups of several members, with themselves
+            first, second = [own], [own]
+            for rows_of in np.unique(size[(size > 1) & short]):
+                i, j = np.triu_indices(rows_of, 1)
+                at = starts[(size == rows_of) & short]
+                first.append((at[:, None] + i).ravel())
+                second.append((at[:, None] + j).ravel())
+            i, j = np.concatenate(first), np.concatenate(second)
+            for k in range(0, len(i), 200_000):
+                yield pairs(doc, n, pos, m, i[k : k + 200_000], j[k : k + 200_000])
+            for x, y in zip(starts[~short], ends[~short], strict=True):
+                yield rows(token[x:y], doc[x:y], n[x:y], pos[x:y])
+
+        for batch in batches:
+            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
             if not len(new[0]):
                 continue
-            long_token = None
-        held = [np.concatenate(x) for x in zip(held, new, strict=True)]
-        last = int(np.searchsorted(held[0], held[0][-1], side="left"))
-        if last:
-            yield from closed(*(c[:last] for c in held))
-            held = [c[last:] for c in held]
-        if len(held[0]) > RUN:
-            long_token = int(held[0][-1])
-            yield rows(*held)
-            held = [c[:0] for c in held]
-    if len(held[0]):
-        yield from closed(*held)
+            if long_token is not None:  # goes on with a run that is already known to be long
+                k = int(np.searchsorted(new[0], long_token, side="right"))
+                yield rows(*(c[:k] for c in new[:4]))
+                new = [c[k:] for c in new]
+                if not len(new[0]):
+                    continue
+                long_token = None
+            held = [np.concatenate(x) for x in zip(held, new, strict=True)]
+            last = int(np.searchsorted(held[0], held[0][-1], side="left"))
+            if last:
+                yield from closed(*(c[:last] for c in held))
+                held = [c[last:] for c in held]
+            if held[4].sum() > most:
+                long_token = int(held[0][-1])
+                yield rows(*held[:4])
+                held = [c[:0] for c in held]
+        if len(held[0]):
+            yield from closed(*held)
+
+    return run
 
 
 def _need(a: str, b: str) -> str:
@@ -239,6 +246,51 @@ def _frequent_order(seen: DataFrame, bound: int = FREQUENT) -> tuple[np.ndarray,
     return h[order], n[order]
 
 
+def _grouped(prefixes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From doc_id, n, p1, p2 and prefix: head, n, m and prefix of each group of equal size and prefix (m: its rows), and member, head, n and m of groups of several rows (stored)."""
+    key = ["n", "p1", "p2"]
+    groups = stored(prefixes.groupBy(*key).agg(F.min("doc_id").alias("head"), F.count("*").alias("m")).filter("m > 1"), "groups")
+    members = stored(prefixes.select("doc_id", *key).join(small(groups, BROADCAST), key).select(F.col("doc_id").alias("member"), "head", "m", *key).distinct(), "members")
+    marked = prefixes.join(small(members.withColumnRenamed("member", "doc_id"), BROADCAST), ["doc_id", *key], "left")
+    heads = marked.filter("head IS NULL OR head = doc_id").select(F.col("doc_id").alias("head"), "n", F.coalesce("m", F.lit(1)).cast("long").alias("m"), "prefix")
+    return heads, members.select("member", "head", "n", "m")
+
+
+def _group_pairs(index: DataFrame) -> DataFrame:
+    """From token, head, n, pos and m: pairs of groups of short runs whose sizes and first places allow a link, with their common shingles, and the rows of long runs."""
+    found = index.select("token", "head", "n", "pos", "m").repartition("token").sortWithinPartitions("token").mapInArrow(_runs(RUN), _FOUND_DDL)
+    return found.groupBy("a", "b", "token", "n_a", "n_b").agg(F.count("*").alias("common"), F.min("pos_a").alias("pos_a"), F.min("pos_b").alias("pos_b")).filter(_room())
+
+
+def _likely(pairs: DataFrame, share: DataFrame) -> DataFrame:
+    """a, b, n_a and n_b of pairs of groups with enough common shingles: those of short runs, and at most as many of long ones as either has."""
+    for c in "ab":
+        long = share.select(F.col("_s").alias(f"_{c}"), F.col("long").alias(f"long_{c}"))
+        pairs = pairs.join(small(long, BROADCAST), F.col(c) == F.col(f"_{c}"), "left")
+    most = f"common + least(coalesce(long_a, 0), coalesce(long_b, 0)) + greatest({_rest('n_a')}, {_rest('n_b')})"
+    return pairs.filter(f"{most} >= {_need('n_a', 'n_b')}").select("a", "b", "n_a", "n_b")
+
+
+def _expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """a and b of the distinct pairs of members of pairs of groups, which have RUN members together at most."""
+    few = members.filter(f"m <= {RUN}")
+    for c in "ab":
+        side = few.select(F.col("member").alias(f"member_{c}"), F.col("head").alias(f"_{c}"), F.col("n").alias(f"_n_{c}"))
+        pairs = pairs.join(small(side, BROADCAST), (F.col(c) == F.col(f"_{c}")) & (F.col(f"n_{c}") == F.col(f"_n_{c}")), "left").withColumn(c, F.coalesce(f"member_{c}", c))
+    return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _spread(runs: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows of long runs for each member (doc_id) of their groups. A large group's members are dealt into parts, each of which meets its head's rows in a task of its own."""
+    parts = F.ceil(F.col("m") / SORTED)
+    sizes = members.groupBy(F.col("head").alias("_h"), F.col("n").alias("_n")).agg(F.max(parts).alias("_parts"))
+    last = F.coalesce("_parts", F.lit(1).cast("long")) - 1
+    rows = runs.join(sizes, (F.col("head") == F.col("_h")) & (F.col("n") == F.col("_n")), "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop("_h", "_n", "_parts")
+    dealt = members.select("member", F.col("head").alias("_h"), F.col("n").alias("_n"), F.pmod(F.xxhash64("member"), parts).alias("_part"))
+    rows = rows.join(dealt, (F.col("head") == F.col("_h")) & (F.col("n") == F.col("_n")) & (F.col("part") == F.col("_part")), "left")
+    return rows.select("token", F.coalesce("member", "head").alias("doc_id"), "n", "pos", "share").distinct()
+
+
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b, linked of distinct pairs."""
     x, y = (sets.select(F.col("doc_id").alias(f"_{c}"), F.col("set").alias(f"set_{c}")) for c in "ab")
@@ -283,30 +335,14 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # prefixes and groups
     order = spark.sparkContext.broadcast(_frequent_order(pass_one.filter("hash IS NOT NULL").select("hash", "seen")))
     prefixes = stored(single.mapInArrow(_prefixes(order), "doc_id long, n int, p1 long, p2 long, prefix array<long>"), "prefixes")
-    groups = prefixes.groupBy("n", "p1", "p2").agg(F.min("doc_id").alias("head"), F.count("*").alias("m")).filter("m > 1").select(F.col("n").alias("_n"), F.col("p1").alias("_p1"), F.col("p2").alias("_p2"), "head")
-    narrow = prefixes.select("doc_id", "n", "p1", "p2")
-    groups = stored(groups, "groups")
-    members = narrow.join(small(groups, BROADCAST), (F.col("n") == F.col("_n")) & (F.col("p1") == F.col("_p1")) & (F.col("p2") == F.col("_p2")))
-    members = stored(members.select(F.col("doc_id").alias("member"), "head", F.col("n").alias("_n"), F.col("p1").alias("_p1"), F.col("p2").alias("_p2")).distinct(), "members")
-    others = small(members.filter("member <> head"), BROADCAST)
-    same_set = (F.col("n") == F.col("_n")) & (F.col("p1") == F.col("_p1")) & (F.col("p2") == F.col("_p2"))
-    heads = prefixes.join(others, (F.col("doc_id") == F.col("member")) & same_set, "left_anti")
-    # the index: runs of texts that share a prefix shingle, or their whole prefix
-    index = heads.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token"))
-    if not others.isEmpty():
-        grown = heads.join(others, (F.col("doc_id") == F.col("head")) & same_set)
-        index = index.unionByName(grown.select(F.col("member").alias("doc_id"), "n", F.posexplode("prefix").alias("pos", "token")))
-    found = stored(index.select("token", "doc_id", "n", "pos").repartition("token").sortWithinPartitions("token").mapInArrow(_runs, _FOUND_DDL).groupBy("a", "b", "token", "n_a", "n_b").agg(F.count("*").alias("common"), F.min("pos_a").alias("pos_a"), F.min("pos_b").alias("pos_b")).filter(_room()), "found")
-    runs = found.filter("b IS NULL").select("token", F.col("a").alias("doc_id"), F.col("n_a").alias("n"), F.col("pos_a").alias("pos"))
-    share = stored(runs.groupBy(F.col("doc_id").alias("_s")).agg(F.count("*").alias("long"), (F.count("*") / F.max("n")).alias("share")), "long-runs")
-    pairs = found.filter("b IS NOT NULL")
-    for c in "ab":
-        long = share.select(F.col("_s").alias(f"_{c}"), F.col("long").alias(f"long_{c}"))
-        pairs = pairs.join(small(long, BROADCAST), F.col(c) == F.col(f"_{c}"), "left")
-    # common prefix shingles are those of short runs and at most as many of long ones as either text has
-    most = f"common + least(coalesce(long_a, 0), coalesce(long_b, 0)) + greatest({_rest('n_a')}, {_rest('n_b')})"
-    pairs = stored(pairs.filter(f"{most} >= {_need('n_a', 'n_b')}").select("a", "b"), "pairs")
-    runs = stored(runs.join(share.drop("long"), F.col("doc_id") == F.col("_s")).drop("_s"), "long")
+    heads, members = _grouped(prefixes)
+    # the index: runs of groups that share a prefix shingle
+    index = heads.select(F.posexplode("prefix").alias("pos", "token"), "head", "n", "m")
+    found = stored(_group_pairs(index), "found")
+    runs = found.filter("b IS NULL").select("token", F.col("a").alias("head"), F.col("n_a").alias("n"), F.col("pos_a").alias("pos"))
+    share = stored(runs.groupBy(F.col("head").alias("_s")).agg(F.count("*").alias("long"), (F.count("*") / F.max("n")).alias("share")), "long-runs")
+    pairs = stored(_expanded(_likely(found.filter("b IS NOT NULL"), share), members), "pairs")
+    runs = stored(_spread(runs.join(share.drop("long"), F.col("head") == F.col("_s")).drop("_s"), members), "long")
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("_c")).unionByName(runs.select(F.col("doc_id").alias("_c"))).distinct(), "candidates")
     texts = docs.join(small(wanted, BROADCAST), F.col("doc_id") == F.col("_c"), "left_semi")
     texts = (texts.dropDuplicates(["doc_id", "key"]) if repeats else texts).select("doc_id", "text")

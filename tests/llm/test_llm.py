@@ -256,6 +256,32 @@ def test_jaccard_join(spark, monkeypatch):
     assert {(r["doc_id"], r["n_shingles"]) for r in got} == {(i, len({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}) if (w := words(t)) else 0) for i, t in docs}
 
 
+def test_groups_are_paired_before_they_expand(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "RUN", 12)
+    monkeypatch.setattr(jaccard_join, "SORTED", 5)
+    rnd, groups, doc = random.Random(4), [], itertools.count(1)
+    for g in range(60):
+        prefix = [9, *rnd.sample(range(10, 40), 2), 100 + g] if g % 10 == 0 else rnd.sample(range(10, 70), 4)
+        groups.append((rnd.randrange(15, 20), prefix, [next(doc) for _ in range(17 if g < 2 else rnd.choice([1, 1, 2, 3, 4]))]))
+    rows = [(d, n, g, -g, p) for g, (n, p, ids) in enumerate(groups) for d in ids]
+    prefixes = spark.createDataFrame(rows, "doc_id long, n int, p1 long, p2 long, prefix array<long>")
+    heads, members = jaccard_join._grouped(prefixes)
+    assert sorted((r["head"], r["n"], r["m"]) for r in heads.collect()) == sorted((min(ids), n, len(ids)) for n, _, ids in groups)
+    found = jaccard_join._group_pairs(heads.select(F.posexplode("prefix").alias("pos", "token"), "head", "n", "m")).cache()
+    listed = found.filter("b IS NOT NULL")
+    load = {t: sum(len(ids) for _, p, ids in groups if t in p) for _, p, _ in groups for t in p}
+    need = lambda a, b: -(-80 * (a + b) // 180)
+    places = lambda g, h: [(g[1].index(t), h[1].index(t)) for t in g[1] if t in h[1] and load[t] <= 12]
+    fits = lambda g, h: 5 * min(g[0], h[0]) >= 4 * max(g[0], h[0]) and (at := places(g, h)) and min(g[0] - min(x for x, _ in at), h[0] - min(y for _, y in at)) >= need(g[0], h[0])
+    want = [(g, h) for i, g in enumerate(groups) for h in groups[i:] if (g is not h or len(g[2]) > 1) and fits(g, h)]
+    assert {(r["a"], r["b"]) for r in listed.collect()} == {(g[2][0], h[2][0]) for g, h in want} and listed.count() == len(want)
+    pairs = {tuple(r) for r in jaccard_join._expanded(listed.select("a", "b", "n_a", "n_b"), members).collect()}
+    assert pairs == {(min(x, y), max(x, y)) for g, h in want for x in g[2] for y in h[2] if x != y} and len(pairs) > 2 * len(want)
+    runs = found.filter("b IS NULL").select("token", F.col("a").alias("head"), F.col("n_a").alias("n"), F.col("pos_a").alias("pos"), F.lit(0.5).alias("share"))
+    spread = sorted(tuple(r)[:4] for r in jaccard_join._spread(runs, members).collect())
+    assert spread == sorted((t, d, n, p.index(t)) for n, p, ids in groups for t in p if load[t] > 12 for d in ids) and any(len(ids) > 12 for *_, ids in groups)
+
+
 def test_jaccard_join_of_nothing(spark):
     assert jaccard_join.near_components(frame(spark, [(1, "a")]).limit(0)).collect() == []
 
