@@ -12,6 +12,8 @@ from .combinators import kept
 #: How much of a score passes along an edge of each kind; 0.5 for others.
 KIND_WEIGHTS = {"covered_by": 1.0, "imports": 0.86, "contains": 0.72, "co_changes": 0.62}
 MOST_FILES_PER_COMMIT, MOST_COMMITS, MOST_PAIRS = 30, 200, 1000
+#: Edges of a node from which it is a hub, and the most hubs there may be (beyond that, hubs are nodes with more edges).
+HUB, MOST_HUBS = 10_000, 100_000
 
 
 def kind_weight(kind: Column) -> Column:
@@ -25,19 +27,47 @@ def oriented(edges: DataFrame, direction: str = "downstream") -> DataFrame:
     return {"downstream": forward, "upstream": back, "both": forward.unionByName(back)}[direction]
 
 
+class Adjacency:
+    """Steps (column u and others) whose hubs are dealt into parts of about `hub` steps, so that no task holds all steps of one node.
+
+    Degrees are counted with partial sums; of hubs there are MOST_HUBS at most, which bounds what is broadcast. Without hubs nothing is dealt.
+    """
+
+    def __init__(self, steps: DataFrame, hub: int | None = None):
+        hub = hub or HUB
+        degrees = kept(steps.groupBy("u").agg(F.count("*").alias("_d")).filter(F.col("_d") > hub))
+        total = degrees.agg(F.sum("_d").alias("n")).first()["n"]
+        self.hubs, self.steps = None, steps
+        if total:
+            least = max(hub, -(-total // MOST_HUBS))
+            self.hubs = degrees.filter(F.col("_d") > least).select(F.col("u").alias("_hub"), F.ceil(F.col("_d") / least).alias("_parts"))
+            self.steps = self._with_parts(steps, "u").withColumn("_part", F.pmod(F.xxhash64(*steps.columns), F.col("_parts"))).drop("_parts")
+
+    def _with_parts(self, df: DataFrame, node: str) -> DataFrame:
+        return df.join(F.broadcast(self.hubs), F.col(node) == F.col("_hub"), "left").withColumn("_parts", F.coalesce("_parts", F.lit(1).cast("long"))).drop("_hub")
+
+    def out_of(self, front: DataFrame) -> DataFrame:
+        """front (column node) joined with the steps of its nodes; a hub's row meets each of its parts."""
+        if self.hubs is None:
+            return front.join(self.steps, F.col("node") == F.col("u"))
+        dealt = self._with_parts(front, "node").withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
+        return dealt.join(self.steps, (F.col("node") == F.col("u")) & (F.col("_at") == F.col("_part"))).drop("_at", "_part")
+
+
 def traverse(edges: DataFrame, seeds: DataFrame, direction: str = "downstream", depth: int = 2, limit: int | None = None) -> DataFrame:
     """node, distance, score, confidence and chain of what is reached from seeds (one column, node) in at most depth steps.
 
     A node counts where it is first reached; of several ways of that length the best score wins, then confidence, then the smallest parent. Along an
     edge score is multiplied by its kind's weight and min(2, weight), confidence by its confidence. Each step is one join and one aggregation,
-    checkpointed in the shared folder (cached where there is none); depth is small and known, so the number of jobs is too.
+    checkpointed in the shared folder (cached where there is none); depth is small and known, so the number of jobs is too. Steps out of a hub are dealt
+    into parts (Adjacency); steps into one combine before the shuffle.
     """
     steps = oriented(edges, direction).withColumn("_w", kind_weight(F.col("kind")) * F.least(F.lit(2.0), F.col("weight")))
     seen = seeds.select("node", F.lit(0).alias("distance"), F.lit(1.0).alias("score"), F.lit(1.0).alias("confidence"), F.array("node").alias("chain")).dropDuplicates(["node"])
-    front = seen
+    front, ways = seen, Adjacency(steps.select("u", "v", "_w", F.col("confidence").alias("_c")))
     for d in range(1, depth + 1):
-        reached = front.join(steps, front["node"] == steps["u"]).select(
-            F.col("v").alias("node"), F.lit(d).alias("distance"), (F.col("score") * F.col("_w")).alias("score"), (front["confidence"] * steps["confidence"]).alias("confidence"), F.concat("chain", F.array("v")).alias("chain"), F.col("u").alias("_parent"),
+        reached = ways.out_of(front).select(
+            F.col("v").alias("node"), F.lit(d).alias("distance"), (F.col("score") * F.col("_w")).alias("score"), (F.col("confidence") * F.col("_c")).alias("confidence"), F.concat("chain", F.array("v")).alias("chain"), F.col("u").alias("_parent"),
         )
         new = reached.join(seen.select("node"), "node", "left_anti")
         rest = F.struct("distance", "score", "confidence", "chain")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import TEST_DIR, first_of
 from .combinators import best_per_key, kept, smallest, top_k, top_k_per_group
-from .graph import neighbours
+from .graph import Adjacency, neighbours
 
 #: Changed files from which an impact is of high and of medium risk, and how many hits of each kind a report shows.
 HIGH, MEDIUM = 8, 3
@@ -39,14 +39,14 @@ def change_impact(changed: DataFrame, bindings: DataFrame, symbol_edges: DataFra
 def trace(symbol_edges: DataFrame, seeds: DataFrame, direction: str = "callees", depth: int = 2, limit: int | None = None) -> DataFrame:
     """node, hop and via of the symbols that calls reach from seeds (column node), each at its smallest hop; via is the smallest symbol before it.
 
-    A step is one join and one aggregation; steps are few and known. Beyond limit the nearest stay.
+    A step is one join and one aggregation; steps are few and known, and those of a hub are dealt into parts. Beyond limit the nearest stay.
     """
     here, there = ("from_symbol", "to_symbol") if direction == "callees" else ("to_symbol", "from_symbol")
-    steps = symbol_edges.select(F.col(here).alias("_u"), F.col(there).alias("_v")).distinct()
+    ways = Adjacency(symbol_edges.select(F.col(here).alias("u"), F.col(there).alias("v")).distinct())
     seen = seeds.select("node", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("via")).dropDuplicates(["node"])
     front = seen
     for hop in range(1, depth + 1):
-        reached = front.join(steps, F.col("node") == F.col("_u")).groupBy(F.col("_v").alias("_n")).agg(F.min("_u").alias("_via"))
+        reached = ways.out_of(front).groupBy(F.col("v").alias("_n")).agg(F.min("u").alias("_via"))
         front = reached.join(seen.select(F.col("node").alias("_n")), "_n", "left_anti").select(F.col("_n").alias("node"), F.lit(hop).alias("hop"), F.col("_via").alias("via"))
         front = kept(front)
         seen = seen.unionByName(front)

@@ -115,6 +115,44 @@ def symbol_rows(answer: str) -> list[dict]:
     return out
 
 
+def symbol_table(answers: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """What symbol_rows() says of a table of answers, and what it can't read.
+
+    The first has key, part (number of the group, 0 for a plain table), place (of the row in it) and the columns of symbol_rows(), cells as strings and
+    score as a double; the second has key, part and place (null where the whole answer or group is meant) and a reason. A bad row doesn't spoil its answer. Null and
+    empty answers are bad; empty lists have no rows. Of columns with one name the last counts, as in an object.
+    """
+    got = lambda v, path, kind: F.try_variant_get(v, path, kind)
+    many = "array<variant>"
+    read = answers.select(F.col(key), F.try_parse_json(F.col(text)).alias("_v")).select("*", got(F.col("_v"), "$.cols", "array<string>").alias("_cols"), got(F.col("_v"), "$.rows", many).isNotNull().alias("_plain"))
+    read = read.withColumn("_groups", F.when(F.size("_cols") > 0, F.when(F.col("_plain"), F.array("_v")).otherwise(got(F.col("_v"), "$.groups", many))))
+    parts = read.select(key, "_cols", "_plain", "_groups", F.posexplode_outer("_groups").alias("part", "_g")).filter("_groups IS NULL OR part IS NOT NULL")
+    parts = parts.withColumn("_rows", got(F.col("_g"), "$.rows", many))
+    rows = parts.select("*", F.posexplode_outer("_rows").alias("place", "_r")).filter("_rows IS NULL OR place IS NOT NULL").withColumn("_cells", got(F.col("_r"), "$", many))
+    rows = rows.withColumn("_names", F.slice("_cols", 1, F.size("_cells")))
+
+    def has(name: str) -> Column:
+        return F.array_contains("_names", name)
+
+    def cell(name: str, kind: str = "string") -> Column:
+        at = F.size("_names") - F.array_position(F.reverse("_names"), name).cast("int")
+        return F.when(has(name), got(F.get("_cells", at), "$", kind))
+
+    filled = lambda c: F.when(c != "", c)
+    whole = F.coalesce(filled(cell("qn")), filled(cell("qualified_name")))
+    rows = rows.withColumn("_whole", whole).withColumn("name", F.coalesce(filled(cell("name")), filled(F.substring_index("_whole", ".", -1))))
+    outer = lambda path: filled(F.when(~F.col("_plain"), got(F.col("_g"), path, "string")))
+    lines = cell("lines")
+    line = lambda i: F.when(lines.rlike(r"^\d+(-\d+)?$"), F.try_element_at(F.split(lines, "-"), F.lit(i)).try_cast("int"))
+    why = first_of([(F.col("_groups").isNull(), "an answer needs cols and rows or groups"), (F.col("_rows").isNull(), "a group needs rows"), (F.col("_cells").isNull(), "a row is not an array"), (F.col("name").isNull(), "a row has no symbol name")], None)
+    rows = rows.withColumn("reason", why)
+    good = rows.filter("reason IS NULL").select(
+        key, "part", "place", "name", F.coalesce(F.concat(outer("$.qn_prefix"), F.lit("."), "name"), "_whole", "name").alias("qualified_name"), F.coalesce(filled(cell("label")), F.lit("Unknown")).alias("kind"),
+        F.coalesce(filled(cell("file")), outer("$.file")).alias("path"), line(1).alias("start_line"), F.coalesce(line(2), line(1)).alias("end_line"), F.when(has("score"), cell("score", "double")).otherwise(cell("rank", "double")).alias("score"),
+    )
+    return good, rows.filter("reason IS NOT NULL").select(key, "part", "place", "reason")
+
+
 def returned_paths(answer: str | None) -> list[str]:
     """Every string under a path-like key or in a path-like column of an answer, sorted; bad JSON has none."""
     try:

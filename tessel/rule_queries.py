@@ -424,3 +424,25 @@ def profile_seeds(t):
 def edit_boundary(t):
     tiers = t.supplier.select(F.concat(F.lit("f"), F.col("s_suppkey").cast("string")).alias("path"), F.when(F.col("s_nationkey") < 5, "must_edit").otherwise("may_inspect").alias("tier"))
     return planning.edit_boundary(tiers).select(*[F.array_join(c, ",").alias(c) for c in ("must_edit", "may_inspect")])
+
+
+@query("""WITH p AS (SELECT p_partkey // 50 AS answer, row_number() OVER (PARTITION BY p_partkey // 50 ORDER BY p_partkey) - 1 AS place, (p_partkey // 50) % 3 AS shape, p_partkey % 50 = 7 AS bad, * FROM part)
+SELECT answer, place::BIGINT AS place, CASE WHEN NOT bad THEN p_name END AS name, CASE WHEN bad THEN NULL WHEN shape = 1 THEN 'shop.' || p_name ELSE 'q.' || p_partkey END AS qualified_name,
+  CASE WHEN bad THEN NULL WHEN shape = 1 THEN 'shop/parts.ts' ELSE p_brand || '.ts' END AS path, CASE WHEN NOT bad THEN p_size END AS start_line,
+  CASE WHEN bad THEN NULL WHEN shape = 1 THEN p_size ELSE p_size + 9 END AS end_line, CASE WHEN NOT bad AND shape = 0 THEN p_partkey / 2 END::DOUBLE AS score, CASE WHEN bad THEN 'a row has no symbol name' END AS reason
+FROM p WHERE shape <> 2
+UNION ALL SELECT DISTINCT answer, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'a group needs rows' FROM p WHERE shape = 2""")
+def outside_symbols(t):
+    key, bad = F.col("p_partkey"), F.col("p_partkey") % 50 == 7
+    quoted = lambda *parts: F.concat(F.lit('"'), *[p.cast("string") for p in parts], F.lit('"'))
+    name, size = F.when(bad, '""').otherwise(quoted(F.col("p_name"))), F.col("p_size")
+    table = F.concat_ws(",", name, F.when(bad, '""').otherwise(quoted(F.lit("q."), key)), quoted(F.col("p_brand"), F.lit(".ts")), quoted(size, F.lit("-"), size + 9), (key / 2).cast("string"))
+    shape = F.floor(key / 50) % 3
+    row = F.concat(F.lit("["), F.when(shape == 0, table).otherwise(F.concat_ws(",", name, quoted(size))), F.lit("]"))
+    # an answer is of 50 parts at most
+    rows = t.part.groupBy(F.floor(key / 50).alias("answer")).agg(F.array_sort(F.collect_list(F.struct(key.alias("k"), row.alias("r")))).alias("all"))
+    listed, shape = F.concat(F.lit("["), F.array_join(F.transform("all", lambda x: x["r"]), ","), F.lit("]")), F.col("answer") % 3
+    text = F.when(shape == 0, F.concat(F.lit('{"cols":["name","qn","file","lines","rank"],"rows":'), listed, F.lit("}")))
+    text = text.when(shape == 1, F.concat(F.lit('{"cols":["name","lines"],"groups":[{"qn_prefix":"shop","file":"shop/parts.ts","rows":'), listed, F.lit("}]}"))).otherwise('{"cols":["name"],"groups":[{"rows":3}]}')
+    good, unread = provenance.symbol_table(rows.select("answer", text.alias("text")), "answer", "text")
+    return good.drop("part", "kind").unionByName(unread.drop("part"), allowMissingColumns=True).withColumn("place", F.col("place").cast("long"))
