@@ -124,47 +124,79 @@ def change_kind(planes: Column) -> Column:
     return F.when(F.size(planes) == 0, "none").when(F.size(planes) > 1, "mixed").otherwise(first_of([(one == k, v) for k, v in PLANE_KINDS.items()]))
 
 
+#: Topics that weigh paths and symbols, and what else in a task's words decides rules.
+TOPICS = ("dashboard", "athlete")
+WORDS = {"frontend": FRONTEND, "api": API, "api_wide": API + "|route handler|数据库", "design": DESIGN, "test": r"\btest\b|测试|spec", "e2e": END_TO_END}
+NOT_TOKEN = r"[^a-z0-9_一-鿿]+"
+
+
+def _on(flag: bool | Column) -> Column:
+    return flag if isinstance(flag, Column) else F.lit(flag)
+
+
 @dataclass(frozen=True)
 class Intent:
-    """What a task is about, from its words; decides rules when a plan is made."""
-
-    task: str
-    frontend: bool = False
-    api: bool = False
-    api_wide: bool = False
-    design: bool = False
-    test: bool = False
-    e2e: bool = False
-    tokens: tuple[str, ...] = ()
-    topics: tuple[str, ...] = field(default=())
+    """What a task is about, from its words: values that decide rules when a plan is made, or columns of a table of tasks."""
+
+    task: str | Column
+    frontend: bool | Column = False
+    api: bool | Column = False
+    api_wide: bool | Column = False
+    design: bool | Column = False
+    test: bool | Column = False
+    e2e: bool | Column = False
+    tokens: tuple[str, ...] | Column = ()
+    topics: tuple[str, ...] | dict[str, Column] = field(default=())
 
     @classmethod
-    def of(cls, task: str, topics: tuple[str, ...] = ("dashboard", "athlete")) -> Intent:
+    def of(cls, task: str, topics: tuple[str, ...] = TOPICS) -> Intent:
         low = task.lower()
-        tokens = tuple(t for t in re.split(r"[^a-z0-9_一-鿿]+", low) if len(t) > 1)
+        tokens = tuple(t for t in re.split(NOT_TOKEN, low) if len(t) > 1)
         has = lambda p: re.search(p, low) is not None
-        return cls(task, has(FRONTEND), has(API), has(API + "|route handler|数据库"), has(DESIGN), has(r"\btest\b|测试|spec"), has(END_TO_END), tokens, tuple(t for t in topics if has(rf"\b{t}\b")))
+        return cls(task, **{k: has(p) for k, p in WORDS.items()}, tokens=tokens, topics=tuple(t for t in topics if has(rf"\b{t}\b")))
+
+    @staticmethod
+    def column(task: Column, topics: tuple[str, ...] = TOPICS) -> Column:
+        """of() as a struct column, for read()."""
+        low = F.lower(task)
+        has = lambda p: low.rlike(f"(?U){p}")
+        tokens = F.filter(F.split(low, NOT_TOKEN), lambda t: F.length(t) > 1)
+        return F.struct(task.alias("task"), *[has(p).alias(k) for k, p in WORDS.items()], tokens.alias("tokens"), F.struct(*[has(rf"\b{t}\b").alias(t) for t in topics]).alias("topics"))
+
+    @classmethod
+    def read(cls, intent: Column, topics: tuple[str, ...] = TOPICS) -> Intent:
+        return cls(intent["task"], **{k: intent[k] for k in (*WORDS, "tokens")}, topics={t: intent["topics"][t] for t in topics})
+
+    def about(self) -> dict[str, Column]:
+        """Topics with whether the task has them."""
+        return self.topics if isinstance(self.topics, dict) else {t: F.lit(True) for t in self.topics}
+
+    def words(self) -> Column:
+        return F.array_join(self.tokens, " ") if isinstance(self.tokens, Column) else F.lit(" ".join(self.tokens))
+
+    def names(self, low: Column) -> Column:
+        """Whether lower-case text has any of the task's tokens of three characters or more."""
+        if isinstance(self.tokens, Column):
+            return F.exists(self.tokens, lambda t: (F.length(t) > 2) & low.contains(t))
+        long = [t for t in self.tokens if len(t) > 2]
+        return low.rlike("|".join(map(re.escape, long))) if long else F.lit(False)
 
 
 def noise_penalty(intent: Intent, path: Column) -> Column:
-    low, out = F.lower(path), F.lit(0.0)
-    if intent.frontend and not intent.api_wide:
-        out += F.when(low.rlike(r"^(backend|database|infra)/"), 0.45).otherwise(0.0)
-    if intent.frontend and not intent.e2e:
-        out += F.when(low.rlike(r"(maestro|patrol|screenshot|golden|ocr|qa)"), 0.25).otherwise(0.0)
-    if intent.api_wide:
-        out += F.when(low.startswith("frontend/lib/modules/design_system/"), 0.35).otherwise(0.0)
-    return out
+    low = F.lower(path)
+    add = lambda on, weight: F.when(on, weight).otherwise(0.0)
+    out = add(_on(intent.frontend) & ~_on(intent.api_wide) & low.rlike(r"^(backend|database|infra)/"), 0.45)
+    out += add(_on(intent.frontend) & ~_on(intent.e2e) & low.rlike(r"(maestro|patrol|screenshot|golden|ocr|qa)"), 0.25)
+    return out + add(_on(intent.api_wide) & low.startswith("frontend/lib/modules/design_system/"), 0.35)
 
 
 def subdomain_penalty(intent: Intent, path: Column, symbol: Column) -> Column:
-    both, words = F.lower(F.concat_ws(" ", path, symbol)), " ".join(intent.tokens)
+    both, words = F.lower(F.concat_ws(" ", path, symbol)), intent.words()
     out = F.lit(0.0)
     for t in SUBDOMAINS:
-        if t not in words:
-            out += F.when(both.contains(t), 0.09).otherwise(0.0)
-    if "dashboard" in intent.topics:
-        out -= F.when(both.contains("dashboard_page") & ~both.rlike("lookup|management|platform|plan|admin|pr"), 0.06).otherwise(0.0)
+        out += F.when(~words.contains(t) & both.contains(t), 0.09).otherwise(0.0)
+    page = both.contains("dashboard_page") & ~both.rlike("lookup|management|platform|plan|admin|pr")
+    out -= F.when(intent.about().get("dashboard", F.lit(False)) & page, 0.06).otherwise(0.0)
     return F.greatest(F.lit(0.0), F.least(F.lit(0.24), out))
 
 
@@ -178,27 +210,22 @@ TOPIC_WEIGHTS = {"dashboard": (0.28, 0.34), "athlete": (0.22, 0.32)}
 
 
 def module_proximity(intent: Intent, path: Column) -> Column:
-    low, out = F.lower(path), F.lit(0.0)
+    low, about = F.lower(path), intent.about()
     add = lambda on, weight: F.when(on, weight).otherwise(0.0)
-    if intent.frontend:
-        out += add(low.startswith("frontend/lib/"), 0.35)
-    for topic in intent.topics:
-        out += add(low.contains(topic), TOPIC_WEIGHTS.get(topic, (0.2, 0.3))[0])
-    if {"dashboard", "athlete"} <= set(intent.topics):
-        out += add(low.contains("user_core/dashboard"), 0.25)
-    if intent.api_wide:
-        out += add(low.startswith("backend/"), 0.45)
-    if intent.test:
-        out += add(low.rlike(TEST_DIR), 0.25)
-    return F.least(F.lit(1.0), out)
+    out = add(_on(intent.frontend) & low.startswith("frontend/lib/"), 0.35)
+    for topic, on in about.items():
+        out += add(on & low.contains(topic), TOPIC_WEIGHTS.get(topic, (0.2, 0.3))[0])
+    if set(TOPICS) <= set(about):
+        out += add(about["dashboard"] & about["athlete"] & low.contains("user_core/dashboard"), 0.25)
+    out += add(_on(intent.api_wide) & low.startswith("backend/"), 0.45)
+    return F.least(F.lit(1.0), out + add(_on(intent.test) & low.rlike(TEST_DIR), 0.25))
 
 
 def symbol_exactness(intent: Intent, symbol: Column) -> Column:
     low, out = F.lower(F.coalesce(symbol, F.lit(""))), F.lit(0.0)
-    for topic in intent.topics:
-        out += F.when(low.contains(topic), TOPIC_WEIGHTS.get(topic, (0.2, 0.3))[1]).otherwise(0.0)
-    if named := [t for t in intent.tokens if len(t) > 2]:
-        out += F.when(low.rlike("|".join(map(re.escape, named))), 0.24).otherwise(0.0)
+    for topic, on in intent.about().items():
+        out += F.when(on & low.contains(topic), TOPIC_WEIGHTS.get(topic, (0.2, 0.3))[1]).otherwise(0.0)
+    out += F.when(intent.names(low), 0.24).otherwise(0.0)
     return F.least(F.lit(1.0), out + F.when(low.rlike("page|screen|view"), 0.1).otherwise(0.0))
 
 
@@ -207,40 +234,36 @@ def entrypoint_score(intent: Intent, kind: Column, symbol: Column, path: Column,
     plus = text_score * 0.28 + type_weight(kind, symbol, path) * 0.26 + module_proximity(intent, path) * 0.24 + symbol_exactness(intent, symbol) * 0.16 + F.when(kind.contains("route"), 0.12).otherwise(0.0)
     minus = noise_penalty(intent, path) + subdomain_penalty(intent, path, symbol) + F.when(symbol.startswith("_"), 0.12).otherwise(0.0)
     minus += F.when(symbol.rlike(r"(?i)(^|[^a-z0-9_])_card($|[^a-z0-9_])|(^|[A-Z])card$|_card") & ~symbol.rlike("(?i)page|screen|view"), 0.06).otherwise(0.0)
-    if not intent.test:
-        minus += F.when(path.rlike(TEST_DIR), 0.28).otherwise(0.0)
+    minus += F.when(~_on(intent.test) & path.rlike(TEST_DIR), 0.28).otherwise(0.0)
     return F.greatest(F.lit(0.0), F.least(F.lit(0.99), plus - minus))
 
 
 def dependency_tier(intent: Intent, path: Column, evidence: Column | None = None) -> Column:
     low = F.lower(path)
     theme = low.contains("/modules/design_system/theme/")
-    tokens = [t for t in intent.tokens if len(t) > 2]
-    named = low.rlike("|".join(map(re.escape, tokens))) if tokens else F.lit(False)
     strong = F.exists(evidence, lambda e: e.rlike("route_match|route_builds_page|page_composes_widget|widget_composes_widget")) if evidence is not None else F.lit(False)
     return first_of([
-        (F.lit(intent.design) & (theme | low.contains("/tokens/") | low.contains("experience_theme") | low.contains("breakpoint")), "core_implementation"),
-        (F.lit(not intent.design) & (theme | low.contains("/modules/design_system/components/") | low.contains("/modules/design_system/foundation/")), "supporting_dependency"),
+        (_on(intent.design) & (theme | low.contains("/tokens/") | low.contains("experience_theme") | low.contains("breakpoint")), "core_implementation"),
+        (~_on(intent.design) & (theme | low.contains("/modules/design_system/components/") | low.contains("/modules/design_system/foundation/")), "supporting_dependency"),
         (strong, "core_implementation"),
         (low.rlike(r"flutter|riverpod|provider|go_router|material|fastapi|dio|node_modules|package:"), "framework_dependency"),
         (low.rlike(r"(l10n|locale|api_error|logger|logging|auth_user_cache|theme|tokens|utils?|helpers?|constants)"), "supporting_dependency"),
-        (named, "core_implementation"),
+        (intent.names(low), "core_implementation"),
     ], "irrelevant_import")
 
 
 def is_noisy_path(intent: Intent, path: Column) -> Column:
-    low = F.lower(path)
-    backend = low.rlike(r"^(backend|database|infra)/") if intent.frontend and not intent.api else F.lit(False)
-    visual = low.rlike(r"(maestro|patrol|screenshot|golden|ocr|qa)") if intent.frontend and not intent.e2e else F.lit(False)
-    return backend | visual
+    low, front = F.lower(path), _on(intent.frontend)
+    backend = front & ~_on(intent.api) & low.rlike(r"^(backend|database|infra)/")
+    return backend | (front & ~_on(intent.e2e) & low.rlike(r"(maestro|patrol|screenshot|golden|ocr|qa)"))
 
 
 def suppression(intent: Intent, path: Column, tier: Column | None = None, test_noise: Column | None = None, noisy: Column | None = None, enough: Column | None = None) -> Column:
     """A struct of reason, goes_to and confidence for a path that isn't among those to read first."""
     low = F.lower(path)
     row = lambda reason, to, c: F.struct(F.lit(reason).alias("reason"), F.lit(to).alias("goes_to"), F.lit(float(c)).alias("confidence"))
-    holds = {"": True, "frontend only": intent.frontend and not intent.api, "design": intent.design}
-    cases = [(low.rlike(p), row(reason, to, c)) for reason, p, to, c, on in SUPPRESSIONS if holds[on]]
+    holds = {"": F.lit(True), "frontend only": _on(intent.frontend) & ~_on(intent.api), "design": _on(intent.design)}
+    cases = [(holds[on] & low.rlike(p), row(reason, to, c)) for reason, p, to, c, on in SUPPRESSIONS]
     no = F.lit(False)
     tier = tier if tier is not None else F.lit("")
     cases += [(test_noise if test_noise is not None else no, row("test_noise", "ignoreForNow", 0.9)), (tier == "framework_dependency", row("framework_dependency_only", "supportingContext", 0.9)), (tier == "supporting_dependency", row("supporting_dependency_only", "supportingContext", 0.9)), (noisy if noisy is not None else no, row("domain_noise", "ignoreForNow", 0.9)), (~enough if enough is not None else no, row("insufficient_strong_evidence", "shouldInspect", 0.82))]

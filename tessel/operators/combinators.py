@@ -112,6 +112,12 @@ def rank_position_score(df: DataFrame, *order: Column, name: str = "score") -> D
     return df.withColumn(name, 1.0 - (F.row_number().over(Window.orderBy(*order)) - 1) / F.count("*").over(everything))
 
 
+def rank_position_score_by(df: DataFrame, group: str, *order: Column, name: str = "score") -> DataFrame:
+    """rank_position_score() within each group, for groups of a top-k."""
+    every = Window.partitionBy(group)
+    return df.withColumn(name, 1.0 - (F.row_number().over(every.orderBy(*order)) - 1) / F.count("*").over(every))
+
+
 def budgeted_tiers(df: DataFrame, key: str, core: Column, usable: Column, first: int, rest: int, *order: Column, name: str = "tier") -> DataFrame:
     """Tiers of ranked rows: core ones up to first, usable ones up to rest, then others up to rest; what is beyond all has a null tier.
 

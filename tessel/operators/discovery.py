@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.globs import matches_any
 from ..functions.rules import TEST_DIR, Intent, dependency_tier, entrypoint_score, first_of, is_noisy_path, module_proximity, noise_penalty, reuse_verdict, suppression
 from ..functions.text import clamp, jaccard, query_tokens, score_text, tokenize_code
-from .combinators import best_per_key, budgeted_tiers, smallest, top_k
+from .combinators import best_per_key, budgeted_tiers, smallest, top_k, top_k_per_group
 from .graph import traverse
 
 
@@ -64,19 +64,31 @@ def trace_route(routes: DataFrame, query: str, k: int = 20) -> DataFrame:
 
 def entrypoints(routes: DataFrame, symbols: DataFrame, commands: DataFrame, task: str, k: int = 10, least: float = 0.16) -> DataFrame:
     """type, symbol, path, route_path, method and score of routes, page-like symbols and commands."""
-    intent, null = Intent.of(task), F.lit(None).cast("string")
+    every = entry_rows(routes, symbols, commands).withColumn("own", score_text(task, F.col("raw")))
+    return ranked_entries(Intent.of(task), every, k, least)
+
+
+def entry_rows(routes: DataFrame, symbols: DataFrame, commands: DataFrame) -> DataFrame:
+    """type, symbol, path, route_path, method and raw (the text that a task is held against) of all that may be an entry point, and whether it is a command."""
+    null = F.lit(None).cast("string")
     a = routes.select(F.when(F.col("framework") == "fastapi", "fastapi_route").otherwise("flutter_route").alias("type"), F.col("name").alias("symbol"), F.coalesce("file_path", F.lit("")).alias("path_"), F.col("path").alias("route_path"), "method", F.concat_ws(" ", "path", "name", "file_path").alias("raw"))
     kind = first_of([(F.col("path").rlike(TEST_DIR), "test_entry"), ((F.col("kind") == "component") | F.col("path").endswith(".tsx"), "react_component"), (F.col("path").endswith(".dart") & F.col("name").rlike("Page|Screen|View|Card|Widget"), "flutter_page_widget")], "class")
     pages = symbols.filter(F.col("kind").isin("class", "component") | F.col("name").rlike("(Page|Screen|View|Card)$"))
     b = pages.select(kind.alias("type"), F.coalesce("qualified_name", "name").alias("symbol"), F.col("path").alias("path_"), null.alias("route_path"), null.alias("method"), F.concat_ws(" ", "name", "qualified_name", "path").alias("raw"))
     is_test = F.col("category") == "test"
     raw = F.concat_ws(" ", "name", "command", "source_file")
-    own = score_text(task, raw)
-    c = commands.filter((own > 0.15) | (is_test & (own > 0))).select(F.when(is_test, "test_entry").otherwise("cli_command").alias("type"), F.col("name").alias("symbol"), F.col("source_file").alias("path_"), null.alias("route_path"), null.alias("method"), raw.alias("raw"))
-    every = a.unionByName(b).unionByName(c).withColumnRenamed("path_", "path")
-    scored = every.select("type", "symbol", "path", "route_path", "method", entrypoint_score(intent, F.col("type"), F.col("symbol"), F.col("path"), score_text(task, F.col("raw"))).alias("score")).filter(F.col("score") > least)
-    best = best_per_key(scored, ["type", "path", "symbol", "route_path"], -F.col("score"), F.col("method"))
-    return top_k(best, k, F.desc("score"), F.col("path"), F.col("symbol"))
+    c = commands.select(F.when(is_test, "test_entry").otherwise("cli_command").alias("type"), F.col("name").alias("symbol"), F.col("source_file").alias("path_"), null.alias("route_path"), null.alias("method"), raw.alias("raw"))
+    tag = lambda df, on: df.withColumn("command", F.lit(on))
+    return tag(a.unionByName(b), False).unionByName(tag(c, True)).withColumnRenamed("path_", "path")
+
+
+def ranked_entries(intent: Intent, entries: DataFrame, k: int, least: float = 0.16, by: tuple[str, ...] = ()) -> DataFrame:
+    """The k best of entry_rows() with own, the score of their text; of each group if by names columns."""
+    entries = entries.filter(~F.col("command") | (F.col("own") > 0.15) | ((F.col("type") == "test_entry") & (F.col("own") > 0)))
+    key, order = ["type", "path", "symbol", "route_path"], (F.desc("score"), F.col("path"), F.col("symbol"), F.col("type"), F.col("route_path"))
+    scored = entries.select(*by, *key, "method", entrypoint_score(intent, F.col("type"), F.col("symbol"), F.col("path"), F.col("own")).alias("score")).filter(F.col("score") > least)
+    best = best_per_key(scored, [*by, *key], -F.col("score"), F.col("method")).select(*by, "type", "symbol", "path", "route_path", "method", "score")
+    return top_k_per_group(best, list(by), k, *order) if by else top_k(best, k, *order)
 
 
 def reuse_type(path: Column, name: Column) -> Column:
@@ -86,16 +98,28 @@ def reuse_type(path: Column, name: Column) -> Column:
 
 def reuse(blocks: DataFrame, task: str, k: int = 10) -> tuple[DataFrame, DataFrame]:
     """Reusable candidates, and what a new piece of code would duplicate: symbol_key, path, similarity, reuse_type and verdict."""
-    intent = Intent.of(task)
-    label = F.concat_ws(" ", "path", "name", "qualified_name")
-    words = F.array_distinct(F.concat("tokens", tokenize_code(label)))
+    label, words = block_text()
     asked = F.array_distinct(tokenize_code(F.lit(task)))
     similarity = F.least(F.lit(1.0), F.greatest(jaccard(words, asked), F.when(score_text(task, label) > 0.15, score_text(task, label)).otherwise(0.0)))
     hits = blocks.filter(F.size("tokens") > 4).select("symbol_key", "path", "name", "qualified_name", similarity.alias("similarity")).filter("similarity > 0")
-    hits = hits.withColumn("reuse_type", reuse_type(F.col("path"), F.coalesce("name", "qualified_name"))).withColumn("verdict", reuse_verdict(F.col("similarity"), module_proximity(intent, F.col("path"))))
-    shown = F.concat_ws(" ", "reuse_type", "name", "path").rlike("(?i)component|widget|card|service|hook|provider")
+    hits = reuse_hits(Intent.of(task), hits)
     order = (F.desc("similarity"), F.col("path"), F.col("symbol_key"))
-    return top_k(hits.filter(shown), k, *order), top_k(hits.filter("similarity >= 0.58"), k, *order)
+    return top_k(hits.filter(SHOWN), k, *order), top_k(hits.filter("similarity >= 0.58"), k, *order)
+
+
+#: Which reusable candidates are shown.
+SHOWN = "concat_ws(' ', reuse_type, name, path) RLIKE '(?i)component|widget|card|service|hook|provider'"
+
+
+def block_text() -> tuple[Column, Column]:
+    """A code block's label and its distinct words."""
+    label = F.concat_ws(" ", "path", "name", "qualified_name")
+    return label, F.array_distinct(F.concat("tokens", tokenize_code(label)))
+
+
+def reuse_hits(intent: Intent, hits: DataFrame) -> DataFrame:
+    typed = hits.withColumn("reuse_type", reuse_type(F.col("path"), F.coalesce("name", "qualified_name")))
+    return typed.withColumn("verdict", reuse_verdict(F.col("similarity"), module_proximity(intent, F.col("path"))))
 
 
 def constructor_fit(params: Column) -> Column:
@@ -174,21 +198,33 @@ def must_read(task: str, candidates: DataFrame, budget: int = 5) -> DataFrame:
 
     Candidates are merged by path. Eligibility depends on the row alone; only the budget depends on rank.
     """
-    intent = Intent.of(task)
-    merged = candidates.groupBy("path").agg(F.max("score").alias("score"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence"))
+    return gated(Intent.of(task), merged_candidates(candidates), budget)
+
+
+def merged_candidates(candidates: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return candidates.groupBy(*by, "path").agg(F.max("score").alias("score"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence"))
+
+
+def gated(intent: Intent, merged: DataFrame, budget: int = 5, by: tuple[str, ...] = ()) -> DataFrame:
+    """must_read() of merged candidates; budget rows of each group if by names columns."""
     has = lambda w: F.array_contains("evidence", w)
     direct, forced = has("workflow_profile") & has("direct_target"), has("workflow_force_must_read") | has("force_must_read")
     strong = F.exists("evidence", lambda e: e.rlike(STRONG))
     enough = (F.size("evidence") >= 2) | strong
     tier = F.when(direct | has("reuse_verdict"), "core_implementation").otherwise(dependency_tier(intent, F.col("path"), F.col("evidence")))
-    test_noise = F.lit(not intent.test) & F.col("path").rlike(TEST_DIR) & ~forced
+    test = intent.test if isinstance(intent.test, Column) else F.lit(intent.test)
+    test_noise = ~test & F.col("path").rlike(TEST_DIR) & ~forced
     noisy = ~forced & ((is_noisy_path(intent, F.col("path")) & ~direct) | test_noise)
     rows = merged.select("*", tier.alias("dependency_tier"), enough.alias("_enough"), test_noise.alias("_test"), noisy.alias("_noisy"))
     fits = ~F.col("_noisy") & (F.col("dependency_tier") == "core_implementation") & ((F.col("score") >= 0.72) | strong | forced) & F.col("_enough")
-    chosen = F.broadcast(rows.filter(fits).orderBy(F.desc("score"), "path").limit(budget).select(F.col("path").alias("_chosen")))  # budget rows
-    rows = rows.join(chosen, F.col("path") == F.col("_chosen"), "left").withColumn("selected", F.col("_chosen").isNotNull())
+    order = (F.desc("score"), F.col("path"))
+    if by:
+        chosen = top_k_per_group(rows.filter(fits), list(by), budget, *order).select(*by, "path", F.lit(True).alias("_chosen"))
+    else:
+        chosen = F.broadcast(rows.filter(fits).orderBy(*order).limit(budget).select("path", F.lit(True).alias("_chosen")))  # budget rows
+    rows = rows.join(chosen, [*by, "path"], "left").withColumn("selected", F.col("_chosen").isNotNull())
     why = suppression(intent, F.col("path"), F.col("dependency_tier"), F.col("_test"), F.col("_noisy"), F.col("_enough"))
-    return rows.withColumn("_w", F.when(~F.col("selected"), why)).select("path", "score", "evidence", "dependency_tier", "selected", F.col("_w.reason").alias("reason"), F.col("_w.goes_to").alias("goes_to"))
+    return rows.withColumn("_w", F.when(~F.col("selected"), why)).select(*by, "path", "score", "evidence", "dependency_tier", "selected", F.col("_w.reason").alias("reason"), F.col("_w.goes_to").alias("goes_to"))
 
 
 def impact(edges: DataFrame, path: str, depth: int = 2) -> DataFrame:

@@ -47,14 +47,19 @@ def bm25(docs: DataFrame, key: str, text: Column, query: str, k: int | None = 20
     return _ranked(rows, stats, len(terms), key, k)
 
 
+def term_weight(df: Column, times: Column) -> Column:
+    """What a term that df texts have and this one `times` times adds to its score; reads _n, _len and _avg."""
+    tf = times.cast("double")
+    idf = F.greatest(F.log((F.col("_n") - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
+    return F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))).otherwise(0.0)
+
+
 def _ranked(rows: DataFrame, stats: DataFrame, terms: int, key: str, k: int | None) -> DataFrame:
     """key and score from rows (_key, _len and _t of each term) and the one row of stats (_n, _avg and _df of each term)."""
     joined = rows.crossJoin(F.broadcast(stats))
     score = F.lit(0.0)
     for i in range(terms):
-        df, tf = F.col(f"_df{i}"), F.col(f"_t{i}").cast("double")
-        idf = F.greatest(F.log((F.col("_n") - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
-        score = score + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))).otherwise(0.0)
+        score = score + term_weight(F.col(f"_df{i}"), F.col(f"_t{i}"))
     hit = sum((F.col(f"_t{i}") for i in range(terms)), F.lit(0)) > 0
     out = joined.filter(hit).select(F.col("_key").alias(key), score.alias("score"))
     return out.orderBy(F.desc("score"), key).limit(k) if k else out

@@ -170,14 +170,14 @@ def find_symbol(tables: dict[str, DataFrame], query: str, k: int = 20) -> DataFr
 MODES = {"full": ("entrypoints", "related", "symbols", "reuse", "tests", "callees"), "locate": ("related", "symbols"), "reuse": ("reuse", "symbols"), "impact": ("related", "tests", "callees"), "entry": ("entrypoints", "related", "tests")}
 
 
+#: Words of a task that ask for a mode, in order.
+QUERY_MODES = (("reuse", "reuse|duplicate|复用|重复"), ("impact", "impact|affect|影响"), ("entry", "entry|route|入口"), ("locate", "where|locate|find|哪里"))
+
+
 def query_mode(task: str) -> str:
     import re
 
-    low = task.lower()
-    for mode, words in (("reuse", "reuse|duplicate|复用|重复"), ("impact", "impact|affect|影响"), ("entry", "entry|route|入口"), ("locate", "where|locate|find|哪里")):
-        if re.search(words, low):
-            return mode
-    return "full"
+    return next((mode for mode, words in QUERY_MODES if re.search(words, task.lower())), "full")
 
 
 def discover(tables: dict[str, DataFrame], task: str, k: int = 15, mode: str | None = None, changed: list[str] = ()) -> dict[str, DataFrame]:
@@ -313,21 +313,28 @@ def stale_edges(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> DataFra
     return incremental.rewire(old["symbol_edges"], new["symbols"])[1]
 
 
-def evaluate(tables: dict[str, DataFrame], cases: list[dict], most: int = 50) -> DataFrame:
-    """evaluation.score_cases() of a suite: {id, task, expected, forbidden, limit, tests, reasons}. A suite is short; each case is one discovery, timed."""
-    rows = []
-    for c in cases:
-        began = time.perf_counter()
-        out = discover(tables, c["task"], mode=c.get("mode"))
-        found = [r["path"] for r in out["must_read"].filter("selected").orderBy(F.desc("score"), "path").limit(most).collect()]
-        reasons = [r["reason"] for r in out["must_read"].filter("reason IS NOT NULL").select("reason").distinct().collect()]
-        tests = [r["path"] for r in out["tests"].limit(most).collect()] if "tests" in out else []
-        reuse = [r["path"] for r in out["reuse"].limit(most).collect()] if "reuse" in out else []
-        took = int(1000 * (time.perf_counter() - began))
-        rows.append((str(c["id"]), found, c.get("expected", []), c.get("forbidden", []), c.get("limit"), found, c.get("chain", []), reuse, c.get("reuse", []), tests, c.get("tests", []), reasons, c.get("reasons", []), took))
-    lists = "found expected forbidden | chain wanted_chain reuse wanted_reuse tests wanted_tests reasons wanted_reasons".replace("|", "limit").split()
-    form = ", ".join(["id string", *[f"{n} {'int' if n == 'limit' else 'array<string>'}" for n in lists], "latency_ms int"])
-    return evaluation.score_cases(tables["files"].sparkSession.createDataFrame(rows, form))
+#: Lists of an evaluation's case.
+CASE_LISTS = ("expected", "forbidden", "chain", "reuse", "tests", "reasons")
+
+
+def evaluate(tables: dict[str, DataFrame], cases: list[dict] | DataFrame, most: int = 50) -> DataFrame:
+    """evaluation.score_cases() of a suite: id, task, mode, limit and expected, forbidden, chain, reuse, tests and reasons, as dicts or rows.
+
+    All cases are answered at once (suite.discover); a case's latency is its share of the time that took. Ids must be unique. What a case doesn't have is null
+    or empty.
+    """
+    from . import suite
+
+    spark = tables["files"].sparkSession
+    form = "id string, task string, mode string, limit int, " + ", ".join(f"{c} array<string>" for c in CASE_LISTS)
+    if not isinstance(cases, DataFrame):
+        cases = spark.createDataFrame([(str(c["id"]), c.get("task"), c.get("mode"), c.get("limit"), *[c.get(x) for x in CASE_LISTS]) for c in cases], form)
+    none = F.array().cast("array<string>")
+    cases = kept(cases.select(F.col("id").cast("string").alias("case"), "task", "mode", "limit", *[F.coalesce(c, none).alias(c if c in ("expected", "forbidden") else f"wanted_{c}") for c in CASE_LISTS]))
+    n, began = cases.count(), time.perf_counter()
+    answered = kept(suite.answers(suite.discover(tables, cases.select("case", "task", "mode")), cases, most))
+    each = int(1000 * (time.perf_counter() - began) / max(n, 1))
+    return evaluation.score_cases(cases.join(answered.withColumn("chain", F.col("found")), "case").withColumnRenamed("case", "id").withColumn("latency_ms", F.lit(each)))
 
 
 class Project:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tessel.functions import globs
 from tessel.operators import combinators, impact, planning, provenance, resolve, widgets
-from tessel.plans import backend, code_graph, context
+from tessel.plans import backend, code_graph, context, suite
 from tessel.sources import repo
 
 CODE = {
@@ -244,6 +244,44 @@ def test_suite_runner(tables):
     assert got["1"]["noise_suppression"] == 1.0 and got["2"]["must_read_coverage"] == 0.0 and got["1"]["production_score"] > got["2"]["production_score"]
 
 
+TASKS = [
+    ("a", "speed up load in util", None), ("b", "nothing of this", None), ("c", "find the main function", None), ("d", "reuse a card widget on the dashboard page", None),
+    ("e", "impact of deep on test api", None), ("f", "entry route for main", None), ("g", "", None), ("h", None, "full"), ("i", "fix testing utility mains", None), ("j", "设计系统 视觉 test load load", "full"),
+    ("k", "app", "impact"), ("l", "unmatchedword src", "reuse"),
+]
+
+
+@pytest.fixture(scope="module")
+def asked(spark, tables):
+    return {k: v.cache() for k, v in suite.discover(tables, spark.createDataFrame(TASKS, "case string, task string, mode string")).items()}
+
+
+@pytest.mark.parametrize("task", TASKS, ids=lambda t: t[0])
+def test_suite_equals_one_by_one(tables, asked, task):
+    """Every part of a suite's answers has the rows that asking alone gives."""
+    case, text, mode = task
+    one = code_graph.discover(tables, text or "", mode=mode)
+    columns = {"entrypoints": ["type", "symbol", "path", "route_path", "method", "score"], "related": ["path", "score", "reason"], "symbols": ["symbol_key", "path", "score", "method"], "reuse": ["symbol_key", "similarity", "reuse_type", "verdict"], "callees": ["node", "path"], "tests": ["path", "score"], "must_read": ["path", "score", "evidence", "dependency_tier", "selected", "reason", "goes_to"]}
+    rows = lambda df, c: sorted(map(str, df.select(*c).collect()))
+    for part, c in columns.items():
+        assert rows(asked[part].filter(F.col("case") == case), c) == (rows(one[part], c) if part in one else []), part
+
+
+def test_suite_jobs(spark, tables):
+    """Twelve cases take as many jobs as two, and no case is left out."""
+
+    def jobs(n: int) -> int:
+        spark.sparkContext.setJobGroup(f"suite{n}", "")
+        got = code_graph.evaluate(tables, [{"id": c, "task": t, "mode": m, "expected": ["src/app/util.py"]} for c, t, m in TASKS[:n]])
+        assert got.count() == n
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"suite{n}"))
+
+    few, many = jobs(2), jobs(12)
+    spark.sparkContext.setJobGroup("", "")
+    assert many <= few + 12  # adaptive execution may run a stage of a larger table as a job of its own
+    assert code_graph.evaluate(tables, []).collect() == []
+
+
 def test_stale_edges(files, tables):
     after = code_graph.build(code_graph.mutate(files, [{"kind": "change", "path": "src/app/util.py", "text": "def deep(n):\n    return n\n"}]))
     assert {r["from_symbol"].split("::")[1] for r in code_graph.stale_edges(tables, after).collect()} == {"main", "load", "test_load"}
