@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.rules import Intent, language_of, module_of
 from ..functions.text import call_tokens, extract_lines, fingerprint, structural_shape
 from ..operators import discovery, duplicates, evaluation, extract, graph, impact, incremental, planning, resolve, search
-from ..operators.combinators import kept, top_k, top_k_per_group
+from ..operators.combinators import best_per_key, kept, top_k, top_k_per_group
 from ..sources import changes, documents, repo
 
 #: Keys by which sections of two graphs are compared.
@@ -294,11 +294,32 @@ def mutate(files: DataFrame, mutations: list[dict]) -> DataFrame:
     return out.withColumn("language", language_of(F.col("path"))).withColumn("size", F.octet_length("text").cast("long")).withColumn("hash", F.sha1("text"))
 
 
+def mutated(files: DataFrame, mutations: DataFrame) -> DataFrame:
+    """suite and the files (path, language, size, hash, text) after each suite of documents.mutation_rows(), all suites at once.
+
+    A mutation names a path of the tree before its suite. Of several on one path a deletion wins, else the last text and the last new path count. What
+    is added or renamed onto a path replaces the file there, the last one added or renamed. Mutations of paths that aren't there change nothing; a suite
+    without mutations has no rows. The tree is joined once with the suites and once with what they do to a path.
+    """
+    last = lambda kind, c: F.max_by(F.when(F.col("kind") == kind, F.col(c)), F.when(F.col("kind") == kind, F.col("place")))
+    done = mutations.filter("kind <> 'add'").groupBy("suite", "path").agg(F.max(F.col("kind") == "delete").alias("_gone"), last("change", "text").alias("_text"), last("rename", "to").alias("_to"), F.max(F.when(F.col("kind") == "rename", F.col("place"))).alias("_place"))
+    every = files.select("path", "text").crossJoin(mutations.select("suite").distinct())  # each suite is a tree of its own
+    left = every.join(done, ["suite", "path"], "left").filter("_gone IS NULL OR NOT _gone")
+    rows = left.select("suite", F.coalesce("_to", "path").alias("path"), F.coalesce("_text", "text").alias("text"), F.coalesce("_place", F.lit(-1)).alias("_place"))
+    added = mutations.filter("kind = 'add'").select("suite", "path", "text", F.col("place").alias("_place"))
+    out = best_per_key(rows.unionByName(added), ["suite", "path"], -F.col("_place"))
+    return out.select("suite", "path", language_of(F.col("path")).alias("language"), F.octet_length("text").cast("long").alias("size"), F.sha1("text").alias("hash"), "text")
+
+
 def check_mutations(files: DataFrame, suites: list[dict], cases: list[dict] = ()) -> DataFrame:
-    """mutation, plan, side, section and key of differences between a partial update and a full build after each suite ({id, mutations}); no rows if they agree."""
-    before, out = build(files), None
+    """mutation, plan, side, section and key of differences between a partial update and a full build after each suite ({id, mutations}); no rows if they agree.
+
+    The trees of all suites are made at once (mutated()); each is then updated and built, which is what is checked.
+    """
+    spark, out = files.sparkSession, None
+    before, trees = build(files), kept(mutated(files, documents.mutation_rows(spark, suites)))
     for s in suites:
-        after = kept(mutate(files, s["mutations"]))
+        after = trees.filter(F.col("suite") == str(s["id"])).drop("suite")
         (part, plan), full = update(before, after), build(after)
         rows = differences(full, part).select("section", "side", "key")
         if cases:

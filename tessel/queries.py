@@ -11,6 +11,7 @@ from .functions.rules import Intent, change_plane, entrypoint_score, first_of, f
 from .functions.text import clamp, confidence_bucket, plain_normal, score_text
 from .operators import combinators, discovery, duplicates, graph, incremental, planning, search
 from .operators.evaluation import latency_score, ratio
+from .plans import code_graph, suite
 from .sources.documents import guard_findings
 from .streaming.feed import windowed_counts
 
@@ -252,6 +253,33 @@ def bm25_search(t):
     return search.bm25(t.documents, "doc_id", F.col("text"), "disgusting attention pathetic", 50)
 
 
+@query("""WITH w AS (SELECT DISTINCT p_name || ' ECONO' AS "case", list_filter(string_split_regex(lower(p_name || ' ECONO'), '[^a-z0-9]+'), lambda x: length(x) > 1) AS t FROM part), x AS (SELECT DISTINCT p_name || ' ' || p_type AS text FROM part),
+s AS (SELECT "case", text, list_sum(list_transform(t, lambda v: CASE WHEN list_contains(string_split_regex(lower(text), '[^a-z0-9]+'), v) THEN 1.0::DOUBLE WHEN contains(lower(text), v) AND length(v) >= 5 THEN 0.5::DOUBLE ELSE 0::DOUBLE END)) / len(t) AS score FROM w, x)
+SELECT "case", text, score FROM s WHERE score > 0""")
+def suite_text_scores(t):
+    """Lexical scores of all tasks (a part's name and the start of a word) against all texts, by words."""
+    tasks = t.part.select(F.concat("p_name", F.lit(" ECONO")).alias("case")).distinct()
+    words = suite.task_words(tasks.withColumn("task", F.col("case")))
+    texts = t.part.select(F.lit("part").alias("kind"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    return suite.text_scores(words, suite.words_inside(words, texts)).select("case", "text", "score")
+
+
+@query("""WITH m AS (SELECT n_regionkey AS r, n_nationkey AS n, CASE n_nationkey % 4 WHEN 0 THEN 'delete' WHEN 1 THEN 'change' WHEN 2 THEN 'rename' ELSE 'add' END AS kind FROM nation),
+f AS (SELECT DISTINCT s_nationkey AS n FROM supplier), s AS (SELECT DISTINCT r FROM m),
+o AS (SELECT s.r, f.n, m.kind FROM f CROSS JOIN s LEFT JOIN m ON m.r = s.r AND m.n = f.n AND m.kind <> 'add'),
+rows AS (SELECT r, CASE WHEN kind = 'rename' THEN 'new' ELSE 'src' END || n || '.py' AS path, CASE WHEN kind = 'change' THEN 'y = 2' ELSE 'x = ' || n END AS text FROM o WHERE kind IS DISTINCT FROM 'delete'
+  UNION ALL SELECT r, 'more' || n || '.py', 'z = 3' FROM m WHERE kind = 'add')
+SELECT 'r' || r AS suite, path, sha1(text) AS hash, octet_length(encode(text))::BIGINT AS size FROM rows""")
+def mutated_trees(t):
+    """A suite of mutations for each region: its nations' files are deleted, changed, renamed or added to."""
+    n, kinds = F.col("n_nationkey"), F.array(*map(F.lit, ("delete", "change", "rename", "add")))
+    name = lambda start: F.concat(F.lit(start), n.cast("string"), F.lit(".py"))
+    kind = F.element_at(kinds, (n % 4 + 1).cast("int"))
+    rows = t.nation.select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("suite"), n.cast("int").alias("place"), kind.alias("kind"), F.when(kind == "add", name("more")).otherwise(name("src")).alias("path"), F.when(kind == "add", "z = 3").otherwise("y = 2").alias("text"), name("new").alias("to"))
+    files = t.supplier.select(F.col("s_nationkey").alias("n_nationkey")).distinct().select(name("src").alias("path"), F.concat(F.lit("x = "), n.cast("string")).alias("text"))
+    return code_graph.mutated(files, rows).select("suite", "path", "hash", "size")
+
+
 def _index(t) -> incremental.BucketStore:
     """A stored inverted index of all documents."""
     store = incremental.BucketStore(t.spark, combinators.scratch(t.spark, "index"))

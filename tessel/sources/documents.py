@@ -185,6 +185,23 @@ def suite(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(str(r.get("id")), json.dumps(r)) for r in rows], "id string, body string")
 
 
+#: What a mutation may do.
+MUTATIONS = ("add", "change", "delete", "rename")
+
+
+def mutation_rows(spark: SparkSession, suites: list[dict]) -> DataFrame:
+    """suite, place, kind, path, text and to of mutation suites ({id, mutations: [{kind, path, text or to}]}); another kind is an error."""
+    rows = [(str(s["id"]), i, m["kind"], m["path"], m.get("text"), m.get("to")) for s in suites for i, m in enumerate(s["mutations"])]
+    if wrong := sorted({r[2] for r in rows} - set(MUTATIONS)):
+        raise ValueError(f"no such mutation: {', '.join(wrong)}")
+    return spark.createDataFrame(rows, "suite string, place int, kind string, path string, text string, to string")
+
+
+def mutation_suite(spark: SparkSession, path: str) -> DataFrame:
+    """mutation_rows() of a JSON file with a list of suites under `mutations`."""
+    return mutation_rows(spark, [json.loads(r["body"]) for r in suite(spark, path).collect()])  # as long as the file
+
+
 @dataclass
 class Config:
     """Settings of a repository; unknown keys are ignored, snake case is understood."""

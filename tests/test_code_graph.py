@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tessel.operators import discovery, extract, planning, resolve
 from tessel.operators.evaluation import score_cases, slowest_stages, summary
-from tessel.plans import code_graph
+from tessel.plans import code_graph, suite
 from tessel.sources import documents, repo
 
 FILES = {
@@ -110,6 +110,19 @@ def test_questions(spark, tables):
     assert {r["table"] for r in counts.collect()} == set(tables) and languages.count() > 3
 
 
+def test_suite_of_widgets(spark, tables):
+    """Entry points, reuse and gates of two tasks at once are those of each alone."""
+    tasks = [("a", "change the home page card widget", None), ("b", "reuse box card view for the backend api users load", "full")]
+    both = suite.discover(tables, spark.createDataFrame(tasks, "case string, task string, mode string"))
+    columns = {"entrypoints": ["type", "symbol", "path", "route_path", "method", "score"], "reuse": ["symbol_key", "similarity", "reuse_type", "verdict"], "callees": ["node", "path"], "must_read": ["path", "score", "evidence", "selected", "reason", "goes_to"]}
+    for case, text, mode in tasks:
+        one = code_graph.discover(tables, text, mode=mode)
+        for part, c in columns.items():
+            rows = lambda df: sorted(map(str, df.select(*c).collect()))  # noqa: B023, E731
+            want = rows(one[part])
+            assert rows(both[part].filter(F.col("case") == case)) == want and (want or part == "callees"), part
+
+
 def test_partial_equals_full(spark, files, tmp_path):
     """A rename, a deletion, a changed route and a changed call at once."""
     store = code_graph.incremental.VersionedStore(spark, f"file://{tmp_path}")
