@@ -74,7 +74,7 @@ def _symbols_and_calls(out: Delta, old: dict[str, DataFrame], touched: DataFrame
     others = without(old["calls"], touched)
     moved = graph.moved_names(few(old["symbols"]), few(all_symbols))
     again = kept(_distinct(touched, others.join(moved, "name", "left_semi").select("path")))
-    calls = code_graph.calls_of(code_graph.bodies(extracted, symbols))
+    calls = code_graph.calls_of(code_graph.bodies(extracted))
     asked = kept(others.join(again, "path", "left_semi").unionByName(calls))
     meant = all_symbols.join(asked.select("name").distinct(), "name", "left_semi")
     out.put("symbols", touched, symbols)
@@ -99,7 +99,7 @@ def _imports(out: Delta, old: dict[str, DataFrame], diff: DataFrame, extracted:
 
 def _clusters(out: Delta, old: dict[str, DataFrame], touched: DataFrame, extracted: DataFrame) -> None:
     """Blocks of touched files, and clusters of hashes that they have or had."""
-    blocks = kept(code_graph.code_blocks(extracted, extract.symbols(extracted)))
+    blocks = kept(code_graph.code_blocks(extracted))
     hashes = lambda df: df.select(F.col("normalized_hash").alias("cluster_hash"))
     mixed = kept(_distinct(hashes(old["code_blocks"].join(touched, "path", "left_semi")), hashes(blocks)))
     narrow = ["symbol_key", "normalized_hash", "tokens"]
