@@ -94,8 +94,8 @@ def without(df: DataFrame, gone: DataFrame) -> DataFrame:
 
 @dataclass
 class Delta:
-    """What changes in tables. gone: for a table, values of some of its columns (the bucket's key among them) whose rows go. rows: what comes, with keys that
-    gone has. whole: tables that are replaced."""
+    """What changes in tables. gone: for a table, values of some of its columns whose rows go; with the bucket's key among them, touched buckets are written anew,
+    without it the table gets a layer (BucketStore). rows: what comes, with keys that gone has. whole: tables that are replaced."""
 
     gone: dict[str, DataFrame] = field(default_factory=dict)
     rows: dict[str, DataFrame] = field(default_factory=dict)
@@ -198,6 +198,9 @@ class BucketStore(VersionedStore):
     """A VersionedStore whose large tables are kept in buckets of a key's hash. A version is a list of folders, one for each bucket of each table, so an
     update writes the buckets that it touches and names the folders of the last version for all others.
 
+    Rows that go by other columns than the key may be in any bucket. Such an update writes a layer instead: the buckets of the rows that come, and a list of what
+    goes, which a reader leaves out of the layers below. It costs what changes, not what the table holds. The update after MOST_LAYERS of them writes the table as one layer.
+
     KEYS: the key column of each table that has buckets; others are written whole. SHOWN: tables read with their bucket as a column, which filters can prune;
     the number of buckets is in that column's metadata.
     """
@@ -206,7 +209,10 @@ class BucketStore(VersionedStore):
     SHOWN: tuple[str, ...] = ("postings",)
     #: Tables written at the same time: each is a few short jobs.
     AT_ONCE = 8
-    _LIST = "name string, bucket int, folder string, form string, buckets int"
+    MOST_LAYERS = 8
+    #: What stands for a bucket in the entry of a layer's list.
+    GONE = -1
+    _LIST = "name string, bucket int, folder string, form string, buckets int, layer int"
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 32):
         super().__init__(spark, root)
@@ -219,7 +225,7 @@ class BucketStore(VersionedStore):
         return self._point(version, [r for rows in found for r in rows])
 
     def advance(self, delta: Delta) -> str:
-        """The next version: rows that go (delta.gone) and come (delta.rows) in touched buckets, whole tables (delta.whole), and everything else as it is."""
+        """The next version: rows that go (delta.gone) and come (delta.rows) in touched buckets or a layer, whole tables (delta.whole), and everything else as it is."""
         version, now = f"v{uuid.uuid4().hex}", self._folders()
 
         asked: dict[int, object] = {}  # tables that lose the same keys share the list of their buckets
@@ -231,14 +237,23 @@ class BucketStore(VersionedStore):
             return asked[same]
 
         def one(name: str, own: list, hit) -> list[tuple]:
-            n, hit = own[0]["buckets"], hit.result()
-            rows = without(self._read(name, [r for r in own if r["bucket"] in hit], own[0]["form"]), delta.gone[name]).unionByName(delta.rows[name])
-            return [tuple(r) for r in own if r["bucket"] not in hit and r["folder"]] + self._write(version, name, rows, n)
+            n, hit, top = own[0]["buckets"], hit.result(), max(r["layer"] for r in own)
+            lists = [r for r in own if r["bucket"] == self.GONE]
+            rows = without(self._whole(name, [r for r in own if r["bucket"] in hit] + lists, own), delta.gone[name]).unionByName(delta.rows[name])
+            return [tuple(r) for r in own if r["bucket"] not in hit and r["folder"]] + self._write(version, name, rows, n, top)
+
+        def layer(name: str, own: list) -> list[tuple]:
+            n, at, gone, rows = own[0]["buckets"], max(r["layer"] for r in own) + 1, delta.gone[name].distinct(), delta.rows[name]
+            if at > self.MOST_LAYERS:
+                return self._write(version, name, without(self._whole(name, own, own), gone).unionByName(rows), n)
+            folder = f"data/{name}.gone/version={version}"
+            gone.write.parquet(f"{self.root}/{folder}")
+            return [tuple(r) for r in own] + [(name, self.GONE, folder, gone.schema.json(), n, at)] + self._write(version, name, rows, n, at)
 
         with ThreadPoolExecutor(self.AT_ONCE) as first, ThreadPoolExecutor(self.AT_ONCE) as pool:
             of = {name: [r for r in now if r["name"] == name] for name in delta.rows}
-            hits = {name: touched(name, own[0]["buckets"], first) for name, own in of.items()}
-            jobs = [pool.submit(one, name, own, hits[name]) for name, own in of.items()] + [pool.submit(self._write, version, name, df, 0) for name, df in delta.whole.items()]
+            hits = {name: touched(name, own[0]["buckets"], first) for name, own in of.items() if self.KEYS.get(name) in delta.gone[name].columns}
+            jobs = [pool.submit(one, name, own, hits[name]) if name in hits else pool.submit(layer, name, own) for name, own in of.items()] + [pool.submit(self._write, version, name, df, 0) for name, df in delta.whole.items()]
             found = [job.result() for job in jobs]
         rest = [tuple(r) for r in now if r["name"] not in delta.rows and r["name"] not in delta.whole]
         return self._point(version, rest + [r for rows in found for r in rows])
@@ -248,7 +263,7 @@ class BucketStore(VersionedStore):
         for r in self._folders():
             by.setdefault(r["name"], []).append(r)
         with ThreadPoolExecutor(self.AT_ONCE) as pool:  # each lists its folders
-            return dict(pool.map(lambda t: (t[0], self._read(t[0], t[1], t[1][0]["form"], t[0] in self.SHOWN)), by.items()))
+            return dict(pool.map(lambda t: (t[0], self._whole(t[0], t[1], t[1], t[0] in self.SHOWN)), by.items()))
 
     def vacuum(self, keep: int = 1) -> int:
         """Deletes folders that none of the last `keep` versions names, and older pointers; returns how many folders went. Not while something is written."""
@@ -271,23 +286,38 @@ class BucketStore(VersionedStore):
         found = self._pointers()
         if not found:
             return []
-        return self.spark.read.schema(self._LIST).json(f"{self.root}/published/{at or found[-1]}").collect()  # buckets x tables rows
+        rows = self.spark.read.schema(self._LIST).json(f"{self.root}/published/{at or found[-1]}")
+        return rows.fillna(0, ["layer"]).collect()  # layers x buckets x tables rows
 
     def _point(self, version: str, folders: list[tuple]) -> str:
         at = (self._pointers() or [0])[-1] + 1
         self.spark.createDataFrame(folders, self._LIST).coalesce(1).write.json(f"{self.root}/published/{at}")
         return version
 
-    def _write(self, version: str, name: str, df: DataFrame, buckets: int) -> list[tuple]:
+    def _write(self, version: str, name: str, df: DataFrame, buckets: int, layer: int = 0) -> list[tuple]:
         top, form = f"data/{name}/version={version}", df.schema.json()
         if name not in self.KEYS:
             df.write.parquet(f"{self.root}/{top}")
-            return [(name, None, top, form, 0)]
+            return [(name, None, top, form, 0, 0)]
         key = self.KEYS[name]
         dealt = df.withColumn("bucket", bucket_of(F.col(key), buckets)).repartition("bucket").sortWithinPartitions("bucket", key)
         dealt.write.partitionBy("bucket").parquet(f"{self.root}/{top}")
         made = [n for n in self._names(f"{self.root}/{top}") if n.startswith("bucket=")]
-        return [(name, int(n.removeprefix("bucket=")), f"{top}/{n}", form, buckets) for n in made] or [(name, None, None, form, buckets)]
+        return [(name, int(n.removeprefix("bucket=")), f"{top}/{n}", form, buckets, layer) for n in made] or [(name, None, None, form, buckets, layer)]
+
+    def _whole(self, name: str, folders: list, own: list, shown: bool = False) -> DataFrame:
+        """A table, or the buckets of it that folders has: the rows of each layer, without what later layers list. own: all entries of the table."""
+        form = next(r["form"] for r in own if r["bucket"] != self.GONE)
+        df = None
+        for layer in sorted({r["layer"] for r in folders}):
+            for r in folders:
+                if df is not None and r["bucket"] == self.GONE and r["layer"] == layer:
+                    df = without(df, self.spark.read.schema(StructType.fromJson(json.loads(r["form"]))).parquet(f"{self.root}/{r['folder']}"))
+            mine = [r for r in folders if r["layer"] == layer and r["bucket"] != self.GONE and r["folder"]]
+            if mine:
+                rows = self._read(name, mine, form, shown)
+                df = rows if df is None else df.unionByName(rows)
+        return self._read(name, [], form) if df is None else df
 
     def _read(self, name: str, folders: list, form: str, shown: bool = False) -> DataFrame:
         schema = StructType.fromJson(json.loads(form))

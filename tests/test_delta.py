@@ -91,3 +91,34 @@ def test_moved_names(spark):
     before = rows(("k1", "a", "kept"), ("k2", "b", "alone"), ("k3", "c", "gone"), ("k4", "d", "two"), ("k5", "e", "two"))
     after = rows(("k1", "a", "kept"), ("k2", "b", "alone"), ("k9", "z", "alone"), ("k4", "d", "two"), ("k5", "e", "two"), ("k6", "f", "two"), ("k7", "g", "new"))
     assert {r[0] for r in graph.moved_names(before, after).collect()} == {"alone", "gone", "new"}
+
+
+def test_an_update_of_the_index_costs_what_changes(spark, tmp_path):
+    """Documents that go and come are a layer: no file of the layers below is written anew, until there are too many layers."""
+    text = F.col("text")
+    frame_of = lambda d: spark.createDataFrame(sorted(d.items()), "k long, text string")
+    texts = {i: f"word{i % 7} other{i % 3} " + "filler " * (i % 5) for i in range(60)}
+    store = incremental.BucketStore(spark, f"file://{tmp_path}/i", 4)
+    store.KEYS, store.MOST_LAYERS = {"postings": "term", "lengths": "k"}, 3
+    store.publish({"postings": search.postings(frame_of(texts), "k", text, "k"), "lengths": search.lengths(frame_of(texts), text, "k")})
+    folders = lambda: {r["folder"] for r in store._folders() if r["name"] == "postings" and r["folder"]}
+    before = folders()
+    for step in range(5):
+        gone = [i for i in texts if i % 5 == step]
+        new = {i: f"word{i % 4} fresh{step}" for i in gone if i % 2} | {1000 + step: "word3 filler", **({1000: "other1 filler filler"} if step == 1 else {})}
+        texts = {i: t for i, t in texts.items() if i not in gone} | new
+        keys = spark.createDataFrame([(i,) for i in {*gone, *new}], "k long")
+        store.advance(incremental.Delta(gone={"postings": keys, "lengths": keys}, rows={"postings": search.postings(frame_of(new), "k", text, "k"), "lengths": search.lengths(frame_of(new), text, "k")}))
+        assert (before <= folders()) == (step < 3)
+        if step == 2:  # by the buckets' key, on top of layers
+            word = spark.createDataFrame([("fresh1", 1)], "term string, k long")
+            store.advance(incremental.Delta(gone={"postings": word}, rows={"postings": spark.sql("SELECT 'fresh1' AS term, 1L AS k, 2 AS words, 1L AS times")}))
+            before = {f for f in before if f in folders()}
+        store.vacuum()
+        t = store.tables()
+        index = search.Index(t["postings"], t["lengths"], "k")
+        for query in ("word3 other1", "filler fresh1"):
+            got, want = ([(r["k"], round(r["score"], 9)) for r in df.collect()] for df in (index.bm25(query, 100), search.bm25(frame_of(texts), "k", text, query, 100)))
+            assert got == want
+    plan = index.bm25("word3", 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [isnotnull(bucket") + plan.count("PartitionFilters: [(bucket") >= len({r["layer"] for r in store._folders() if r["name"] == "postings"})
