@@ -210,6 +210,8 @@ class BucketStore(VersionedStore):
     #: Tables written at the same time: each is a few short jobs.
     AT_ONCE = 8
     MOST_LAYERS = 8
+    #: Parts that the buckets of a table are written in, about; the planner joins small ones.
+    PARTS = 256
     #: What stands for a bucket in the entry of a layer's list.
     GONE = -1
     _LIST = "name string, bucket int, folder string, form string, buckets int, layer int"
@@ -300,7 +302,9 @@ class BucketStore(VersionedStore):
             df.write.parquet(f"{self.root}/{top}")
             return [(name, None, top, form, 0, 0)]
         key = self.KEYS[name]
-        dealt = df.withColumn("bucket", bucket_of(F.col(key), buckets)).repartition("bucket").sortWithinPartitions("bucket", key)
+        # rows of a large bucket, or of one key, are dealt into parts; a sort by a hash compares no rows and leaves those of one key together
+        part = F.pmod(F.xxhash64(*df.columns), F.lit(max(1, self.PARTS // buckets)))
+        dealt = df.withColumn("bucket", bucket_of(F.col(key), buckets)).repartition("bucket", part).sortWithinPartitions(F.xxhash64(key))
         dealt.write.partitionBy("bucket").parquet(f"{self.root}/{top}")
         made = [n for n in self._names(f"{self.root}/{top}") if n.startswith("bucket=")]
         return [(name, int(n.removeprefix("bucket=")), f"{top}/{n}", form, buckets, layer) for n in made] or [(name, None, None, form, buckets, layer)]

@@ -122,3 +122,29 @@ def test_an_update_of_the_index_costs_what_changes(spark, tmp_path):
             assert got == want
     plan = index.bm25("word3", 5)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("PartitionFilters: [isnotnull(bucket") + plan.count("PartitionFilters: [(bucket") >= len({r["layer"] for r in store._folders() if r["name"] == "postings"})
+
+
+def test_postings_are_counted_where_texts_are_read(spark):
+    texts = ["One one  ONE-two", None, "", "été 1st\u2003x\x1cy\x00z", "same word", "same word", "Kelvin \u212a K"] + [" ".join(f"w{i}" for i in range(n)) for n in (5, 40)]
+    docs = spark.createDataFrame([(i, f"g{i % 2}", t) for i, t in enumerate(texts)] + [(4, "g0", "same word")], "k long, g string, text string")
+    got = search.postings(docs, "k", F.col("text"), "g")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    each = docs.select("k", "g", F.size(search.words_of(F.col("text"))).alias("words"), F.posexplode(search.words_of(F.col("text"))).alias("_", "term"))
+    want = each.groupBy("term", "k", "g", "words").agg(F.count("*").alias("times"))
+    assert got.dtypes == want.dtypes
+    assert sorted(map(tuple, got.groupBy("term", "k", "g", "words").agg(F.sum("times")).collect())) == sorted(map(tuple, want.collect()))
+    sizes = docs.groupBy("g").agg(F.count("*"), F.sum(F.size(search.words_of(F.col("text")))))
+    assert sorted(map(tuple, search.lengths(docs, F.col("text"), "g").collect())) == sorted(map(tuple, sizes.collect()))
+
+
+def test_the_rows_of_one_term_are_written_in_parts(spark, tmp_path):
+    rows = spark.range(4000).select(F.lit("often").alias("term"), F.col("id").alias("k"), F.lit(1).alias("words"), F.lit(1).cast("long").alias("times"))
+    store = incremental.BucketStore(spark, f"file://{tmp_path}/i", 2)
+    store.KEYS = {"postings": "term"}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store.publish({"postings": rows})
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    found = store.tables()["postings"]
+    assert len(found.inputFiles()) == 4 and found.select("k").distinct().count() == 4000  # all four tasks have some
